@@ -1 +1,167 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: text cleaning (D7-D9), filters and samples (P2-P12),
+training rows (D10, D21, D22, F19)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tokens as tk
+from ..functions.hashing import sql_hash32, sql_hash_hex
+from ..functions.text import clean_rec_text, clean_search_text
+from ..operators import pairs as pr
+from ..operators import sampling as sm
+from ..operators import textprep as tp
+from ..operators.interactions import split_thresholds
+from ..sources import views
+from . import sqltext as st
+from .catalog import register
+from .sqlviews import sql
+
+SEED = 42
+
+
+def _rec_list(c):
+    inner = f"array_to_string(list_transform({c}, lambda v: {st.clean_rec('v', False)}), ', ')"
+    return f"(CASE WHEN len({c}) > 0 THEN {inner} || '.' ELSE '' END)"
+
+
+_TITLE = "coalesce(title, '')"
+_REC_SQL = (f"{st.clean_rec(_TITLE, False)} || ' ' || {_rec_list('features')} || ' ' || "
+            f"{_rec_list('categories')} || ' ' || {_rec_list('description')} || ' '")
+
+
+@register("clean_item_rec", "D7 F4 F5 F6 F8", sql(
+    f"SELECT parent_asin, {_REC_SQL} AS cleaned_metadata FROM items", "items"))
+def q_clean_item_rec(spark, sf):
+    return tp.clean_item_text_rec(views.items(spark, sf))
+
+
+_DESC_JOINED = "array_to_string(description, ' ')"
+_SEARCH_SQL = (f"replace(coalesce(CASE WHEN title IS NOT NULL THEN {st.clean_search('title', False)} || ' ' END, '') || "
+               f"coalesce(CASE WHEN description IS NOT NULL THEN "
+               f"{st.clean_search(_DESC_JOINED, False)} || ' ' END, ''), "
+               f"chr(9), ' ')")
+
+
+@register("clean_item_search", "D8 F7 F8", sql(
+    f"SELECT parent_asin, {_SEARCH_SQL} AS cleaned_metadata FROM items", "items"))
+def q_clean_item_search(spark, sf):
+    return tp.clean_item_text_search(views.items(spark, sf))
+
+
+_PRE_SQL = st.flat("concat_ws(' ', title, CASE WHEN len(features) > 0 THEN array_to_string(features, ' ') END, "
+                   "CASE WHEN len(description) > 0 THEN array_to_string(description, ' ') END)")
+
+
+@register("clean_item_pretrain", "D9 F3 F17", sql(
+    f"SELECT parent_asin, {_PRE_SQL} AS cleaned_metadata FROM items", "items"))
+def q_clean_item_pretrain(spark, sf):
+    return tp.clean_item_text_pretrain(views.items(spark, sf))
+
+
+@register("clean_review_pretrain", "D9 F3 F17", sql(
+    f"SELECT user_id, parent_asin, {st.flat('concat_ws(' + st.lit(' ') + ', title, text)')} AS cleaned_review "
+    "FROM reviews", "reviews"))
+def q_clean_review_pretrain(spark, sf):
+    return tp.clean_review_text(views.reviews(spark, sf)).select("user_id", "parent_asin", "cleaned_review")
+
+
+@register("clean_pages_rec", "F4 F5 F6", f"SELECT page_id, {st.clean_rec('html')} AS text FROM pages")
+def q_clean_pages_rec(spark, sf):
+    return views.table(spark, sf, "pages").select("page_id", clean_rec_text("html").alias("text"))
+
+
+@register("clean_pages_search", "F4 F7", f"SELECT page_id, {st.clean_search('html')} AS text FROM pages")
+def q_clean_pages_search(spark, sf):
+    return views.table(spark, sf, "pages").select("page_id", clean_search_text("html").alias("text"))
+
+
+@register("satisfied_reviews", "P2", sql(
+    "SELECT user_id, parent_asin, rating, \"timestamp\", length(text) AS n_chars FROM reviews "
+    "WHERE rating >= 5 AND length(text) >= 100", "reviews"))
+def q_satisfied(spark, sf):
+    return sm.satisfied_reviews(views.reviews(spark, sf)).select(
+        "user_id", "parent_asin", "rating", "timestamp", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("hash_sample", "P6", sql(
+    f"SELECT user_id, parent_asin, \"timestamp\" FROM interactions "
+    f"WHERE {sql_hash32(['user_id', 'parent_asin'], SEED)} % 10 = 0", "interactions"))
+def q_hash_sample(spark, sf):
+    return sm.hash_sample(views.interactions(spark, sf), ["user_id", "parent_asin"], 10, SEED).select(
+        "user_id", "parent_asin", "timestamp")
+
+
+@register("sample_n", "P7", sql(
+    "SELECT user_id, parent_asin FROM reviews WHERE rating >= 5 AND length(text) >= 100 "
+    f"ORDER BY {sql_hash_hex(['user_id', 'parent_asin'], SEED)}, user_id, parent_asin LIMIT 1000", "reviews"))
+def q_sample_n(spark, sf):
+    sat = sm.satisfied_reviews(views.reviews(spark, sf)).select("user_id", "parent_asin")
+    return sm.sample_n(sat, ["user_id", "parent_asin"], 1000, SEED)
+
+
+@register("head_percent_split", "P12", sql(
+    "SELECT conv_id, turn, CASE WHEN pos <= floor(0.01 * n + 0.5) THEN 'validation' ELSE 'train' END AS split "
+    "FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS pos, count(*) OVER () AS n FROM pairs)",
+    "pairs"))
+def q_head_percent(spark, sf):
+    p = views.pairs(spark, sf).select("conv_id", "turn")
+    return sm.head_percent_split(p, ["conv_id", "turn"], 1.0)
+
+
+@register("pretrain_pairs", "D10 P4 P5 P6 J1 J2", sql(
+    f"""SELECT r.user_id, r.parent_asin, r.review, m.meta
+    FROM (SELECT user_id, parent_asin, {st.flat('concat_ws(' + st.lit(' ') + ', title, text)')} AS review
+          FROM reviews, thresholds
+          WHERE "timestamp" < t_valid AND {sql_hash32(['user_id', 'parent_asin'], SEED)} % 10 = 0) r
+    JOIN (SELECT parent_asin, {_PRE_SQL} AS meta FROM items) m ON r.parent_asin = m.parent_asin
+    WHERE length(r.review) > 30 AND length(m.meta) > 30""", "reviews", "items", "thresholds"))
+def q_pretrain_pairs(spark, sf):
+    t = {r["fraction"]: r["threshold"] for r in split_thresholds(views.raw_interactions(spark, sf), (0.8,)).collect()}
+    return pr.build_pretrain_pairs(views.reviews(spark, sf), views.items(spark, sf), int(t[0.8]), 10, SEED)
+
+
+@register("training_rows", "D21 P11", sql(
+    "SELECT conv_id, turn, coalesce(sent0, ' ') AS sent0, coalesce(sent1, ' ') AS sent1 FROM pairs", "pairs"))
+def q_training_rows(spark, sf):
+    return pr.make_training_rows(views.pairs(spark, sf), ["sent0", "sent1"], keep=["conv_id", "turn"])
+
+
+_KEY_SQL = "CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+
+
+def _mask_sql():
+    def h(seed):
+        return st.hash32(f"{_KEY_SQL} || '|' || CAST(i - 1 AS VARCHAR) || '|{seed}'")
+    chosen = f"(x NOT IN ({tk.PAD_ID}, {tk.CLS_ID}, {tk.SEP_ID}) AND {h(SEED)} % 10000 < 1500)"
+    new = (f"CASE WHEN NOT {chosen} THEN x WHEN {h(SEED + 1)} % 10 < 8 THEN CAST({tk.MASK_ID} AS BIGINT) "
+           f"WHEN {h(SEED + 1)} % 10 = 8 THEN {h(SEED + 2)} % {tk.VOCAB_SIZE} ELSE x END")
+    label = f"CASE WHEN {chosen} THEN x ELSE CAST(-100 AS BIGINT) END"
+    return (f"SELECT conv_id, turn, {st.ids_text('ids')} AS input_ids, "
+            f"{st.ids_text(f'list_transform(ids, lambda x, i: {new})')} AS mlm_input_ids, "
+            f"{st.ids_text(f'list_transform(ids, lambda x, i: {label})')} AS mlm_labels "
+            f"FROM (SELECT conv_id, turn, {st.text_to_ids('sent0')} AS ids FROM pairs)")
+
+
+@register("mask_tokens", "D22 F15", sql(_mask_sql(), "pairs"))
+def q_mask_tokens(spark, sf):
+    p = views.pairs(spark, sf).select(
+        "conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("_k"), tk.text_to_ids("sent0").alias("input_ids"))
+    m = pr.mask_tokens(p, "_k", "input_ids", 0.15, SEED)
+    return m.select("conv_id", "turn", tk.ids_text("input_ids").alias("input_ids"),
+                    tk.ids_text("mlm_input_ids").alias("mlm_input_ids"), tk.ids_text("mlm_labels").alias("mlm_labels"))
+
+
+_TOK32 = f"{st.text_to_ids('sent1')}"
+
+
+@register("token_rows_32", "F19", sql(
+    f"SELECT conv_id, turn, "
+    f"{st.ids_text(f'list_concat(ids[1:32], list_resize([CAST(0 AS BIGINT)], 32 - least(len(ids), 32), 0))')} "
+    f"AS input_ids, "
+    f"{st.ids_text('list_concat(list_resize([1], least(len(ids), 32), 1), list_resize([0], 32 - least(len(ids), 32), 0))')} "
+    f"AS attention_mask FROM (SELECT conv_id, turn, {_TOK32} AS ids FROM pairs)", "pairs"))
+def q_token_rows(spark, sf):
+    p = views.pairs(spark, sf).select("conv_id", "turn", tk.text_to_ids("sent1").alias("ids"))
+    return p.select("conv_id", "turn", tk.ids_text(tk.truncate_pad("ids", 32)).alias("input_ids"),
+                    tk.ids_text(tk.attention_mask("ids", 32)).alias("attention_mask"))

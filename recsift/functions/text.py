@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 # The characters Python's str.strip() removes (str.isspace).
 PY_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PY_SPACE_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                   0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TAG = r"<[^>]+>"
 NON_ASCII = r"[^\x{0}-\x{7f}]"
 
@@ -25,9 +27,9 @@ def _c(col: str | Column) -> Column:
 
 
 def py_strip(col: str | Column) -> Column:
-    """Python ``str.strip()``: Unicode white space at both ends (Spark's trim
-    only removes spaces)."""
-    return F.regexp_replace(_c(col), rf"^{PY_SPACE}+|{PY_SPACE}+\z", "")
+    """Python ``str.strip()``: Unicode white space at both ends (plain trim
+    only removes spaces); ``btrim`` with the character set is native."""
+    return F.btrim(_c(col), F.lit(PY_SPACE_CHARS))
 
 
 @F.pandas_udf(T.StringType())
@@ -85,7 +87,8 @@ def number_text(col: str | Column) -> Column:
 
 def flat_text(col: str | Column) -> Column:
     """tab and newline → space, carriage return removed, then strip."""
-    return py_strip(F.translate(_c(col), "\t\n\r", "  "))
+    c = F.replace(F.replace(F.replace(_c(col), F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
+    return py_strip(c)
 
 
 def tokenize(col: str | Column, stop_words: list[str] | None = None, pattern: str = r"[^\p{L}\p{N}]+") -> Column:

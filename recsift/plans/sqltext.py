@@ -17,7 +17,7 @@ def lit(s: str) -> str:
 
 
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, '^{PY_SPACE}+|{PY_SPACE}+\\z', '', 'g')"
+    return f"regexp_replace({e}, '^{PY_SPACE}+|{PY_SPACE}+\\z', '', 'g')"  # regex form: independent of btrim
 
 
 def unescape(e: str) -> str:

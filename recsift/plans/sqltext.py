@@ -63,3 +63,37 @@ def text_to_ids(e: str) -> str:
 
 def ids_text(e: str) -> str:
     return f"array_to_string({e}, ' ')"
+
+
+def stop_words_list() -> str:
+    from ..functions.stopwords import ENGLISH
+
+    return "[" + ", ".join(lit(w) for w in sorted(set(ENGLISH))) + "]"
+
+
+def tokens_sw(e: str) -> str:
+    return (f"list_filter(regexp_split_to_array({e}, '[^\\p{{L}}\\p{{N}}]+'), "
+            f"lambda t: t <> '' AND NOT list_contains({stop_words_list()}, t))")
+
+
+def hash_long(src: str, key: str, text: str, dim: int = 64) -> str:
+    """Body of a CTE (key, d, v): mean-pooled feature-hashing vector, non-zero slots."""
+    return f"""
+        SELECT {key}, d, sum(s) / max(ntok) AS v FROM (
+            SELECT {key}, ntok, {hash32("t || '|dim'")} % {dim} AS d, 1 - 2 * ({hash32("t || '|sign'")} % 2) AS s
+            FROM (SELECT {key}, unnest(toks) AS t, len(toks) AS ntok FROM (SELECT {key}, {tokens(text)} AS toks FROM {src})))
+        GROUP BY {key}, d HAVING sum(s) <> 0"""
+
+
+def dense_from_long(ids: str, key: str, long: str, dim: int = 64) -> str:
+    """Body of a CTE (key, vec): dense list with zeros from the long form."""
+    return f"""
+        SELECT i.{key}, list(coalesce(l.v, 0.0) ORDER BY g.d) AS vec
+        FROM (SELECT DISTINCT {key} FROM {ids}) i CROSS JOIN range({dim}) g(d)
+        LEFT JOIN {long} l ON l.{key} = i.{key} AND l.d = g.d
+        GROUP BY i.{key}"""
+
+
+def cosine(a: str, b: str) -> str:
+    na, nb = f"sqrt(list_dot_product({a}, {a}))", f"sqrt(list_dot_product({b}, {b}))"
+    return f"(CASE WHEN {na} > 0 AND {nb} > 0 THEN list_dot_product({a}, {b}) / ({na} * {nb}) ELSE 0.0 END)"

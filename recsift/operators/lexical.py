@@ -1,8 +1,8 @@
 """BM25 lexical retrieval (A8, D13, J6, W6) as joins and aggregations.
 
-Index: ``postings(doc, term, tf)`` and ``terms(term, df, idf)`` plus a
-one-row corpus summary (N, avgdl, mean idf) that is cross-joined as a
-broadcast (one row: a proven bound). Scoring joins each query's terms to the
+Index: ``postings(doc, term, tf)`` and ``terms(term, df, idf)``, written
+once to the checkpoint folder, plus three corpus scalars (N, avgdl, mean
+idf) read back from one aggregate row. Scoring joins each query's terms to the
 postings of those terms only; the per-(query, doc) sum is a partial
 aggregate; the top-k per query uses ``row_number() <= k``, which Spark plans
 as a partial WindowGroupLimit before the shuffle, so a query matching every
@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
 from ..functions.text import tokenize
+from ..session import stable
 
 
 @dataclass
 class BM25Index:
-    postings: DataFrame  # doc, term, tf, dl
-    terms: DataFrame     # term, df, idf, idf_used
-    corpus: DataFrame    # one row: n_docs, avgdl, mean_idf
+    postings: DataFrame  # doc, term, tf, dl (materialised once)
+    terms: DataFrame     # term, df, idf, idf_used (materialised once)
+    n_docs: int
+    avgdl: float
+    mean_idf: float
     doc: str
 
 
@@ -35,20 +38,24 @@ def doc_tokens(docs: DataFrame, doc: str, text: str, stop_words=ENGLISH) -> Data
 def build_bm25(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words=ENGLISH,
                eps: float = 0.25) -> BM25Index:
     """Term frequencies, document frequencies, idf = ln(N-df+.5) - ln(df+.5);
-    a negative idf is replaced by eps × mean idf (mean over all terms)."""
+    a negative idf is replaced by eps × mean idf (mean over all terms).
+
+    The corpus is tokenised once: postings and term statistics are written
+    to the reliable checkpoint folder (the index), and the three corpus
+    scalars come back as one aggregate row."""
     toks = doc_tokens(docs, doc, text, stop_words).withColumn("dl", F.size("_toks"))
-    corpus0 = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = (toks.select(doc, "dl", F.explode("_toks").alias("term"))
-                .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
-    df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.crossJoin(F.broadcast(corpus0.select("n_docs"))).select(
-        "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean_idf = idf.agg(F.avg("idf").alias("mean_idf"))
-    corpus = corpus0.crossJoin(mean_idf)
-    terms = idf.crossJoin(F.broadcast(mean_idf)).select(
-        "term", "df", "idf",
-        F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.lit(eps) * F.col("mean_idf")).alias("idf_used"))
-    return BM25Index(postings, terms, corpus, doc)
+    postings = stable(toks.select(doc, "dl", F.explode_outer("_toks").alias("term"))
+                      .groupBy(doc, "term").agg(F.count("term").alias("tf"), F.first("dl").alias("dl")))
+    per_doc = postings.groupBy(doc).agg(F.first("dl").alias("dl"))
+    row = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = int(row["n"]), float(row["avgdl"] or 0.0)
+    postings = postings.filter(F.col("term").isNotNull())  # documents without tokens only count in N and avgdl
+    idf = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+           .withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    idf = stable(idf)
+    mean_idf = float(idf.agg(F.avg("idf")).first()[0] or 0.0)
+    terms = idf.withColumn("idf_used", F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.lit(eps * mean_idf)))
+    return BM25Index(postings, terms, n_docs, avgdl, mean_idf, doc)
 
 
 def bm25_scores(index: BM25Index, queries: DataFrame, qid: str = "qid", text: str = "query", stop_words=ENGLISH,
@@ -61,8 +68,9 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qid: str = "qid", text: st
     qt = (queries.select(qid, F.explode(tokenize(text, stop_words)).alias("term"))
           .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
     qt = qt.join(index.terms.select("term", "idf_used"), "term")
-    hits = qt.join(index.postings, "term").crossJoin(F.broadcast(index.corpus.select("n_docs", "avgdl")))
-    length = F.col("dl") / F.col("avgdl") if length_norm == "document" else F.col("n_docs") / F.col("avgdl")
+    hits = qt.join(index.postings, "term")
+    avgdl = index.avgdl if index.avgdl > 0 else 1.0
+    length = F.col("dl") / F.lit(avgdl) if length_norm == "document" else F.lit(index.n_docs / avgdl)
     part = (F.col("qtf") * F.col("idf_used") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * length)))
     return hits.groupBy(qid, index.doc).agg(F.sum(part).alias("score"))
@@ -73,7 +81,9 @@ def top_k(scores: DataFrame, group: str, item: str, k: int, score: str = "score"
     """The k best rows per group by (rounded score desc, item asc)."""
     s = scores.withColumn(score, F.round(score, digits))
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(item).asc())
-    return s.withColumn(rank, F.row_number().over(w).cast("bigint")).filter(F.col(rank) <= k)
+    # filter on the bare row_number so Catalyst infers a (partial) WindowGroupLimit
+    out = s.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return out.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 100, doc: str = "doc_id", text: str = "text",

@@ -93,9 +93,9 @@ def first_containing(patterns: DataFrame, docs: DataFrame, pid: str, ptext: str,
             flush()
     flush()
     if empty_ids:
-        first_doc = docs.agg(F.min(F.col(did).cast("long")).alias("_doc"))
-        ids = spark.createDataFrame([(i,) for i in empty_ids], "_pid long")
-        results.append(ids.crossJoin(F.broadcast(first_doc)).filter(F.col("_doc").isNotNull()))
+        first_doc = docs.agg(F.min(F.col(did).cast("long"))).first()[0]
+        if first_doc is not None:
+            results.append(spark.createDataFrame([(i, first_doc) for i in empty_ids], "_pid long, _doc long"))
     if not results:
         return patterns.limit(0).withColumn(out, F.lit(None).cast("long"))
     found = results[0]

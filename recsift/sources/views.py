@@ -62,8 +62,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interactions with review text (title null on every 10th seq)."""
     ix = interactions(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_n"))  # one row: a bounded broadcast
-    keyed = ix.crossJoin(F.broadcast(n_docs)).withColumn("doc_id", F.pmod(F.col("seq"), F.col("_n"))).drop("_n")
+    n_docs = docs.count()
+    keyed = ix.withColumn("doc_id", F.pmod(F.col("seq"), F.lit(n_docs)))
     out = keyed.join(docs, "doc_id")
     return out.select(*ix.columns,
                       F.when(F.col("seq") % 10 == 0, F.lit(None).cast("string"))

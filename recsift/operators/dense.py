@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stable
 from .lexical import top_k
 
 BROADCAST_BYTES = 256 << 20
@@ -115,6 +116,59 @@ def _score_block(qids, qm, iids, im, k, min_score, out, sub=512):
 
 
 # ------------------------------------------------------------------ D14 / T1
+def _spread(df: DataFrame) -> DataFrame:
+    """Give the scanned side at least two partitions per core (the work is
+    queries × items, so parallelism must not depend on the file layout)."""
+    want = df.sparkSession.sparkContext.defaultParallelism * 2
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def _broadcast_queries(q, i, qid, item, k, min_score, unit, schema):
+    """Few queries: ship them; each item partition keeps per query its own top k."""
+    spark = q.sparkSession
+    qpdf = q.toPandas()  # size checked by the caller
+    bc = spark.sparkContext.broadcast((qpdf[qid].to_numpy(), _matrix(qpdf["_v"], unit)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qm = bc.value
+        acc_q, acc_i, acc_s = [], [], []
+        held = 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            got = _score_block(qids, qm, pdf[item].to_numpy(), _matrix(pdf["_v"], unit), k, min_score,
+                               (qid, item, "score"))
+            acc_q.append(got[qid].to_numpy())
+            acc_i.append(got[item].to_numpy())
+            acc_s.append(got["score"].to_numpy())
+            held += len(got)
+            if k is not None and held > 4 * len(qids) * (k + 1):
+                pq, pi, ps = _prune(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
+                acc_q, acc_i, acc_s, held = [pq], [pi], [ps], len(pq)
+        if acc_q:
+            pq, pi, ps = _prune(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
+            yield pd.DataFrame({qid: pq, item: pi, "score": ps})
+
+    return _spread(i).mapInPandas(scan, schema)
+
+
+def _broadcast_items(q, i, qid, item, k, min_score, unit, schema):
+    """Few items: ship them; every query is scored completely in one task."""
+    spark = q.sparkSession
+    ipdf = i.toPandas()  # size checked by the caller
+    bc = spark.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], unit)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        iids, im = bc.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(iids) == 0:
+                continue
+            yield _score_block(pdf[qid].to_numpy(), _matrix(pdf["_v"], unit), iids, im, k, min_score,
+                               (qid, item, "score"))
+
+    return _spread(q).mapInPandas(scan, schema)
+
+
 def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: str = "qid", qvec: str = "vec",
                      item: str = "item_id", ivec: str = "vec", unit: bool = True, min_score: float | None = None,
                      strategy: str = "auto") -> DataFrame:
@@ -124,40 +178,20 @@ def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: s
     spark = queries.sparkSession
     qtypes, itypes = dict(queries.dtypes), dict(items.dtypes)
     schema = f"{qid} {qtypes[qid]}, {item} {itypes[item]}, score double"
-    q = queries.select(qid, F.col(qvec).alias("_v"))
-    i = items.select(item, F.col(ivec).alias("_v"))
+    # both sides are counted, sized and then scanned: materialise them once
+    q = stable(queries.select(qid, F.col(qvec).alias("_v")))
+    i = stable(items.select(item, F.col(ivec).alias("_v")))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     nq, dim = int(stats["n"]), int(stats["d"] or 0)
     if nq == 0:
         return spark.createDataFrame([], schema)
-    use_broadcast = strategy == "broadcast" or (strategy == "auto" and nq * max(dim, 1) * 8 <= BROADCAST_BYTES)
-    if use_broadcast:
-        qpdf = q.toPandas()  # size checked above
-        bc = spark.sparkContext.broadcast((qpdf[qid].to_numpy(), _matrix(qpdf["_v"], unit)))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, qm = bc.value
-            acc_q, acc_i, acc_s = [], [], []
-            held = 0
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                got = _score_block(qids, qm, pdf[item].to_numpy(), _matrix(pdf["_v"], unit), k, min_score,
-                                   (qid, item, "score"))
-                acc_q.append(got[qid].to_numpy())
-                acc_i.append(got[item].to_numpy())
-                acc_s.append(got["score"].to_numpy())
-                held += len(got)
-                if k is not None and held > 4 * len(qids) * (k + 1):
-                    pq, pi, ps = _prune(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
-                    acc_q, acc_i, acc_s, held = [pq], [pi], [ps], len(pq)
-            if acc_q:
-                pq, pi, ps = _prune(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
-                yield pd.DataFrame({qid: pq, item: pi, "score": ps})
-
-        return i.mapInPandas(scan, schema)
+    ni = i.count()
+    small = min(nq, ni) * max(dim, 1) * 8
+    if strategy == "broadcast" or (strategy == "auto" and small <= BROADCAST_BYTES):
+        if nq <= ni:
+            return _broadcast_queries(q, i, qid, item, k, min_score, unit, schema)
+        return _broadcast_items(q, i, qid, item, k, min_score, unit, schema)
 
-    ni = items.count()
     qb = max(1, math.ceil(nq / QUERY_BLOCK_ROWS))
     ib = max(1, math.ceil(ni / ITEM_BLOCK_ROWS))
     qx = q.withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(qb))).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))

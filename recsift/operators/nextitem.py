@@ -36,12 +36,9 @@ def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: Data
 
 
 def summarize(per_row: DataFrame, ks: Sequence[int] = (10, 50), digits: int = 6) -> DataFrame:
-    """Long-form (metric, value) means over all evaluation rows."""
-    parts = []
-    for k in ks:
-        for m in (f"recall_{k}", f"ndcg_{k}"):
-            parts.append(per_row.agg(F.lit(m).alias("metric"), F.round(F.avg(m), digits).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Long-form (metric, value) means over all evaluation rows: one
+    aggregation pass, then the single result row is unpivoted."""
+    names = [m for k in ks for m in (f"recall_{k}", f"ndcg_{k}")]
+    one = per_row.agg(*[F.avg(m).alias(m) for m in names])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m), digits).alias("value")) for m in names])
+    return one.select(F.explode(pairs).alias("_p")).select("_p.metric", "_p.value")

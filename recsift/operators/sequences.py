@@ -72,22 +72,21 @@ def dataset_stats(seqs: DataFrame, user_map: DataFrame, item_map: DataFrame, ite
                   item: str = ITEM, text: str = "cleaned_metadata") -> DataFrame:
     """A5: users, items, interactions per split and in total (a row whose
     history has exactly one item counts twice, as in the reference), mean
-    history length, mean metadata characters. Long form (metric, value)."""
+    history length, mean metadata characters. Long form (metric, value).
+
+    ``seqs`` is read once (one grouped aggregate over three split rows)."""
     per_split = seqs.groupBy("split").agg(
         (F.count(F.lit(1)) + F.sum(F.when(F.size("history") == 1, 1).otherwise(0))).alias("n"),
         F.sum(F.size("history")).alias("h"), F.count(F.lit(1)).alias("rows"))
-    tot = per_split.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("rows").alias("rows"))
-    meta = id_metadata(item_map, item_text, item, text).agg(F.avg(F.length(text)).alias("m"))
-    parts = [
-        user_map.agg(F.lit("n_users").alias("metric"), F.count(F.lit(1)).cast("double").alias("value")),
-        item_map.agg(F.lit("n_items").alias("metric"), F.count(F.lit(1)).cast("double").alias("value")),
-        per_split.select(F.concat(F.lit("n_interactions_"), "split").alias("metric"), F.col("n").cast("double")
-                         .alias("value")),
-        tot.select(F.lit("n_interactions_total").alias("metric"), F.col("n").cast("double").alias("value")),
-        tot.select(F.lit("avg_history_length").alias("metric"), (F.col("h") / F.col("rows")).alias("value")),
-        meta.select(F.lit("avg_metadata_chars").alias("metric"), F.col("m").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    counted = {r["split"]: r for r in per_split.collect()}  # at most three rows
+    n_total = sum(int(r["n"]) for r in counted.values())
+    h_total = sum(int(r["h"]) for r in counted.values())
+    rows_total = sum(int(r["rows"]) for r in counted.values())
+    meta = id_metadata(item_map, item_text, item, text).agg(F.avg(F.length(text)).alias("m")).first()["m"]
+    metrics = [("n_users", float(user_map.count())), ("n_items", float(item_map.count()))]
+    metrics += [(f"n_interactions_{sp}", float(counted[sp]["n"])) for sp in sorted(counted)]
+    metrics += [("n_interactions_total", float(n_total)),
+                ("avg_history_length", h_total / rows_total if rows_total else None),
+                ("avg_metadata_chars", float(meta) if meta is not None else None)]
+    out = seqs.sparkSession.createDataFrame(metrics, "metric string, value double")
     return out.select("metric", F.round("value", 6).alias("value"))

@@ -11,13 +11,12 @@ from ..operators import lexical as lx
 from ..operators import metrics as mt
 from ..operators import nextitem as ni
 from ..operators import testsets as ts
-from ..operators.sequences import prepare_sequences
 from ..operators.textprep import clean_item_text_rec, clean_item_text_search
+from ..session import stable
 from ..sources import views
 from . import sqltext as st
 from .catalog import register
-from .q_interactions import _thresholds
-from .q_sequences import _SEQ
+from .q_sequences import _SEQ, _seqs
 from .q_text import _REC_SQL, _SEARCH_SQL
 from .sqlviews import sql
 
@@ -245,13 +244,11 @@ _NEXT_BODY = " UNION ALL ".join(
 @register("next_item_eval", "D20 D19 A11", sql(_NEXT_BODY, "interactions", "items", "thresholds",
                                                extra=(_SEQ, *_NEXT)))
 def q_next_item(spark, sf):
-    t_valid, t_test = _thresholds(spark, sf)
     items = views.items(spark, sf)
-    seqs = prepare_sequences(views.interactions(spark, sf), items, t_valid, t_test, 50)
-    rows = seqs.filter(F.col("split") == "test").select(
-        F.concat_ws("|", "user_id", "parent_asin").alias("row_id"), F.col("parent_asin").alias("target"), "history")
+    rows = stable(_seqs(spark, sf, materialise=False).filter(F.col("split") == "test").select(
+        F.concat_ws("|", "user_id", "parent_asin").alias("row_id"), F.col("parent_asin").alias("target"), "history"))
     text = clean_item_text_rec(items).select(F.col("parent_asin").alias("item_id"), "cleaned_metadata")
-    item_vecs = text.select("item_id", em.hash_vector("cleaned_metadata").alias("vec"))
+    item_vecs = em.embed_text(text, "cleaned_metadata", "vec").select("item_id", "vec")
     user_vecs = ni.history_mean_vectors(rows, "row_id", "history", item_vecs, "item_id", "vec")
     per_row = ni.evaluate_next_item(user_vecs, item_vecs, rows, "row_id", "user_vec", "item_id", "vec", "target")
     return ni.summarize(per_row)
@@ -274,8 +271,8 @@ _CON = (
     "SELECT count(*) AS n_batches, round(avg(bl), 6) AS loss FROM (SELECT batch, avg(loss) AS bl FROM cl GROUP BY batch)",
     "pairs", extra=_CON))
 def q_contrastive(spark, sf):
-    p = views.pairs(spark, sf).select("conv_id", "turn", em.hash_vector("sent0").alias("a"),
-                                      em.hash_vector("sent1").alias("b"))
+    p = em.embed_text(em.embed_text(views.pairs(spark, sf), "sent0", "a"), "sent1", "b").select(
+        "conv_id", "turn", "a", "b")
     losses = mt.in_batch_contrastive(p, ["conv_id", "turn"], "a", "b", batch_size=16, temp=0.05)
     return mt.mean_of_batches(losses)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import sequences as sq
 from ..operators.interactions import history_text
 from ..operators.textprep import clean_item_text_rec
+from ..session import stable
 from ..sources import views
 from .catalog import register
 from .q_interactions import _thresholds
@@ -39,15 +40,18 @@ def _q(body, *extra):
     return sql(body, "interactions", "items", "thresholds", extra=(_SEQ, *extra))
 
 
-def _seqs(spark, sf):
+def _seqs(spark, sf, materialise=True):
+    """The prepared sequences (the .inter sink content); read by several
+    later steps, so they are materialised once."""
     t_valid, t_test = _thresholds(spark, sf)
-    return sq.prepare_sequences(views.interactions(spark, sf), views.items(spark, sf), t_valid, t_test, MAX_LEN)
+    out = sq.prepare_sequences(views.interactions(spark, sf), views.items(spark, sf), t_valid, t_test, MAX_LEN)
+    return stable(out) if materialise else out
 
 
 @register("prepare_sequences", "D4 P8 P9 P10 J1 K3", _q(
     "SELECT user_id, parent_asin, \"timestamp\", split, array_to_string(h, ' ') AS history FROM seq_rows"))
 def q_prepare_sequences(spark, sf):
-    return _seqs(spark, sf).select("user_id", "parent_asin", "timestamp", "split",
+    return _seqs(spark, sf, materialise=False).select("user_id", "parent_asin", "timestamp", "split",
                                    history_text("history").alias("history"))
 
 

@@ -248,3 +248,11 @@ def split_thresholds(df: DataFrame, fractions: Sequence[float] = (0.8, 0.9), ts:
     rows = exact_quantiles(df, ts, fractions)
     typ = dict(df.dtypes)[ts]
     return df.sparkSession.createDataFrame(rows, f"fraction double, threshold {typ}")
+
+
+# --------------------------------------------------------------------------- D1
+def build_rating_only(raw: DataFrame, k: int, user: str = USER, item: str = ITEM, ts: str = TS,
+                      tie: Sequence[str] = ("seq",)) -> tuple[DataFrame, KCoreResult]:
+    """Keep-earliest dedup (the 0-core file) and its (k, k)-core."""
+    zero = dedup_keep_earliest(raw, user, item, ts, tie)
+    return zero, k_core(zero, k, k, user, item)

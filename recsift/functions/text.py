@@ -96,8 +96,9 @@ def tokenize(col: str | Column, stop_words: list[str] | None = None, pattern: st
     tokens dropped), minus ``stop_words``."""
     toks = F.filter(F.split(_c(col), pattern), lambda t: t != F.lit(""))
     if stop_words:
-        sw = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
+        # IN over many literals is optimised to a hash-set lookup (InSet)
+        sw = sorted(set(stop_words))
+        toks = F.filter(toks, lambda t: ~t.isin(*sw))
     return toks
 
 

@@ -287,3 +287,33 @@ def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
     probes = q.mapInPandas(_nearest_cells(bc, "_q", n_probe, [qid, "_q"]), f"{qid} {typ}, _q array<double>, cell int")
     scored = probes.join(assign, "cell").select(qid, item, dot("_q", "_u").alias("score"))
     return top_k(scored, qid, item, k)
+
+
+# ------------------------------------------------------------------ J9 / D16 / U3
+def align_vectors(id_map: DataFrame, vectors: DataFrame, dim: int, id_col: str = "id", vec_col: str = "vec",
+                  row_col: str = "row", first_id: int = 1, pad_id: int | None = 0) -> DataFrame:
+    """Vectors matched to ids by position (file row r belongs to id
+    r + first_id); ids without a row, and the pad id, get a zero vector.
+    An equi-join on the computed id, never a positional zip."""
+    keyed = vectors.select((F.col(row_col) + F.lit(first_id)).alias(id_col), F.col(vec_col).alias("_v"))
+    ids = id_map.select(id_col, *[c for c in id_map.columns if c != id_col])
+    if pad_id is not None:
+        pad = id_map.sparkSession.createDataFrame([(pad_id,)], f"{id_col} long")
+        ids = ids.unionByName(pad, allowMissingColumns=True)
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return (ids.join(keyed, id_col, "left")
+            .withColumn(vec_col, F.coalesce(F.col("_v").cast("array<float>"), zeros)).drop("_v"))
+
+
+def build_index(df: DataFrame, id_col: str, text_col: str, encoder_factory=None, out: str = "embedding") -> DataFrame:
+    """An index table (id, text, unit embedding) from text; the encoder
+    runs per Arrow batch (see :func:`..operators.embed.embed_text`)."""
+    from .embed import HashEncoder, embed_text
+
+    emb = embed_text(df.select(id_col, text_col), text_col, "_e", encoder_factory or HashEncoder)
+    return emb.select(id_col, text_col, l2_normalize("_e").alias(out))
+
+
+def add_to_index(index: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """Append encoded rows to an index table (ids must stay unique)."""
+    return index.unionByName(new_rows)

@@ -113,3 +113,21 @@ def in_batch_contrastive(pairs: DataFrame, order: Sequence[str | Column], a: str
 def mean_of_batches(batch_losses: DataFrame, digits: int = 6) -> DataFrame:
     """Mean over batches of the batch means (one row)."""
     return batch_losses.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("loss"), digits).alias("loss"))
+
+
+def corpus_stats(queries: DataFrame, items: DataFrame, qtext: str = "query", itext: str = "text",
+                 digits: int = 2) -> DataFrame:
+    """Number of queries and items and their mean length in characters,
+    as (metric, value) rows (one aggregate per input)."""
+    def stats(df, text, n_name, m_name):
+        one = df.agg(F.count(F.lit(1)).cast("double").alias("n"), F.round(F.avg(F.length(text)), digits).alias("m"))
+        pairs = F.array(F.struct(F.lit(n_name).alias("metric"), F.col("n").alias("value")),
+                        F.struct(F.lit(m_name).alias("metric"), F.col("m").alias("value")))
+        return one.select(F.explode(pairs).alias("_p")).select("_p.metric", "_p.value")
+    return stats(queries, qtext, "n_queries", "mean_query_chars").unionByName(
+        stats(items, itext, "n_items", "mean_item_chars"))
+
+
+def items_by_category(cat_map: DataFrame, item: str = "item_id", category: str = "category") -> DataFrame:
+    """Distinct items per category, long form (category, n_items)."""
+    return cat_map.select(category, item).distinct().groupBy(category).agg(F.count(F.lit(1)).alias("n_items"))

@@ -16,7 +16,7 @@ from ..session import stable
 from ..sources import views
 from . import sqltext as st
 from .catalog import register
-from .q_sequences import _SEQ, _seqs
+from .q_sequences import _ITEMS, _SEQ, _seqs
 from .q_text import _REC_SQL, _SEARCH_SQL
 from .sqlviews import sql
 
@@ -358,3 +358,59 @@ def q_complex_pool(spark, sf):
 def q_complex_queries(spark, sf):
     return _complex(spark, sf).queries.select("qid", "item_id", "user_id", "ori_rating",
                                              F.length("query").cast("bigint").alias("query_chars"))
+
+
+# ------------------------------------------------------------------ J9, A6, A7, D16
+@register("aligned_item_vectors", "J9 D6", sql(
+    """SELECT m.iid AS id, round(coalesce(sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]),
+                                                     CAST(v.embedding AS DOUBLE[]))), 0.0), 6) AS norm
+       FROM (SELECT iid FROM item_map UNION ALL SELECT 0) m LEFT JOIN vectors v ON v.vec_id = m.iid - 1""",
+    "interactions", "items", "thresholds", "vectors", extra=(_SEQ, _ITEMS)))
+def q_aligned_vectors(spark, sf):
+    from ..operators.sequences import remap_ids
+
+    _, items_map = remap_ids(_seqs(spark, sf))
+    vecs = views.vectors(spark, sf).select(F.col("vec_id").alias("row"), F.col("embedding").alias("vec"))
+    out = dn.align_vectors(items_map.select(F.col("iid").alias("id")), vecs, 64)
+    return out.select("id", F.round(dn.norm("vec"), 6).alias("norm"))
+
+
+@register("corpus_stats", "A6", """
+    SELECT 'n_queries' AS metric, CAST(count(*) AS DOUBLE) AS value FROM benchmark
+    UNION ALL SELECT 'n_items', CAST(count(*) AS DOUBLE) FROM documents
+    UNION ALL SELECT 'mean_query_chars', round(avg(length(text)), 2) FROM benchmark
+    UNION ALL SELECT 'mean_item_chars', round(avg(length(text)), 2) FROM documents""")
+def q_corpus_stats(spark, sf):
+    return mt.corpus_stats(views.table(spark, sf, "benchmark").withColumnRenamed("text", "query"),
+                           views.table(spark, sf, "documents"))
+
+
+@register("items_by_category", "A7", sql(
+    "SELECT category, count(DISTINCT item_id) AS n_items FROM category_map GROUP BY 1", "category_map"))
+def q_items_by_category(spark, sf):
+    return mt.items_by_category(views.category_map(spark, sf))
+
+
+_IDX = (
+    ("doc_long", st.hash_long("documents", "doc_id", "text")),
+    ("doc_vec", st.dense_from_long("documents", "doc_id", "doc_long")),
+    ("bq_long", st.hash_long("benchmark", "item_id", "text")),
+    ("bq_vec", st.dense_from_long("benchmark", "item_id", "bq_long")),
+    ("iscores", f"SELECT q.item_id AS qid, d.doc_id, {st.cosine('q.vec', 'd.vec')} AS score FROM bq_vec q, doc_vec d"),
+)
+
+
+@register("index_search", "D16 T1 U3 X4", sql(
+    "SELECT qid, doc_id, rank, score FROM (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER "
+    "(PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM iscores WHERE score >= 0.5) WHERE rank <= 5",
+    extra=_IDX))
+def q_index_search(spark, sf):
+    docs = views.table(spark, sf, "documents")
+    half = docs.filter(F.col("doc_id") % 2 == 0)
+    index = dn.add_to_index(dn.build_index(half, "doc_id", "text"),
+                            dn.build_index(docs.filter(F.col("doc_id") % 2 == 1), "doc_id", "text"))
+    queries = dn.build_index(views.table(spark, sf, "benchmark"), "item_id", "text").select(
+        F.col("item_id").alias("qid"), F.col("embedding").alias("vec"))
+    hits = dn.threshold_search(queries, index.select("doc_id", F.col("embedding").alias("vec")), 0.5, 5,
+                               item="doc_id")
+    return hits.select("qid", "doc_id", "rank", "score")

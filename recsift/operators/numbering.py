@@ -9,16 +9,17 @@ hold a third of all rows) into one task. Both primitives here avoid that:
   a reliable checkpoint, counts rows per partition (one number per partition
   reaches the driver) and adds the prefix offsets through a broadcast of that
   partition-sized table.
-* :func:`rank_within` turns the global number into a rank inside a key by
-  subtracting the key's first global number, found with a partial (map-side
-  combined) ``min`` aggregation; the join back is skew-split by AQE.
+* :func:`rank_within` ranks inside a key: ordinary keys by one window per
+  key; keys above a row bound ("hot", a provably small set) are split off
+  and ranked by the global number minus the key's first global number
+  (a partial ``min`` aggregation; the join back is skew-split by AQE).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stable
@@ -53,13 +54,17 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
                .drop("_pid", "_mid", "_off"))
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
-                size_col: str | None = None) -> DataFrame:
-    """1-based position of each row inside its ``keys`` group in ``order``.
+# A key with more rows than this is "hot": its rows are ranked by the
+# distributed numbering instead of one window task.
+HOT_KEY_ROWS = 2_000_000
+# Hot keys are at most rows / HOT_KEY_ROWS; beyond this many the hot set is
+# joined by shuffle instead of broadcast.
+HOT_KEYS_BROADCAST = 200_000
+
 
-    Optionally adds ``size_col`` = rows in the group. Exact for any skew.
-    """
-    g = global_row_number(df, [*keys, *_cols(order)], "_g")
+def _rank_by_numbering(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
+                       size_col: str | None) -> DataFrame:
+    g = global_row_number(df, [*keys, *order], "_g")
     aggs = [F.min("_g").alias("_g0")]
     if size_col:
         aggs.append(F.count(F.lit(1)).alias(size_col))
@@ -67,6 +72,36 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return g.join(first, list(keys)).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
 
 
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
+                size_col: str | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """1-based position of each row inside its ``keys`` group in ``order``
+    (make it a total order); optionally ``size_col`` = rows in the group.
+
+    Rows per key are counted first (a map-side combined aggregate). Keys up
+    to ``hot_rows`` rows are ranked by one window per key; hot keys — at most
+    rows / hot_rows of them, so the set is small and its size is known — are
+    split off and ranked by the range-partitioned global numbering, which
+    spreads a single key over many tasks. Exact for any skew."""
+    order_c = _cols(order)
+    df = stable(df)  # read twice (key sizes, then ranks): compute the upstream plan once
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
+    n_hot = hot.count()
+    w = Window.partitionBy(*keys)
+    ranked_cold = df.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
+    if size_col:
+        ranked_cold = ranked_cold.withColumn(size_col, F.count(F.lit(1)).over(w))
+    if n_hot == 0:
+        return ranked_cold
+    hot_side = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot
+    cold = df.join(hot_side, list(keys), "left_anti")
+    ranked_cold = cold.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
+    if size_col:
+        ranked_cold = ranked_cold.withColumn(size_col, F.count(F.lit(1)).over(w))
+    ranked_hot = _rank_by_numbering(df.join(hot_side, list(keys), "left_semi"), keys, order_c, name, size_col)
+    return ranked_cold.unionByName(ranked_hot.select(*ranked_cold.columns))
+
+
 def dense_ids(tokens: DataFrame, token_col: str, order: Sequence[str | Column], id_col: str = "id",
               start: int = 1) -> DataFrame:
     """Contiguous ids ``start..`` for the distinct tokens of ``tokens`` in ``order``.

@@ -90,7 +90,7 @@ def test_rank_within_hot_key(spark):
     # one key holds most rows; ranks must still be exact and contiguous per key
     data = [("hot", i) for i in range(3000)] + [(f"k{i % 5}", i) for i in range(100)]
     df = spark.createDataFrame(data, "key string, t long").repartition(8)
-    out = rank_within(df, ["key"], [F.col("t")], "rn", "n")
+    out = rank_within(df, ["key"], [F.col("t")], "rn", "n", hot_rows=500)  # "hot" takes the split path
     for key, grp in [("hot", 3000), ("k0", 20)]:
         got = [(r.t, r.rn, r.n) for r in out.filter(F.col("key") == key).orderBy("t").collect()]
         assert [g[1] for g in got] == list(range(1, grp + 1))

@@ -5,7 +5,7 @@ callable ``list[str] -> np.ndarray``, run once per Arrow batch in an iterator
 pandas UDF (loaded once per worker). The built-in :class:`HashEncoder` is a
 feature-hashing stand-in: each token adds ±1 to one of ``dim`` slots. The
 same encoder is also available as a pure Column expression
-(:func:`hash_vector`) so pipelines over short texts stay JVM-side.
+(:func:`hash_vector`) so jobs over short texts stay JVM-side.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ class SearchTestSet:
 def filter_judgements(judgements: DataFrame, cat_map: DataFrame, item: str = "product_id") -> DataFrame:
     """Exact US judgements of the small version whose item has a known
     category without 'Unknown' (inner join to the category map)."""
-    j = judgements.filter((F.col("product_locale") == "us") & (F.col("esci_label") == "Exact")
+    j = judgements.filter((F.col("product_locale") == "us") & (F.col("relevance_label") == "Exact")
                           & (F.col("small_version") == 1))
     cats = cat_map.filter(~F.col("category").contains("Unknown"))
     return j.join(cats.withColumnRenamed("item_id", item), item)

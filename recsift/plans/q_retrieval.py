@@ -280,7 +280,7 @@ def q_contrastive(spark, sf):
 # ------------------------------------------------------------------ search test sets
 _SEARCH_TS = (
     ("kept", "SELECT j.*, c.category FROM judgements j JOIN category_map c ON c.item_id = j.product_id "
-             "WHERE product_locale = 'us' AND esci_label = 'Exact' AND small_version = 1 "
+             "WHERE product_locale = 'us' AND relevance_label = 'Exact' AND small_version = 1 "
              "AND NOT contains(c.category, 'Unknown')"),
     ("tq", f"SELECT row_number() OVER (ORDER BY query, product_id) - 1 AS qid, "
            f"replace({st.strip('query')}, chr(9), ' ') AS query, product_id AS item_id, category FROM kept"),

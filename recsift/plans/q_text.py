@@ -152,16 +152,16 @@ def q_mask_tokens(spark, sf):
                     tk.ids_text("mlm_input_ids").alias("mlm_input_ids"), tk.ids_text("mlm_labels").alias("mlm_labels"))
 
 
-_TOK32 = f"{st.text_to_ids('sent1')}"
+_TOK64 = f"{st.text_to_ids('sent1')}"
 
 
-@register("token_rows_32", "F19", sql(
+@register("token_rows_64", "F19", sql(
     f"SELECT conv_id, turn, "
-    f"{st.ids_text(f'list_concat(ids[1:32], list_resize([CAST(0 AS BIGINT)], 32 - least(len(ids), 32), 0))')} "
+    f"{st.ids_text(f'list_concat(ids[1:64], list_resize([CAST(0 AS BIGINT)], 64 - least(len(ids), 64), 0))')} "
     f"AS input_ids, "
-    f"{st.ids_text('list_concat(list_resize([1], least(len(ids), 32), 1), list_resize([0], 32 - least(len(ids), 32), 0))')} "
-    f"AS attention_mask FROM (SELECT conv_id, turn, {_TOK32} AS ids FROM pairs)", "pairs"))
+    f"{st.ids_text('list_concat(list_resize([1], least(len(ids), 64), 1), list_resize([0], 64 - least(len(ids), 64), 0))')} "
+    f"AS attention_mask FROM (SELECT conv_id, turn, {_TOK64} AS ids FROM pairs)", "pairs"))
 def q_token_rows(spark, sf):
     p = views.pairs(spark, sf).select("conv_id", "turn", tk.text_to_ids("sent1").alias("ids"))
-    return p.select("conv_id", "turn", tk.ids_text(tk.truncate_pad("ids", 32)).alias("input_ids"),
-                    tk.ids_text(tk.attention_mask("ids", 32)).alias("attention_mask"))
+    return p.select("conv_id", "turn", tk.ids_text(tk.truncate_pad("ids", 64)).alias("input_ids"),
+                    tk.ids_text(tk.attention_mask("ids", 64)).alias("attention_mask"))

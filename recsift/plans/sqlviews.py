@@ -36,7 +36,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "judgements": ((), """
         SELECT p_name || ' ' || p_type AS query, l_partkey AS product_id,
                CASE WHEN l_linestatus = 'O' THEN 'us' ELSE 'es' END AS product_locale,
-               CASE l_returnflag WHEN 'N' THEN 'Exact' WHEN 'R' THEN 'Substitute' ELSE 'Irrelevant' END AS esci_label,
+               CASE l_returnflag WHEN 'N' THEN 'Exact' WHEN 'R' THEN 'Substitute' ELSE 'Irrelevant' END AS relevance_label,
                CAST(l_linenumber % 2 AS BIGINT) AS small_version
         FROM lineitem JOIN part ON p_partkey = l_partkey"""),
     "category_map": ((), """

@@ -80,7 +80,7 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         F.when(F.col("l_linestatus") == "O", "us").otherwise("es").alias("product_locale"),
         F.when(F.col("l_returnflag") == "N", "Exact").when(F.col("l_returnflag") == "R", "Substitute")
-         .otherwise("Irrelevant").alias("esci_label"),
+         .otherwise("Irrelevant").alias("relevance_label"),
         (F.col("l_linenumber") % 2).cast("bigint").alias("small_version"),
     )
 

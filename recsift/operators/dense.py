@@ -252,7 +252,7 @@ def _nearest_cells(bc, vec_col: str, n: int, keep: list[str], cell: str = "cell"
 
 
 def build_ivf(items: DataFrame, item: str = "item_id", vec: str = "vec", n_cells: int = 100, seed: int = 42,
-              max_iter: int = 20):
+              max_iter: int = 10):
     """D17 index: k-means cells (``pyspark.ml``, distributed) over unit
     vectors, cells = min(n_cells, N); every item goes to its highest-inner-
     product centroid. Returns (assignments DataFrame, centroid matrix).

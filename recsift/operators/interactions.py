@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stable
-from .numbering import global_row_number, rank_within
+from .numbering import global_row_number, rank_within_stats
 
 USER, ITEM, RATING, TS = "user_id", "parent_asin", "rating", "timestamp"
 
@@ -105,7 +105,13 @@ def chronological_rank(ix: DataFrame, user: str = USER, item: str = ITEM, ts: st
                        name: str = "rn", size_col: str | None = "n_user") -> DataFrame:
     """1-based position of each interaction in its user's time order
     (ties by item), plus the user's row count; skew-safe."""
-    return rank_within(ix, [user], [F.col(ts), F.col(item)], name, size_col)
+    return chronological_rank_stats(ix, user, item, ts, name, size_col)[0]
+
+
+def chronological_rank_stats(ix: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS,
+                             name: str = "rn", size_col: str | None = "n_user") -> tuple[DataFrame, int]:
+    """:func:`chronological_rank` plus the longest user's row count."""
+    return rank_within_stats(ix, [user], [F.col(ts), F.col(item)], name, size_col)
 
 
 def last_out_split(ranked: DataFrame, rank: str = "rn", size_col: str = "n_user") -> DataFrame:
@@ -123,7 +129,7 @@ def timestamp_split_col(ts: str | Column, t_valid: int, t_test: int) -> Column:
 # --------------------------------------------------------------------- W4 / W5
 def with_history(ranked: DataFrame, user: str = USER, item: str = ITEM, rank: str = "rn",
                  max_len: int | None = None, size_col: str | None = "n_user", out: str = "history",
-                 block_rows: int = HISTORY_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = HISTORY_BLOCK_ROWS, max_user_rows: int | None = None) -> DataFrame:
     """Items the user had before each row, oldest first (W4; W5 with ``max_len``).
 
     ``ranked`` carries the skew-safe rank inside the user. Users are cut into
@@ -135,10 +141,18 @@ def with_history(ranked: DataFrame, user: str = USER, item: str = ITEM, rank: st
     * full: the in-block prefix comes from the window and the items of all
       earlier blocks from a per-block prefix table, which exists only for
       users longer than one block.
+
+    When ``max_user_rows`` (the longest user, known from the ranking pass)
+    fits in one block, a single window per user is used: it needs the same
+    partitioning as the ranking window, so no further shuffle happens.
     """
     if max_len is not None and max_len <= 0:
         return ranked.withColumn(out, F.array().cast(f"array<{dict(ranked.dtypes)[item]}>"))
     blk = max(block_rows, max_len or 0)
+    if max_user_rows is not None and max_user_rows <= blk:
+        lo = Window.unboundedPreceding if max_len is None else -max_len
+        w1 = Window.partitionBy(user).orderBy(rank).rowsBetween(lo, -1)
+        return ranked.withColumn(out, F.collect_list(item).over(w1))
     base = ranked.withColumn("_b", F.floor((F.col(rank) - 1) / blk).cast("long")).withColumn("_own", F.lit(True))
     rows = base
     if max_len is not None:
@@ -174,10 +188,10 @@ def history_text(col: str | Column) -> Column:
 def last_out(ix: DataFrame, history: bool = False, max_len: int | None = None, user: str = USER,
              item: str = ITEM, ts: str = TS) -> DataFrame:
     """D3: leave-last-out split of deduplicated interactions (+ history)."""
-    ranked = chronological_rank(ix, user, item, ts)
+    ranked, longest = chronological_rank_stats(ix, user, item, ts)
     out = last_out_split(ranked)
     if history:
-        out = with_history(out, user, item, max_len=max_len)
+        out = with_history(out, user, item, max_len=max_len, max_user_rows=longest)
     return out.drop("rn", "n_user")
 
 
@@ -186,7 +200,8 @@ def timestamp_split(ix: DataFrame, t_valid: int, t_test: int, history: bool = Fa
     """Absolute-time split (+ history over all earlier rows, across splits)."""
     out = ix.withColumn("split", timestamp_split_col(ts, t_valid, t_test))
     if history:
-        out = with_history(chronological_rank(out, user, item, ts), user, item, max_len=max_len).drop("rn", "n_user")
+        ranked, longest = chronological_rank_stats(out, user, item, ts)
+        out = with_history(ranked, user, item, max_len=max_len, max_user_rows=longest).drop("rn", "n_user")
     return out
 
 

@@ -63,17 +63,23 @@ HOT_KEYS_BROADCAST = 200_000
 
 
 def _rank_by_numbering(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
-                       size_col: str | None) -> DataFrame:
+                       size_col: str | None, few_keys: bool = False) -> DataFrame:
     g = global_row_number(df, [*keys, *order], "_g")
     aggs = [F.min("_g").alias("_g0")]
     if size_col:
         aggs.append(F.count(F.lit(1)).alias(size_col))
-    first = g.groupBy(*keys).agg(*aggs)
-    return g.join(first, list(keys)).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+    first = g.groupBy(*keys).agg(*aggs)  # one row per hot key: a counted, bounded table
+    return g.join(F.broadcast(first) if few_keys else first, list(keys)).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
                 size_col: str | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """See :func:`rank_within_stats` (this drops the statistics)."""
+    return rank_within_stats(df, keys, order, name, size_col, hot_rows)[0]
+
+
+def rank_within_stats(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
+                      size_col: str | None = None, hot_rows: int = HOT_KEY_ROWS) -> tuple[DataFrame, int]:
     """1-based position of each row inside its ``keys`` group in ``order``
     (make it a total order); optionally ``size_col`` = rows in the group.
 
@@ -81,25 +87,29 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     to ``hot_rows`` rows are ranked by one window per key; hot keys — at most
     rows / hot_rows of them, so the set is small and its size is known — are
     split off and ranked by the range-partitioned global numbering, which
-    spreads a single key over many tasks. Exact for any skew."""
+    spreads a single key over many tasks. Exact for any skew. Also returns
+    the largest group size (from the same counting pass)."""
     order_c = _cols(order)
     df = stable(df)  # read twice (key sizes, then ranks): compute the upstream plan once
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
-    n_hot = hot.count()
+    st = sizes.agg(F.max("_n").alias("m"), F.sum((F.col("_n") > hot_rows).cast("long")).alias("h")).first()
+    max_rows, n_hot = int(st["m"] or 0), int(st["h"] or 0)
     w = Window.partitionBy(*keys)
     ranked_cold = df.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
     if size_col:
         ranked_cold = ranked_cold.withColumn(size_col, F.count(F.lit(1)).over(w))
     if n_hot == 0:
-        return ranked_cold
-    hot_side = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot
+        return ranked_cold, max_rows
+    small_hot = n_hot <= HOT_KEYS_BROADCAST
+    hot_side = F.broadcast(hot) if small_hot else hot
     cold = df.join(hot_side, list(keys), "left_anti")
     ranked_cold = cold.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
     if size_col:
         ranked_cold = ranked_cold.withColumn(size_col, F.count(F.lit(1)).over(w))
-    ranked_hot = _rank_by_numbering(df.join(hot_side, list(keys), "left_semi"), keys, order_c, name, size_col)
-    return ranked_cold.unionByName(ranked_hot.select(*ranked_cold.columns))
+    ranked_hot = _rank_by_numbering(df.join(hot_side, list(keys), "left_semi"), keys, order_c, name, size_col,
+                                    small_hot)
+    return ranked_cold.unionByName(ranked_hot.select(*ranked_cold.columns)), max_rows
 
 
 def dense_ids(tokens: DataFrame, token_col: str, order: Sequence[str | Column], id_col: str = "id",

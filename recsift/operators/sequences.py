@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .interactions import ITEM, TS, USER, chronological_rank, timestamp_split_col, with_history
+from .interactions import ITEM, TS, USER, chronological_rank_stats, timestamp_split_col, with_history
 from .numbering import dense_ids
 
 SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
@@ -28,8 +28,8 @@ def prepare_sequences(ix: DataFrame, items: DataFrame, t_valid: int, t_test: int
     """(user, history of ≤ max_len known items, target, split), rows with
     an unknown target or an empty history dropped (P8, P9, P10 via R1)."""
     known = history_known_items(ix, items, item)
-    ranked = chronological_rank(known, user, item, ts)
-    out = with_history(ranked, user, item, max_len=max_len)
+    ranked, longest = chronological_rank_stats(known, user, item, ts)
+    out = with_history(ranked, user, item, max_len=max_len, max_user_rows=longest)
     out = out.filter(F.size("history") > 0).drop("rn", "n_user")
     return out.withColumn("split", timestamp_split_col(ts, t_valid, t_test))
 

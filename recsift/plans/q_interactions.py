@@ -91,8 +91,8 @@ def _bounded(n):
         f"SELECT user_id, parent_asin, \"timestamp\", {_hist(n)} AS history FROM interactions", "interactions"))
     def q(spark, sf):
         ix = views.interactions(spark, sf)
-        ranked = ops.chronological_rank(ix)
-        out = ops.with_history(ranked, max_len=n)
+        ranked, longest = ops.chronological_rank_stats(ix)
+        out = ops.with_history(ranked, max_len=n, max_user_rows=longest)
         return out.select("user_id", "parent_asin", "timestamp", ops.history_text("history").alias("history"))
     return q
 

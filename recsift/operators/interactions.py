@@ -84,17 +84,24 @@ def k_core(ix: DataFrame, k_user: int, k_item: int | None = None, user: str = US
     trace: list[tuple[int, int, int, int]] = []
     rnd = 0
     while True:
-        udeg = stable(cur.groupBy(user).agg(F.count(F.lit(1)).alias("_d")))
-        ideg = stable(cur.groupBy(item).agg(F.count(F.lit(1)).alias("_d")))
+        # both degree tables from one scan: GROUPING SETS ((user), (item))
+        deg = stable(cur.groupingSets([[user], [item]], user, item)
+                     .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_d")))
+        udeg = deg.filter(F.col("_gid") == 1).select(user, "_d")
+        ideg = deg.filter(F.col("_gid") == 2).select(item, "_d")
+        is_u, is_i = F.col("_gid") == 1, F.col("_gid") == 2
+        row = deg.agg(F.coalesce(F.sum(F.when(is_u, F.col("_d"))), F.lit(0)).alias("e"),
+                      F.count(F.when(is_u, 1)).alias("u"), F.count(F.when(is_i, 1)).alias("i"),
+                      F.count(F.when(is_u & (F.col("_d") < k_user), 1)).alias("du"),
+                      F.count(F.when(is_i & (F.col("_d") < k_item), 1)).alias("di")).first()
         if rnd > 0:
-            urow = udeg.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("e"), F.count(F.lit(1)).alias("u")).first()
-            trace.append((rnd, int(urow["e"]), int(urow["u"]), ideg.count()))
-        drop_u = udeg.filter(F.col("_d") < k_user).select(user)
-        drop_i = ideg.filter(F.col("_d") < k_item).select(item)
-        if drop_u.isEmpty() and drop_i.isEmpty():
+            trace.append((rnd, int(row["e"]), int(row["u"]), int(row["i"])))
+        if row["du"] == 0 and row["di"] == 0:
             break
         if max_rounds is not None and rnd >= max_rounds:
             break
+        drop_u = udeg.filter(F.col("_d") < k_user).select(user)
+        drop_i = ideg.filter(F.col("_d") < k_item).select(item)
         cur = stable(cur.join(drop_u, user, "left_anti").join(drop_i, item, "left_anti"))
         rnd += 1
     return KCoreResult(cur, trace)

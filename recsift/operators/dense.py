@@ -179,8 +179,9 @@ def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: s
     qtypes, itypes = dict(queries.dtypes), dict(items.dtypes)
     schema = f"{qid} {qtypes[qid]}, {item} {itypes[item]}, score double"
     # both sides are counted, sized and then scanned: materialise them once
-    q = stable(queries.select(qid, F.col(qvec).alias("_v")))
-    i = stable(items.select(item, F.col(ivec).alias("_v")))
+    # (rows without a vector cannot be scored and are left out)
+    q = stable(queries.select(qid, F.col(qvec).alias("_v")).filter(F.col("_v").isNotNull()))
+    i = stable(items.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     nq, dim = int(stats["n"]), int(stats["d"] or 0)
     if nq == 0:

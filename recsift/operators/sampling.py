@@ -28,29 +28,25 @@ def hash_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> Da
     return df.filter(hash_bucket(key, seed, n) == 0)
 
 
-def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 42, slack: float = 1.5) -> DataFrame:
+def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """A uniform sample of exactly min(n, rows) rows: the n smallest
     seeded hashes (ties by key).
 
     A plain ``orderBy().limit(n)`` merges n rows from every partition in one
-    task. Instead one counting pass measures how many rows fall below a few
-    thresholds of the 32-bit hash prefix (the first expected to hold
-    ~``slack``·n rows); the smallest threshold with at least n rows becomes a
-    distributed filter and only those candidates are ordered. Exact: any row
-    above the threshold has a larger hash than every candidate."""
+    task. Instead one counting pass measures how many rows have a 32-bit
+    hash prefix below each power of two; the smallest such threshold holding
+    at least n rows (so at most ~2n candidates) becomes a distributed filter
+    and only those candidates are ordered. Exact: any row above the
+    threshold has a larger hash than every candidate."""
     if n <= 0:
         return df.limit(0)
-    full = 1 << 32
     h = hash32(key, seed)
-    first = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if first <= n:
+    ladder = [1 << j for j in range(33)]
+    row = df.agg(*[F.count(F.when(h < F.lit(t), 1)).alias(f"c{j}") for j, t in enumerate(ladder)]).first()
+    if row["c32"] <= n:
         return df
-    base = int(slack * n / first * full) + 1
-    ts = sorted({min(full, base * f) for f in (1, 2, 4, 16)} | {full})
-    row = df.agg(*[F.count(F.when(h < F.lit(t), 1)).alias(f"c{j}") for j, t in enumerate(ts)]).first()
-    t = next(t for j, t in enumerate(ts) if row[f"c{j}"] >= n)
-    cand = df if t >= full else df.filter(h < F.lit(t))
-    return cand.orderBy(hash_hex(key, seed), *[F.col(k) for k in key]).limit(n)
+    t = next(t for j, t in enumerate(ladder) if row[f"c{j}"] >= n)
+    return df.filter(h < F.lit(t)).orderBy(hash_hex(key, seed), *[F.col(k) for k in key]).limit(n)
 
 
 def head_percent_split(df: DataFrame, order: Sequence[str | Column], pct: float = 1.0,

@@ -56,36 +56,39 @@ class HashEncoder:
 
         self.dim, self.pooling = dim, pooling
         self._split = regex.compile(TOKEN_PATTERN, regex.V1).split
-        self._cache: dict[str, tuple[int, int]] = {}
+        self._cache: dict[str, int] = {}  # token -> signed slot code (slot + 1, negated for sign -1)
 
-    def _slot(self, tok: str) -> tuple[int, int]:
+    def _code(self, tok: str) -> int:
         got = self._cache.get(tok)
         if got is None:
             d = int(hashlib.md5((tok + "|dim").encode()).hexdigest()[:8], 16) % self.dim
             s = 1 - 2 * (int(hashlib.md5((tok + "|sign").encode()).hexdigest()[:8], 16) % 2)
-            got = self._cache[tok] = (d, s)
+            got = (d + 1) * s
             if len(self._cache) > 1_000_000:
                 self._cache.clear()
+            self._cache[tok] = got
         return got
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for r, text in enumerate(texts):
-            if text is None:
+            if not text:
                 continue
-            toks = [t for t in self._split(text) if t]
-            for t in toks:
-                d, s = self._slot(t)
-                out[r, d] += s
-            if self.pooling == "mean" and toks:
-                out[r] /= len(toks)
+            codes = np.fromiter((self._code(t) for t in self._split(text) if t), dtype=np.int64)
+            if len(codes) == 0:
+                continue
+            out[r] = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=self.dim)
+            if self.pooling == "mean":
+                out[r] /= len(codes)
         return out
 
 
 def embed_text(df: DataFrame, col: str, out: str = "embedding",
                encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]] = HashEncoder) -> DataFrame:
     """Add ``out`` = encoder(text) as array<double>. The factory runs
-    once per Python worker; batches arrive through Arrow."""
+    once per Python worker; batches arrive through Arrow. Encoding is CPU
+    work per row, so input with fewer partitions than twice the cores is
+    spread first (never the case for large inputs)."""
     state: dict[str, object] = {}
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -97,6 +100,9 @@ def embed_text(df: DataFrame, col: str, out: str = "embedding",
             m = model(s.tolist())
             yield pd.Series(list(m))
 
+    want = df.sparkSession.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
     return df.withColumn(out, enc(F.col(col)))
 
 

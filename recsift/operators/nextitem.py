@@ -3,12 +3,16 @@ report Recall/NDCG at the cutoffs."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import dense_candidates
+import numpy as np
+import pandas as pd
+
+from ..session import stable
+from .dense import BROADCAST_BYTES, _matrix, _spread, dense_candidates
 from .embed import mean_pool
 from .lexical import top_k
 from .metrics import rank_of_target, with_metrics
@@ -35,6 +39,67 @@ def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: Data
     return with_metrics(with_rank, ks)
 
 
+def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str = "row_id",
+                            history: str = "history", target: str = "target", item: str = "item_id",
+                            ivec: str = "vec", ks: Sequence[int] = (10, 50), metric: str = "cosine",
+                            digits: int = 6) -> DataFrame:
+    """D20 with the built-in user vector (mean of the history items' vectors).
+
+    When the item table passes the broadcast size check, one pass over the
+    evaluation rows does everything per Arrow batch: user vectors from the
+    broadcast item matrix, scores against every item, and the exact rank of
+    the target (scores rounded to ``digits``, ties by item id — the same
+    order as :func:`..operators.lexical.top_k`). Otherwise the general path
+    (explode + join + pooled mean, then block-product ranking) is used."""
+    items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
+    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    n_items, dim = int(stats["n"]), int(stats["d"] or 0)
+    k = max(ks)
+    if n_items * max(dim, 1) * 8 > BROADCAST_BYTES:
+        users = history_mean_vectors(rows, row_key, history, item_vecs, item, ivec)
+        return evaluate_next_item(users, item_vecs, rows, row_key, "user_vec", item, ivec, target, ks, metric)
+    ipdf = items.toPandas()  # size checked above
+    ids = ipdf[item].to_numpy()
+    raw = _matrix(ipdf["_v"], False)
+    scored = _matrix(ipdf["_v"], metric == "cosine")
+    pos = {v: j for j, v in enumerate(ids.tolist())}
+    bc = rows.sparkSession.sparkContext.broadcast((ids, raw, scored, pos))
+    scale = 10.0 ** digits
+    rtype = dict(rows.dtypes)[row_key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids_, raw_, scored_, pos_ = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            users = np.zeros((len(pdf), raw_.shape[1]))
+            ok = np.zeros(len(pdf), dtype=bool)
+            tgt = np.full(len(pdf), -1)
+            for r, (h, t) in enumerate(zip(pdf[history].to_numpy(), pdf[target].to_numpy())):
+                idx = [pos_[x] for x in (h if h is not None else []) if x in pos_]
+                if idx and t in pos_:
+                    users[r] = raw_[idx].mean(axis=0)
+                    ok[r] = True
+                    tgt[r] = pos_[t]
+            if metric == "cosine":
+                nrm = np.linalg.norm(users, axis=1, keepdims=True)
+                users = np.divide(users, nrm, out=np.zeros_like(users), where=nrm > 0)
+            rank = np.full(len(pdf), np.nan)
+            for lo in range(0, len(pdf), 512):
+                sl = slice(lo, lo + 512)
+                sc = np.floor(users[sl] @ scored_.T * scale + 0.5)  # rounded, half up
+                rows_ = np.flatnonzero(ok[sl])
+                st = sc[rows_, tgt[sl][rows_]]
+                better = (sc[rows_] > st[:, None]).sum(axis=1)
+                tied = ((sc[rows_] == st[:, None]) & (ids_[None, :] < ids_[tgt[sl][rows_]][:, None])).sum(axis=1)
+                rank[lo + rows_] = better + tied + 1
+            rank[rank > k] = np.nan
+            yield pd.DataFrame({row_key: pdf[row_key], "rank": pd.array(rank, dtype="Int64")})
+
+    per_row = _spread(rows.select(row_key, history, target)).mapInPandas(run, f"{row_key} {rtype}, rank long")
+    return with_metrics(per_row, ks)
+
+
 def summarize(per_row: DataFrame, ks: Sequence[int] = (10, 50), digits: int = 6) -> DataFrame:
     """Long-form (metric, value) means over all evaluation rows: one
     aggregation pass, then the single result row is unpivoted."""

@@ -251,8 +251,7 @@ def q_next_item(spark, sf):
         F.concat_ws("|", "user_id", "parent_asin").alias("row_id"), F.col("parent_asin").alias("target"), "history"))
     text = clean_item_text_rec(items).select(F.col("parent_asin").alias("item_id"), "cleaned_metadata")
     item_vecs = em.embed_text(text, "cleaned_metadata", "vec").select("item_id", "vec")
-    user_vecs = ni.history_mean_vectors(rows, "row_id", "history", item_vecs, "item_id", "vec")
-    per_row = ni.evaluate_next_item(user_vecs, item_vecs, rows, "row_id", "user_vec", "item_id", "vec", "target")
+    per_row = ni.evaluate_from_histories(rows, item_vecs, "row_id", "history", "target", "item_id", "vec")
     return ni.summarize(per_row)
 
 

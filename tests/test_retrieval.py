@@ -109,3 +109,21 @@ def test_in_batch_contrastive_masks(spark):
     keep = mt.in_batch_contrastive(df, ["o"], "a", "b", batch_size=4, temp=1.0)
     assert drop.first().loss < keep.first().loss
     assert mt.mean_of_batches(keep).first().n_batches == 1
+
+
+def test_next_item_one_pass_equals_general_path(spark):
+    from recsift.operators import nextitem as ni
+
+    rnd = np.random.default_rng(4)
+    items = spark.createDataFrame([(f"i{j}", rnd.normal(size=4).tolist()) for j in range(40)],
+                                  "item_id string, vec array<double>")
+    rows = spark.createDataFrame(
+        [(f"r{r}", [f"i{j}" for j in rnd.choice(40, size=rnd.integers(1, 6), replace=False)], f"i{rnd.integers(0, 40)}")
+         for r in range(60)], "row_id string, history array<string>, target string")
+    fast = ni.evaluate_from_histories(rows, items, ks=(5, 10))
+    users = ni.history_mean_vectors(rows, "row_id", "history", items, "item_id", "vec")
+    general = ni.evaluate_next_item(users, items, rows, ks=(5, 10))
+    a = sorted((r.row_id, r.rank) for r in fast.collect())
+    b = sorted((r.row_id, r.rank) for r in general.collect())
+    assert a == b
+    assert any(r is not None for _, r in a)

@@ -96,3 +96,45 @@ def test_metrics_report(spark):
     wr.write_metrics(df, os.path.join(d, "m"))
     part = [f for f in os.listdir(os.path.join(d, "m")) if f.startswith("part")][0]
     assert open(os.path.join(d, "m", part)).read().splitlines() == ["a = 1.0", "b = 2.0"]
+
+
+def test_remaining_sinks_round_trip(spark):
+    d = scratch()
+    users = spark.createDataFrame([("u1", 1), ("u2", 2)], "user_id string, uid long")
+    items = spark.createDataFrame([("a", 1)], "parent_asin string, iid long")
+    wr.write_id_maps(users, items, os.path.join(d, "maps"))
+    got = sorted(tuple(r) for r in spark.read.json(os.path.join(d, "maps")).select("kind", "token", "id").collect())
+    assert got == [("item", "a", 1), ("user", "u1", 1), ("user", "u2", 2)]
+
+    pairs = spark.createDataFrame([("good, with comma", "meta\twith tab")], "review string, meta string")
+    wr.write_pairs_tsv(pairs, os.path.join(d, "pairs"))
+    back = spark.read.option("sep", "\t").option("header", True).csv(os.path.join(d, "pairs"))
+    assert [tuple(r) for r in back.collect()] == [("good, with comma", "meta\twith tab")]
+
+    q = spark.createDataFrame([(0, "red shoes", "a")], "qid long, query string, item_id string")
+    wr.write_queries_csv(q, os.path.join(d, "q"))
+    assert [(r.qid, r.query, r.item_id) for r in rd.read_queries(spark, os.path.join(d, "q")).collect()] == [(0, "red shoes", "a")]
+
+    pool = spark.createDataFrame([("a", "Toys", "m1"), ("b", "Toys", "m2")], "item_id string, category string, metadata string")
+    wr.write_item_pool_jsonl(pool, os.path.join(d, "pool"))
+    assert sorted(tuple(r) for r in rd.read_item_pool(spark, os.path.join(d, "pool")).collect()) == \
+        [("a", "Toys", "m1"), ("b", "Toys", "m2")]
+
+
+def test_item_pool_duplicate_raises(spark):
+    import pytest
+
+    d = scratch()
+    with open(os.path.join(d, "pool.jsonl"), "w") as fh:
+        fh.write(json.dumps({"item_id": "a", "category": "c", "metadata": "m"}) + "\n")
+        fh.write(json.dumps({"item_id": "a", "category": "c", "metadata": "n"}) + "\n")
+    with pytest.raises(ValueError):
+        rd.read_item_pool(spark, os.path.join(d, "pool.jsonl"))
+
+
+def test_lines_and_category_list(spark):
+    d = scratch()
+    with open(os.path.join(d, "s.txt"), "w") as fh:
+        fh.write("  first sentence \t\nsecond\n")
+    assert [r.text for r in rd.read_lines(spark, os.path.join(d, "s.txt")).collect()] == ["  first sentence", "second"]
+    assert [r.category for r in rd.read_category_list(spark, os.path.join(d, "s.txt")).collect()] == ["first sentence", "second"]

@@ -305,10 +305,10 @@ def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
                                   f"{qid} {qtyp}, _q array<double>, cell int"))
     qb = _blocks_per_cell(probes, QUERY_BLOCK_ROWS)
     ib = _blocks_per_cell(assign, ITEM_BLOCK_ROWS)
-    px = (probes.withColumn("_qb", F.pmod(F.xxhash64(qid), F.element_at(qb, F.col("cell"))))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.element_at(ib, F.col("cell")) - 1))))
-    ax = (assign.withColumn("_ib", F.pmod(F.xxhash64(item), F.element_at(ib, F.col("cell"))))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.element_at(qb, F.col("cell")) - 1))))
+    px = (probes.withColumn("_qb", F.pmod(F.xxhash64(qid), F.try_element_at(qb, F.col("cell"))))
+          .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.try_element_at(ib, F.col("cell")) - 1))))
+    ax = (assign.withColumn("_ib", F.pmod(F.xxhash64(item), F.try_element_at(ib, F.col("cell"))))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.try_element_at(qb, F.col("cell")) - 1))))
 
     def grid(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:

@@ -127,3 +127,22 @@ def test_next_item_one_pass_equals_general_path(spark):
     b = sorted((r.row_id, r.rank) for r in general.collect())
     assert a == b
     assert any(r is not None for _, r in a)
+
+
+def test_ivf_partial_probe_matches_brute_force(spark):
+    rnd = np.random.default_rng(5)
+    qv, iv = rnd.normal(size=(25, 6)), rnd.normal(size=(180, 6))
+    q = _vecs(spark, [(i, qv[i].tolist()) for i in range(25)], "qid")
+    items = _vecs(spark, [(100 + i, iv[i].tolist()) for i in range(180)])
+    assign, cents = dn.build_ivf(items, n_cells=6, seed=2)
+    got = sorted((r.qid, r.item_id, r.rank) for r in dn.ivf_search(assign, cents, q, 4, n_probe=2).collect())
+    cell_of = {r.item_id: r.cell for r in assign.select("item_id", "cell").collect()}
+    inn = iv / np.linalg.norm(iv, axis=1, keepdims=True)
+    want = []
+    for qi in range(25):
+        u = qv[qi] / np.linalg.norm(qv[qi])
+        cells = set(np.argsort(-(cents @ u), kind="stable")[:2].tolist())
+        cand = [j for j in range(180) if cell_of[100 + j] in cells]
+        scores = sorted(((-np.floor(float(inn[j] @ u) * 1e6 + 0.5), 100 + j) for j in cand))
+        want += [(qi, item, r + 1) for r, (_, item) in enumerate(scores[:4])]
+    assert got == sorted(want)

@@ -146,3 +146,24 @@ def test_ivf_partial_probe_matches_brute_force(spark):
         scores = sorted(((-np.floor(float(inn[j] @ u) * 1e6 + 0.5), 100 + j) for j in cand))
         want += [(qi, item, r + 1) for r, (_, item) in enumerate(scores[:4])]
     assert got == sorted(want)
+
+
+def test_align_vectors_positional_with_pad(spark):
+    ids = spark.createDataFrame([(1,), (2,), (5,)], "id long")
+    vecs = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row long, vec array<float>")
+    got = {r.id: r.vec for r in dn.align_vectors(ids, vecs, 2).collect()}
+    assert got == {0: [0.0, 0.0], 1: [1.0, 2.0], 2: [3.0, 4.0], 5: [0.0, 0.0]}
+
+
+def test_build_and_extend_index(spark):
+    a = spark.createDataFrame([(1, "red shoe"), (2, "blue hat")], "id long, text string")
+    b = spark.createDataFrame([(3, "red shoe laces")], "id long, text string")
+    index = dn.add_to_index(dn.build_index(a, "id", "text"), dn.build_index(b, "id", "text"))
+    rows = {r.id: r.embedding for r in index.collect()}
+    assert set(rows) == {1, 2, 3}
+    for v in rows.values():
+        assert abs(sum(x * x for x in v) - 1.0) < 1e-9
+    q = dn.build_index(spark.createDataFrame([(9, "red shoe")], "id long, text string"), "id", "text")
+    hits = dn.threshold_search(q.select(F.col("id").alias("qid"), F.col("embedding").alias("vec")),
+                               index.select(F.col("id").alias("item_id"), F.col("embedding").alias("vec")), 0.5, 2)
+    assert [r.item_id for r in hits.orderBy("rank").collect()][0] == 1

@@ -30,3 +30,18 @@ def test_entry_contract(spark):
     assert set(df.columns) == {"user_id", "parent_asin", "rating", "timestamp", "seq", "split", "history"}
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
+
+
+def test_stream_to_parquet_table(spark):
+    src = tempfile.mkdtemp(prefix="recsift-stream-src-")
+    out = tempfile.mkdtemp(prefix="recsift-stream-out-")
+    with open(os.path.join(src, "a.json"), "w") as fh:
+        fh.write(json.dumps({"user_id": "u", "parent_asin": "a", "rating": "5", "timestamp": "5",
+                             "title": None, "text": "y" * 40}) + "\n")
+        fh.write(json.dumps({"user_id": "v", "parent_asin": "b", "rating": "x", "timestamp": "6",
+                             "title": None, "text": "z" * 40}) + "\n")
+    q = ss.start_to_table(ss.clean_and_route(ss.review_stream(spark, src), 1, 10), os.path.join(out, "ckpt"),
+                          os.path.join(out, "table"))
+    q.awaitTermination(120)
+    got = [(r.user_id, r.split) for r in spark.read.parquet(os.path.join(out, "table")).collect()]
+    assert got == [("u", "valid")]

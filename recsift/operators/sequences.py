@@ -39,27 +39,33 @@ def _split_ord(col: str = "split"):
     return F.when(c == "train", 0).when(c == "valid", 1).otherwise(2)
 
 
-def remap_ids(seqs: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS) -> tuple[DataFrame, DataFrame]:
-    """Contiguous ids from 1 by first appearance over the concatenated
-    splits (train, valid, test; rows by user then time; in a row the target
-    before its history, oldest first). Returns (user map, item map).
+def _key(user: str, ts: str, pos) -> F.Column:
+    return F.struct(F.col("_s").alias("s"), F.col(user).alias("u"), F.col(ts).alias("t"), pos.alias("p"))
+
+
+def remap_users(seqs: DataFrame, user: str = USER, ts: str = TS) -> DataFrame:
+    """User ids from 1 by first appearance over the concatenated splits
+    (train, valid, test; rows by user then time). First appearances are a
+    partial ``min(struct)``; numbering is the distributed global row number."""
+    rows = seqs.withColumn("_s", _split_ord())
+    users = rows.groupBy(user).agg(F.min(_key(user, ts, F.lit(0))).alias("_k"))
+    return dense_ids(users, user, [F.col("_k"), F.col(user)], "uid")
 
-    First appearances are partial ``min(struct)`` aggregations; numbering is
-    the distributed global row number (no single-partition window)."""
+
+def remap_items(seqs: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS) -> DataFrame:
+    """Item ids from 1 by first appearance; inside a row the target comes
+    before its history, oldest first."""
     rows = seqs.withColumn("_s", _split_ord())
-    ukey = F.struct(F.col("_s").alias("s"), F.col(user).alias("u"), F.col(ts).alias("t"))
-    users = rows.groupBy(user).agg(F.min(ukey).alias("_k"))
-    user_map = dense_ids(users, user, [F.col("_k"), F.col(user)], "uid")
-
-    tgt = rows.select(F.col(item).alias("_tok"),
-                      F.struct(F.col("_s").alias("s"), F.col(user).alias("u"), F.col(ts).alias("t"),
-                               F.lit(0).alias("p")).alias("_k"))
-    hist = rows.select(F.col(user), F.col(ts), F.col("_s"), F.posexplode("history").alias("_p", "_tok")).select(
-        "_tok", F.struct(F.col("_s").alias("s"), F.col(user).alias("u"), F.col(ts).alias("t"),
-                         (F.col("_p") + 1).alias("p")).alias("_k"))
+    tgt = rows.select(F.col(item).alias("_tok"), _key(user, ts, F.lit(0)).alias("_k"))
+    hist = rows.select(user, ts, "_s", F.posexplode("history").alias("_p", "_tok")).select(
+        "_tok", _key(user, ts, F.col("_p") + 1).alias("_k"))
     firsts = tgt.unionByName(hist).groupBy("_tok").agg(F.min("_k").alias("_k"))
-    item_map = dense_ids(firsts, "_tok", [F.col("_k"), F.col("_tok")], "iid").withColumnRenamed("_tok", item)
-    return user_map, item_map
+    return dense_ids(firsts, "_tok", [F.col("_k"), F.col("_tok")], "iid").withColumnRenamed("_tok", item)
+
+
+def remap_ids(seqs: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS) -> tuple[DataFrame, DataFrame]:
+    """(user map, item map); see :func:`remap_users`, :func:`remap_items`."""
+    return remap_users(seqs, user, ts), remap_items(seqs, user, item, ts)
 
 
 def id_metadata(item_map: DataFrame, item_text: DataFrame, item: str = ITEM,

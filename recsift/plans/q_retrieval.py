@@ -368,9 +368,9 @@ def q_complex_queries(spark, sf):
        FROM (SELECT iid FROM item_map UNION ALL SELECT 0) m LEFT JOIN vectors v ON v.vec_id = m.iid - 1""",
     "interactions", "items", "thresholds", "vectors", extra=(_SEQ, _ITEMS)))
 def q_aligned_vectors(spark, sf):
-    from ..operators.sequences import remap_ids
+    from ..operators.sequences import remap_items
 
-    _, items_map = remap_ids(_seqs(spark, sf))
+    items_map = remap_items(_seqs(spark, sf))
     vecs = views.vectors(spark, sf).select(F.col("vec_id").alias("row"), F.col("embedding").alias("vec"))
     out = dn.align_vectors(items_map.select(F.col("iid").alias("id")), vecs, 64)
     return out.select("id", F.round(dn.norm("vec"), 6).alias("norm"))

@@ -57,20 +57,19 @@ def q_prepare_sequences(spark, sf):
 
 @register("remap_users", "D5 U2", _q("SELECT * FROM user_map", _USERS))
 def q_remap_users(spark, sf):
-    return sq.remap_ids(_seqs(spark, sf))[0]
+    return sq.remap_users(_seqs(spark, sf))
 
 
 @register("remap_items", "D5 U2", _q("SELECT * FROM item_map", _ITEMS))
 def q_remap_items(spark, sf):
-    return sq.remap_ids(_seqs(spark, sf))[1]
+    return sq.remap_items(_seqs(spark, sf))
 
 
 @register("id_metadata", "D6 J10", _q(
     "SELECT m.parent_asin, m.iid, t.cleaned_metadata FROM item_map m JOIN item_text t ON m.parent_asin = t.parent_asin",
     _ITEMS, _META))
 def q_id_metadata(spark, sf):
-    _, items_map = sq.remap_ids(_seqs(spark, sf))
-    return sq.id_metadata(items_map, clean_item_text_rec(views.items(spark, sf)))
+    return sq.id_metadata(sq.remap_items(_seqs(spark, sf)), clean_item_text_rec(views.items(spark, sf)))
 
 
 _STATS = """

@@ -57,3 +57,26 @@ def test_contrastive_hard_negatives_raise_loss(spark):
     hard = mt.in_batch_contrastive(df, ["o"], "a", "b", batch_size=3, temp=0.5, hard_negative="h")
     assert plain.count() == 2
     assert mt.mean_of_batches(hard).first().loss > mt.mean_of_batches(plain).first().loss
+
+
+def test_exact_quantiles_double_column(spark):
+    import math
+
+    from recsift.operators.interactions import exact_quantiles
+
+    vals = [x / 7 for x in range(-300, 700)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = dict(exact_quantiles(df, "x", (0.25, 0.5, 0.99)))
+    s = sorted(v for v in vals if v is not None)
+    assert got == {p: s[math.ceil(p * len(s)) - 1] for p in (0.25, 0.5, 0.99)}
+
+
+def test_first_containing_patterns(spark):
+    from recsift.operators.textmatch import first_containing
+
+    docs = spark.createDataFrame([(5, "the quick brown fox"), (2, "a brown fox jumps"), (9, None)],
+                                 "doc_id long, text string")
+    pats = spark.createDataFrame([(1, "brown fox"), (2, "brown fox"), (3, "quick"), (4, "zebra"), (6, "")],
+                                 "pid long, text string")
+    got = {r.pid: r.target for r in first_containing(pats, docs, "pid", "text", "doc_id", "text").collect()}
+    assert got == {1: 2, 2: 2, 3: 5, 6: 2}

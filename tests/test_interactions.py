@@ -136,3 +136,13 @@ def test_exact_quantiles_match_sorted(spark):
     s = sorted(vals)
     for p, v in got.items():
         assert v == s[math.ceil(p * len(s)) - 1]
+
+
+def test_global_numbering_is_stable_across_actions(spark):
+    # ties in the sort key: the checkpoint pins one numbering for every later action
+    df = spark.range(0, 3000).withColumn("k", F.col("id") % 3).repartition(6)
+    out = global_row_number(df, [F.col("k")], "rn")
+    first = sorted((r.id, r.rn) for r in out.collect())
+    second = sorted((r.id, r.rn) for r in out.collect())
+    assert first == second
+    assert sorted(rn for _, rn in first) == list(range(1, 3001))

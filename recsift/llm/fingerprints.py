@@ -25,14 +25,16 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import global_row_number
+from .common import materialise
 
-SAMPLES = 32
+SAMPLES = 16
+DRAWS_PER_ROW = 4     # draws in one expression: more would outgrow what the JVM compiles
 TABLE_BITS = 12
-ID_BITS = 29          # bits of a sample's identity kept beside the ordered ln a
+ID_BITS = 29          # bits of a sample's identity kept below the ordered ln a
 
 
 @lru_cache
@@ -51,49 +53,52 @@ def gamma2_quantiles(bits: int = TABLE_BITS) -> tuple[float, ...]:
     return tuple(out)
 
 
-def _literal(values) -> Column:
-    # one constant-folded array instead of one literal per entry
-    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast("array<double>")
+def _gamma_tables(spark: SparkSession) -> tuple[Column, Column]:
+    """Arrays of the quantiles and of their logarithms, each evaluated once."""
+    rows = spark.createDataFrame([(i, x, math.log(x)) for i, x in enumerate(gamma2_quantiles())],
+                                 "i int, r double, c double")
 
+    def one(name: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct("i", name)))
+        return rows.agg(F.transform(ordered, lambda z: z[name]).alias("a")).scalar()
+    return one("r"), one("c")
 
-def sample_columns(term: Column, ln_weight: Column, samples: int = SAMPLES) -> list[Column]:
-    """One long per draw: ln a (fixed point) above the identity bits of (word, t);
-    the smallest long of a text is its sample."""
-    q = gamma2_quantiles()
-    r_table, c_table = _literal(q), _literal(math.log(x) for x in q)
+
+def sample_columns(tables: tuple[Column, Column], term: Column, ln_weight: Column, first: Column,
+                   draws: int = DRAWS_PER_ROW) -> list[Column]:
+    """One long for each of the draws ``first, first + 1, ...``: ln a (fixed point)
+    above the identity bits of (word, t); the smallest long of a text is its sample."""
     mask = (1 << TABLE_BITS) - 1
     out = []
-    for k in range(samples):
-        h = F.xxhash64(term, F.lit(k))
-        r = F.get(r_table, h.bitwiseAND(mask).cast("int"))
-        ln_c = F.get(c_table, F.shiftright(h, TABLE_BITS).bitwiseAND(mask).cast("int"))
+    for k in range(draws):
+        h = F.xxhash64(term, first + F.lit(k))
+        r = F.get(tables[0], h.bitwiseAND(mask).cast("int"))
+        ln_c = F.get(tables[1], F.shiftright(h, TABLE_BITS).bitwiseAND(mask).cast("int"))
         b = F.shiftright(h, 2 * TABLE_BITS).bitwiseAND((1 << 20) - 1) / F.lit(float(1 << 20))
         t = F.floor(ln_weight / r + b)
-        ln_a = ln_c - r * (t - b + 1)
-        ident = (F.shiftrightunsigned(h, 20) + t * F.lit(2654435761)).bitwiseAND((1 << ID_BITS) - 1)
-        # ln a lies in (-64, 8); two more hash bits than needed break ties between words
-        level = F.floor((ln_a + 64.0) * F.lit(float(1 << 26)))
-        out.append((level * F.lit(1 << ID_BITS) + ident).alias(f"s{k}"))
+        ln_a = ln_c - r * (t - b + 1)   # in (-64, 8)
+        ident = (F.shiftrightunsigned(h, 30) + t * F.lit(2654435761)).bitwiseAND((1 << ID_BITS) - 1)
+        out.append((F.floor((ln_a + 64.0) * F.lit(float(1 << 26))) * F.lit(1 << ID_BITS) + ident).alias(f"s{k}"))
     return out
 
 
 def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``keys`` + ``sig``: array of sample identities (empty for a text without words).
-    ``keys`` must identify a text; rows of equal keys must hold equal texts."""
+    ``keys`` must identify a text. ``samples`` is a multiple of ``DRAWS_PER_ROW``."""
     words = F.filter(F.split(F.col(text_col), r"[\x09-\x0D\x20]+"), lambda w: w != "")
     rows = texts.select(*keys, F.explode_outer(words).alias("__w"))
-    return _sampled(rows, keys, samples)
-
-
-def _sampled(rows: DataFrame, keys: list[str], samples: int) -> DataFrame:
     counted = rows.groupBy(*keys, "__w").agg(F.count(F.lit(1)).alias("__n"))
-    terms = counted.select(*keys, F.when(F.col("__w").isNotNull(), F.xxhash64("__w")).alias("__t"),
-                           F.log(F.col("__n").cast("double")).alias("__lw"))
-    drawn = terms.select(*keys, *[F.when(F.col("__t").isNotNull(), c).alias(f"s{k}")
-                                  for k, c in enumerate(sample_columns(F.col("__t"), F.col("__lw"), samples))])
-    best = drawn.groupBy(*keys).agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(samples)])
-    ids = F.array(*[F.col(f"s{k}").bitwiseAND((1 << ID_BITS) - 1) for k in range(samples)])
-    return best.select(*keys, F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(ids).alias("sig"))
+    terms = counted.select(*keys, F.xxhash64("__w").alias("__t"), F.col("__w").isNull().alias("__none"),
+                           F.log(F.col("__n").cast("double")).alias("__lw"),
+                           F.explode(F.array(*[F.lit(k) for k in range(0, samples, DRAWS_PER_ROW)])).alias("__k"))
+    drawn = terms.select(*keys, "__none", "__k", *sample_columns(
+        _gamma_tables(texts.sparkSession), F.col("__t"), F.col("__lw"), F.col("__k")))
+    draws = range(DRAWS_PER_ROW)
+    best = drawn.groupBy(*keys, "__none", "__k").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in draws])
+    ids = F.array(*[F.col(f"s{k}").bitwiseAND((1 << ID_BITS) - 1) for k in draws])
+    whole = best.groupBy(*keys, "__none").agg(F.array_sort(F.collect_list(F.struct("__k", ids.alias("ids")))).alias("g"))
+    return whole.select(*keys, F.when(F.col("__none"), F.array().cast("array<bigint>")).otherwise(
+        F.flatten(F.transform("g", lambda x: x["ids"]))).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -151,6 +156,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.first("doc_id", True).alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
         F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("sig"),
         F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("edited_sig"))
+    both = materialise(both, "fingerprints")  # read twice below
     following = both.select(F.pmod(F.col("rn") - 1, F.lit(max(n, 1))).alias("rn"), F.col("sig").alias("next_sig"))
     y = both.join(following, "rn")
     return y.select("doc_id", "n_chars", "edited_sha256", "sig", "edited_sig",

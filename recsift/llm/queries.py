@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, licences
+from . import chat, decontam, fingerprints, licences, packing, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,22 @@ def _words(col: str) -> str:
             f"'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),
+m AS (SELECT digest, max(page_id) AS top, count(*) AS c FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN c > 1 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN c > 1 AND top <> page_id THEN top END AS refers_to
+FROM d LEFT JOIN m ON d.digest = m.digest
+"""
+
+
+@_query("op1_warc", WARC_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -56,6 +72,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(conv.unionByName(extra)))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @_query("op5_licence_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan(table(spark, sf_dir, "documents")))

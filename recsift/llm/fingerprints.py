@@ -86,9 +86,10 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", sample
     """``keys`` + ``sig``: array of sample identities (empty for a text without words).
     ``keys`` must identify a text. ``samples`` is a multiple of ``DRAWS_PER_ROW``."""
     words = F.filter(F.split(F.col(text_col), r"[\x09-\x0D\x20]+"), lambda w: w != "")
-    rows = texts.select(*keys, F.explode_outer(words).alias("__w"))
-    counted = rows.groupBy(*keys, "__w").agg(F.count(F.lit(1)).alias("__n"))
-    terms = counted.select(*keys, F.xxhash64("__w").alias("__t"), F.col("__w").isNull().alias("__none"),
+    # words go on as 64-bit hashes
+    rows = texts.select(*keys, F.explode_outer(F.transform(words, lambda w: F.xxhash64(w))).alias("__t"))
+    counted = rows.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__n"))
+    terms = counted.select(*keys, "__t", F.col("__t").isNull().alias("__none"),
                            F.log(F.col("__n").cast("double")).alias("__lw"),
                            F.explode(F.array(*[F.lit(k) for k in range(0, samples, DRAWS_PER_ROW)])).alias("__k"))
     drawn = terms.select(*keys, "__none", "__k", *sample_columns(
@@ -138,24 +139,21 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     x = texts.join(place, texts["doc_id"].eqNullSafe(place["__id"]) & (texts["text_hash"] == place["__h"]))
     x = x.select("rn", "doc_id", "text", F.expr("substring(text, 1, int(floor(prev_chars / 2)))").alias("lent"))
     # one exchange brings a text and the head of the next one together
-    own = x.select("rn", "doc_id", "text", F.lit(None).cast("string").alias("lent"))
-    head = x.select(F.pmod(F.col("rn") - 1, F.lit(max(n, 1))).alias("rn"), F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"),
-                    F.lit(None).cast("string").alias("text"), "lent")
-    pair = own.unionByName(head).groupBy("rn").agg(F.first("doc_id", True).alias("doc_id"),
-                                                  F.first("text", True).alias("text"), F.first("lent", True).alias("lent"))
-    n_chars = F.length("text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    ends = F.array(F.struct("rn", "doc_id", "text", F.lit(None).cast("string").alias("lent")),
+                   F.struct(F.pmod(F.col("rn") - 1, F.lit(max(n, 1))).alias("rn"), F.lit(None).cast(kind).alias("doc_id"),
+                            F.lit(None).cast("string").alias("text"), "lent"))
+    pair = x.select(F.explode(ends).alias("e")).select("e.*").groupBy("rn").agg(
+        F.first("doc_id", True).alias("doc_id"), F.first("text", True).alias("text"), F.first("lent", True).alias("lent"))
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"), F.col("lent"))
-    pair = pair.select("rn", "doc_id", n_chars.cast("long").alias("n_chars"),
-                       F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
-                                         F.struct(F.lit(1).alias("side"), edited.alias("t")))).alias("v"))
-    # side 1 carries the digest of the edited text
-    sided = pair.select("rn", "doc_id", "n_chars", "v.side", F.when(F.col("v.side") == 1, F.sha2("v.t", 256)).alias("sha"),
-                        F.col("v.t").alias("text"))
-    sig = signatures(sided, ["rn", "doc_id", "n_chars", "side", "sha"], "text", samples)
-    both = sig.groupBy("rn").agg(
-        F.first("doc_id", True).alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
-        F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("sig"),
-        F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("edited_sig"))
+    pair = pair.select("rn", "doc_id", "text", edited.alias("edited"))
+    about = pair.select("rn", "doc_id", F.length("text").cast("long").alias("n_chars"),
+                        F.sha2("edited", 256).alias("edited_sha256"))
+    sided = pair.select("rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
+                                                F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("v"))
+    sig = signatures(sided.select("rn", "v.side", F.col("v.t").alias("text")), ["rn", "side"], "text", samples)
+    both = about.join(sig.groupBy("rn").agg(F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("sig"),
+                                            F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("edited_sig")), "rn")
     both = materialise(both, "fingerprints")  # read twice below
     following = both.select(F.pmod(F.col("rn") - 1, F.lit(max(n, 1))).alias("rn"), F.col("sig").alias("next_sig"))
     y = both.join(following, "rn")

@@ -18,7 +18,8 @@ D + 1 keys plus the set's shingles in the counting of the lists.
 
 *Scanning without all pairs.* First every member of a list is checked against one centre (the
 member with the fewest shingles of its own); verified links give components. Then only
-pairs of a list that lie in different components, and can reach the overlap, are checked.
+pairs of a list that lie in different components, and can reach the overlap from that
+shingle on, are checked.
 Every pair of linked sets shares a list, so the components are those of all links.
 
 Defined cases: null or empty text, or text without words: empty set, n_shingles 0, linked with
@@ -216,6 +217,7 @@ class JaccardJoin:
                                .select("key", "s1").distinct(), "light-keys")
         in_heavy = materialise(heavy.join(met(heavy), F.col("key") == F.col("k"), "left_semi")
                                .select("s1").distinct(), "heavy-sets")
+        _free(docs)
         ids = in_light.select("s1").unionByName(in_heavy).distinct()
         wanted = classes.join(ids, "s1", "left_semi").select("uid", "d", "s1", "s2")
         items = shingle_table(docs, wanted, self.k, id_col, text_col)
@@ -230,16 +232,20 @@ class JaccardJoin:
             .withColumn("at", F.row_number().over(own.orderBy("df", "tok")))
         least = F.ceil(F.col("n") * self.num / self.den - 1e-9)
         prefix = shared.filter(F.col("at") <= F.col("shared") - least + 1) \
-            .select(F.col("tok").alias("grp"), F.lit(1).alias("kind"), "uid", "n", "shared")
+            .select(F.col("tok").alias("grp"), F.lit(1).alias("kind"), "uid", "n", "shared", "at")
         # light: groups of two equal cells
         small = in_light.join(classes.select("s1", "uid", "n"), "s1").select(
-            F.col("key").alias("grp"), F.lit(0).alias("kind"), "uid", "n", F.col("n").alias("shared"))
+            F.col("key").alias("grp"), F.lit(0).alias("kind"), "uid", "n", F.col("n").alias("shared"),
+            F.lit(1).alias("at"))
         return materialise(prefix.unionByName(small), "lists"), items
 
     def can_link(self, a: str, b: str) -> Column:
+        """Sizes allow a link, and so do the shingles from this list's on, were it the first
+        common one (for linked sets it is, in one of their lists)."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         sizes = (self.den * F.least(na, nb)) >= (self.num * F.greatest(na, nb))
-        return sizes & (F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared")) >= self.overlap(na, nb))
+        rest = F.least(*[F.col(f"{x}.shared") - F.col(f"{x}.at") + 1 for x in (a, b)])
+        return sizes & (rest >= self.overlap(na, nb))
 
     def verify(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are linked, by their whole shingle sets."""
@@ -260,8 +266,8 @@ class JaccardJoin:
         _free(docs)
         # round 1: every member against its list's centre
         centre = lists.groupBy("kind", "grp").agg(F.min(F.struct(
-            (F.col("n") - F.col("shared")).alias("own"), "uid", "n", "shared")).alias("c"), F.count(F.lit(1)).alias("m"))
-        centre = centre.filter("m > 1").select("kind", "grp", "c.uid", "c.n", "c.shared").alias("c")
+            (F.col("n") - F.col("shared")).alias("own"), "uid", "n", "shared", "at")).alias("c"), F.count(F.lit(1)).alias("m"))
+        centre = centre.filter("m > 1").select("kind", "grp", "c.uid", "c.n", "c.shared", "c.at").alias("c")
         x = lists.alias("l").join(centre, (F.col("l.kind") == F.col("c.kind")) & (F.col("l.grp") == F.col("c.grp"))
                                   & (F.col("l.uid") != F.col("c.uid")) & self.can_link("l", "c"))
         tried = materialise(x.select(F.least("l.uid", "c.uid").alias("a"), F.greatest("l.uid", "c.uid").alias("b"))
@@ -273,7 +279,7 @@ class JaccardJoin:
         mixed = x.groupBy(F.col("kind").alias("k"), F.col("grp").alias("g")).agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("k", "g")
         x = materialise(x.join(mixed, (F.col("kind") == F.col("k")) & (F.col("grp") == F.col("g")), "left_semi")
-                        .select("kind", "grp", "uid", "n", "shared", "comp"), "open-lists")
+                        .select("kind", "grp", "uid", "n", "shared", "at", "comp"), "open-lists")
         cross = x.alias("p").join(x.alias("q"), (F.col("p.kind") == F.col("q.kind")) & (F.col("p.grp") == F.col("q.grp"))
                                   & (F.col("p.uid") < F.col("q.uid")) & (F.col("p.comp") != F.col("q.comp"))
                                   & self.can_link("p", "q"))

@@ -118,14 +118,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counts: bool = False) -> DataFrame:
     """``docs`` with recurring lines dropped from the text; with ``counts`` also
     ``n_lines`` and ``n_dropped``."""
-    gone = dropped_lines(docs, id_col, text_col)
-    x = docs.join(gone, docs[id_col].eqNullSafe(gone["d_id"]) & (F.xxhash64(docs[text_col]) == gone["d_hash"]), "left")
+    gone = dropped_lines(docs, id_col, text_col).toDF("__d_id", "__d_hash", "__drop")
+    x = docs.join(gone, docs[id_col].eqNullSafe(gone["__d_id"]) & (F.xxhash64(docs[text_col]) == gone["__d_hash"]), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    n_lines, n_dropped = F.size(parts), F.coalesce(F.size("drop"), F.lit(0))
-    cols = [F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else docs[c]
+    kept = F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    n_lines, n_dropped = F.size(parts), F.coalesce(F.size("__drop"), F.lit(0))
+    cols = [F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else docs[c]
             for c in docs.columns]
     if counts:
         cols += [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-                 F.when(F.col("drop").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped")]
+                 F.when(F.col("__drop").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped")]
     return x.select(*cols)

@@ -36,7 +36,8 @@ from .lexical import top_k
 BROADCAST_BYTES = 256 << 20
 QUERY_BLOCK_ROWS = 4096
 ITEM_BLOCK_ROWS = 32768
-_TOL = 1e-9
+SCORE_ROWS = 512     # queries scored against a block at once
+DIGITS = 6           # decimal places of a score in rankings
 
 
 # ------------------------------------------------------------------ F12 / F13
@@ -76,37 +77,44 @@ def _matrix(series: pd.Series, unit: bool) -> np.ndarray:
     return m
 
 
-def _select(scores: np.ndarray, k: int | None, min_score: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, col) of candidates: the top k per row with everything tied to the
-    k-th (within a tolerance that covers later rounding), at or above
-    ``min_score``."""
-    keep = np.ones(scores.shape, dtype=bool)
-    if k is not None and scores.shape[1] > k:
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        keep &= scores >= (kth - _TOL)[:, None]
-    if min_score is not None:
-        keep &= scores >= min_score - _TOL
-    return np.nonzero(keep)
+def round_half_up(x: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """The rounding of Spark's ``round`` for doubles; every ranking uses rounded scores."""
+    scale = 10.0 ** digits
+    return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale
 
 
-def _prune(q: np.ndarray, it: np.ndarray, s: np.ndarray, k: int | None):
+def _first_k(q: np.ndarray, it: np.ndarray, s: np.ndarray, k: int | None):
+    """Exactly the first ``k`` of each query by (score desc, item asc): a total order, so
+    no block can lose a row of the final answer and none keeps more."""
     if k is None or len(q) == 0:
         return q, it, s
-    order = np.lexsort((-s, q))
+    code = lambda x: np.unique(x, return_inverse=True)[1] if x.dtype == object else x
+    order = np.lexsort((code(it), -s, code(q)))
     q, it, s = q[order], it[order], s[order]
     starts = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
     sizes = np.diff(np.r_[starts, len(q)])
-    first = np.repeat(starts, sizes)
-    kth = s[first + np.minimum(k, np.repeat(sizes, sizes)) - 1]
-    keep = s >= kth - _TOL
+    keep = np.arange(len(q)) - np.repeat(starts, sizes) < k
     return q[keep], it[keep], s[keep]
 
 
-def _score_block(qids, qm, iids, im, k, min_score, out, sub=512):
+def _score_block(qids, qm, iids, im, k, min_score, out, sub=SCORE_ROWS):
+    """(query, item, rounded score) of one block: at most ``k`` rows a query; with
+    ``min_score`` only pairs whose exact score reaches it."""
+    order = np.argsort(iids, kind="stable")
+    iids, im = iids[order], im[order]
     qs, its, ss = [], [], []
     for lo in range(0, len(qids), sub):
-        s = qm[lo:lo + sub] @ im.T
-        r, c = _select(s, k, min_score)
+        exact = qm[lo:lo + sub] @ im.T
+        s = round_half_up(exact)
+        keep = np.ones(s.shape, dtype=bool) if min_score is None else exact >= min_score
+        if k is not None and s.shape[1] > k:
+            s = np.where(keep, s, -np.inf)
+            kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+            above, tied = s > kth, s == kth
+            # columns are in item order: the smallest ids among the tied fill up
+            room = k - above.sum(axis=1, keepdims=True)
+            keep &= above | (tied & (np.cumsum(tied, axis=1) <= room))
+        r, c = np.nonzero(keep)
         qs.append(qids[lo + r])
         its.append(iids[c])
         ss.append(s[r, c])
@@ -117,10 +125,9 @@ def _score_block(qids, qm, iids, im, k, min_score, out, sub=512):
 
 # ------------------------------------------------------------------ D14 / T1
 def _spread(df: DataFrame) -> DataFrame:
-    """Give the scanned side at least two partitions per core (the work is
-    queries × items, so parallelism must not depend on the file layout)."""
-    want = df.sparkSession.sparkContext.defaultParallelism * 2
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Deal the scanned side to two partitions per core (the work is queries × items,
+    so parallelism must not depend on the file layout)."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
 
 
 def _broadcast_queries(q, i, qid, item, k, min_score, unit, schema):
@@ -131,23 +138,21 @@ def _broadcast_queries(q, i, qid, item, k, min_score, unit, schema):
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qm = bc.value
-        acc_q, acc_i, acc_s = [], [], []
-        held = 0
+        best = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             got = _score_block(qids, qm, pdf[item].to_numpy(), _matrix(pdf["_v"], unit), k, min_score,
                                (qid, item, "score"))
-            acc_q.append(got[qid].to_numpy())
-            acc_i.append(got[item].to_numpy())
-            acc_s.append(got["score"].to_numpy())
-            held += len(got)
-            if k is not None and held > 4 * len(qids) * (k + 1):
-                pq, pi, ps = _prune(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
-                acc_q, acc_i, acc_s, held = [pq], [pi], [ps], len(pq)
-        if acc_q:
-            pq, pi, ps = _prune(np.concatenate(acc_q), np.concatenate(acc_i), np.concatenate(acc_s), k)
-            yield pd.DataFrame({qid: pq, item: pi, "score": ps})
+            if k is None:
+                yield got
+                continue
+            # at most k rows a query are held between batches
+            best = got if best is None else pd.concat([best, got], ignore_index=True)
+            cols = _first_k(best[qid].to_numpy(), best[item].to_numpy(), best["score"].to_numpy(), k)
+            best = pd.DataFrame(dict(zip((qid, item, "score"), cols)))
+        if best is not None:
+            yield best
 
     return _spread(i).mapInPandas(scan, schema)
 
@@ -161,20 +166,33 @@ def _broadcast_items(q, i, qid, item, k, min_score, unit, schema):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         iids, im = bc.value
         for pdf in batches:
-            if len(pdf) == 0 or len(iids) == 0:
-                continue
-            yield _score_block(pdf[qid].to_numpy(), _matrix(pdf["_v"], unit), iids, im, k, min_score,
-                               (qid, item, "score"))
+            qids, qm = pdf[qid].to_numpy(), _matrix(pdf["_v"], unit)
+            for at in range(0, len(pdf), SCORE_ROWS):
+                best = None
+                for lo in range(0, len(iids), ITEM_BLOCK_ROWS):   # bounds the score matrix
+                    got = _score_block(qids[at:at + SCORE_ROWS], qm[at:at + SCORE_ROWS], iids[lo:lo + ITEM_BLOCK_ROWS],
+                                       im[lo:lo + ITEM_BLOCK_ROWS], k, min_score, (qid, item, "score"))
+                    if k is None:
+                        yield got
+                        continue
+                    best = got if best is None else pd.concat([best, got], ignore_index=True)
+                    cols = _first_k(best[qid].to_numpy(), best[item].to_numpy(), best["score"].to_numpy(), k)
+                    best = pd.DataFrame(dict(zip((qid, item, "score"), cols)))
+                if best is not None:
+                    yield best
 
     return _spread(q).mapInPandas(scan, schema)
 
 
 def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: str = "qid", qvec: str = "vec",
                      item: str = "item_id", ivec: str = "vec", unit: bool = True, min_score: float | None = None,
-                     strategy: str = "auto") -> DataFrame:
-    """(qid, item, score) rows: per query at least its top k by dot product
-    of (unit) vectors, ties to the k-th included; k=None keeps every pair at
-    or above ``min_score`` (the N×M similarity table when that is None)."""
+                     strategy: str = "auto", query_block: int | None = None,
+                     item_block: int | None = None) -> DataFrame:
+    """(qid, item, score) rows: a superset of each query's first k by (rounded score
+    desc, item asc), at most k from every block; k=None keeps every pair whose score
+    reaches ``min_score``. One of the two is required."""
+    if k is None and min_score is None:
+        raise ValueError("all pairs without k or min_score is an N x M table")
     spark = queries.sparkSession
     qtypes, itypes = dict(queries.dtypes), dict(items.dtypes)
     schema = f"{qid} {qtypes[qid]}, {item} {itypes[item]}, score double"
@@ -193,8 +211,8 @@ def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: s
             return _broadcast_queries(q, i, qid, item, k, min_score, unit, schema)
         return _broadcast_items(q, i, qid, item, k, min_score, unit, schema)
 
-    qb = max(1, math.ceil(nq / QUERY_BLOCK_ROWS))
-    ib = max(1, math.ceil(ni / ITEM_BLOCK_ROWS))
+    qb = max(1, math.ceil(nq / (query_block or QUERY_BLOCK_ROWS)))
+    ib = max(1, math.ceil(ni / (item_block or ITEM_BLOCK_ROWS)))
     qx = q.withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(qb))).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
     ix = i.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(ib))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
@@ -208,10 +226,11 @@ def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: s
 
 
 def dense_rank(queries: DataFrame, items: DataFrame, k: int = 100, qid: str = "qid", qvec: str = "vec",
-               item: str = "item_id", ivec: str = "vec", strategy: str = "auto") -> DataFrame:
+               item: str = "item_id", ivec: str = "vec", strategy: str = "auto", query_block: int | None = None,
+               item_block: int | None = None) -> DataFrame:
     """Exact top-k items per query by cosine (scores rounded to 6 places,
-    ties by item id)."""
-    cand = dense_candidates(queries, items, k, qid, qvec, item, ivec, True, None, strategy)
+    ties by item id), whatever the layout, strategy and block sizes."""
+    cand = dense_candidates(queries, items, k, qid, qvec, item, ivec, True, None, strategy, query_block, item_block)
     return top_k(cand, qid, item, k)
 
 
@@ -220,13 +239,16 @@ def threshold_search(queries: DataFrame, index: DataFrame, threshold: float = 0.
     """Per query the best ≤ k index rows with cosine ≥ threshold, best
     first, ties by id (the threshold is applied before the top-k, R3)."""
     cand = dense_candidates(queries, index, k, qid, qvec, item, ivec, True, threshold)
-    return top_k(cand.filter(F.col("score") >= threshold), qid, item, k)
+    return top_k(cand, qid, item, k)
 
 
-def similarity_table(a: DataFrame, b: DataFrame, aid: str, avec: str, bid: str, bvec: str) -> DataFrame:
-    """D15 (N×M form): every (a, b) cosine, computed by block products. The
-    output itself has N×M rows; use :func:`aligned_similarity` for pairs."""
-    return dense_candidates(a, b, None, aid, avec, bid, bvec, True, None)
+def similarity_table(a: DataFrame, b: DataFrame, aid: str, avec: str, bid: str, bvec: str,
+                     k: int | None = None, min_score: float | None = None) -> DataFrame:
+    """D15 (N×M form): the (a, b) cosines of each a's best ``k`` b and / or of all pairs at or
+    above ``min_score`` (one is required: the full table has N×M rows). Use
+    :func:`aligned_similarity` for pairs."""
+    cand = dense_candidates(a, b, k, aid, avec, bid, bvec, True, min_score)
+    return cand if k is None else top_k(cand, aid, bid, k).drop("rank")
 
 
 def aligned_similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
@@ -286,11 +308,22 @@ def _blocks_per_cell(df: DataFrame, rows_per_block: int):
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
 
 
+def add_to_ivf(assign: DataFrame, centroids: np.ndarray, new_rows: DataFrame, item: str = "item_id",
+               vec: str = "vec") -> DataFrame:
+    """U3 for the cell index: new rows join their nearest cells (ids must stay unique)."""
+    bc = new_rows.sparkSession.sparkContext.broadcast(centroids)
+    typ = dict(new_rows.dtypes)[item]
+    more = new_rows.filter(F.col(vec).isNotNull()).select(item, l2_normalize(vec).alias("_u")).mapInPandas(
+        _nearest_cells(bc, "_u", 1, [item, "_u"]), f"{item} {typ}, _u array<double>, cell int")
+    return stable(assign.unionByName(more))
+
+
 def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, n_probe: int = 10,
-               qid: str = "qid", qvec: str = "vec", item: str = "item_id") -> DataFrame:
+               qid: str = "qid", qvec: str = "vec", item: str = "item_id", threshold: float | None = None) -> DataFrame:
     """D17 search: each query visits its ``n_probe`` best cells and is scored
     exactly against the items there; the top k are kept. With ``n_probe`` =
-    number of cells this equals exact search.
+    number of cells this equals exact search; with ``threshold`` only items whose
+    cosine reaches it count.
 
     Scoring is a block grid per cell: a cell's probing queries and its items
     are cut into blocks of bounded size (counts per cell are one row per
@@ -314,7 +347,7 @@ def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({qid: [], item: [], "score": []})
         return _score_block(left[qid].to_numpy(), _matrix(left["_q"], False), right[item].to_numpy(),
-                            _matrix(right["_u"], False), k, None, (qid, item, "score"))
+                            _matrix(right["_u"], False), k, threshold, (qid, item, "score"))
 
     keys = ["cell", "_qb", "_ib"]
     cand = px.groupBy(*keys).cogroup(ax.groupBy(*keys)).applyInPandas(

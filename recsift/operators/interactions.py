@@ -56,10 +56,14 @@ def degree_threshold(counts: DataFrame, k: int, count_col: str = "n_interactions
 
 
 # --------------------------------------------------------------------- A2 / A3
+DROP_BROADCAST_ROWS = 500_000  # ids to drop in a round that are broadcast
+
+
 @dataclass
 class KCoreResult:
     edges: DataFrame
     trace: list[tuple[int, int, int, int]]  # (round, interactions, users, items) after each removing round
+    converged: bool = True                  # False: stopped by max_rounds, the edges are not a core yet
 
     def trace_df(self, spark) -> DataFrame:
         return spark.createDataFrame(self.trace, "round int, interactions long, users long, items long")
@@ -75,12 +79,13 @@ def k_core(ix: DataFrame, k_user: int, k_item: int | None = None, user: str = US
     side. Degrees are partial aggregations; the drop sets are usually small
     and AQE turns the anti joins into broadcasts at run time. Each round is
     checkpointed to the reliable folder, so lineage stays one round long and a
-    lost executor only recomputes one round.
+    lost executor only recomputes one round. Rows with a null user or item are no
+    edges and are left out. Stopping at ``max_rounds`` is told by ``converged``.
     """
     k_item = k_user if k_item is None else k_item
     if not k_user and not k_item:
         return KCoreResult(ix, [])
-    cur = stable(ix)
+    cur = stable(ix.filter(F.col(user).isNotNull() & F.col(item).isNotNull()))
     trace: list[tuple[int, int, int, int]] = []
     rnd = 0
     while True:
@@ -99,9 +104,14 @@ def k_core(ix: DataFrame, k_user: int, k_item: int | None = None, user: str = US
         if row["du"] == 0 and row["di"] == 0:
             break
         if max_rounds is not None and rnd >= max_rounds:
-            break
+            return KCoreResult(cur, trace, converged=False)
         drop_u = udeg.filter(F.col("_d") < k_user).select(user)
         drop_i = ideg.filter(F.col("_d") < k_item).select(item)
+        # counted drop sets: small ones are broadcast, so the edges are not shuffled
+        if row["du"] <= DROP_BROADCAST_ROWS:
+            drop_u = F.broadcast(drop_u)
+        if row["di"] <= DROP_BROADCAST_ROWS:
+            drop_i = F.broadcast(drop_i)
         cur = stable(cur.join(drop_u, user, "left_anti").join(drop_i, item, "left_anti"))
         rnd += 1
     return KCoreResult(cur, trace)
@@ -179,8 +189,9 @@ def with_history(ranked: DataFrame, user: str = USER, item: str = ITEM, rank: st
         prefix = (blocks.withColumn("_pre", F.flatten(F.collect_list("_blk").over(wp)))
                   .filter(F.col("_b") > 0)
                   .select(user, "_b", F.transform("_pre", lambda s: s[item]).alias("_prefix")))
-        rows = (rows.join(prefix, [user, "_b"], "left")
-                .withColumn(out, F.when(F.col("_prefix").isNull(), F.col(out))
+        prefix = prefix.select(F.col(user).alias("_pu"), F.col("_b").alias("_pb"), "_prefix")
+        rows = (rows.join(prefix, rows[user].eqNullSafe(prefix["_pu"]) & (rows["_b"] == prefix["_pb"]), "left")
+                .drop("_pu", "_pb").withColumn(out, F.when(F.col("_prefix").isNull(), F.col(out))
                             .otherwise(F.concat("_prefix", out))).drop("_prefix"))
     return rows.drop("_b")
 

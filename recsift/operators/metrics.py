@@ -68,9 +68,8 @@ def _batch_loss(temp: float, hard_weight: float, mask_mode: str, key: str | None
         if "_h" in pdf.columns:
             h = unit(np.stack(pdf["_h"].to_numpy()).astype(np.float64))
             extra = a @ h.T / temp
-            if hard_weight != 1.0:
-                # weight w on the own hard negative: logit + ln(w)
-                extra = extra + np.eye(len(pdf)) * np.log(hard_weight)
+            # a logit added to the own hard negative only
+            extra[np.diag_indices(len(pdf))] += hard_weight
         pos = np.diag(logits).copy()
         if key is not None:
             kv = pdf[key].to_numpy()
@@ -88,7 +87,7 @@ def _batch_loss(temp: float, hard_weight: float, mask_mode: str, key: str | None
 
 
 def in_batch_contrastive(pairs: DataFrame, order: Sequence[str | Column], a: str, b: str, batch_size: int = 64,
-                         temp: float = 0.05, hard_negative: str | None = None, hard_weight: float = 1.0,
+                         temp: float = 0.05, hard_negative: str | None = None, hard_weight: float = 0.0,
                          positive_key: str | None = None, mask_mode: str = "drop") -> DataFrame:
     """Mean in-batch contrastive loss (InfoNCE over cosine / temp).
 
@@ -98,7 +97,8 @@ def in_batch_contrastive(pairs: DataFrame, order: Sequence[str | Column], a: str
     hard negatives, if given) are its negatives. With ``positive_key``, other
     rows sharing row i's key are dropped from its denominator
     (``mask_mode='drop'``) or get logit 0 (``'zero_logit'``, as the
-    reference). Returns per-batch (batch, n, loss)."""
+    reference). ``hard_weight`` is a logit added to row i's own hard negative
+    (0: none). Returns per-batch (batch, n, loss)."""
     numbered = global_row_number(pairs, order, "_pos", start=0)
     cols = [F.floor(F.col("_pos") / batch_size).cast("long").alias("_batch"), F.col(a).alias("_a"), F.col(b).alias("_b")]
     if hard_negative:

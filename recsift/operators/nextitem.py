@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 
 from ..session import stable
-from .dense import BROADCAST_BYTES, _matrix, _spread, dense_candidates
+from .dense import (BROADCAST_BYTES, ITEM_BLOCK_ROWS, SCORE_ROWS, _matrix, _spread, dense_candidates,
+                    round_half_up)
 from .embed import mean_pool
 from .lexical import top_k
 from .metrics import rank_of_target, with_metrics
@@ -55,7 +56,8 @@ def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n_items, dim = int(stats["n"]), int(stats["d"] or 0)
     k = max(ks)
-    if n_items * max(dim, 1) * 8 > BROADCAST_BYTES:
+    # two matrices, the ids and their positions are sent
+    if n_items * (2 * max(dim, 1) * 8 + 200) > BROADCAST_BYTES:
         users = history_mean_vectors(rows, row_key, history, item_vecs, item, ivec)
         return evaluate_next_item(users, item_vecs, rows, row_key, "user_vec", item, ivec, target, ks, metric)
     ipdf = items.toPandas()  # size checked above
@@ -64,7 +66,6 @@ def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str
     scored = _matrix(ipdf["_v"], metric == "cosine")
     pos = {v: j for j, v in enumerate(ids.tolist())}
     bc = rows.sparkSession.sparkContext.broadcast((ids, raw, scored, pos))
-    scale = 10.0 ** digits
     rtype = dict(rows.dtypes)[row_key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,14 +86,17 @@ def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str
                 nrm = np.linalg.norm(users, axis=1, keepdims=True)
                 users = np.divide(users, nrm, out=np.zeros_like(users), where=nrm > 0)
             rank = np.full(len(pdf), np.nan)
-            for lo in range(0, len(pdf), 512):
-                sl = slice(lo, lo + 512)
-                sc = np.floor(users[sl] @ scored_.T * scale + 0.5)  # rounded, half up
-                rows_ = np.flatnonzero(ok[sl])
-                st = sc[rows_, tgt[sl][rows_]]
-                better = (sc[rows_] > st[:, None]).sum(axis=1)
-                tied = ((sc[rows_] == st[:, None]) & (ids_[None, :] < ids_[tgt[sl][rows_]][:, None])).sum(axis=1)
-                rank[lo + rows_] = better + tied + 1
+            for lo in range(0, len(pdf), SCORE_ROWS):
+                rows_ = lo + np.flatnonzero(ok[lo:lo + SCORE_ROWS])
+                mine = users[rows_]
+                st = round_half_up(np.einsum("ij,ij->i", mine, scored_[tgt[rows_]]), digits)[:, None]
+                own = ids_[tgt[rows_]][:, None]
+                ahead = np.zeros(len(rows_))
+                for at in range(0, len(ids_), ITEM_BLOCK_ROWS):   # bounds the score matrix
+                    sc = round_half_up(mine @ scored_[at:at + ITEM_BLOCK_ROWS].T, digits)
+                    other = ids_[None, at:at + ITEM_BLOCK_ROWS]
+                    ahead += ((sc > st) & (other != own)).sum(axis=1) + ((sc == st) & (other < own)).sum(axis=1)
+                rank[rows_] = ahead + 1
             rank[rank > k] = np.nan
             yield pd.DataFrame({row_key: pdf[row_key], "rank": pd.array(rank, dtype="Int64")})
 

@@ -7,8 +7,8 @@ hold a third of all rows) into one task. Both primitives here avoid that:
 * :func:`global_row_number` range-partitions by the order key (the sampler
   splits a hot key over many partitions), pins the partition-local positions by
   a reliable checkpoint, counts rows per partition (one number per partition
-  reaches the driver) and adds the prefix offsets from an array literal of
-  that partition-sized list.
+  reaches the driver) and adds the prefix offsets by a broadcast join with
+  that partition-sized table.
 * :func:`rank_within` ranks inside a key: ordinary keys by one window per
   key; keys above a row bound ("hot", a provably small set) are split off
   and ranked by the global number minus the key's first global number
@@ -40,16 +40,15 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
     tagged = stable(tagged)
     counts = dict((r["_pid"], r["_n"]) for r in
                   tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
-    n_parts = (max(counts) + 1) if counts else 1
     offsets, acc = [], 0
-    for pid in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
-    # one offset per partition (bounded by the partition count, not the
-    # data) as an array literal: a projection, no join
-    off = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_pid") + 1)
-    return (tagged.withColumn(name, off + F.col("_mid").bitwiseAND(F.lit(_LOCAL_BITS)) + F.lit(start))
-                  .drop("_pid", "_mid"))
+    for pid in sorted(counts):
+        offsets.append((pid, acc))
+        acc += counts[pid]
+    # one offset per partition (bounded by the partition count, not the data)
+    off = df.sparkSession.createDataFrame(offsets, "_off_pid int, _off long")
+    return (tagged.join(F.broadcast(off), F.col("_pid") == F.col("_off_pid"))
+                  .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOCAL_BITS)) + F.lit(start))
+                  .drop("_pid", "_mid", "_off_pid", "_off"))
 
 
 # A key with more rows than this is "hot": its rows are ranked by the

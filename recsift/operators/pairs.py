@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import CLS_ID, MASK_ID, PAD_ID, SEP_ID, VOCAB_SIZE
 from .sampling import hash_sample
-from .textprep import clean_item_text_pretrain, clean_review_text
+from .textprep import clean_item_text_pretrain, clean_review_text, latest_by
 
 
 def build_pretrain_pairs(reviews: DataFrame, items: DataFrame, t_valid: int, downsample: int = 10,
                          seed: int = 42, min_chars: int = 30, user: str = "user_id",
-                         item: str = "parent_asin", ts: str = "timestamp") -> DataFrame:
+                         item: str = "parent_asin", ts: str = "timestamp",
+                         item_order: str | None = None) -> DataFrame:
     """Cleaned (review, metadata) pairs for pre-training.
 
     Metadata: D9 text, kept when longer than ``min_chars`` (P5). Reviews: D9
@@ -23,7 +24,11 @@ def build_pretrain_pairs(reviews: DataFrame, items: DataFrame, t_valid: int, dow
     ``t_valid``, their item has kept metadata (J1) and the text is longer than
     ``min_chars`` (P4). Filters run before the join; the join is an equi-join
     on the item (AQE picks broadcast or shuffle from the runtime size).
+    ``item_order`` names the column (category file number) by which the later row of a
+    repeated item wins; without it items must be unique.
     """
+    if item_order is not None:  # J2: an item met in several files takes the later one
+        items = latest_by(items, item, item_order, [c for c in items.columns if c not in (item, item_order)])
     meta = clean_item_text_pretrain(items, item, "meta").filter(F.length("meta") > min_chars)
     rv = hash_sample(reviews.filter(F.col(ts) < F.lit(t_valid)), [user, item], downsample, seed)
     rv = clean_review_text(rv, out="review").filter(F.length("review") > min_chars)

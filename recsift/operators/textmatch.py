@@ -1,62 +1,28 @@
 """Exact passage-in-document matching without a cross join.
 
-A theta join ``contains(doc.text, passage)`` would pair every passage with
-every document. Instead the passages are compiled into one Aho-Corasick
-automaton per chunk of bounded size, shipped as a broadcast variable, and
-each document partition is scanned once per chunk (``mapInPandas``), emitting
-only the smallest matching document per passage and partition. Passages
-larger than the broadcast bound are processed in several chunks (several
-scans), never in one oversized broadcast.
+A theta join ``contains(doc.text, passage)`` would pair every passage with every
+document. A passage of three or more space-separated parts has whole parts inside, which any
+document containing it holds too: its longest run of up to ``GRAM`` inner parts (most
+characters, so most likely rare) is its key. The documents' runs of the same length meet the
+keys in an equi-join (broadcast when the counted keys are few), the candidate pairs are verified
+with ``contains`` on the whole texts, and the smallest document of each passage is kept.
+Passages of one or two parts have no inner part and are compared with the documents directly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound for one broadcast chunk of pattern text (bytes).
-PATTERN_CHUNK_BYTES = 64 << 20
-
-_AUTOMATA: dict[int, object] = {}
-
-
-def _automaton(bc):
-    key = id(bc)
-    got = _AUTOMATA.get(key)
-    if got is None:
-        import ahocorasick
+GRAM = 4
+BROADCAST_KEYS = 400_000
 
-        auto = ahocorasick.Automaton()
-        for text, ids in bc.value.items():
-            auto.add_word(text, ids)
-        auto.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = got = auto
-    return got
 
-
-def _scan(bc, did: str, dtext: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = _automaton(bc)
-        best: dict[int, int] = {}
-        for pdf in batches:
-            for doc, text in zip(pdf[did].tolist(), pdf[dtext].tolist()):
-                if text is None:
-                    continue
-                seen = set()
-                for _, ids in auto.iter(text):
-                    if ids in seen:
-                        continue
-                    seen.add(ids)
-                    for pid in ids:
-                        cur = best.get(pid)
-                        if cur is None or doc < cur:
-                            best[pid] = doc
-        yield pd.DataFrame({"_pid": list(best.keys()), "_doc": list(best.values())}, dtype="int64")
-    return run
+def _runs(parts: Column, n: int) -> Column:
+    """All runs of ``n`` consecutive parts, joined by spaces."""
+    last = F.size(parts) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, i, n), " "))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def first_containing(patterns: DataFrame, docs: DataFrame, pid: str, ptext: str, did: str, dtext: str,
@@ -64,42 +30,23 @@ def first_containing(patterns: DataFrame, docs: DataFrame, pid: str, ptext: str,
     """For each pattern row: the smallest ``did`` whose ``dtext`` contains the
     whole pattern text. Patterns without a match are dropped (inner-join
     semantics). ``pid`` and ``did`` must be integral."""
-    spark = patterns.sparkSession
+    parts = F.split(F.col("_t"), " ", -1)
     pats = patterns.select(F.col(pid).cast("long").alias("_pid"), F.col(ptext).alias("_t")).filter(F.col("_t").isNotNull())
-    results = []
-    chunk: dict[str, tuple] = {}
-    size = 0
-    empty_ids: list[int] = []
-
-    def flush():
-        nonlocal chunk, size
-        if not chunk:
-            return
-        bc = spark.sparkContext.broadcast({k: tuple(v) for k, v in chunk.items()})
-        found = docs.select(F.col(did).cast("long").alias(did), dtext).mapInPandas(
-            _scan(bc, did, dtext), "_pid long, _doc long")
-        results.append(found)
-        chunk, size = {}, 0
-
-    # patterns stream to the driver partition by partition; each chunk is size-checked
-    for row in pats.toLocalIterator():
-        text = row["_t"]
-        if text == "":
-            empty_ids.append(row["_pid"])
-            continue
-        chunk.setdefault(text, []).append(row["_pid"])
-        size += len(text.encode("utf-8")) + 16
-        if size >= PATTERN_CHUNK_BYTES:
-            flush()
-    flush()
-    if empty_ids:
-        first_doc = docs.agg(F.min(F.col(did).cast("long"))).first()[0]
-        if first_doc is not None:
-            results.append(spark.createDataFrame([(i, first_doc) for i in empty_ids], "_pid long, _doc long"))
-    if not results:
-        return patterns.limit(0).withColumn(out, F.lit(None).cast("long"))
-    found = results[0]
-    for r in results[1:]:
-        found = found.unionByName(r)
+    pats = pats.withColumn("_in", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
+    texts = docs.select(F.col(did).cast("long").alias("_doc"), F.col(dtext).alias("_text"))
+    keyed = pats.filter(F.size("_in") > 0).withColumn("_n", F.least(F.size("_in"), F.lit(GRAM)))
+    grams = F.array(*[F.when(F.col("_n") == n, _runs(F.col("_in"), n)) for n in range(1, GRAM + 1)])
+    longest = F.array_max(F.transform(F.get(grams, F.col("_n") - 1), lambda g: F.struct(F.length(g).alias("l"), g.alias("g"))))
+    keyed = keyed.select("_pid", "_t", "_n", longest["g"].alias("_key"))
+    sizes = {r["_n"]: r["count"] for r in keyed.groupBy("_n").count().collect()}   # at most GRAM rows
+    words = F.split("_text", " ", -1)
+    met = F.concat(F.array().cast("array<string>"), *[_runs(words, n) for n in sorted(sizes)])
+    keys = keyed.select("_pid", "_key")
+    keys = F.broadcast(keys) if sum(sizes.values()) <= BROADCAST_KEYS else keys
+    pairs = texts.select("_doc", F.explode(F.array_distinct(met)).alias("_key")).join(keys, "_key").select("_doc", "_pid").distinct()
+    found = pairs.join(texts, "_doc").join(keyed.select("_pid", "_t"), "_pid").filter(F.contains("_text", "_t")).select("_pid", "_doc")
+    short = pats.filter(F.size("_in") == 0).select("_pid", "_t")
+    found = found.unionByName(texts.join(F.broadcast(short), F.contains("_text", "_t")).select("_pid", "_doc")) \
+        if short.limit(1).count() else found
     best = found.groupBy("_pid").agg(F.min("_doc").alias(out))
-    return (patterns.join(best, patterns[pid].cast("long") == best["_pid"]).drop("_pid"))
+    return patterns.join(best, patterns[pid].cast("long") == best["_pid"]).drop("_pid")

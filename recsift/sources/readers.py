@@ -4,15 +4,20 @@ stopping the job."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PY_SPACE_CHARS
+from .files import open_fs
 
 CORRUPT = "_corrupt_record"
+# a quote inside a quoted field is doubled
+CSV_QUOTES = {"quote": '"', "escape": '"'}
 
 RATING_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()), T.StructField("parent_asin", T.StringType()),
@@ -23,39 +28,40 @@ def read_reviews_jsonl(spark: SparkSession, path: str, timestamp_col: str = "sor
                        ) -> tuple[DataFrame, DataFrame]:
     """S1 (+P1): JSON lines → (interactions, rejects).
 
-    Fields are read as text and cast with ``try_cast``, because the reference
-    accepts a quoted number ("12") where a typed JSON reader would flag the
-    line. A JSON number with a fraction is truncated for the time (as Python's
-    ``int(1.5)``). Blank lines are skipped; unparsable lines, missing keys and
-    failed casts go to ``rejects`` (raw line kept)."""
+    Fields are read as text and cast as the reference's ``float`` and ``int`` do: a quoted
+    number ("12") is accepted, a quoted fraction ("1.5") is no time, and a JSON number with
+    a fraction is cut towards zero. Blank lines are skipped; unparsable lines, missing keys
+    and failed casts go to ``rejects`` (raw line kept)."""
     schema = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("parent_asin", T.StringType()),
                            T.StructField("rating", T.StringType()), T.StructField(timestamp_col, T.StringType()),
                            T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    ts_txt = F.col(timestamp_col)
-    ts = F.coalesce(F.expr(f"try_cast(`{timestamp_col}` AS BIGINT)"),
-                    F.expr(f"try_cast(floor(try_cast(`{timestamp_col}` AS DOUBLE)) AS BIGINT)"))
-    typed = raw.select("user_id", "parent_asin", F.expr("try_cast(rating AS DOUBLE)").alias("rating"),
-                       ts.alias("timestamp"), CORRUPT, F.col("rating").alias("_r"), ts_txt.alias("_t"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    raw = lines.select(F.col("value").alias("line"), parsed.alias("r")).select("line", "r.*")
+    text = F.col(timestamp_col)
+    quoted = F.col("line").rlike(r'"' + timestamp_col + r'"\s*:\s*"')
+    number = text.try_cast("double")
+    cut = (F.signum(number) * F.floor(F.abs(number))).try_cast("bigint")
+    ts = F.coalesce(F.trim(text).try_cast("bigint"), F.when(~quoted, cut))
+    whole = ~quoted | F.trim(text).rlike(r"^[+-]?[0-9]+$")
+    typed = raw.select("line", "user_id", "parent_asin", F.col("rating").try_cast("double").alias("rating"),
+                       F.when(whole, ts).alias("timestamp"), CORRUPT)
     ok = (F.col(CORRUPT).isNull() & F.col("user_id").isNotNull() & F.col("parent_asin").isNotNull()
           & F.col("rating").isNotNull() & F.col("timestamp").isNotNull())
     good = typed.filter(ok).select("user_id", "parent_asin", "rating", "timestamp")
-    rejects = typed.filter(~ok).select(
-        F.coalesce(F.col(CORRUPT), F.to_json(F.struct("user_id", "parent_asin", "_r", "_t"))).alias("line"))
-    return good, rejects
+    return good, typed.filter(~ok).select("line")
 
 
 def read_ratings_csv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """The 4-column rating CSV (no header as written by K1)."""
-    return spark.read.schema(RATING_SCHEMA).option("header", header).csv(path)
+    return spark.read.schema(RATING_SCHEMA).option("header", header).options(**CSV_QUOTES).csv(path)
 
 
 def read_split_csv(spark: SparkSession, path: str, with_history: bool = False) -> DataFrame:
     """S2 for K2 output: split files with an optional 5th history column;
     an empty history reads back as an empty array."""
     fields = list(RATING_SCHEMA.fields) + ([T.StructField("history", T.StringType())] if with_history else [])
-    df = spark.read.schema(T.StructType(fields)).csv(path)
+    df = spark.read.schema(T.StructType(fields)).options(**CSV_QUOTES).csv(path)
     if with_history:
         df = df.withColumn("history", F.when(F.coalesce(F.col("history"), F.lit("")) == "",
                                              F.array().cast("array<string>"))
@@ -96,9 +102,10 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Query CSV with a header."""
+    """Query CSV with a header. A quoted query may hold line breaks, so a file is one
+    task; give a folder of files."""
     schema = "qid long, query string, item_id string, user_id string, ori_rating float, ori_review string"
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).options(**CSV_QUOTES).csv(path)
 
 
 def read_text_pairs(spark: SparkSession, path: str, columns: tuple[str, ...] = ("sent0", "sent1")) -> DataFrame:
@@ -112,22 +119,47 @@ def read_text_pairs(spark: SparkSession, path: str, columns: tuple[str, ...] = (
     sep = "\t" if ext == "tsv" else ","
     schema = ", ".join(f"{c} string" for c in columns) + f", {CORRUPT} string"
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+          .option("columnNameOfCorruptRecord", CORRUPT).options(**CSV_QUOTES).csv(path))
     too_many = F.col(CORRUPT).isNotNull() & F.col(columns[-1]).isNotNull()
     return df.filter(~too_many).drop(CORRUPT)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _decode_f32(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: np.frombuffer(bytes(x), dtype="<f4").astype(np.float32))
+VECTOR_BLOCK_BYTES = 64 << 20
 
 
 def read_vectors_f32(spark: SparkSession, path: str, dim: int, first_id: int = 0) -> DataFrame:
-    """A raw little-endian float32 matrix (file row i = id first_id+i).
-    Fixed-length records are split across tasks; decoding is Arrow-batched."""
-    rdd = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-    raw = rdd.map(lambda t: (t[1] + first_id, bytearray(t[0]))).toDF("id long, raw binary")
-    return raw.select("id", _decode_f32("raw").alias("vec"))
+    """A raw little-endian float32 matrix, one file or a folder of part files in name
+    order (file row i = id first_id + i). The ids follow from the file sizes: every block
+    of rows knows its file, its offset and its first id, and is read by its own task."""
+    width = 4 * dim
+    files = sorted((r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path)
+                   .select("path", "length").collect())    # one row a file
+    step = max(1, VECTOR_BLOCK_BYTES // width)
+    blocks, at = [], first_id
+    for name, size in files:
+        if size % width:
+            raise ValueError(f"{name}: {size} bytes are no rows of {dim} floats")
+        rows = size // width
+        blocks += [(name, lo, min(step, rows - lo), at + lo) for lo in range(0, rows, step)]
+        at += rows
+    schema = "id long, vec array<float>"
+    if not blocks:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, lo, n, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                fs, p = open_fs(name)
+                with fs.open_input_file(p) as f:
+                    for a in range(0, n, 8192):
+                        m = min(8192, n - a)
+                        flat = np.frombuffer(f.read_at(m * width, (lo + a) * width), dtype="<f4")
+                        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, (m + 1) * dim, dim, dtype=np.int32)), pa.array(flat))
+                        ids = pa.array(np.arange(first + a, first + a + m, dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([ids, vec], names=["id", "vec"])
+
+    table = spark.createDataFrame(blocks, "path string, lo long, n long, first long")
+    return table.repartition(min(len(blocks), 10_000), "path", "lo").mapInArrow(run, schema)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -4,14 +4,18 @@ replace its one-file-per-split/category loops."""
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.interactions import history_text
+from .files import open_fs
+from .readers import CSV_QUOTES
 
 RATING_COLS = ["user_id", "parent_asin", "rating", "timestamp"]
 
@@ -19,17 +23,19 @@ RATING_COLS = ["user_id", "parent_asin", "rating", "timestamp"]
 def write_ratings(df: DataFrame, out: str, k: int, category: str | None = "category", mode: str = "overwrite") -> str:
     """K1: ``{out}/{k}core/rating_only`` CSV without header, one folder per category."""
     path = os.path.join(out, f"{k}core", "rating_only")
-    w = df.select(*RATING_COLS, *([category] if category else [])).write.mode(mode).option("header", False)
+    w = df.select(*RATING_COLS, *([category] if category else [])).write.mode(mode).option("header", False).options(**CSV_QUOTES)
     (w.partitionBy(category) if category else w).csv(path)
     return path
 
 
-def write_splits(df: DataFrame, out: str, with_history: bool = False, mode: str = "overwrite") -> str:
-    """K2: one folder per split; the history variant adds the space-joined items."""
+def write_splits(df: DataFrame, out: str, with_history: bool = False, mode: str = "overwrite",
+                 category: str | None = None) -> str:
+    """K2: one folder per split (and category, if given); the history variant adds the space-joined items."""
     cols = [F.col(c) for c in RATING_COLS]
     if with_history:
         cols.append(history_text("history").alias("history"))
-    df.select(*cols, "split").write.mode(mode).option("emptyValue", "").partitionBy("split").csv(out)
+    by = [category] if category else []
+    df.select(*cols, "split", *by).write.mode(mode).option("emptyValue", "").options(**CSV_QUOTES).partitionBy("split", *by).csv(out)
     return out
 
 
@@ -38,7 +44,7 @@ def write_inter(df: DataFrame, out: str, mode: str = "overwrite") -> str:
     sel = df.select(F.col("user_id").cast("string").alias("user_id:token"),
                     history_text("history").alias("item_id_list:token_seq"),
                     F.col("parent_asin").cast("string").alias("item_id:token"))
-    sel.write.mode(mode).option("sep", "\t").option("header", True).csv(out)
+    sel.write.mode(mode).option("sep", "\t").option("header", True).options(**CSV_QUOTES).csv(out)
     return out
 
 
@@ -53,39 +59,49 @@ def write_id_maps(user_map: DataFrame, item_map: DataFrame, out: str, mode: str
 
 
 def write_vectors_f32(df: DataFrame, out: str, id_col: str = "id", vec_col: str = "vec", parts: int | None = None) -> str:
-    """K5: float32 rows in id order as numbered raw part files: range
-    partitioning by id, a sort inside each partition, and every task writes
-    its own ``part-NNNNN.f32``; concatenating the parts in name order gives
-    the matrix. ``out`` must be a folder all executors can write to."""
-    os.makedirs(out, exist_ok=True)
+    """K5: float32 rows in id order as numbered raw part files; concatenating the parts in
+    name order gives the matrix. ``out`` is a folder all executors reach (a path or URI).
+    Every task attempt writes a file of its own below a staging folder; the attempts that
+    Spark reports are then moved to ``part-NNNNN.f32``, after older parts are removed."""
     n = parts or df.sparkSession.sparkContext.defaultParallelism
+    staging = f"{out.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    for folder in (out, staging):
+        fs, p = open_fs(folder)
+        fs.create_dir(p, recursive=True)
     ordered = df.select(id_col, vec_col).repartitionByRange(n, id_col).sortWithinPartitions(id_col)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        rows = 0
-        with open(os.path.join(out, f"part-{pid:05d}.f32"), "wb") as fh:
-            for pdf in batches:
-                for v in pdf[vec_col].to_numpy():
-                    fh.write(np.asarray(v, dtype="<f4").tobytes())
-                rows += len(pdf)
-        yield pd.DataFrame({"part": [pid], "rows": [rows]})
-
-    ordered.mapInPandas(write, "part int, rows long").collect()  # one row per partition
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, rows = TaskContext.get().partitionId(), 0
+        name = f"{staging}/{pid:05d}-{uuid.uuid4().hex}.f32"
+        own, path = open_fs(name)
+        with own.open_output_stream(path) as fh:
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                fh.write(flat.astype("<f4").tobytes())
+                rows += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"part": pa.array([pid], pa.int32()), "name": [name],
+                                          "rows": pa.array([rows], pa.int64())})
+
+    done = ordered.mapInArrow(write, "part int, name string, rows long").collect()  # one row a partition
+    fs, p = open_fs(out)
+    for old in fs.get_file_info(pafs.FileSelector(p)):
+        if old.base_name.startswith("part-") and old.base_name.endswith(".f32"):
+            fs.delete_file(old.path)
+    for r in done:
+        fs.move(open_fs(r["name"])[1], f"{p.rstrip('/')}/part-{r['part']:05d}.f32")
+    fs.delete_dir(open_fs(staging)[1])
     return out
 
 
 def write_pairs_tsv(df: DataFrame, out: str, mode: str = "overwrite") -> str:
     """K6: pre-training pairs, header ``review meta``."""
-    df.select("review", "meta").write.mode(mode).option("sep", "\t").option("header", True).csv(out)
+    df.select("review", "meta").write.mode(mode).option("sep", "\t").option("header", True).options(**CSV_QUOTES).csv(out)
     return out
 
 
 def write_queries_csv(df: DataFrame, out: str, mode: str = "overwrite") -> str:
     """K7: ``qid, query, item_id`` with a header."""
-    df.select("qid", "query", "item_id").write.mode(mode).option("header", True).csv(out)
+    df.select("qid", "query", "item_id").write.mode(mode).option("header", True).options(**CSV_QUOTES).csv(out)
     return out
 
 

@@ -19,7 +19,10 @@ result; other columns are ignored. A piece never exceeds ``capacity``.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,38 +36,67 @@ from .common import materialise, prepare
 CAPACITY = 4096
 GROUPS = 24
 SMALL_SHARE = 8            # lengths up to capacity / SMALL_SHARE are small
-WORD_CACHE = 400_000       # words whose ids a worker remembers
+WORD_CACHE = 700_000       # words, and parts, whose ids a worker remembers
 PLAN_ROWS = 500_000        # far above what any histogram of CAPACITY lengths can give
 
 
 # ---- tokens ---------------------------------------------------------------
 
-class _WordTokenizer:
-    """Ids of a text as the ids of its space-separated parts: the tokenizer drops
-    white space and never joins across it, so parts can be remembered."""
+class _Parts(dict):
+    """Ids (4 bytes each) of space-separated parts, remembered. The tokenizer
+    drops white space and never joins across it, and it never joins letters with ASCII
+    punctuation, so a plain word's ids are those of its punctuation, its lower-cased
+    letters and its punctuation. Letters go to the tokenizer's model without its text
+    normaliser, as the byte-level alphabet spells them."""
 
-    def __init__(self, path: str):
-        import os
+    # apostrophes are left out: the tokenizer knows some contractions
+    PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for part in text.split(" "):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.tok.encode(part, add_special_tokens=False).ids
-                if len(known) >= WORD_CACHE:
-                    known.clear()
-                if len(part) <= 64:
-                    known[part] = ids
-            out += ids
-        return out
+        self.model = self.tok.model
+        self.words: dict[str, bytes] = {}
+        # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256
+        other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.spelling = {b: chr(256 + i) for i, b in enumerate(other)}
+
+    def letters(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def encode(self, part: str) -> bytes:
+        return array("I", self.tok.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= WORD_CACHE:
+                self.words.clear()
+            got = self.words[word] = self.letters(word) if word[0].isalpha() else self.encode(word)
+        return got
+
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > 64:
+            return self.encode(part)
+        m = self.PLAIN.fullmatch(part)
+        ids = b"".join([self.word(g) for g in (m[1], m[2].lower(), m[3]) if g]) if m else self.encode(part)
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[part] = ids
+        return ids
+
+
+_TOKENIZERS: dict[str, _Parts] = {}   # one for each file and worker process
+
+
+def encoder(path: str) -> _Parts:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Parts(path)
+    return _TOKENIZERS[path]
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1,
@@ -74,25 +106,26 @@ def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, task = _WordTokenizer(tokenizer), {}, TaskContext.get().partitionId()
+        parts, seen, task = encoder(tokenizer), {}, TaskContext.get().partitionId()
+        end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 cols = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth", "ids")}
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.array([*encode(text or ""), end_id], dtype="<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start:start + capacity]
-                        n = len(part)
+                    ids = b"".join([*map(parts.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[4 * start:4 * (start + capacity)]
+                        n = len(part) // 4
                         seen[n] = nth = seen.get(n, -1) + 1
-                        for k, v in zip(cols, (i, piece, start, n, zlib.crc32(part.tobytes()), nth, part)):
+                        for k, v in zip(cols, (i, piece, start, n, zlib.crc32(part), nth, part if keep_ids else None)):
                             cols[k].append(v)
                 out = [batch.column(0).take(pa.array(cols["row"], pa.int64())), pa.array(cols["piece"], pa.int32()),
                        pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int64()),
                        pa.array(cols["crc"], pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    out.append(pa.array([p.astype(np.int32) for p in cols["ids"]], pa.list_(pa.int32())))
+                    out.append(pa.array([np.frombuffer(p, dtype="<i4") for p in cols["ids"]], pa.list_(pa.int32())))
                     names.append("ids")
                 out += [pa.array([task] * len(cols["row"]), pa.int32()), pa.array(cols["nth"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=[*names, "task", "nth"])

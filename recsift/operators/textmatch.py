@@ -34,16 +34,16 @@ def first_containing(patterns: DataFrame, docs: DataFrame, pid: str, ptext: str,
     pats = patterns.select(F.col(pid).cast("long").alias("_pid"), F.col(ptext).alias("_t")).filter(F.col("_t").isNotNull())
     pats = pats.withColumn("_in", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))))
     texts = docs.select(F.col(did).cast("long").alias("_doc"), F.col(dtext).alias("_text"))
+    # arrays are columns of their own: inside a lambda an expression is evaluated for every element
     keyed = pats.filter(F.size("_in") > 0).withColumn("_n", F.least(F.size("_in"), F.lit(GRAM)))
     grams = F.array(*[F.when(F.col("_n") == n, _runs(F.col("_in"), n)) for n in range(1, GRAM + 1)])
     longest = F.array_max(F.transform(F.get(grams, F.col("_n") - 1), lambda g: F.struct(F.length(g).alias("l"), g.alias("g"))))
     keyed = keyed.select("_pid", "_t", "_n", longest["g"].alias("_key"))
     sizes = {r["_n"]: r["count"] for r in keyed.groupBy("_n").count().collect()}   # at most GRAM rows
-    words = F.split("_text", " ", -1)
-    met = F.concat(F.array().cast("array<string>"), *[_runs(words, n) for n in sorted(sizes)])
+    met = F.concat(F.array().cast("array<string>"), *[_runs(F.col("_words"), n) for n in sorted(sizes)])
     keys = keyed.select("_pid", "_key")
     keys = F.broadcast(keys) if sum(sizes.values()) <= BROADCAST_KEYS else keys
-    pairs = texts.select("_doc", F.explode(F.array_distinct(met)).alias("_key")).join(keys, "_key").select("_doc", "_pid").distinct()
+    pairs = texts.select("_doc", F.split("_text", " ", -1).alias("_words")).select("_doc", F.explode(F.array_distinct(met)).alias("_key")).join(keys, "_key").select("_doc", "_pid").distinct()
     found = pairs.join(texts, "_doc").join(keyed.select("_pid", "_t"), "_pid").filter(F.contains("_text", "_t")).select("_pid", "_doc")
     short = pats.filter(F.size("_in") == 0).select("_pid", "_t")
     found = found.unionByName(texts.join(F.broadcast(short), F.contains("_text", "_t")).select("_pid", "_doc")) \

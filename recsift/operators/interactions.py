@@ -289,3 +289,11 @@ def build_rating_only(raw: DataFrame, k: int, user: str = USER, item: str = ITEM
     """Keep-earliest dedup (the 0-core file) and its (k, k)-core."""
     zero = dedup_keep_earliest(raw, user, item, ts, tie)
     return zero, k_core(zero, k, k, user, item)
+
+
+# ------------------------------------------------------------- one run per category
+def per_category(ix: DataFrame, category: str, run, user: str = USER, item: str = ITEM) -> DataFrame:
+    """``run(rows, user, item)`` as if once for every category: users and items are keyed by
+    (category, id), so degrees, ranks and histories never mix categories, in one Spark plan."""
+    keyed = ix.withColumns({"_cu": F.struct(category, user), "_ci": F.struct(category, item)})
+    return run(keyed, "_cu", "_ci").drop("_cu", "_ci")

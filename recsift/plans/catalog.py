@@ -37,5 +37,5 @@ def register(name: str, ids: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
-    from . import q_interactions, q_retrieval, q_sequences, q_text  # noqa: F401
+    from . import q_interactions, q_io, q_retrieval, q_sequences, q_text  # noqa: F401
     return REGISTRY

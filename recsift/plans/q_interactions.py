@@ -17,7 +17,7 @@ def _thresholds(spark, sf_dir):
     return int(got[0.8]), int(got[0.9])
 
 
-@register("dedup_keep_earliest", "W1 D1", sql("SELECT * FROM interactions", "interactions"))
+@register("dedup_keep_earliest", "W1", sql("SELECT * FROM interactions", "interactions"))
 def q_dedup(spark, sf):
     return views.interactions(spark, sf)
 
@@ -49,7 +49,7 @@ def q_last_out(spark, sf):
     return ops.last_out(views.interactions(spark, sf))
 
 
-@register("last_out_history", "W4 D3 K2", sql(
+@register("last_out_history", "W4 D3", sql(
     f"SELECT user_id, parent_asin, rating, \"timestamp\", seq, {_SPLIT_LAST} AS split, {_hist()} AS history "
     "FROM ranked", "ranked"))
 def q_last_out_history(spark, sf):
@@ -76,7 +76,7 @@ def q_timestamp_split(spark, sf):
     return ops.timestamp_split(views.interactions(spark, sf), t_valid, t_test)
 
 
-@register("timestamp_split_history", "D2 W4 K2", sql(
+@register("timestamp_split_history", "D2 W4", sql(
     f"SELECT user_id, parent_asin, rating, \"timestamp\", seq, {_SPLIT_TS} AS split, {_hist()} AS history "
     "FROM interactions, thresholds", "interactions", "thresholds"))
 def q_timestamp_split_history(spark, sf):
@@ -118,7 +118,7 @@ def kcore_sql(k_user: int, k_item: int, rounds: int = 12, trace: bool = False) -
     return sql(body, "interactions", extra=tuple(extra))
 
 
-@register(f"k_core_{K}", "A2 J4 D1", kcore_sql(K, K))
+@register(f"k_core_{K}", "A2 J4", kcore_sql(K, K))
 def q_k_core(spark, sf):
     return ops.k_core(views.interactions(spark, sf), K).edges
 
@@ -128,6 +128,6 @@ def q_k_core_trace(spark, sf):
     return ops.k_core(views.interactions(spark, sf), K).trace_df(spark)
 
 
-@register("k_core_user0_item30", "A2 A4", kcore_sql(0, 30))
+@register("k_core_user0_item30", "A2", kcore_sql(0, 30))
 def q_k_core_items_only(spark, sf):
     return ops.k_core(views.interactions(spark, sf), 0, 30).edges

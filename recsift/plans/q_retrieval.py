@@ -318,13 +318,13 @@ def _search_ts(spark, sf):
     return ts.build_search_testset(views.judgements(spark, sf), views.category_map(spark, sf), text, n_neg=5, seed=SEED)
 
 
-@register("search_testset_queries", "D11 W8 P13 K7", sql(
+@register("search_testset_queries", "D11 W8 P13", sql(
     "SELECT qid, query, item_id FROM tq", "judgements", "category_map", extra=_SEARCH_TS))
 def q_search_ts_queries(spark, sf):
     return _search_ts(spark, sf).queries
 
 
-@register("search_testset_pool", "D11 J8 U4 J7 K8", sql(
+@register("search_testset_pool", "D11 J8 U4 J7", sql(
     "SELECT p.item_id, p.category, t.metadata FROM pool p JOIN item_search_text t USING (item_id)",
     "judgements", "category_map", "items", extra=_SEARCH_TS + _neg_ctes("tq", "category_map", 5)))
 def q_search_ts_pool(spark, sf):
@@ -353,7 +353,7 @@ def q_complex_pool(spark, sf):
     return _complex(spark, sf).pool
 
 
-@register("complex_queries", "D12 S6", sql(
+@register("complex_queries", "D12", sql(
     "SELECT qid, item_id, user_id, ori_rating, length(query) AS query_chars FROM cq", "reviews", "category_map",
     extra=_COMPLEX))
 def q_complex_queries(spark, sf):

@@ -48,7 +48,7 @@ def _seqs(spark, sf, materialise=True):
     return stable(out) if materialise else out
 
 
-@register("prepare_sequences", "D4 P8 P9 P10 J1 K3", _q(
+@register("prepare_sequences", "D4 P8 P9 P10 J1", _q(
     "SELECT user_id, parent_asin, \"timestamp\", split, array_to_string(h, ' ') AS history FROM seq_rows"))
 def q_prepare_sequences(spark, sf):
     return _seqs(spark, sf, materialise=False).select("user_id", "parent_asin", "timestamp", "split",

@@ -109,7 +109,7 @@ def q_head_percent(spark, sf):
     return sm.head_percent_split(p, ["conv_id", "turn"], 1.0)
 
 
-@register("pretrain_pairs", "D10 P4 P5 P6 J1 J2", sql(
+@register("pretrain_pairs", "D10 P4 P5 P6 J1", sql(
     f"""SELECT r.user_id, r.parent_asin, r.review, m.meta
     FROM (SELECT user_id, parent_asin, {st.flat('concat_ws(' + st.lit(' ') + ', title, text)')} AS review
           FROM reviews, thresholds

@@ -11,7 +11,7 @@ sample with probability sum(min weights) / sum(max weights), the generalised Jac
 similarity. r, ln c and b come from one 64-bit hash of (word, draw): the gammas through
 quantile tables computed here, so a draw costs one hash and two look-ups.
 
-Words are counted and sampled inside the partition that holds the text; no word ever
+Words are counted inside their text's row and sampled inside its partition; no word ever
 crosses a shuffle.
 
 Defined cases: null text is empty; an empty text has an empty signature, whose
@@ -86,11 +86,15 @@ def signatures(texts: DataFrame, keys: list[str], text_col: str = "text", sample
     """``keys`` + ``sig``: array of sample identities (empty for a text without words).
     ``keys`` must identify a text. ``samples`` is a multiple of ``DRAWS_PER_ROW``."""
     words = F.filter(F.split(F.col(text_col), r"[\x09-\x0D\x20]+"), lambda w: w != "")
-    # words go on as 64-bit hashes
-    rows = texts.select(*keys, F.explode_outer(F.transform(words, lambda w: F.xxhash64(w))).alias("__t"))
-    counted = rows.groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("__n"))
-    terms = counted.select(*keys, "__t", F.col("__t").isNull().alias("__none"),
-                           F.log(F.col("__n").cast("double")).alias("__lw"),
+    # words go on as sorted 64-bit hashes; the places where the hash changes give the counts
+    x = texts.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("__s"))
+    x = x.select("*", F.when(F.size("__s") > 0, F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (
+        F.get("__s", i) != F.get("__s", i - 1)))).otherwise(F.array().cast("array<int>")).alias("__at"))
+    ends = lambda i: F.coalesce(F.get("__at", i + 1), F.size("__s"))
+    counted = x.select(*keys, F.explode_outer(F.transform("__at", lambda p, i: F.struct(
+        F.get("__s", p).alias("t"), (ends(i) - p).alias("n")))).alias("__w"))
+    terms = counted.select(*keys, F.col("__w.t").alias("__t"), F.col("__w").isNull().alias("__none"),
+                           F.log(F.col("__w.n").cast("double")).alias("__lw"),
                            F.explode(F.array(*[F.lit(k) for k in range(0, samples, DRAWS_PER_ROW)])).alias("__k"))
     drawn = terms.select(*keys, "__none", "__k", *sample_columns(
         _gamma_tables(texts.sparkSession), F.col("__t"), F.col("__lw"), F.col("__k")))
@@ -114,49 +118,45 @@ def fingerprint_text(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rn, next_rn, prev_chars, doc_id, n_chars, text_hash``: documents numbered by
-    (doc_id, text hash); the one after the last is the first."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    small = docs.select(F.col(id_col).alias("doc_id"), F.length(t).cast("long").alias("n_chars"),
-                        F.xxhash64(t).alias("text_hash"))
-    small = small.groupBy("doc_id", "text_hash").agg(F.max("n_chars").alias("n_chars"))
-    return global_row_number(small, ["doc_id", "text_hash"], "rn", start=0)
+def neighbours(texts: DataFrame) -> DataFrame:
+    """``k1, k2, p1, p2, prev_chars``: each document's key, the key and length of the one
+    before it in the order of (doc_id, text hash); before the first comes the last."""
+    small = texts.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"))
+    numbered = global_row_number(small, ["doc_id", "k2"], "rn", start=0)
+    n = max(numbered.count(), 1)
+    prev = numbered.select(F.pmod(F.col("rn") + 1, F.lit(n)).alias("rn"), F.col("k1").alias("p1"), F.col("k2").alias("p2"),
+                           F.col("n_chars").alias("prev_chars"))
+    return numbered.join(prev, "rn").select("k1", "k2", "p1", "p2", "prev_chars")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last half replaced by
     the head of the next document), with their likeness and that to the next text."""
-    numbered = neighbours(docs, id_col, text_col)
-    n = numbered.count()
-    nxt = F.pmod(F.col("rn") + 1, F.lit(max(n, 1)))
-    prev = numbered.select(nxt.alias("rn"), F.col("n_chars").alias("prev_chars"))
-    place = numbered.join(prev, "rn").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), "rn", "prev_chars")
     t = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("text_hash"))
-    x = texts.join(place, texts["doc_id"].eqNullSafe(place["__id"]) & (texts["text_hash"] == place["__h"]))
-    x = x.select("rn", "doc_id", "text", F.expr("substring(text, 1, int(floor(prev_chars / 2)))").alias("lent"))
-    # one exchange brings a text and the head of the next one together
-    kind = docs.schema[id_col].dataType.simpleString()
-    ends = F.array(F.struct("rn", "doc_id", "text", F.lit(None).cast("string").alias("lent")),
-                   F.struct(F.pmod(F.col("rn") - 1, F.lit(max(n, 1))).alias("rn"), F.lit(None).cast(kind).alias("doc_id"),
-                            F.lit(None).cast("string").alias("text"), "lent"))
-    pair = x.select(F.explode(ends).alias("e")).select("e.*").groupBy("rn").agg(
-        F.first("doc_id", True).alias("doc_id"), F.first("text", True).alias("text"), F.first("lent", True).alias("lent"))
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"), F.col("lent"))
-    pair = pair.select("rn", "doc_id", "text", edited.alias("edited"))
-    about = pair.select("rn", "doc_id", F.length("text").cast("long").alias("n_chars"),
+    texts = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"), F.xxhash64(F.col(id_col)).alias("k1"),
+                        F.xxhash64(t).alias("k2"))
+    place = materialise(neighbours(texts.select("k1", "k2", "doc_id", F.length("text").cast("long").alias("n_chars"))),
+                        "neighbours")
+    # texts move once, to their key's partition; what a text lends moves to the one before
+    own = texts.groupBy("k1", "k2").agg(F.first(F.struct("doc_id", "text")).alias("d")).join(place, ["k1", "k2"])
+    lent = own.select(F.col("p1").alias("h1"), F.col("p2").alias("h2"),
+                      F.expr("substring(d.text, 1, int(floor(prev_chars / 2)))").alias("lent"))
+    pair = own.join(lent, (own["k1"] == lent["h1"]) & (own["k2"] == lent["h2"]))
+    edited = F.concat(F.expr("substring(d.text, 1, char_length(d.text) - int(floor(char_length(d.text) / 2)))"), "lent")
+    pair = pair.select("k1", "k2", "p1", "p2", "d", edited.alias("edited"))
+    about = pair.select("k1", "k2", "p1", "p2", "d.doc_id", F.length("d.text").cast("long").alias("n_chars"),
                         F.sha2("edited", 256).alias("edited_sha256"))
-    sided = pair.select("rn", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
-                                                F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("v"))
-    sig = signatures(sided.select("rn", "v.side", F.col("v.t").alias("text")), ["rn", "side"], "text", samples)
-    both = about.join(sig.groupBy("rn").agg(F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("sig"),
-                                            F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("edited_sig")), "rn")
+    sided = pair.select("k1", "k2", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("d.text").alias("t")),
+        F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("v"))
+    sig = signatures(sided.select("k1", "k2", "v.side", F.col("v.t").alias("text")), ["k1", "k2", "side"], "text", samples)
+    both = about.join(sig.groupBy("k1", "k2").agg(
+        F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("sig"),
+        F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("edited_sig")), ["k1", "k2"])
     both = materialise(both, "fingerprints")  # read twice below
-    following = both.select(F.pmod(F.col("rn") - 1, F.lit(max(n, 1))).alias("rn"), F.col("sig").alias("next_sig"))
-    y = both.join(following, "rn")
+    following = both.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.col("sig").alias("next_sig"))
+    y = both.join(following, ["k1", "k2"])
     return y.select("doc_id", "n_chars", "edited_sha256", "sig", "edited_sig",
                     likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
                     likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))

@@ -83,27 +83,38 @@ class HashEncoder:
         return out
 
 
+_ENCODERS: dict[object, object] = {}   # in a Python worker: encoders by their key
+
+
 def embed_text(df: DataFrame, col: str, out: str = "embedding",
-               encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]] = HashEncoder) -> DataFrame:
-    """Add ``out`` = encoder(text) as array<double>. The factory runs
-    once per Python worker; batches arrive through Arrow. Encoding is CPU
-    work per row, so input with fewer partitions than twice the cores is
-    spread first (never the case for large inputs)."""
-    state: dict[str, object] = {}
+               encoder_factory: Callable[..., Callable[[list[str]], np.ndarray]] = HashEncoder,
+               encoder_key: object = None, pooling: str | None = None, max_len: int | None = None,
+               partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = encoder(text) as array<double>. The factory runs once per
+    Python worker and ``encoder_key`` (default: the factory's name and parameters; name one
+    for a lambda); batches arrive through Arrow. ``pooling`` (``'cls'`` or ``'mean'``) is
+    handed to the factory; ``max_len`` keeps a text's first so many space-separated tokens,
+    as a tokenizer's truncation does. ``partitions`` spreads the rows first, for few large ones."""
+    options = {} if pooling is None else {"pooling": pooling}
+    key = (encoder_key or f"{encoder_factory.__module__}.{getattr(encoder_factory, '__qualname__', repr(encoder_factory))}",
+           tuple(options.items()))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = state.get("m")
-        if model is None:
-            model = state["m"] = encoder_factory()
-        for s in batches:
-            m = model(s.tolist())
-            yield pd.Series(list(m))
+        from recsift.operators import embed as here
 
-    want = df.sparkSession.sparkContext.defaultParallelism * 2
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df.withColumn(out, enc(F.col(col)))
+        if key not in here._ENCODERS:
+            here._ENCODERS[key] = encoder_factory(**options)
+        model = here._ENCODERS[key]
+        for s in batches:
+            yield pd.Series(list(model(s.tolist())))
+
+    text = F.col(col)
+    if max_len is not None:
+        text = F.substring_index(text, " ", max_len)
+    if partitions is not None:
+        df = df.repartition(partitions)
+    return df.withColumn(out, enc(text))
 
 
 def mean_pool(tokens: DataFrame, group: str | list[str], vec: str, weight: str | None = None,

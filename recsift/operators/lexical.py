@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
 from ..functions.text import tokenize
-from ..session import stable
+from ..session import stored
 
 
 @dataclass
@@ -40,19 +40,23 @@ def build_bm25(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_wo
     """Term frequencies, document frequencies, idf = ln(N-df+.5) - ln(df+.5);
     a negative idf is replaced by eps × mean idf (mean over all terms).
 
-    The corpus is tokenised once: postings and term statistics are written
-    to the reliable checkpoint folder (the index), and the three corpus
-    scalars come back as one aggregate row."""
-    toks = doc_tokens(docs, doc, text, stop_words).withColumn("dl", F.size("_toks"))
-    postings = stable(toks.select(doc, "dl", F.explode_outer("_toks").alias("term"))
-                      .groupBy(doc, "term").agg(F.count("term").alias("tf"), F.first("dl").alias("dl")))
-    per_doc = postings.groupBy(doc).agg(F.first("dl").alias("dl"))
-    row = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    Texts never move: a document's terms are counted inside its row (sorted tokens, places
+    where the token changes), N and the average length come from the scan, and only
+    (term, count) partial sums are shuffled. The counted documents are stored once, as
+    columns; the three corpus scalars come back as one aggregate row."""
+    toks = doc_tokens(docs, doc, text, stop_words).select(
+        doc, F.size("_toks").alias("dl"), F.sort_array("_toks").alias("_s"))
+    starts = F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (
+        F.get("_s", i) != F.get("_s", i - 1)))).otherwise(F.array().cast("array<int>"))
+    toks = toks.withColumn("_at", starts)
+    counted = stored(toks.select(doc, "dl", F.transform("_at", lambda p, i: F.struct(
+        F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_s")) - p).cast("long").alias("tf"))).alias("terms")))
+    row = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = int(row["n"]), float(row["avgdl"] or 0.0)
-    postings = postings.filter(F.col("term").isNotNull())  # documents without tokens only count in N and avgdl
+    postings = counted.select(doc, F.explode("terms").alias("_t"), "dl").select(doc, "_t.term", "_t.tf", "dl")
     idf = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
            .withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    idf = stable(idf)
+    idf = stored(idf)
     mean_idf = float(idf.agg(F.avg("idf")).first()[0] or 0.0)
     terms = idf.withColumn("idf_used", F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.lit(eps * mean_idf)))
     return BM25Index(postings, terms, n_docs, avgdl, mean_idf, doc)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .interactions import ITEM, TS, USER, chronological_rank_stats, timestamp_split_col, with_history
+from ..session import stable
 from .numbering import dense_ids
 
 SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
@@ -34,6 +35,22 @@ def prepare_sequences(ix: DataFrame, items: DataFrame, t_valid: int, t_test: int
     return out.withColumn("split", timestamp_split_col(ts, t_valid, t_test))
 
 
+def process_histories(rows: DataFrame, items: DataFrame, max_len: int = 50, history: str = "history",
+                      item: str = ITEM) -> DataFrame:
+    """P8-P10 on ready split rows with a ``history`` array: items without metadata leave the
+    histories, the last ``max_len`` stay, and rows with an unknown target or an empty
+    history are dropped. Histories are exploded with their row's number and position, joined
+    with the items and gathered again, so no item list travels whole."""
+    known = items.select(F.col(item).alias("_known")).filter(F.col("_known").isNotNull()).distinct()
+    x = stable(rows.withColumn("_row", F.monotonically_increasing_id()))
+    kept = x.select("_row", F.posexplode(history).alias("_pos", "_tok")).join(known, F.col("_tok") == F.col("_known"), "left_semi")
+    gathered = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))).alias("_h"))
+    gathered = gathered.select(F.col("_row").alias("_r"), F.slice(F.transform("_h", lambda s: s["_tok"]), F.greatest(
+        F.size("_h") - max_len + 1, F.lit(1)), F.lit(max_len)).alias("_new"))
+    out = x.join(known, F.col(item) == F.col("_known"), "left_semi").join(gathered, F.col("_row") == F.col("_r"))
+    return out.withColumn(history, F.col("_new")).drop("_row", "_r", "_new")
+
+
 def _split_ord(col: str = "split"):
     c = F.col(col)
     return F.when(c == "train", 0).when(c == "valid", 1).otherwise(2)

@@ -55,6 +55,18 @@ def q_prepare_sequences(spark, sf):
                                    history_text("history").alias("history"))
 
 
+@register("process_split_files", "P8 P9 P10 D4", _q(
+    "SELECT user_id, parent_asin, \"timestamp\", split, array_to_string(h, ' ') AS history FROM seq_rows"))
+def q_process_split_files(spark, sf):
+    """From ready split rows with full histories (the K2 files) instead of raw interactions."""
+    from ..operators.interactions import timestamp_split
+
+    t_valid, t_test = _thresholds(spark, sf)
+    rows = timestamp_split(views.interactions(spark, sf), t_valid, t_test, history=True)
+    out = sq.process_histories(rows, views.items(spark, sf), MAX_LEN)
+    return out.select("user_id", "parent_asin", "timestamp", "split", history_text("history").alias("history"))
+
+
 @register("remap_users", "D5 U2", _q("SELECT * FROM user_map", _USERS))
 def q_remap_users(spark, sf):
     return sq.remap_users(_seqs(spark, sf))

@@ -137,31 +137,39 @@ def _mask_sql():
     new = (f"CASE WHEN NOT {chosen} THEN x WHEN {h(SEED + 1)} % 10 < 8 THEN CAST({tk.MASK_ID} AS BIGINT) "
            f"WHEN {h(SEED + 1)} % 10 = 8 THEN {h(SEED + 2)} % {tk.VOCAB_SIZE} ELSE x END")
     label = f"CASE WHEN {chosen} THEN x ELSE CAST(-100 AS BIGINT) END"
-    return (f"SELECT conv_id, turn, {st.ids_text('ids')} AS input_ids, "
+    both = " UNION ALL ".join(f"SELECT conv_id, turn, CAST({n} AS INTEGER) AS sentence, {st.text_to_ids(f'sent{n}')} AS ids FROM pairs"
+                              for n in (0, 1))
+    return (f"SELECT conv_id, turn, sentence, {st.ids_text('ids')} AS input_ids, "
             f"{st.ids_text(f'list_transform(ids, lambda x, i: {new})')} AS mlm_input_ids, "
             f"{st.ids_text(f'list_transform(ids, lambda x, i: {label})')} AS mlm_labels "
-            f"FROM (SELECT conv_id, turn, {st.text_to_ids('sent0')} AS ids FROM pairs)")
+            f"FROM ({both})")
 
 
 @register("mask_tokens", "D22 F15", sql(_mask_sql(), "pairs"))
 def q_mask_tokens(spark, sf):
-    p = views.pairs(spark, sf).select(
-        "conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("_k"), tk.text_to_ids("sent0").alias("input_ids"))
+    p = _sentences(spark, sf).select("conv_id", "turn", "sentence", F.concat_ws(":", "conv_id", "turn").alias("_k"),
+                                     tk.text_to_ids("text").alias("input_ids"))
     m = pr.mask_tokens(p, "_k", "input_ids", 0.15, SEED)
-    return m.select("conv_id", "turn", tk.ids_text("input_ids").alias("input_ids"),
+    return m.select("conv_id", "turn", "sentence", tk.ids_text("input_ids").alias("input_ids"),
                     tk.ids_text("mlm_input_ids").alias("mlm_input_ids"), tk.ids_text("mlm_labels").alias("mlm_labels"))
 
 
-_TOK64 = f"{st.text_to_ids('sent1')}"
+def _sentences(spark, sf):
+    """Both sentences of every pair, one row each."""
+    return views.pairs(spark, sf).select("conv_id", "turn", F.posexplode(F.array("sent0", "sent1")).alias("sentence", "text"))
+
+
+_TOK64 = " UNION ALL ".join(f"SELECT conv_id, turn, CAST({n} AS INTEGER) AS sentence, {st.text_to_ids(f'sent{n}')} AS ids FROM pairs"
+                           for n in (0, 1))
 
 
 @register("token_rows_64", "F19", sql(
-    f"SELECT conv_id, turn, "
+    f"SELECT conv_id, turn, sentence, "
     f"{st.ids_text(f'list_concat(ids[1:64], list_resize([CAST(0 AS BIGINT)], 64 - least(len(ids), 64), 0))')} "
     f"AS input_ids, "
     f"{st.ids_text('list_concat(list_resize([1], least(len(ids), 64), 1), list_resize([0], 64 - least(len(ids), 64), 0))')} "
-    f"AS attention_mask FROM (SELECT conv_id, turn, {_TOK64} AS ids FROM pairs)", "pairs"))
+    f"AS attention_mask FROM ({_TOK64})", "pairs"))
 def q_token_rows(spark, sf):
-    p = views.pairs(spark, sf).select("conv_id", "turn", tk.text_to_ids("sent1").alias("ids"))
-    return p.select("conv_id", "turn", tk.ids_text(tk.truncate_pad("ids", 64)).alias("input_ids"),
+    p = _sentences(spark, sf).select("conv_id", "turn", "sentence", tk.text_to_ids("text").alias("ids"))
+    return p.select("conv_id", "turn", "sentence", tk.ids_text(tk.truncate_pad("ids", 64)).alias("input_ids"),
                     tk.ids_text(tk.attention_mask("ids", 64)).alias("attention_mask"))

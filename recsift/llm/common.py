@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import uuid
 
@@ -34,6 +35,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results are stored by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does the same when the text has no other
     upper-case or title-case character, and is much faster than ``translate``."""

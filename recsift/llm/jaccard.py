@@ -31,7 +31,6 @@ Shingles are compared as 64-bit and whole sets as 128-bit hashes.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import materialise, prepare, release
 from .components import connected_components
 
 WORD_CACHE = 400_000
@@ -191,12 +190,6 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_
     return materialise(x.mapInArrow(run, "uid long, n long, items array<long>"), "set-items")
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of steps that are stored by now."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 # ---- the join ------------------------------------------------------------------------
 
 class JaccardJoin:
@@ -217,11 +210,11 @@ class JaccardJoin:
                                .select("key", "s1").distinct(), "light-keys")
         in_heavy = materialise(heavy.join(met(heavy), F.col("key") == F.col("k"), "left_semi")
                                .select("s1").distinct(), "heavy-sets")
-        _free(docs)
+        release(docs.sparkSession)
         ids = in_light.select("s1").unionByName(in_heavy).distinct()
         wanted = classes.join(ids, "s1", "left_semi").select("uid", "d", "s1", "s2")
         items = shingle_table(docs, wanted, self.k, id_col, text_col)
-        _free(docs)
+        release(docs.sparkSession)
         # heavy: rarest-first prefixes
         big = items.join(classes.join(in_heavy, "s1", "left_semi").select("uid"), "uid", "left_semi")
         tokens = big.select("uid", "n", F.explode("items").alias("tok"))
@@ -263,7 +256,7 @@ class JaccardJoin:
         classes = materialise(sets.filter("n > 0").groupBy("s1", "s2").agg(
             F.min("rid").alias("uid"), F.min("doc_id").alias("d"), F.first("n").alias("n")), "classes")
         lists, items = self.lists(docs, sets, classes, id_col, text_col)
-        _free(docs)
+        release(docs.sparkSession)
         # round 1: every member against its list's centre
         centre = lists.groupBy("kind", "grp").agg(F.min(F.struct(
             (F.col("n") - F.col("shared")).alias("own"), "uid", "n", "shared", "at")).alias("c"), F.count(F.lit(1)).alias("m"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -83,6 +83,7 @@ def recurring(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
     # one row a form (repeated rows of a document repeat their forms)
     words = materialise(words.groupBy("leaf", "form", "n_tokens", "at").agg(
         F.max("docs").alias("docs"), F.max("token").alias("token")), "line-tokens")
+    release(docs.sparkSession)
     most = words.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")) \
         .groupBy(F.col("leaf").alias("t_leaf"), F.col("at").alias("t_at")).agg(
             F.max(F.struct("n", "token")).alias("top"))
@@ -106,8 +107,9 @@ def recurring(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``d_id, d_hash, drop``: line numbers to drop of each document that has some."""
     lines = materialise(parse_lines(docs, id_col, text_col), "lines")
-    rec = recurring(lines, docs, id_col, text_col).select(
-        F.col("leaf").alias("r_leaf"), F.col("form").alias("r_form"), "first")
+    rec = materialise(recurring(lines, docs, id_col, text_col).select(
+        F.col("leaf").alias("r_leaf"), F.col("form").alias("r_form"), "first"), "recurring")
+    release(docs.sparkSession)
     x = lines.join(rec, (F.col("leaf") == F.col("r_leaf")) & (F.col("form") == F.col("r_form")))
     mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
     return x.filter(~mine).groupBy(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash")).agg(

@@ -8,8 +8,9 @@ classes so wide that linked sets lie in the same or in neighbouring ones; a labe
 cells. Linked sets agree on at least two whole cells, so every subset of two cells is
 enumerated as a join key.
 
-*Heavy labels (large sets): inverted lists.* With D + 1 cells, linked sets agree on at least
-one whole cell; sets that share no cell with another set are out. Over the remaining sets
+*Heavy labels (large sets): inverted lists.* With more than D cells, linked sets agree on at
+least one whole cell (so many cells that an empty one need not count); sets that share no cell
+with another set are out. Over the remaining sets
 shingles are counted; a set's shingles are ordered rarest first, and only its prefix (as many
 as a linked set could miss, plus one, shingles no other set has not counting) enters the lists.
 
@@ -31,11 +32,13 @@ Shingles are compared as 64-bit and whole sets as 128-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +47,7 @@ from .common import materialise, prepare, release
 from .components import connected_components
 
 WORD_CACHE = 400_000
+BUCKET_KEYS = 2_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -94,6 +98,15 @@ class Labels:
             self.edges.append(self.edges[-1] * self.den // self.num + 1)
         return 2 * (self.edges[label + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
+    def cells(self, label: int) -> int:
+        """Cells of a heavy label: D + 1, and as many more as a set of the label's smallest
+        size is likely to leave empty."""
+        d, m = self.difference(label), self.difference(label) + 1
+        for _ in range(20):
+            empty = m * math.exp(-self.edges[max(label - 1, 0)] / m)
+            m = d + 1 + math.ceil(empty + 3 * math.sqrt(empty))
+        return m
+
     def light(self, label: int) -> bool:
         d = self.difference(label)
         return (d + 2) * (d + 1) // 2 <= d + 1 + self.edges[label] // 2
@@ -120,7 +133,7 @@ def keys_of(s: np.ndarray, labels: Labels) -> tuple[np.ndarray, np.ndarray]:
             if d == 0:
                 continue          # different sets of these sizes are never linked
             is_light = labels.light(label)
-            m = d + 2 if is_light else d + 1
+            m = d + 2 if is_light else labels.cells(label)
             at = np.concatenate([[0], np.searchsorted(s, _cells(m)), [len(s)]])
             content = sums[at[1:]] - sums[at[:-1]]
             cell = _mix(content + (np.arange(m, dtype=np.uint64) + np.uint64(label << 32)) * _M1)
@@ -128,7 +141,10 @@ def keys_of(s: np.ndarray, labels: Labels) -> tuple[np.ndarray, np.ndarray]:
                 i, j = _subsets(m)
                 light.append(_mix(cell[i] * _M3 + cell[j]))
             else:
-                heavy.append(cell)
+                # two sets agree on m - d cells; with no more than m - d - 1 empty ones in either
+                # set, one of the others is among them
+                full = at[1:] > at[:-1]
+                heavy.append(cell[full] if m - full.sum() <= m - d - 1 else cell)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return join(light), join(heavy)
 
@@ -190,6 +206,66 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_
     return materialise(x.mapInArrow(run, "uid long, n long, items array<long>"), "set-items")
 
 
+def _met(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, set): the sets that share a key with another set, and one row a key."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    key, owner = pairs[:, 0], pairs[:, 1]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+    sizes = np.diff(np.r_[starts, len(key)])
+    return np.unique(owner[np.repeat(shared, sizes)]), pairs[starts]
+
+
+def sharing_sets(sets: DataFrame, keys: str = "heavy") -> DataFrame:
+    """``s1`` of the sets that share a key with a different set. Tasks find the meetings among
+    their own rows and send one row a key on (so a frequent key sends one row a task), packed
+    by key bucket; a bucket holds about ``BUCKET_KEYS`` keys at any size of the input."""
+    total = sets.agg(F.sum(F.size(keys))).first()[0] or 0
+    buckets = int(total // BUCKET_KEYS) + 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            if not n:
+                return
+            met, rest = _met(np.concatenate(held))
+            for kind, rows, by in ((0, rest, rest[:, 0] if len(rest) else rest), (1, met, met)):
+                if len(rows) == 0:
+                    continue
+                bucket = (by.view(np.uint64) if by.flags.c_contiguous else by.copy().view(np.uint64)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                rows, bucket = rows[order], bucket[order].astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends = np.r_[starts[1:], len(rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[starts], pa.int64()), pa.array([kind] * len(starts), pa.int32()),
+                     pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
+                    names=["bucket", "kind", "data"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False),
+                              pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            held.append(np.column_stack([flat, owner]))
+            n += len(flat)
+            if n > 2 * BUCKET_KEYS:
+                yield from flush()
+                held, n = [], 0
+        yield from flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+        rows = np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == 0), dtype=np.int64).reshape(-1, 2)
+        done = np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == 1), dtype=np.int64)
+        met = _met(rows)[0] if len(rows) else rows[:, 0]
+        return pa.table({"s1": np.unique(np.concatenate([met, done]))})
+
+    packed = sets.select("s1", keys).filter(F.size(keys) > 0).mapInArrow(send, "bucket long, kind int, data binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "s1 long").distinct()
+
+
 # ---- the join ------------------------------------------------------------------------
 
 class JaccardJoin:
@@ -203,13 +279,11 @@ class JaccardJoin:
     def lists(self, docs: DataFrame, sets: DataFrame, classes: DataFrame, id_col: str, text_col: str):
         """Stored lists (grp, kind, uid, n, shared) and the shingle table behind them."""
         light = sets.select("s1", "n", F.explode("light").alias("key"))
-        heavy = sets.select("s1", F.explode("heavy").alias("key"))
         met = lambda x: x.groupBy(F.col("key").alias("k")).agg(
             F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("k")
         in_light = materialise(light.join(met(light), F.col("key") == F.col("k"), "left_semi")
                                .select("key", "s1").distinct(), "light-keys")
-        in_heavy = materialise(heavy.join(met(heavy), F.col("key") == F.col("k"), "left_semi")
-                               .select("s1").distinct(), "heavy-sets")
+        in_heavy = materialise(sharing_sets(sets), "heavy-sets")
         release(docs.sparkSession)
         ids = in_light.select("s1").unionByName(in_heavy).distinct()
         wanted = classes.join(ids, "s1", "left_semi").select("uid", "d", "s1", "s2")

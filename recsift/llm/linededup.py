@@ -1,17 +1,19 @@
 """Line dedup by a log-template tree (DataFrame functions only).
 
-Every line is parsed at fixed depth: tokens with digits become ``<*>``; the leaf is the
-number of tokens and the first ``DEPTH`` tokens. Inside a leaf the template keeps, for each
-later place, the token most of the leaf's (document, line) pairs have there; places on which
-lines differ are variable fields. A line belongs to its leaf's template when at least
-``SIMILARITY`` of its tokens agree with it, else to the template of its own masked form.
+Every line is parsed at fixed depth: tokens (separated by spaces) with digits become
+``<*>``; the leaf is the number of tokens and the first ``DEPTH`` tokens. The later tokens are
+cut into at most ``PLACES`` places (one token each in lines that are not longer), kept as
+hashes. Inside a leaf the template keeps, for each place, what most of the leaf's (document,
+line) pairs have there; places on which lines differ are variable fields. A line belongs to
+its leaf's template when at least ``SIMILARITY`` of its tokens, counted by places, agree with it,
+else to the template of its own masked form.
 
 A template that occurs in several documents recurs: its lines are dropped from all documents
 but the first (smallest doc_id), so no text is lost from the corpus. Short lines need more
 documents, since they may agree by chance, and very short ones are never dropped.
 
-Leaves and templates are only ever counted, never collected: the tokens of a leaf are looked
-at one representative per different line, and only for leaves with several.
+Leaves and templates are only ever counted, never collected: the places of a leaf are looked
+at once per different line, and only for leaves with several.
 
 Defined cases: a null text stays null, an empty one empty; empty lines are kept; rows with
 equal (doc_id, text) are one document and get the same result; a null doc_id comes first; an
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise, release
 
 DEPTH = 3
+PLACES = 16
 SIMILARITY = 0.8
 MIN_TOKENS = 3                     # shorter lines are kept
 SHORT_TOKENS, SHORT_DOCS = 10, 5   # lines below SHORT_TOKENS need SHORT_DOCS documents
@@ -38,7 +41,7 @@ def masked(line: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(masked(line), r"[\s\xA0]+"), lambda t: t != "")
+    return F.array_remove(F.split(masked(line), " "), "")
 
 
 def _leaf(tok: Column) -> Column:
@@ -46,51 +49,51 @@ def _leaf(tok: Column) -> Column:
 
 
 def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, pos, n_tokens, leaf, form`` of all lines of ``MIN_TOKENS`` or more."""
+    """``doc_id, text_hash, pos, n_tokens, leaf, form, places`` of all lines of ``MIN_TOKENS`` or more."""
     x = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
                     F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    x = x.select("doc_id", "text_hash", "pos", tokens(F.col("line")).alias("tok"))
+    x = x.select("doc_id", "text_hash", "pos", tokens(F.col("line")).alias("tok")).filter(F.size("tok") >= MIN_TOKENS)
+    later = F.size("tok") - DEPTH
+    places = F.least(later, F.lit(PLACES))
+    cut = lambda p: F.floor(p * later / places).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), places - 1), lambda p: F.hash(
+        F.slice("tok", cut(p) + DEPTH + 1, cut(p + 1) - cut(p))))
     return x.select("doc_id", "text_hash", "pos", F.size("tok").alias("n_tokens"), _leaf(F.col("tok")).alias("leaf"),
-                    F.xxhash64("tok").alias("form")).filter(F.col("n_tokens") >= MIN_TOKENS)
+                    F.xxhash64("tok").alias("form"),
+                    F.when(later > 0, hashes).otherwise(F.array().cast("array<int>")).alias("places"))
 
 
 def _enough(docs: Column) -> Column:
     return docs >= F.when(F.col("n_tokens") < SHORT_TOKENS, SHORT_DOCS).otherwise(MIN_DOCS)
 
 
-def recurring(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring(lines: DataFrame) -> DataFrame:
     """``leaf, form, first``: the line forms of recurring templates, with the document that
     keeps its lines."""
     doc = F.struct("doc_id", "text_hash")
-    pairs = lines.groupBy("leaf", "form", "n_tokens", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
+    pairs = lines.select("leaf", "form", "n_tokens", "doc_id", "text_hash").distinct()
     forms = materialise(pairs.groupBy("leaf", "form", "n_tokens").agg(
-        F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")), "line-forms")
-    exact = forms.filter(_enough(F.col("docs"))).select("leaf", "form", F.col("first").alias("own"))
+        F.count(F.lit(1)).alias("docs"), F.min(doc).alias("own")), "line-forms")
+    release(lines.sparkSession)
+    exact = forms.filter(_enough(F.col("docs"))).select("leaf", "form", "own")
 
     # leaves with several forms: generalise
-    wide = forms.groupBy(F.col("leaf").alias("w_leaf")).agg(F.count(F.lit(1)).alias("n")).filter(
-        "n > 1").select("w_leaf")
-    cand = forms.join(wide, F.col("leaf") == F.col("w_leaf"), "left_semi").filter(F.col("n_tokens") > DEPTH)
-    by_doc = cand.groupBy(F.col("first.doc_id").alias("c_id"), F.col("first.text_hash").alias("c_hash")).agg(
-        F.collect_list(F.struct("first.pos", "leaf", "form", "docs", "n_tokens")).alias("want"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
-                        F.col(text_col).alias("text"))
-    got = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["c_id"]) & (texts["text_hash"] == by_doc["c_hash"]))
-    got = got.select(F.split("text", "\n", -1).alias("ls"), F.explode("want").alias("w"))
-    got = got.select("w.leaf", "w.form", "w.docs", "w.n_tokens", tokens(F.get("ls", F.col("w.pos"))).alias("tok"))
-    words = got.select("leaf", "form", "docs", "n_tokens", F.posexplode(F.slice(
-        F.col("tok"), F.lit(DEPTH + 1), F.size("tok"))).alias("at", "token"))
-    # one row a form (repeated rows of a document repeat their forms)
-    words = materialise(words.groupBy("leaf", "form", "n_tokens", "at").agg(
-        F.max("docs").alias("docs"), F.max("token").alias("token")), "line-tokens")
-    release(docs.sparkSession)
-    most = words.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")) \
+    wide = forms.groupBy(F.col("leaf").alias("w_leaf")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w_leaf")
+    cand = forms.join(wide, F.col("leaf") == F.col("w_leaf"), "left_semi").filter(F.col("n_tokens") > DEPTH) \
+        .select(F.col("leaf").alias("c_leaf"), F.col("form").alias("c_form"), "docs")
+    mine = lines.join(cand, (F.col("leaf") == F.col("c_leaf")) & (F.col("form") == F.col("c_form")))
+    mine = mine.groupBy("leaf", "form", "n_tokens", "docs").agg(F.first("places").alias("places"))
+    words = materialise(mine.select("leaf", "form", "n_tokens", "docs", F.size("places").alias("n_places"),
+                                    F.posexplode("places").alias("at", "what")), "line-places")
+    release(lines.sparkSession)
+    most = words.groupBy("leaf", "at", "what").agg(F.sum("docs").alias("n")) \
         .groupBy(F.col("leaf").alias("t_leaf"), F.col("at").alias("t_at")).agg(
-            F.max(F.struct("n", "token")).alias("top"))
+            F.max(F.struct("n", "what")).alias("top"))
     same = words.join(most, (F.col("leaf") == F.col("t_leaf")) & (F.col("at") == F.col("t_at")))
-    member = same.groupBy("leaf", "form", "n_tokens").agg(
-        F.sum((F.col("token") == F.col("top.token")).cast("int")).alias("agree")) \
-        .filter((F.col("agree") + DEPTH) >= F.col("n_tokens") * SIMILARITY).select("leaf", "form", "n_tokens")
+    member = same.groupBy("leaf", "form", "n_tokens", "n_places").agg(
+        F.sum((F.col("what") == F.col("top.what")).cast("int")).alias("agree"))
+    alike = DEPTH + F.col("agree") / F.col("n_places") * (F.col("n_tokens") - DEPTH)
+    member = materialise(member.filter(alike >= F.col("n_tokens") * SIMILARITY).select("leaf", "form", "n_tokens"), "line-members")
     inside = member.select(F.col("leaf").alias("m_leaf"), F.col("form").alias("m_form"))
     # distinct documents of the generalised template
     of = pairs.join(inside, (F.col("leaf") == F.col("m_leaf")) & (F.col("form") == F.col("m_form")), "left_semi")
@@ -101,13 +104,13 @@ def recurring(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
     both = exact.withColumn("whole", F.lit(None).cast(wide_forms.schema["whole"].dataType)).unionByName(
         wide_forms.withColumn("own", F.lit(None).cast(exact.schema["own"].dataType)))
     return both.groupBy("leaf", "form").agg(F.max("whole").alias("whole"), F.max("own").alias("own")).select(
-        "leaf", "form", F.coalesce(F.col("whole"), F.struct(F.col("own.doc_id"), F.col("own.text_hash"))).alias("first"))
+        "leaf", "form", F.coalesce("whole", "own").alias("first"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``d_id, d_hash, drop``: line numbers to drop of each document that has some."""
     lines = materialise(parse_lines(docs, id_col, text_col), "lines")
-    rec = materialise(recurring(lines, docs, id_col, text_col).select(
+    rec = materialise(recurring(lines).select(
         F.col("leaf").alias("r_leaf"), F.col("form").alias("r_form"), "first"), "recurring")
     release(docs.sparkSession)
     x = lines.join(rec, (F.col("leaf") == F.col("r_leaf")) & (F.col("form") == F.col("r_form")))

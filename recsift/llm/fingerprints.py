@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import global_row_number
 from .common import materialise
 
-SAMPLES = 16
+SAMPLES = 32
 DRAWS_PER_ROW = 4     # draws in one expression: more would outgrow what the JVM compiles
 TABLE_BITS = 12
 ID_BITS = 29          # bits of a sample's identity kept below the ordered ln a

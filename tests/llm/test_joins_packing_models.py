@@ -209,8 +209,7 @@ def test_deobfuscation():
     for raw, want in (("l0s3r", "loser"), ("stuuupid", "stupid"), ("tr@sh!!", "trash"), ("m0r0n###", "moron"), ("w.o.r.t.h.l.e.s.s", "worthless"),
                       ("$tup1d", "stupid"), ("letter", "letter"), ("1234", "1234"), ("cla$$", "class")):
         assert toxicity.restore(raw, lm) == want, raw
-    assert toxicity.restore_text("you i d i o t , HELLO", lm) == "you idiot , hello".replace(",", "")[:9] + "  hello" or \
-        "idiot" in toxicity.restore_text("you i d i o t , HELLO", lm).split()
+    assert "idiot" in toxicity.restore_text("you i d i o t , HELLO", lm).split()
 
 
 def test_toxicity(spark):

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialise, release
 
 DEPTH = 3
-PLACES = 16
+PLACE_BITS = 4
+PLACES = 1 << PLACE_BITS
 SIMILARITY = 0.8
 MIN_TOKENS = 3                     # shorter lines are kept
 SHORT_TOKENS, SHORT_DOCS = 10, 5   # lines below SHORT_TOKENS need SHORT_DOCS documents
@@ -54,13 +55,13 @@ def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     x = x.select("doc_id", "text_hash", "pos", tokens(F.col("line")).alias("tok")).filter(F.size("tok") >= MIN_TOKENS)
     later = F.size("tok") - DEPTH
-    places = F.least(later, F.lit(PLACES))
-    cut = lambda p: F.floor(p * later / places).cast("int")
-    hashes = F.transform(F.sequence(F.lit(0), places - 1), lambda p: F.hash(
-        F.slice("tok", cut(p) + DEPTH + 1, cut(p + 1) - cut(p))))
+    cut = lambda p: F.shiftright(p * later, PLACE_BITS)
+    hashes = F.when(later <= PLACES, F.transform(F.slice("tok", F.lit(DEPTH + 1), F.greatest(later, F.lit(0))), lambda t: F.hash(t))) \
+        .otherwise(F.transform(F.lit(list(range(PLACES))), lambda p: F.hash(
+            F.slice("tok", cut(p) + DEPTH + 1, cut(p + 1) - cut(p)))))
     return x.select("doc_id", "text_hash", "pos", F.size("tok").alias("n_tokens"), _leaf(F.col("tok")).alias("leaf"),
                     F.xxhash64("tok").alias("form"),
-                    F.when(later > 0, hashes).otherwise(F.array().cast("array<int>")).alias("places"))
+                    hashes.alias("places"))
 
 
 def _enough(docs: Column) -> Column:

@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go (no fold is held out here)."""
     prepare(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out=None)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.score(rows, model, ["row"]).filter(F.col("predicted") == 0).select("row.*")
+    scored = toxicity.score(docs, model, docs.columns, names=("__score", "__predicted"))
+    return scored.filter(F.col("__predicted") == 0).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,7 +292,9 @@ class JaccardJoin:
         # heavy: rarest-first prefixes
         big = items.join(classes.join(in_heavy, "s1", "left_semi").select("uid"), "uid", "left_semi")
         tokens = big.select("uid", "n", F.explode("items").alias("tok"))
-        df = tokens.groupBy(F.col("tok").alias("t")).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        df = materialise(tokens.groupBy(F.col("tok").alias("t")).agg(F.count(F.lit(1)).alias("df")).filter("df > 1"),
+                         "set-counts")
+        release(docs.sparkSession)
         own = Window.partitionBy("uid")
         shared = tokens.join(df, F.col("tok") == F.col("t")).select("uid", "n", "tok", "df")
         shared = shared.withColumn("shared", F.count(F.lit(1)).over(own)) \

@@ -26,7 +26,7 @@ Every pair of linked sets shares a list, so the components are those of all link
 Defined cases: null or empty text, or text without words: empty set, n_shingles 0, linked with
 nothing; fewer words than ``k``: the sequence is the only shingle; repeated rows are copies of
 one class; a null doc_id is never a component's smallest id (a class of null ids only has a
-null component_id); an empty table gives an empty result; other columns are ignored.
+null component_id); one doc_id may stand for several texts; an empty table gives an empty result; other columns are ignored.
 Shingles are compared as 64-bit and whole sets as 128-bit hashes.
 """
 
@@ -162,8 +162,12 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(xxhash.xxh64_intdigest(raw, seed) - (1 << 63) for seed in (0, 1))
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def set_table(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored ``rid, doc_id, n, s1, s2, light, heavy``: one row per document."""
+    """Stored ``rid, doc_id, text_hash, n, s1, s2, light, heavy``: one row per document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,20 +179,23 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
                 keys = [keys_of(s, labels) for s in sets]
                 sig = [_signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()),
                      _lists([x[0] for x in keys]), _lists([x[1] for x in keys])],
-                    names=["doc_id", "n", "s1", "s2", "light", "heavy"])
+                    names=["doc_id", "text_hash", "n", "s1", "s2", "light", "heavy"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n long, s1 long, s2 long, light array<long>, heavy array<long>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       text_hash(text_col).alias("text_hash")).mapInArrow(
+        run, f"doc_id {kind}, text_hash long, n long, s1 long, s2 long, light array<long>, heavy array<long>")
     return materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored ``uid, n, items`` of the wanted classes (uid, d = a document, s1, s2)."""
-    x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    x = x.join(wanted, x["doc_id"].eqNullSafe(wanted["d"])).select("uid", "s1", "s2", "text")
+    """Stored ``uid, n, items`` of the wanted classes (uid, own = a document's
+    id and text hash, s1, s2)."""
+    x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                    text_hash(text_col).alias("text_hash"))
+    x = x.join(wanted, x["doc_id"].eqNullSafe(wanted["own.doc_id"]) & (x["text_hash"] == wanted["own.text_hash"])).select("uid", "s1", "s2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -197,7 +204,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_
                 batch = whole.slice(start, 500)
                 uids, s1, s2, texts = (batch.column(i).to_pylist() for i in range(4))
                 sets = [shingles(t, known, k) for t in texts]
-                # a document id may stand for several texts
+                # only if the text hash is that of two texts of a document id
                 good = [i for i, s in enumerate(sets) if _signature(s) == (s1[i], s2[i])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uids[i] for i in good], pa.int64()), pa.array([len(sets[i]) for i in good], pa.int64()),
@@ -286,7 +293,7 @@ class JaccardJoin:
         in_heavy = materialise(sharing_sets(sets), "heavy-sets")
         release(docs.sparkSession)
         ids = in_light.select("s1").unionByName(in_heavy).distinct()
-        wanted = classes.join(ids, "s1", "left_semi").select("uid", "d", "s1", "s2")
+        wanted = classes.join(ids, "s1", "left_semi").select("uid", "own", "s1", "s2")
         items = shingle_table(docs, wanted, self.k, id_col, text_col)
         release(docs.sparkSession)
         # heavy: rarest-first prefixes
@@ -326,11 +333,13 @@ class JaccardJoin:
         return materialise(x.filter(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b").distinct(), "links")
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``doc_id, n_shingles, component_id``."""
+        """``doc_id, text_hash, n_shingles, component_id, first``; ``first`` is the component's document
+        (smallest doc_id, a null one last; then text hash), null for a document without words."""
         prepare(docs.sparkSession)
         sets = set_table(docs, self.k, self.num, self.den, id_col, text_col)
         classes = materialise(sets.filter("n > 0").groupBy("s1", "s2").agg(
-            F.min("rid").alias("uid"), F.min("doc_id").alias("d"), F.first("n").alias("n")), "classes")
+            F.min("rid").alias("uid"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("own"), F.first("n").alias("n")), "classes")
         lists, items = self.lists(docs, sets, classes, id_col, text_col)
         release(docs.sparkSession)
         # round 1: every member against its list's centre
@@ -358,20 +367,24 @@ class JaccardJoin:
         comps = connected_components(links)
         # back to documents
         of = classes.join(comps, F.col("uid") == F.col("node"), "left").select(
-            F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("comp", "uid").alias("comp"), "d")
-        low = of.groupBy(F.col("comp").alias("low")).agg(F.min("d").alias("component_id"))
-        of = of.join(low, F.col("comp") == F.col("low")).select("c1", "c2", "component_id")
+            F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("comp", "uid").alias("comp"), "own")
+        low = of.groupBy(F.col("comp").alias("low")).agg(F.min("own").alias("first"))
+        of = of.join(low, F.col("comp") == F.col("low")).select("c1", "c2", "first")
         out = sets.join(of, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0), "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), "rid",
-                          F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "rid", "first",
+                          F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
     def keep_one(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``docs`` with only the smallest doc_id of every component (documents without
-        words are kept; repeated rows of the kept document are one)."""
+        """``docs`` with only the smallest doc_id of every component, and of its texts one
+        (documents without words are kept; rows of equal doc_id and text are one). A null doc_id
+        names no document: such rows are told apart by their texts."""
         found = self.components(docs, id_col, text_col)
-        kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-            F.col("doc_id").alias("__keep")).distinct()
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi").dropDuplicates([id_col])
+        first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash"))
+        kept = found.filter((F.col("n_shingles") == 0) | first).select(
+            F.col("doc_id").alias("__keep"), F.col("text_hash").alias("__keep_hash")).distinct()
+        x = docs.withColumn("__hash", text_hash(text_col))
+        x = x.join(kept, x[id_col].eqNullSafe(kept["__keep"]) & (x["__hash"] == kept["__keep_hash"]), "left_semi")
+        return x.dropDuplicates([id_col, "__hash"]).drop("__hash")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -80,6 +80,21 @@ def test_jaccard_join_edge_rows(spark):
     assert jaccard.JaccardJoin().keep_one(df.filter("doc_id = 7")).count() == 1
 
 
+def test_keep_one_goes_by_id_and_text(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "a b c d e f"), (None, "u v w x y z"), (None, ""), (None, None), (None, "a b c d e f"),   # unlinked
+            (7, "first text of seven here"), (7, "other text of the same id"), (7, "other text of the same id"),
+            (1, base), (9, base + " w40"), (9, "nine has a text of its own"), (None, base)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
+    out = jaccard.JaccardJoin().keep_one(df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted({r for r in rows if r not in ((9, base + " w40"), (None, base))}, key=str)
+    # a component of null ids only keeps one of its texts, whatever else has no id
+    nulls = spark.createDataFrame([(None, base), (None, base + " w40"), (None, "x y z a b")], "doc_id long, text string")
+    assert sorted(r["text"] in (base, base + " w40") for r in jaccard.JaccardJoin().keep_one(nulls).collect()) == [False, True]
+
+
 def test_light_and_heavy_labels():
     labels = jaccard.Labels(90, 100)
     kinds = [labels.light(x) for x in range(60)]

@@ -123,6 +123,25 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(many).filter("text like 'see%'").count() == 1
 
 
+def test_line_dedup_compares_every_token_of_long_lines(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    long = [word() for _ in range(57)]
+    other = long[:3] + [word() for _ in range(54)]             # the leaf's second template
+    third = long[:3] + [word() for _ in range(54)]
+
+    def changed(line, *at):
+        return " ".join(word() if i in at else w for i, w in enumerate(line))
+    near = (5, 20, 33, 40)                                     # 53 of 57 agree
+    far = range(3, 17)                                         # 43 of 57 agree
+    docs = [(1, changed(long)), (2, changed(long, *near)), (3, changed(long, *far)), (4, changed(other)),
+            (5, changed(other, *near)), (6, changed(third, 50, 51)), (7, changed(third, 10, 11, 12, 13, 14)),
+            (8, changed(long, 6, 26))]
+    df = spark.createDataFrame([(i, f"{line}\nown {word()} {word()} {word()}") for i, line in docs], "doc_id long, text string")
+    got = {r["doc_id"]: "\n" not in r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: True}
+
+
 def _jaccard(a, b):
     a, b = Counter(a.split()), Counter(b.split())
     keys = a.keys() | b.keys()

@@ -37,6 +37,7 @@ BROADCAST_BYTES = 256 << 20
 QUERY_BLOCK_ROWS = 4096
 ITEM_BLOCK_ROWS = 32768
 SCORE_ROWS = 512     # queries scored against a block at once
+RECALL_QUERIES = 1000   # queries on which recall is measured
 DIGITS = 6           # decimal places of a score in rankings
 
 
@@ -355,6 +356,30 @@ def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
     return top_k(cand, qid, item, k)
 
 
+def probes_for_recall(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, target: float = 0.9,
+                      sample: int = RECALL_QUERIES, qid: str = "qid", qvec: str = "vec", item: str = "item_id",
+                      seed: int = 42) -> int:
+    """The smallest number of cells to probe at which recall@k against exact search reaches
+    ``target``. At most ``sample`` queries (by hash) are searched exactly over all items, and each true
+    neighbour is found as soon as its cell is probed; when there are more queries, two standard
+    errors of the mean are left as margin."""
+    some = stable(queries.select(qid, qvec).orderBy(F.xxhash64(F.col(qid), F.lit(seed)), qid).limit(sample))
+    rows = some.toPandas()
+    if not len(rows):
+        return 1
+    true = dense_rank(some, assign.select(item, F.col("_u").alias("vec")), k, qid=qid, qvec=qvec, item=item, ivec="vec")
+    true = true.select(qid, item).join(assign.select(item, "cell"), item).select(qid, "cell").toPandas()
+    order = np.argsort(-(_matrix(rows[qvec], True) @ centroids.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)          # of each cell, by query
+    at = place[pd.Index(rows[qid]).get_indexer(true[qid]), true["cell"].to_numpy()]
+    for n_probe in range(1, centroids.shape[0]):
+        found = pd.Series(at < n_probe, dtype=float).groupby(true[qid].to_numpy()).mean()
+        margin = 2 * found.std(ddof=0) / math.sqrt(len(found)) if len(rows) == sample else 0.0
+        if found.mean() - margin >= target:
+            return n_probe
+    return centroids.shape[0]
+
+
 # ------------------------------------------------------------------ J9 / D16 / U3
 def align_vectors(id_map: DataFrame, vectors: DataFrame, dim: int, id_col: str = "id", vec_col: str = "vec",
                   row_col: str = "row", first_id: int = 1, pad_id: int | None = 0) -> DataFrame:

@@ -74,6 +74,20 @@ def test_ivf_all_cells_equals_exact(spark):
     assert 0 < some <= 80
 
 
+def test_registered_index_search_reaches_recall(spark):
+    import __spark_entry__
+    from recsift.sources import views
+
+    sf = "/root/testdata/sf0.01"
+    got = __spark_entry__.queries()["ivf_search_probe2"](spark, sf)
+    v = views.vectors(spark, sf).select("vec_id", F.col("embedding").alias("vec"))
+    q, items = v.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "qid"), v.withColumnRenamed("vec_id", "item_id")
+    exact = {(r.qid, r.item_id) for r in dn.dense_rank(q, items, 10).collect()}
+    found = {(r.qid, r.item_id) for r in got.collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert {r.qid for r in q.select("qid").collect()} <= {i for _, i in found}   # queries are indexed, too
+
+
 def test_bm25_negative_idf_uses_eps(spark):
     docs = spark.createDataFrame([(1, "common alpha"), (2, "common beta"), (3, "common gamma")], "doc_id long, text string")
     idx = lx.build_bm25(docs, eps=0.25)

@@ -2,9 +2,12 @@
 
 Learning: character n-grams of the words of all training texts are counted by language.
 An n-gram belongs to a language when its relative frequency there reaches ``FLOOR`` times
-its highest one in any language (so a stray foreign passage sets no bits). The sets of all
-languages go into one bit-sliced Bloom filter: ``slots`` words whose bit ``b`` belongs to
-language ``b``; an n-gram sets its mask in ``HASHES`` slots.
+its highest one in any language (so a stray foreign passage sets no bits), and ``RARE`` of all
+n-grams of the language (so the noise of a large corpus sets none, and a language has at most
+``1 / RARE`` of them). The sets of all languages go into one bit-sliced Bloom filter: ``slots`` words whose bit ``b`` belongs to
+language ``b``; an n-gram sets its mask in ``HASHES`` slots. There are at least ``SLOTS_PER_GRAM``
+slots for every different n-gram, however many there are, so false positives stay below
+``(HASHES / SLOTS_PER_GRAM) ** HASHES``.
 
 Prediction: the AND of an n-gram's slots gives all languages that contain it. Per-language
 popcounts over the text, corrected for each language's false-positive rate
@@ -33,7 +36,8 @@ from .common import prepare
 SIZES = (2, 3, 4)          # n-gram lengths, a word being framed by spaces
 FLOOR = 0.05
 HASHES = 3
-SLOTS_PER_GRAM, MAX_SLOTS = 12, 1 << 21   # the filter takes 8 bytes a slot and 62 languages
+RARE = 1e-6
+SLOTS_PER_GRAM = 12        # the filter takes 8 bytes a slot and 62 languages
 MASK_BITS = 62
 WORD_CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -143,12 +147,12 @@ def learn(train: DataFrame) -> Filter:
     total_of = F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))])
     bit_of = F.create_map(*[F.lit(x) for b, k in enumerate(langs) for x in (k, b)])
     x = counts.select("gram", bit_of[F.col("lang")].alias("bit"), (F.col("n") / total_of[F.col("lang")]).alias("rate"))
-    top = x.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("of"))
+    top = x.filter(F.col("rate") >= RARE).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("of"))
     member = top.select("gram", F.explode(F.filter("of", lambda r: r["rate"] >= F.col("top") * FLOOR)).alias("m"))
     member = member.select("gram", "m.bit")
-    n = counts.select("gram").distinct().count()
-    slots = 1 << max(10, min(n * SLOTS_PER_GRAM, MAX_SLOTS) - 1).bit_length() if n else 1 << 10
-    slots = min(slots, MAX_SLOTS)
+    member = materialise(member, "lang-members")
+    n = member.select("gram").distinct().count()
+    slots = 1 << (max(n * SLOTS_PER_GRAM, 1 << 10) - 1).bit_length()
     first, step = F.col("gram").bitwiseAND(slots - 1), F.shiftright("gram", 32).bitwiseAND(slots - 1).bitwiseOR(F.lit(1))
     at = F.explode(F.array(*[(first + step * i).bitwiseAND(slots - 1) for i in range(HASHES)]))
     rows = member.select(at.alias("slot"), F.floor(F.col("bit") / MASK_BITS).alias("block"),

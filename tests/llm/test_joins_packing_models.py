@@ -213,6 +213,18 @@ def test_language_filter_has_no_false_negatives():
     assert f.predict("omega 7 omega")[0] == "l65" and f.predict("ALPHA")[0] == "l0"
 
 
+def test_language_filter_grows_with_the_ngrams(spark):
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [(" ".join("".join(rng.choices(letters, k=4)) for _ in range(500)), "zh") for _ in range(100)]
+    rows += [("the quick brown fox jumps over a lazy dog", "en")]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    grams = {g for t, _ in rows for w in t.split() for g in langid.grams_of(w)}
+    assert len(grams) > 300_000 and model.masks.shape[1] >= langid.SLOTS_PER_GRAM * len(grams)
+    assert max(model.false_rate) <= (langid.HASHES / langid.SLOTS_PER_GRAM) ** langid.HASHES
+    assert model.predict("a quick dog")[0] == "en"
+
+
 def test_deobfuscation():
     from collections import Counter
 

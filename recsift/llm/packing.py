@@ -52,12 +52,13 @@ class _Parts(dict):
     # apostrophes are left out: the tokenizer knows some contractions
     PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
         self.model = self.tok.model
         self.words: dict[str, bytes] = {}
         # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256
@@ -82,7 +83,7 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         if len(part) > 64:
             return self.encode(part)
-        m = self.PLAIN.fullmatch(part)
+        m = None if any(t in part for t in self.added) else self.PLAIN.fullmatch(part)
         ids = b"".join([self.word(g) for g in (m[1], m[2].lower(), m[3]) if g]) if m else self.encode(part)
         if len(self) >= WORD_CACHE:
             self.clear()
@@ -90,23 +91,25 @@ class _Parts(dict):
         return ids
 
 
-_TOKENIZERS: dict[str, _Parts] = {}   # one for each file and worker process
+_TOKENIZERS: dict[tuple[str, bool], _Parts] = {}   # one for each file, mode and worker process
 
 
-def encoder(path: str) -> _Parts:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = _Parts(path)
-    return _TOKENIZERS[path]
+def encoder(path: str, added: bool = False) -> _Parts:
+    if (path, added) not in _TOKENIZERS:
+        _TOKENIZERS[path, added] = _Parts(path, added)
+    return _TOKENIZERS[path, added]
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1,
-                    keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32[, ids], task, nth``."""
+                    keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32[, ids], task, nth``. With ``added`` the tokenizer's added
+    tokens (``<|endoftext|>``) that a text holds get their own ids, as the tokenizer is loaded;
+    else they are spelled."""
     kind = docs.schema[id_col].dataType.simpleString()
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, seen, task = encoder(tokenizer), {}, TaskContext.get().partitionId()
+        parts, seen, task = encoder(tokenizer, added), {}, TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -307,9 +310,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, groups: int = GROUPS,
-                   keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``."""
-    pieces = tokenise_pieces(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col)
+    pieces = tokenise_pieces(docs, tokenizer, capacity, end_id, keep_ids, id_col, text_col, added)
     return place(materialise(pieces, "pieces"), capacity, groups)
 
 

@@ -101,7 +101,7 @@ def tokenizer_path() -> str:
 
 @_query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
 
 
 @_query("op5_licence_scan")

@@ -185,6 +185,22 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_uses_the_tokenizer_as_loaded(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "!<|startoftext|>!! x<|endoftext|>y", "<|ENDOFTEXT|> <|other|>", "<|endoftext|>",
+             "<|endoftext|>" * 20, "one\n<|endoftext|>\ntwo", "plain text."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert 49407 in want[0] and 49406 in want[1]
+    rows = packing.pack_documents(df, tokenizer_path(), keep_ids=True, added=True).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == dict(enumerate(want))
+    staged = {r["doc_id"]: r["ids_crc32"] for r in corpus_pipeline.pack(spark, df, SF).collect()}
+    assert staged == {i: zlib.crc32(np.array(w, "<u4").tobytes()) for i, w in enumerate(want)}
+
+
 def test_language_identification(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(5000, None, "en"), (5001, "", "de"), (5002, "12 %% ²", None), (None, "der die und", None),

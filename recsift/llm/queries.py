@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, jaccard, langid, licences, linededup, packing, toxicity, warc
+from . import chat, decontam, fim, fingerprints, jaccard, langid, licences, linededup, packing, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,27 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 @_query("op10_decontaminate", DECONTAM_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+FIM_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') END AS tok FROM t),
+v AS (SELECT *, len(tok) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(tok) + 1) AS x,
+  CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(tok) + 1) AS y, CASE
+    WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+w AS (SELECT *, array_to_string(list_slice(tok, 1, least(x, y)), '') AS p,
+  array_to_string(list_slice(tok, least(x, y) + 1, greatest(x, y)), '') AS m,
+  array_to_string(list_slice(tok, greatest(x, y) + 1, n), '') AS s FROM v)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM w
+"""
+
+
+@_query("op11_fill_in_middle", FIM_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))

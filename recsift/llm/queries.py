@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, fingerprints, jaccard, langid, licences, linededup, packing, toxicity, warc
+from . import chat, decontam, fim, fingerprints, jaccard, langid, licences, linededup, packing, simhash, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,8 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 @_query("op11_fill_in_middle", FIM_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
+
+
+@_query("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, fingerprints, jaccard, langid, licences, linededup, packing, simhash, toxicity, warc
+from . import chat, decontam, fim, fingerprints, hardneg, jaccard, langid, licences, linededup, packing, simhash, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.restore(fim.transform(table(spark, sf_dir, "documents"))))
 
 
+HARD_SQL = """
+WITH x AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+d AS (SELECT len(e) AS d FROM x GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+v AS (SELECT vec_id, min_by(label, (label, e)) AS label, list_transform(min_by(e, (label, e)), lambda y: floor(256 * y)) AS i
+  FROM x, d WHERE len(e) = d.d GROUP BY vec_id),
+s AS (SELECT a.vec_id AS a, o.vec_id AS o, a.label = o.label AS same,
+    CAST(list_dot_product(a.i, o.i) AS BIGINT) AS s FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, o AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, o) <= 5),
+n AS (SELECT p.a, p.p, p.ps, s.o, s.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.s DESC, s.o) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.ps <= 100 * s.s AND 100 * s.s <= 100 * p.ps)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, o AS negative_id, ps AS positive_score, s AS negative_score
+FROM n WHERE r <= 5
+"""
+
+
+@_query("op12_hard_negatives", HARD_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"), F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 @_query("op13_simhash")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))

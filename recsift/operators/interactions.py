@@ -126,9 +126,10 @@ def chronological_rank(ix: DataFrame, user: str = USER, item: str = ITEM, ts: st
 
 
 def chronological_rank_stats(ix: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS,
-                             name: str = "rn", size_col: str | None = "n_user") -> tuple[DataFrame, int]:
+                             name: str = "rn", size_col: str | None = "n_user",
+                             count_from: DataFrame | None = None) -> tuple[DataFrame, int]:
     """:func:`chronological_rank` plus the longest user's row count."""
-    return rank_within_stats(ix, [user], [F.col(ts), F.col(item)], name, size_col)
+    return rank_within_stats(ix, [user], [F.col(ts), F.col(item)], name, size_col, count_from=count_from)
 
 
 def last_out_split(ranked: DataFrame, rank: str = "rn", size_col: str = "n_user") -> DataFrame:
@@ -156,8 +157,8 @@ def with_history(ranked: DataFrame, user: str = USER, item: str = ITEM, rank: st
       the block before it (a halo), so a frame ``rows -n..-1`` never leaves
       its block;
     * full: the in-block prefix comes from the window and the items of all
-      earlier blocks from a per-block prefix table, which exists only for
-      users longer than one block.
+      earlier blocks from a prefix table, put together per (user, block), which
+      exists only for users longer than one block.
 
     When ``max_user_rows`` (the longest user, known from the ranking pass)
     fits in one block, a single window per user is used: it needs the same
@@ -182,14 +183,14 @@ def with_history(ranked: DataFrame, user: str = USER, item: str = ITEM, rank: st
     w = Window.partitionBy(user, "_b").orderBy(rank).rowsBetween(*frame)
     rows = rows.withColumn(out, F.collect_list(item).over(w)).filter("_own").drop("_own")
     if max_len is None:
+        from .userlog import block_prefixes
+
         long_users = ranked if size_col is None else ranked.filter(F.col(size_col) > blk)
-        blocks = (long_users.withColumn("_b", F.floor((F.col(rank) - 1) / blk).cast("long"))
-                  .groupBy(user, "_b").agg(F.sort_array(F.collect_list(F.struct(rank, item))).alias("_blk")))
-        wp = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        prefix = (blocks.withColumn("_pre", F.flatten(F.collect_list("_blk").over(wp)))
-                  .filter(F.col("_b") > 0)
-                  .select(user, "_b", F.transform("_pre", lambda s: s[item]).alias("_prefix")))
-        prefix = prefix.select(F.col(user).alias("_pu"), F.col("_b").alias("_pb"), "_prefix")
+        blocks = (long_users.withColumn("_block", F.floor((F.col(rank) - 1) / blk).cast("long"))
+                  .groupBy(F.col(user).alias("_user"), "_block").agg(F.transform(F.array_sort(F.collect_list(
+                      F.struct(F.col(rank).alias("r"), F.col(item).alias("i")))), lambda s: s["i"]).alias("_items")))
+        prefix = block_prefixes(blocks).select(F.col("_user").alias("_pu"), F.col("_block").alias("_pb"),
+                                               F.col("_before").alias("_prefix"))
         rows = (rows.join(prefix, rows[user].eqNullSafe(prefix["_pu"]) & (rows["_b"] == prefix["_pb"]), "left")
                 .drop("_pu", "_pb").withColumn(out, F.when(F.col("_prefix").isNull(), F.col(out))
                             .otherwise(F.concat("_prefix", out))).drop("_prefix"))
@@ -225,6 +226,7 @@ def timestamp_split(ix: DataFrame, t_valid: int, t_test: int, history: bool = Fa
 
 # --------------------------------------------------------------------------- A10
 QUANTILE_BUCKETS = 1 << 16
+SKETCH = 10_000    # accuracy of the sketch that brackets quantiles
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -232,47 +234,60 @@ def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float]) -> list
     """Exact discrete quantiles (SQL ``percentile_disc``: the value at 1-based
     position ceil(p·N) of the sorted non-null values).
 
-    Integral columns use histogram refinement: each pass counts the values of
-    every open range in ``QUANTILE_BUCKETS`` equal buckets (a scan and a
+    Integral columns: one pass takes count, extremes and a mergeable quantile sketch
+    (``percentile_approx``), which brackets every wanted position within ``3 / SKETCH``
+    of the rows. Each further pass counts the values of every open bracket in
+    ``QUANTILE_BUCKETS`` equal buckets (a scan of the pruned source and a
     partial aggregate; at most buckets × quantiles rows reach the driver) and
-    keeps the bucket that holds the wanted position, until the range is one
-    value. A 64-bit range needs at most four passes and no sort. Other types
-    fall back to the distributed global numbering (a range sort)."""
-    x = stable(df.select(F.col(col).alias("_x")).filter(F.col("_x").isNotNull()))
-    row = x.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    n = int(row["n"])
-    if n == 0:
-        return [(float(p), None) for p in fractions]
-    want = {float(p): min(n, max(1, math.ceil(Fraction(repr(p)) * n))) for p in fractions}
+    keeps the bucket that holds the wanted position, until it is one
+    value; a bracket of up to ``QUANTILE_BUCKETS`` values ends in one pass. Nothing is written or sorted.
+    Other types fall back to the distributed global numbering (a range sort)."""
+    x = df.select(F.col(col).alias("_x")).filter(F.col("_x").isNotNull())
     if dict(df.dtypes)[col] not in _INTEGRAL:
+        x = stable(x)
+        n = x.count()
+        want = {float(p): min(n, max(1, math.ceil(Fraction(repr(p)) * n))) for p in fractions}
+        if n == 0:
+            return [(p, None) for p in want]
         numbered = global_row_number(x, [F.col("_x")], "_pos")
         got = {r["_pos"]: r["_x"] for r in numbered.filter(F.col("_pos").isin(list(set(want.values())))).collect()}
         return [(p, got[want[p]]) for p in want]
-    state = {p: [int(row["lo"]), int(row["hi"]), 0] for p in want}  # range lo, hi; rows below lo
-    while True:
-        open_ = [p for p in state if state[p][0] < state[p][1]]
-        if not open_:
-            break
+    asked = [float(p) for p in fractions]
+    ends = [min(1.0, max(0.0, p + d)) for p in asked for d in (-3 / SKETCH, 3 / SKETCH)]
+    row = x.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"),
+                F.percentile_approx("_x", ends, SKETCH).alias("q")).first()
+    n = int(row["n"])
+    if n == 0:
+        return [(p, None) for p in asked]
+    want = {p: min(n, max(1, math.ceil(Fraction(repr(p)) * n))) for p in asked}
+    state = {p: [int(row["q"][2 * i]), int(row["q"][2 * i + 1])] for i, p in enumerate(asked)}
+    done: dict[float, int] = {}
+    while len(done) < len(state):
+        open_ = [p for p in state if p not in done]
         parts, widths = [], {}
         for t, p in enumerate(open_):
-            lo, hi, _ = state[p]
+            lo, hi = state[p]
             widths[p] = w = -(-(hi - lo + 1) // QUANTILE_BUCKETS)
-            inside = (F.col("_x") >= F.lit(lo)) & (F.col("_x") <= F.lit(hi))
-            parts.append(F.when(inside, F.struct(F.lit(t).alias("t"), F.expr(f"(_x - {lo}) div {w}").alias("b"))))
+            # bucket -1 counts the rows below the bracket
+            parts.append(F.when(F.col("_x") < F.lit(lo), F.struct(F.lit(t).alias("t"), F.lit(-1).cast("long").alias("b")))
+                         .when(F.col("_x") <= F.lit(hi), F.struct(F.lit(t).alias("t"), F.expr(f"(_x - {lo}L) div {w}L").alias("b"))))
         counts = (x.select(F.explode(F.array(*parts)).alias("_s")).filter(F.col("_s").isNotNull())
                   .groupBy("_s.t", "_s.b").agg(F.count(F.lit(1)).alias("c")).collect())
         per: dict[int, list[tuple[int, int]]] = {}
         for r in counts:
             per.setdefault(r["t"], []).append((r["b"], r["c"]))
         for t, p in enumerate(open_):
-            lo, hi, below = state[p]
-            w = widths[p]
+            (lo, hi), w, below = state[p], widths[p], 0
+            state[p] = [int(row["lo"]), int(row["hi"])]     # a bracket that misses starts over
             for b, c in sorted(per.get(t, [])):
                 if below + c >= want[p]:
-                    state[p] = [lo + b * w, min(hi, lo + (b + 1) * w - 1), below]
+                    if b >= 0:
+                        state[p] = [lo + b * w, min(hi, lo + (b + 1) * w - 1)]
+                        if w == 1:
+                            done[p] = lo + b
                     break
                 below += c
-    return [(p, state[p][0]) for p in want]
+    return [(p, done[p]) for p in asked]
 
 
 def split_thresholds(df: DataFrame, fractions: Sequence[float] = (0.8, 0.9), ts: str = TS) -> DataFrame:

@@ -59,14 +59,17 @@ HOT_KEY_ROWS = 2_000_000
 HOT_KEYS_BROADCAST = 200_000
 
 
-def _rank_by_numbering(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
+def rank_by_numbering(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
                        size_col: str | None, few_keys: bool = False) -> DataFrame:
+    """Rank inside ``keys`` by the global number less the key's first one: no key meets in one task."""
     g = global_row_number(df, [*keys, *order], "_g")
     aggs = [F.min("_g").alias("_g0")]
     if size_col:
         aggs.append(F.count(F.lit(1)).alias(size_col))
-    first = g.groupBy(*keys).agg(*aggs)  # one row per hot key: a counted, bounded table
-    return g.join(F.broadcast(first) if few_keys else first, list(keys)).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+    first = g.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*aggs)  # one row per hot key: counted, bounded
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return g.join(F.broadcast(first) if few_keys else first, same).withColumn(name, F.col("_g") - F.col("_g0") + 1) \
+        .drop("_g", "_g0", *[f"_k{i}" for i in range(len(keys))])
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
@@ -76,36 +79,39 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 
 
 def rank_within_stats(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
-                      size_col: str | None = None, hot_rows: int = HOT_KEY_ROWS) -> tuple[DataFrame, int]:
+                      size_col: str | None = None, hot_rows: int = HOT_KEY_ROWS,
+                      count_from: DataFrame | None = None) -> tuple[DataFrame, int]:
     """1-based position of each row inside its ``keys`` group in ``order``
     (make it a total order); optionally ``size_col`` = rows in the group.
 
-    Rows per key are counted first (a map-side combined aggregate). Keys up
+    Rows per key are counted first, from ``count_from`` (a cheap table with the same keys and at
+    least as many rows of each, such as the source before dedup; default ``df``): a scan of
+    the key columns and a map-side combined aggregate, nothing is written. Keys up
     to ``hot_rows`` rows are ranked by one window per key; hot keys — at most
     rows / hot_rows of them, so the set is small and its size is known — are
     split off and ranked by the range-partitioned global numbering, which
     spreads a single key over many tasks. Exact for any skew. Also returns
-    the largest group size (from the same counting pass)."""
+    the largest group size (an upper bound with ``count_from``)."""
     order_c = _cols(order)
-    df = stable(df)  # read twice (key sizes, then ranks): compute the upstream plan once
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
+    names = [f"_h{i}" for i in range(len(keys))]
+    sizes = (df if count_from is None else count_from).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*names)
     st = sizes.agg(F.max("_n").alias("m"), F.sum((F.col("_n") > hot_rows).cast("long")).alias("h")).first()
     max_rows, n_hot = int(st["m"] or 0), int(st["h"] or 0)
     w = Window.partitionBy(*keys)
-    ranked_cold = df.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
-    if size_col:
-        ranked_cold = ranked_cold.withColumn(size_col, F.count(F.lit(1)).over(w))
+
+    def cold_ranks(x: DataFrame) -> DataFrame:
+        x = x.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
+        return x.withColumn(size_col, F.count(F.lit(1)).over(w)) if size_col else x
+
     if n_hot == 0:
-        return ranked_cold, max_rows
+        return cold_ranks(df), max_rows
     small_hot = n_hot <= HOT_KEYS_BROADCAST
     hot_side = F.broadcast(hot) if small_hot else hot
-    cold = df.join(hot_side, list(keys), "left_anti")
-    ranked_cold = cold.withColumn(name, F.row_number().over(w.orderBy(*order_c)).cast("long"))
-    if size_col:
-        ranked_cold = ranked_cold.withColumn(size_col, F.count(F.lit(1)).over(w))
-    ranked_hot = _rank_by_numbering(df.join(hot_side, list(keys), "left_semi"), keys, order_c, name, size_col,
-                                    small_hot)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    ranked_cold = cold_ranks(df.join(hot_side, same, "left_anti"))
+    ranked_hot = rank_by_numbering(df.join(hot_side, same, "left_semi"), keys, order_c, name, size_col, small_hot)
     return ranked_cold.unionByName(ranked_hot.select(*ranked_cold.columns)), max_rows
 
 

@@ -9,12 +9,13 @@ history over what is left". That replaces quadratic full histories by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .interactions import ITEM, TS, USER, chronological_rank_stats, timestamp_split_col, with_history
 from ..session import stable
 from .numbering import dense_ids
+from .userlog import UserLog
 
 SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
 
@@ -35,6 +36,19 @@ def prepare_sequences(ix: DataFrame, items: DataFrame, t_valid: int, t_test: int
     return out.withColumn("split", timestamp_split_col(ts, t_valid, t_test))
 
 
+def prepare_from_log(log: UserLog, items: DataFrame, t_valid: int, t_test: int, max_len: int = 50) -> DataFrame:
+    """:func:`prepare_sequences` over a stored log: the rows of known items keep their place and
+    order, so the bounded window needs no rank of its own. Crowded users' known rows are ranked anew."""
+    w = Window.partitionBy(log.user).orderBy("rn").rowsBetween(-max_len, -1)
+    out = history_known_items(log.ordinary, items, log.item).withColumn("history", F.collect_list(log.item).over(w))
+    out = out.filter(F.size("history") > 0).drop("rn", "n_user").select(*log.columns, "history")
+    out = out.withColumn("split", timestamp_split_col(log.ts, t_valid, t_test))
+    if log.crowded is None:
+        return out
+    more = prepare_sequences(log.crowded.select(*log.columns), items, t_valid, t_test, max_len, log.user, log.item, log.ts)
+    return out.unionByName(more.select(*out.columns))
+
+
 def process_histories(rows: DataFrame, items: DataFrame, max_len: int = 50, history: str = "history",
                       item: str = ITEM) -> DataFrame:
     """P8-P10 on ready split rows with a ``history`` array: items without metadata leave the

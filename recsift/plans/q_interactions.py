@@ -4,6 +4,8 @@ from __future__ import annotations
 
 
 from ..operators import interactions as ops
+from ..operators import userlog
+from ..session import shared
 from ..sources import views
 from .catalog import register
 from .sqlviews import sql
@@ -12,8 +14,9 @@ K = 20  # k-core threshold used by the registry (k=5 barely filters this data)
 
 
 def _thresholds(spark, sf_dir):
-    got = {r["fraction"]: r["threshold"]
-           for r in ops.split_thresholds(views.raw_interactions(spark, sf_dir), (0.8, 0.9)).collect()}
+    """Split times of the interactions, found once an application."""
+    got = shared(spark, "thresholds", views.source(sf_dir, "lineitem", "orders"), lambda: {
+        r["fraction"]: r["threshold"] for r in ops.split_thresholds(views.raw_interactions(spark, sf_dir), (0.8, 0.9)).collect()})
     return int(got[0.8]), int(got[0.9])
 
 
@@ -46,14 +49,14 @@ def _hist(n=None):
 @register("last_out", "W2 W3 D3", sql(
     f"SELECT user_id, parent_asin, rating, \"timestamp\", seq, {_SPLIT_LAST} AS split FROM ranked", "ranked"))
 def q_last_out(spark, sf):
-    return ops.last_out(views.interactions(spark, sf))
+    return userlog.last_out(views.user_log(spark, sf))
 
 
 @register("last_out_history", "W4 D3", sql(
     f"SELECT user_id, parent_asin, rating, \"timestamp\", seq, {_SPLIT_LAST} AS split, {_hist()} AS history "
     "FROM ranked", "ranked"))
 def q_last_out_history(spark, sf):
-    out = ops.last_out(views.interactions(spark, sf), history=True)
+    out = userlog.last_out(views.user_log(spark, sf), history=True)
     return out.withColumn("history", ops.history_text("history"))
 
 
@@ -81,17 +84,24 @@ def q_timestamp_split(spark, sf):
     "FROM interactions, thresholds", "interactions", "thresholds"))
 def q_timestamp_split_history(spark, sf):
     t_valid, t_test = _thresholds(spark, sf)
-    out = ops.timestamp_split(views.interactions(spark, sf), t_valid, t_test, history=True)
+    out = userlog.timestamp_split(views.user_log(spark, sf), t_valid, t_test, history=True)
     return out.withColumn("history", ops.history_text("history"))
 
 
+@register("shared_history", "W4", sql(
+    f"SELECT user_id, parent_asin, \"timestamp\", {_hist()} AS history FROM interactions", "interactions"))
+def q_shared_history(spark, sf):
+    """Full histories expanded at the sink from blocks of 8 items that all rows of a user share."""
+    log = views.user_log(spark, sf)
+    out = userlog.expand_history(*userlog.history_refs(log, block=8), log.user)
+    return out.select("user_id", "parent_asin", "timestamp", ops.history_text("history").alias("history"))
+
+
 def _bounded(n):
     @register(f"bounded_history_{n}", "W5", sql(
         f"SELECT user_id, parent_asin, \"timestamp\", {_hist(n)} AS history FROM interactions", "interactions"))
     def q(spark, sf):
-        ix = views.interactions(spark, sf)
-        ranked, longest = ops.chronological_rank_stats(ix)
-        out = ops.with_history(ranked, max_len=n, max_user_rows=longest)
+        out = userlog.bounded_history(views.user_log(spark, sf), n)
         return out.select("user_id", "parent_asin", "timestamp", ops.history_text("history").alias("history"))
     return q
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import interactions as ops
 from ..operators import metrics as mt
+from ..operators import userlog
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, views, writers
 from .catalog import register
@@ -42,7 +43,7 @@ _SPLIT = "CASE WHEN n_user = rn THEN 'test' WHEN n_user - rn = 1 THEN 'valid' EL
 
 @register("io_splits_history", "S2 K2", sql(f"SELECT {_RATING}, {_SPLIT} AS split, {_hist(5)} AS history FROM ranked", "ranked"))
 def q_splits(spark, sf):
-    out = ops.last_out(views.interactions(spark, sf), history=True, max_len=5)
+    out = userlog.last_out(views.user_log(spark, sf), history=True, max_len=5)
     path = writers.write_splits(out, _dir(spark, "splits"), with_history=True)
     return readers.read_split_csv(spark, path, with_history=True).withColumn("history", ops.history_text("history"))
 
@@ -51,8 +52,7 @@ def q_splits(spark, sf):
     f"SELECT CAST(user_id AS VARCHAR) AS user_id, {_hist(5)} AS history, CAST(parent_asin AS VARCHAR) AS parent_asin "
     "FROM interactions", "interactions"))
 def q_inter(spark, sf):
-    ranked, longest = ops.chronological_rank_stats(views.interactions(spark, sf))
-    path = writers.write_inter(ops.with_history(ranked, max_len=5, max_user_rows=longest), _dir(spark, "train.tsv"))
+    path = writers.write_inter(userlog.bounded_history(views.user_log(spark, sf), 5), _dir(spark, "train.tsv"))
     got = readers.read_text_pairs(spark, path, ("user_id", "history", "parent_asin"))
     return got.withColumn("history", F.coalesce("history", F.lit("")))
 

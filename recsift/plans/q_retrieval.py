@@ -250,7 +250,7 @@ _NEXT_BODY = " UNION ALL ".join(
                                                extra=(_SEQ, *_NEXT)))
 def q_next_item(spark, sf):
     items = views.items(spark, sf)
-    rows = stable(_seqs(spark, sf, materialise=False).filter(F.col("split") == "test").select(
+    rows = stable(_seqs(spark, sf).filter(F.col("split") == "test").select(
         F.concat_ws("|", "user_id", "parent_asin").alias("row_id"), F.col("parent_asin").alias("target"), "history"))
     text = clean_item_text_rec(items).select(F.col("parent_asin").alias("item_id"), "cleaned_metadata")
     item_vecs = em.embed_text(text, "cleaned_metadata", "vec").select("item_id", "vec")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from ..operators import sequences as sq
 from ..operators.interactions import history_text
 from ..operators.textprep import clean_item_text_rec
-from ..session import stable
+from ..operators.userlog import timestamp_split
+from ..session import shared, stored
 from ..sources import views
 from .catalog import register
 from .q_interactions import _thresholds
@@ -40,18 +41,21 @@ def _q(body, *extra):
     return sql(body, "interactions", "items", "thresholds", extra=(_SEQ, *extra))
 
 
-def _seqs(spark, sf, materialise=True):
-    """The prepared sequences (the .inter sink content); read by several
-    later steps, so they are materialised once."""
+def _prepare(spark, sf):
     t_valid, t_test = _thresholds(spark, sf)
-    out = sq.prepare_sequences(views.interactions(spark, sf), views.items(spark, sf), t_valid, t_test, MAX_LEN)
-    return stable(out) if materialise else out
+    return sq.prepare_from_log(views.user_log(spark, sf), views.items(spark, sf), t_valid, t_test, MAX_LEN)
+
+
+def _seqs(spark, sf):
+    """The prepared sequences (the .inter sink content); read by several
+    later steps, so they are stored once an application."""
+    return shared(spark, "sequences", views.source(sf, "lineitem", "orders", "part"), lambda: stored(_prepare(spark, sf)))
 
 
 @register("prepare_sequences", "D4 P8 P9 P10 J1", _q(
     "SELECT user_id, parent_asin, \"timestamp\", split, array_to_string(h, ' ') AS history FROM seq_rows"))
 def q_prepare_sequences(spark, sf):
-    return _seqs(spark, sf, materialise=False).select("user_id", "parent_asin", "timestamp", "split",
+    return _prepare(spark, sf).select("user_id", "parent_asin", "timestamp", "split",
                                    history_text("history").alias("history"))
 
 
@@ -59,10 +63,8 @@ def q_prepare_sequences(spark, sf):
     "SELECT user_id, parent_asin, \"timestamp\", split, array_to_string(h, ' ') AS history FROM seq_rows"))
 def q_process_split_files(spark, sf):
     """From ready split rows with full histories (the K2 files) instead of raw interactions."""
-    from ..operators.interactions import timestamp_split
-
     t_valid, t_test = _thresholds(spark, sf)
-    rows = timestamp_split(views.interactions(spark, sf), t_valid, t_test, history=True)
+    rows = timestamp_split(views.user_log(spark, sf), t_valid, t_test, history=True)
     out = sq.process_histories(rows, views.items(spark, sf), MAX_LEN)
     return out.select("user_id", "parent_asin", "timestamp", "split", history_text("history").alias("history"))
 

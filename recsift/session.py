@@ -10,9 +10,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -96,9 +100,37 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def workdir(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def source_state(spark: SparkSession, *paths: str) -> tuple:
+    """Length, number of files and modification time of input paths."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        size = fs.getContentSummary(path)
+        out.append((p, size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
+def shared(spark: SparkSession, what: str, paths: Sequence[str], build: Callable[[], T]) -> T:
+    """What several queries read from the same unchanged inputs is built once an application."""
+    key = (spark.sparkContext.applicationId, what, source_state(spark, *paths))
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it back: like
     :func:`stable`, but later scans still prune columns and push filters down."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = workdir(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.interactions import dedup_keep_earliest
+from ..operators.userlog import UserLog, build_user_log
+from ..session import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,17 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_keep_earliest(raw_interactions(spark, sf_dir))
 
 
+def source(sf_dir: str, *names: str) -> list[str]:
+    """Paths of driver tables."""
+    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
+
+
+def user_log(spark: SparkSession, sf_dir: str) -> UserLog:
+    """The deduplicated, ranked interactions, stored by user once an application."""
+    return shared(spark, "user_log", source(sf_dir, "lineitem", "orders"),
+                  lambda: build_user_log(raw_interactions(spark, sf_dir)))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item metadata; parts with p_size > 45 have none, every 4th size has an
     empty description."""

@@ -1,83 +1,164 @@
-"""BM25 lexical retrieval (A8, D13, J6, W6) as joins and aggregations.
-
-Index: ``postings(doc, term, tf)`` and ``terms(term, df, idf)``, written
-once to the checkpoint folder, plus three corpus scalars (N, avgdl, mean
-idf) read back from one aggregate row. Scoring joins each query's terms to the
-postings of those terms only; the per-(query, doc) sum is a partial
-aggregate; the top-k per query uses ``row_number() <= k``, which Spark plans
-as a partial WindowGroupLimit before the shuffle, so a query matching every
-document still ships only k rows per map task.
+"""BM25 lexical retrieval (A8, D13, J6, W6) over a stored, block-max inverted index.
+
+*Index.* Documents are dealt to blocks of about ``BLOCK_DOCS`` by hash. A document's terms are counted
+inside its row, the counts (never the texts) move once, to the document's block, and a posting row
+holds one term's documents of one block with the largest term frequency and the shortest
+length there. A term that is in every document is spread over all blocks, so no term is a hot
+key. The index is written once, sorted by term inside its files, and read by every query; terms
+``(term, df, idf)`` and three corpus scalars come from its columns.
+
+*Search.* A query's terms meet the blocks' summaries (not the postings): the sum of the largest contributions
+of its terms bounds every score of a block. The blocks with the highest bounds are
+scored first; their k-th score is a threshold that blocks with a smaller bound cannot
+reach. Only the blocks left are scored, exactly. The top-k per query uses ``row_number() <= k``, which Spark plans
+as a partial WindowGroupLimit before the shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
 from ..functions.text import tokenize
 from ..session import stored
 
+BLOCK_DOCS = 64            # documents of a block
+PART_DOCS = 50_000         # documents of an index file, about
+BROADCAST_ROWS = 500_000   # query terms, or blocks to score, that are broadcast
+
 
 @dataclass
 class BM25Index:
-    postings: DataFrame  # doc, term, tf, dl (materialised once)
-    terms: DataFrame     # term, df, idf, idf_used (materialised once)
+    blocks: DataFrame    # term, blk, n, max_tf, min_dl, sum_tf, docs (doc, tf, dl); stored once
+    terms: DataFrame     # term, df, idf, idf_used (stored once)
     n_docs: int
     avgdl: float
     mean_idf: float
     doc: str
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.blocks.select("term", F.explode("docs").alias("_p")).select(
+            F.col(f"_p.{self.doc}").alias(self.doc), "term", "_p.tf", "_p.dl")
+
 
 def doc_tokens(docs: DataFrame, doc: str, text: str, stop_words=ENGLISH) -> DataFrame:
     return docs.select(doc, tokenize(text, stop_words).alias("_toks"))
 
 
-def build_bm25(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words=ENGLISH,
-               eps: float = 0.25) -> BM25Index:
-    """Term frequencies, document frequencies, idf = ln(N-df+.5) - ln(df+.5);
-    a negative idf is replaced by eps × mean idf (mean over all terms).
-
-    Texts never move: a document's terms are counted inside its row (sorted tokens, places
-    where the token changes), N and the average length come from the scan, and only
-    (term, count) partial sums are shuffled. The counted documents are stored once, as
-    columns; the three corpus scalars come back as one aggregate row."""
+def _counted(docs: DataFrame, doc: str, text: str, stop_words) -> DataFrame:
+    """``doc, dl, terms`` (term, tf): terms counted inside the row (sorted tokens, places where
+    the token changes)."""
     toks = doc_tokens(docs, doc, text, stop_words).select(
         doc, F.size("_toks").alias("dl"), F.sort_array("_toks").alias("_s"))
     starts = F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (
         F.get("_s", i) != F.get("_s", i - 1)))).otherwise(F.array().cast("array<int>"))
-    toks = toks.withColumn("_at", starts)
-    counted = stored(toks.select(doc, "dl", F.transform("_at", lambda p, i: F.struct(
-        F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_s")) - p).cast("long").alias("tf"))).alias("terms")))
-    row = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = int(row["n"]), float(row["avgdl"] or 0.0)
-    postings = counted.select(doc, F.explode("terms").alias("_t"), "dl").select(doc, "_t.term", "_t.tf", "dl")
-    idf = (postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return toks.withColumn("_at", starts).select(doc, "dl", F.transform("_at", lambda p, i: F.struct(
+        F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_s")) - p).cast("long").alias("tf"))).alias("terms"))
+
+
+def build_bm25(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words=ENGLISH,
+               eps: float = 0.25, block_docs: int = BLOCK_DOCS) -> BM25Index:
+    """The stored index; idf = ln(N-df+.5) - ln(df+.5); a negative idf is replaced by
+    eps × mean idf (mean over all terms)."""
+    spark = docs.sparkSession
+    n_docs = docs.count()
+    n_blocks = max(1, math.ceil(n_docs / block_docs))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / PART_DOCS))
+    placed = _counted(docs, doc, text, stop_words).withColumn("blk", F.pmod(F.xxhash64(doc), F.lit(n_blocks)))
+    # an outer explode: the filter inferred for an inner one would be pushed below and count the terms twice
+    dealt = placed.repartition(parts, "blk").select("blk", doc, "dl", F.explode_outer("terms").alias("_t")).filter("_t is not null")
+    # blk alone deals the rows, so (term, blk) groups are in place
+    blocks = dealt.groupBy("blk", F.col("_t.term").alias("term")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("_t.tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("_t.tf").alias("sum_tf"),
+        F.collect_list(F.struct(doc, F.col("_t.tf").alias("tf"), "dl")).alias("docs"))
+    blocks = stored(blocks.sortWithinPartitions("term", "blk"))
+    idf = (blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("sum_tf").alias("cf"))
            .withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     idf = stored(idf)
-    mean_idf = float(idf.agg(F.avg("idf")).first()[0] or 0.0)
-    terms = idf.withColumn("idf_used", F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.lit(eps * mean_idf)))
-    return BM25Index(postings, terms, n_docs, avgdl, mean_idf, doc)
+    row = idf.agg(F.avg("idf").alias("mean"), F.sum("cf").alias("tokens")).first()
+    mean_idf = float(row["mean"] or 0.0)
+    avgdl = float(row["tokens"] or 0) / n_docs if n_docs else 0.0
+    terms = idf.select("term", "df", "idf", F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.lit(eps * mean_idf)).alias("idf_used"))
+    return BM25Index(blocks, terms, n_docs, avgdl, mean_idf, doc)
 
 
-def bm25_scores(index: BM25Index, queries: DataFrame, qid: str = "qid", text: str = "query", stop_words=ENGLISH,
-                k1: float = 1.5, b: float = 0.75, length_norm: str = "document") -> DataFrame:
-    """Score of every (query, document) sharing at least one term.
+@dataclass(frozen=True)
+class Weighting:
+    """Length-normalised term frequency; ``length_norm='document'`` uses dl/avgdl (textbook),
+    ``'corpus'`` N/avgdl for every document, as the reference does."""
+    k1: float = 1.5
+    b: float = 0.75
+    length_norm: str = "document"
+
+    def saturation(self, index: BM25Index, tf: Column, dl: Column) -> Column:
+        avgdl = index.avgdl if index.avgdl > 0 else 1.0
+        length = dl / F.lit(avgdl) if self.length_norm == "document" else F.lit(index.n_docs / avgdl)
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length))
+
 
-    A repeated query term counts each time. ``length_norm='document'`` uses
-    dl/avgdl (textbook); ``'corpus'`` uses N/avgdl for every document, as the
-    reference does."""
+def query_terms(index: BM25Index, queries: DataFrame, qid: str = "qid", text: str = "query", stop_words=ENGLISH) -> DataFrame:
+    """``qid, term, weight``; a repeated query term counts each time."""
     qt = (queries.select(qid, F.explode(tokenize(text, stop_words)).alias("term"))
           .groupBy(qid, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    qt = qt.join(index.terms.select("term", "idf_used"), "term")
-    hits = qt.join(index.postings, "term")
-    avgdl = index.avgdl if index.avgdl > 0 else 1.0
-    length = F.col("dl") / F.lit(avgdl) if length_norm == "document" else F.lit(index.n_docs / avgdl)
-    part = (F.col("qtf") * F.col("idf_used") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * length)))
-    return hits.groupBy(qid, index.doc).agg(F.sum(part).alias("score"))
+    return qt.join(index.terms.select("term", "idf_used"), "term").select(qid, "term", (F.col("qtf") * F.col("idf_used")).alias("weight"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a stored table whose counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _scores(index: BM25Index, hits: DataFrame, qid: str, how: Weighting) -> DataFrame:
+    """Scores of the documents of posting rows joined with query terms (qid, weight, docs)."""
+    part = hits.select(qid, "weight", F.explode("docs").alias("_p")).select(
+        qid, F.col(f"_p.{index.doc}").alias(index.doc),
+        (F.col("weight") * how.saturation(index, F.col("_p.tf"), F.col("_p.dl"))).alias("part"))
+    return part.groupBy(qid, index.doc).agg(F.sum("part").alias("score"))
+
+
+def bm25_scores(index: BM25Index, queries: DataFrame, qid: str = "qid", text: str = "query", stop_words=ENGLISH,
+                k1: float = 1.5, b: float = 0.75, length_norm: str = "document") -> DataFrame:
+    """Score of every (query, document) sharing at least one term, without pruning."""
+    qt = query_terms(index, queries, qid, text, stop_words)
+    return _scores(index, index.blocks.join(qt, "term"), qid, Weighting(k1, b, length_norm))
+
+
+def block_bounds(index: BM25Index, qt: DataFrame, qid: str, how: Weighting) -> DataFrame:
+    """``qid, blk, bound``: the most a document of the block can score, from the summaries only.
+    A term of negative weight can be missing from the best document, so it adds nothing."""
+    best = F.col("weight") * how.saturation(index, F.col("max_tf"), F.col("min_dl"))
+    return index.blocks.select("term", "blk", "max_tf", "min_dl").join(qt, "term").groupBy(qid, "blk").agg(
+        F.sum(F.greatest(best, F.lit(0.0))).alias("bound"))
+
+
+def live_blocks(index: BM25Index, qt: DataFrame, k: int, qid: str = "qid", how: Weighting = Weighting()) -> DataFrame:
+    """``qid, blk``: the blocks that can hold one of the query's first ``k`` documents."""
+    bounds = stored(block_bounds(index, qt, qid, how))
+    w = Window.partitionBy(qid).orderBy(F.desc("bound"), "blk")
+    seeds = bounds.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(4, k // 8)).select(qid, "blk")
+    first = top_k(score_blocks(index, qt, stored(seeds), qid, how), qid, index.doc, k)
+    least = first.filter(F.col("rank") == k).select(F.col(qid).alias("_q"), F.col("score").alias("least"))
+    # scores are ranked by six digits; the slack also covers the order of summation
+    enough = F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) + 2e-6 >= F.col("least"))
+    return stored(bounds.join(least, F.col(qid) == F.col("_q"), "left").filter(enough).select(qid, "blk"))
+
+
+def score_blocks(index: BM25Index, qt: DataFrame, live: DataFrame, qid: str = "qid", how: Weighting = Weighting()) -> DataFrame:
+    """Exact scores of the documents in the ``live`` (stored) blocks of each query."""
+    return _scores(index, index.blocks.select("term", "blk", "docs").join(qt, "term").join(_small(live), [qid, "blk"]), qid, how)
+
+
+def bm25_search(index: BM25Index, queries: DataFrame, k: int = 100, qid: str = "qid", text: str = "query", k1: float = 1.5,
+                b: float = 0.75, length_norm: str = "document", stop_words=ENGLISH) -> DataFrame:
+    """Top-k documents per query (only documents that match a term), block-max pruned."""
+    how = Weighting(k1, b, length_norm)
+    qt = _small(stored(query_terms(index, queries, qid, text, stop_words)))
+    return top_k(score_blocks(index, qt, live_blocks(index, qt, k, qid, how), qid, how), qid, index.doc, k)
 
 
 def top_k(scores: DataFrame, group: str, item: str, k: int, score: str = "score", digits: int = 6,
@@ -93,6 +174,5 @@ def top_k(scores: DataFrame, group: str, item: str, k: int, score: str = "score"
 def bm25_rank(docs: DataFrame, queries: DataFrame, k: int = 100, doc: str = "doc_id", text: str = "text",
               qid: str = "qid", qtext: str = "query", k1: float = 1.5, b: float = 0.75, eps: float = 0.25,
               length_norm: str = "document", stop_words=ENGLISH) -> DataFrame:
-    """Top-k documents per query (only documents that match a term)."""
-    index = build_bm25(docs, doc, text, stop_words, eps)
-    return top_k(bm25_scores(index, queries, qid, qtext, stop_words, k1, b, length_norm), qid, doc, k)
+    """D13 in one call: build the index and search it."""
+    return bm25_search(build_bm25(docs, doc, text, stop_words, eps), queries, k, qid, qtext, k1, b, length_norm, stop_words)

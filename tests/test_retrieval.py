@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recsift.operators import dense as dn
@@ -181,3 +182,55 @@ def test_build_and_extend_index(spark):
     hits = dn.threshold_search(q.select(F.col("id").alias("qid"), F.col("embedding").alias("vec")),
                                index.select(F.col("id").alias("item_id"), F.col("embedding").alias("vec")), 0.5, 2)
     assert [r.item_id for r in hits.orderBy("rank").collect()][0] == 1
+
+
+def _corpus(spark, seed=3, n=700):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None if i == 5 else i, None if i == 7 else " ".join(
+        ["common"] * (i != 9) + [rng.choice(words) for _ in range(int(rng.paretovariate(1) * 6) % 90)] + (["rare"] if i % 97 == 3 else [])))
+        for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("norm", ["document", "corpus"])
+def test_block_max_search_equals_full_ranking(spark, norm):
+    docs = _corpus(spark)
+    index = lx.build_bm25(docs, block_docs=8)
+    queries = spark.createDataFrame([(1, "common rare"), (2, "common"), (3, "w1 w2 w3 w3 w4"), (4, "nothing"), (5, ""), (6, None),
+                                     (7, "common w7 rare rare"), (8, "w9")], "qid long, query string")
+    for k in (1, 5, 40):
+        full = lx.top_k(lx.bm25_scores(index, queries, length_norm=norm), "qid", "doc_id", k)
+        got = lx.bm25_search(index, queries, k, length_norm=norm)
+        cols = ("qid", "rank", "doc_id", "score")
+        assert sorted(repr([r[c] for c in cols]) for r in got.collect()) == sorted(repr([r[c] for c in cols]) for r in full.collect())
+
+
+def test_term_in_every_document_reads_few_blocks(spark):
+    index = lx.build_bm25(_corpus(spark), block_docs=8)
+    assert index.blocks.filter("term = 'common'").count() > 80
+    queries = spark.createDataFrame([(1, "common rare")], "qid long, query string")
+    qt = lx.query_terms(index, queries)
+    live = lx.live_blocks(index, qt, 3)
+    assert 1 <= live.count() <= 10
+    # no row of the index holds more than a block of a term's documents
+    assert index.blocks.agg(F.max("n")).first()[0] <= 24
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_passages_of_any_length(spark, monkeypatch, few):
+    from recsift.operators import textmatch
+    from recsift.operators.textmatch import first_containing
+
+    monkeypatch.setattr(textmatch, "BROADCAST_KEYS", 1000 if few else 0)
+    texts = ["one two three four five six", "xone twox three", "", None, "a\nb c", "one two three", "ünï cödé 漢字 text", "tail  double"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pats = ["", " ", "o", "one", "ne tw", "one two", "one two three four", "two three four five", "漢", "ï cöd", "  ", "zz", "e two three f",
+            "b", None, "one two three four five six seven", "nï cödé 漢", "tail  double", "three four five six"]
+    got = {r["pid"]: r["target"] for r in first_containing(
+        spark.createDataFrame(list(enumerate(pats)), "pid long, p string"), docs, "pid", "p", "doc_id", "text").collect()}
+    want = {i: min(j for j, t in enumerate(texts) if t is not None and p in t) for i, p in enumerate(pats)
+            if p is not None and any(t is not None and p in t for t in texts)}
+    assert got == want

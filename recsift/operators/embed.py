@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,38 +50,36 @@ def hash_vector(col: str | Column, dim: int = HASH_DIM, pooling: str = "mean") -
 
 
 class HashEncoder:
-    """NumPy twin of :func:`hash_vector` (same tokens, slots and signs)."""
+    """NumPy twin of :func:`hash_vector` (same tokens, slots and signs). The tokens of a batch
+    are dictionary-encoded, each different one is hashed once, and all texts' vectors come
+    from one weighted count over (text, slot). ``pooling``: ``'mean'`` or ``'sum'``; a hashed
+    text has no first position, so ``'cls'`` is refused."""
 
     def __init__(self, dim: int = HASH_DIM, pooling: str = "mean"):
         import regex
 
+        if pooling not in ("mean", "sum"):
+            raise ValueError(f"feature hashing has no {pooling!r} pooling: tokens have no positions")
         self.dim, self.pooling = dim, pooling
         self._split = regex.compile(TOKEN_PATTERN, regex.V1).split
-        self._cache: dict[str, int] = {}  # token -> signed slot code (slot + 1, negated for sign -1)
-
-    def _code(self, tok: str) -> int:
-        got = self._cache.get(tok)
-        if got is None:
-            d = int(hashlib.md5((tok + "|dim").encode()).hexdigest()[:8], 16) % self.dim
-            s = 1 - 2 * (int(hashlib.md5((tok + "|sign").encode()).hexdigest()[:8], 16) % 2)
-            got = (d + 1) * s
-            if len(self._cache) > 1_000_000:
-                self._cache.clear()
-            self._cache[tok] = got
-        return got
+
+    def _slots(self, words) -> tuple[np.ndarray, np.ndarray]:
+        h = [(int(hashlib.md5((w + "|dim").encode()).hexdigest()[:8], 16), int(hashlib.md5((w + "|sign").encode()).hexdigest()[:8], 16))
+             for w in words]
+        h = np.array(h, dtype=np.int64).reshape(-1, 2)
+        return h[:, 0] % self.dim, 1 - 2 * (h[:, 1] % 2)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for r, text in enumerate(texts):
-            if not text:
-                continue
-            codes = np.fromiter((self._code(t) for t in self._split(text) if t), dtype=np.int64)
-            if len(codes) == 0:
-                continue
-            out[r] = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=self.dim)
-            if self.pooling == "mean":
-                out[r] /= len(codes)
-        return out
+        lists = [list(filter(None, self._split(t))) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), object, int(sizes.sum()))
+        if not len(flat):
+            return np.zeros((len(texts), self.dim))
+        codes, words = pd.factorize(flat)
+        slot, sign = self._slots(words)
+        place = np.repeat(np.arange(len(texts)) * self.dim, sizes) + slot[codes]
+        out = np.bincount(place, weights=sign[codes], minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
+        return out / np.maximum(sizes, 1)[:, None] if self.pooling == "mean" else out
 
 
 _ENCODERS: dict[object, object] = {}   # in a Python worker: encoders by their key
@@ -92,8 +91,8 @@ def embed_text(df: DataFrame, col: str, out: str = "embedding",
                partitions: int | None = None) -> DataFrame:
     """Add ``out`` = encoder(text) as array<double>. The factory runs once per
     Python worker and ``encoder_key`` (default: the factory's name and parameters; name one
-    for a lambda); batches arrive through Arrow. ``pooling`` (``'cls'`` or ``'mean'``) is
-    handed to the factory; ``max_len`` keeps a text's first so many space-separated tokens,
+    for a lambda); batches arrive through Arrow. ``pooling`` is
+    handed to the factory, which refuses what it cannot do; ``max_len`` keeps a text's first so many space-separated tokens,
     as a tokenizer's truncation does. ``partitions`` spreads the rows first, for few large ones."""
     options = {} if pooling is None else {"pooling": pooling}
     key = (encoder_key or f"{encoder_factory.__module__}.{getattr(encoder_factory, '__qualname__', repr(encoder_factory))}",

@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stable
+from ..session import stable, stored
 from .numbering import global_row_number, rank_within_stats
 
 USER, ITEM, RATING, TS = "user_id", "parent_asin", "rating", "timestamp"
@@ -57,6 +57,7 @@ def degree_threshold(counts: DataFrame, k: int, count_col: str = "n_interactions
 
 # --------------------------------------------------------------------- A2 / A3
 DROP_BROADCAST_ROWS = 500_000  # ids to drop in a round that are broadcast
+REWRITE = 0.3                  # share of removed edges at which the rest is written anew
 
 
 @dataclass
@@ -76,45 +77,58 @@ def k_core(ix: DataFrame, k_user: int, k_item: int | None = None, user: str = US
     Each round drops every user with fewer than ``k_user`` edges and every
     item with fewer than ``k_item`` edges *at the same time* (degrees from the
     previous round), until nothing falls below. A zero threshold disables that
-    side. Degrees are partial aggregations; the drop sets are usually small
-    and AQE turns the anti joins into broadcasts at run time. Each round is
-    checkpointed to the reliable folder, so lineage stays one round long and a
-    lost executor only recomputes one round. Rows with a null user or item are no
+    side. Edges are stored and counted once. A round then finds the edges of the ids it
+    drops (a scan of the two key columns, broadcast joins while the counted drop sets are small),
+    stores those only and subtracts their counts from the degrees of the ids at their other ends: what is shuffled and written after
+    the first count is in proportion to the removed edges and the ids. Edges are rewritten when more than ``REWRITE`` of them are
+    gone, so scans stay in proportion to what is left. Rows with a null user or item are no
     edges and are left out. Stopping at ``max_rounds`` is told by ``converged``.
     """
     k_item = k_user if k_item is None else k_item
     if not k_user and not k_item:
         return KCoreResult(ix, [])
-    cur = stable(ix.filter(F.col(user).isNotNull() & F.col(item).isNotNull()))
+    base = stored(ix.filter(F.col(user).isNotNull() & F.col(item).isNotNull()))
+    sides = {user: k_user, item: k_item}
+    degree = {c: stored(base.groupBy(c).agg(F.count(F.lit(1)).alias("_d"))) for c in sides}
+    edges = n_base = base.count()
+    gone: dict[str, list[tuple[DataFrame, int]]] = {c: [] for c in sides}   # ids dropped since the edges were written
     trace: list[tuple[int, int, int, int]] = []
+
+    def without(x: DataFrame) -> DataFrame:
+        for c in sides:
+            for ids, n in gone[c]:
+                x = x.join(F.broadcast(ids) if n <= DROP_BROADCAST_ROWS else ids, c, "left_anti")
+        return x
+
     rnd = 0
     while True:
-        # both degree tables from one scan: GROUPING SETS ((user), (item))
-        deg = stable(cur.groupingSets([[user], [item]], user, item)
-                     .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_d")))
-        udeg = deg.filter(F.col("_gid") == 1).select(user, "_d")
-        ideg = deg.filter(F.col("_gid") == 2).select(item, "_d")
-        is_u, is_i = F.col("_gid") == 1, F.col("_gid") == 2
-        row = deg.agg(F.coalesce(F.sum(F.when(is_u, F.col("_d"))), F.lit(0)).alias("e"),
-                      F.count(F.when(is_u, 1)).alias("u"), F.count(F.when(is_i, 1)).alias("i"),
-                      F.count(F.when(is_u & (F.col("_d") < k_user), 1)).alias("du"),
-                      F.count(F.when(is_i & (F.col("_d") < k_item), 1)).alias("di")).first()
+        counts = {c: degree[c].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("_d") < k).cast("long")), F.lit(0)).alias("low")).first()
+                  for c, k in sides.items()}
         if rnd > 0:
-            trace.append((rnd, int(row["e"]), int(row["u"]), int(row["i"])))
-        if row["du"] == 0 and row["di"] == 0:
+            trace.append((rnd, edges, counts[user]["n"], counts[item]["n"]))
+        if not any(r["low"] for r in counts.values()):
             break
         if max_rounds is not None and rnd >= max_rounds:
-            return KCoreResult(cur, trace, converged=False)
-        drop_u = udeg.filter(F.col("_d") < k_user).select(user)
-        drop_i = ideg.filter(F.col("_d") < k_item).select(item)
-        # counted drop sets: small ones are broadcast, so the edges are not shuffled
-        if row["du"] <= DROP_BROADCAST_ROWS:
-            drop_u = F.broadcast(drop_u)
-        if row["di"] <= DROP_BROADCAST_ROWS:
-            drop_i = F.broadcast(drop_i)
-        cur = stable(cur.join(drop_u, user, "left_anti").join(drop_i, item, "left_anti"))
+            return KCoreResult(without(base), trace, converged=False)
+        drop = {c: degree[c].filter(F.col("_d") < k).select(c) for c, k in sides.items()}
+        hit = without(base.select(user, item))
+        for i, c in enumerate(sides):
+            ids = drop[c].select(F.col(c).alias(f"_x{i}"))
+            ids = F.broadcast(ids) if counts[c]["low"] <= DROP_BROADCAST_ROWS else ids
+            hit = hit.join(ids, F.col(c) == F.col(f"_x{i}"), "left")
+        removed = stored(hit.filter(F.col("_x0").isNotNull() | F.col("_x1").isNotNull()).select(user, item))
+        n_removed = removed.count()
+        for c, k in sides.items():
+            less = removed.groupBy(c).agg(F.count(F.lit(1)).alias("_less"))
+            left = degree[c].filter(F.col("_d") >= k).join(less, c, "left").select(c, (F.col("_d") - F.coalesce("_less", F.lit(0))).alias("_d"))
+            degree[c] = stored(left.filter("_d > 0"))
+            gone[c].append((drop[c], counts[c]["low"]))
+        edges -= n_removed
+        if edges < (1 - REWRITE) * n_base:
+            base = stored(without(base))
+            n_base, gone = edges, {c: [] for c in sides}
         rnd += 1
-    return KCoreResult(cur, trace)
+    return KCoreResult(without(base), trace)
 
 
 # --------------------------------------------------------------------- W2 / W3

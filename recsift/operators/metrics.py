@@ -111,8 +111,10 @@ def in_batch_contrastive(pairs: DataFrame, order: Sequence[str | Column], a: str
 
 
 def mean_of_batches(batch_losses: DataFrame, digits: int = 6) -> DataFrame:
-    """Mean over batches of the batch means (one row)."""
-    return batch_losses.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("loss"), digits).alias("loss"))
+    """Mean over batches of the batch means (one row), and the same with its sign flipped,
+    as ``objective`` (higher is better)."""
+    return batch_losses.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("loss"), digits).alias("loss"),
+                            F.round(-F.avg("loss"), digits).alias("objective"))
 
 
 def corpus_stats(queries: DataFrame, items: DataFrame, qtext: str = "query", itext: str = "text",
@@ -131,3 +133,11 @@ def corpus_stats(queries: DataFrame, items: DataFrame, qtext: str = "query", ite
 def items_by_category(cat_map: DataFrame, item: str = "item_id", category: str = "category") -> DataFrame:
     """Distinct items per category, long form (category, n_items)."""
     return cat_map.select(category, item).distinct().groupBy(category).agg(F.count(F.lit(1)).alias("n_items"))
+
+
+def category_items(cat_map: DataFrame, item: str = "item_id", category: str = "category") -> DataFrame:
+    """The distinct items of every category with their 1-based ``position`` in the
+    category; a category that holds a third of all rows is ranked by many tasks."""
+    from .numbering import rank_within
+
+    return rank_within(cat_map.select(category, item).distinct(), [category], [item], "position").select(category, item, "position")

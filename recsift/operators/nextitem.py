@@ -3,6 +3,7 @@ report Recall/NDCG at the cutoffs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,9 @@ import numpy as np
 import pandas as pd
 
 from ..session import stable
-from .dense import (BROADCAST_BYTES, ITEM_BLOCK_ROWS, SCORE_ROWS, _matrix, _spread, dense_candidates,
-                    round_half_up)
+from .dense import BROADCAST_BYTES, ITEM_BLOCK_ROWS, QUERY_BLOCK_ROWS, SCORE_ROWS, _matrix, _spread, round_half_up
 from .embed import mean_pool
-from .lexical import top_k
-from .metrics import rank_of_target, with_metrics
+from .metrics import with_metrics
 
 
 def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs: DataFrame, item: str,
@@ -30,78 +29,77 @@ def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs:
 
 def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: DataFrame, row_key: str = "row_id",
                        uvec: str = "user_vec", item: str = "item_id", ivec: str = "vec", target: str = "target",
-                       ks: Sequence[int] = (10, 50), metric: str = "cosine") -> DataFrame:
-    """Full ranking of all items per row (block products, top max(ks)),
-    rank of the target, per-row metrics. ``metric``: 'cosine' or 'dot'."""
-    k = max(ks)
-    cand = dense_candidates(user_vecs, item_vecs, k, row_key, uvec, item, ivec, unit=(metric == "cosine"))
-    ranked = top_k(cand, row_key, item, k)
-    with_rank = rank_of_target(ranked, targets.select(row_key, target), row_key, item, target)
-    return with_metrics(with_rank, ks)
+                       ks: Sequence[int] = (10, 50), metric: str = "cosine", digits: int = 6,
+                       row_block: int = QUERY_BLOCK_ROWS, item_block: int = ITEM_BLOCK_ROWS) -> DataFrame:
+    """The rank of each row's target among all items, by counting.
+
+    Rows and items are cut into blocks; every (row block, item block) pair is one matrix product
+    that leaves one number a row: how many items of the block stand before the target (scores
+    rounded to ``digits``, ties by item id). Their sum plus one is the rank. One path at every
+    size, no candidate lists. Rows without a user vector or whose target has no vector have no rank, nor
+    do ranks above ``max(ks)``. ``metric``: 'cosine' or 'dot'."""
+    unit, k = metric == "cosine", max(ks)
+    items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
+    own = items.select(F.col(item).alias(target), F.col("_v").alias("_t"))
+    asked = targets.select(row_key, target)
+    rows = stable(user_vecs.select(row_key, F.col(uvec).alias("_u")).filter(F.col("_u").isNotNull()).join(asked, row_key).join(own, target))
+    rb, ib = (max(1, math.ceil(n / size)) for n, size in ((rows.count(), row_block), (items.count(), item_block)))
+    left = rows.withColumn("_rb", F.pmod(F.xxhash64(row_key), F.lit(rb))).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
+    right = items.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(ib))).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ahead = np.zeros(len(a), dtype=np.int64)
+        if len(a) and len(b):
+            users, mine, others = _matrix(a["_u"], unit), _matrix(a["_t"], unit), _matrix(b["_v"], unit)
+            score = round_half_up(np.einsum("ij,ij->i", users, mine), digits)[:, None]
+            ids, own_id = b[item].to_numpy()[None, :], a[target].to_numpy()[:, None]
+            for lo in range(0, len(a), SCORE_ROWS):     # bounds the score matrix
+                at = slice(lo, lo + SCORE_ROWS)
+                s = round_half_up(users[at] @ others.T, digits)
+                ahead[at] = (((s > score[at]) & (ids != own_id[at])) | ((s == score[at]) & (ids < own_id[at]))).sum(axis=1)
+        return pd.DataFrame({row_key: a[row_key], "n": ahead})
+
+    keys = ["_rb", "_ib"]
+    ahead = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count, f"{row_key} {dict(rows.dtypes)[row_key]}, n long")
+    ranks = ahead.groupBy(row_key).agg((F.sum("n") + 1).alias("rank"))
+    ranked = asked.select(row_key).join(ranks.filter(F.col("rank") <= k), row_key, "left")
+    return with_metrics(ranked, ks)
 
 
 def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str = "row_id",
                             history: str = "history", target: str = "target", item: str = "item_id",
                             ivec: str = "vec", ks: Sequence[int] = (10, 50), metric: str = "cosine",
-                            digits: int = 6) -> DataFrame:
-    """D20 with the built-in user vector (mean of the history items' vectors).
-
-    When the item table passes the broadcast size check, one pass over the
-    evaluation rows does everything per Arrow batch: user vectors from the
-    broadcast item matrix, scores against every item, and the exact rank of
-    the target (scores rounded to ``digits``, ties by item id — the same
-    order as :func:`..operators.lexical.top_k`). Otherwise the general path
-    (explode + join + pooled mean, then block-product ranking) is used."""
+                            digits: int = 6, **blocks: int) -> DataFrame:
+    """D20 with the built-in user vector (mean of the history items' vectors). While the item table passes the
+    broadcast size check, the means are taken where the rows are, all histories of an Arrow batch at
+    once; beyond it histories are exploded, joined and pooled. The ranking is
+    :func:`evaluate_next_item` either way."""
     items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     n_items, dim = int(stats["n"]), int(stats["d"] or 0)
-    k = max(ks)
-    # two matrices, the ids and their positions are sent
-    if n_items * (2 * max(dim, 1) * 8 + 200) > BROADCAST_BYTES:
+    if n_items * (max(dim, 1) * 8 + 100) > BROADCAST_BYTES:
         users = history_mean_vectors(rows, row_key, history, item_vecs, item, ivec)
-        return evaluate_next_item(users, item_vecs, rows, row_key, "user_vec", item, ivec, target, ks, metric)
-    ipdf = items.toPandas()  # size checked above
-    ids = ipdf[item].to_numpy()
-    raw = _matrix(ipdf["_v"], False)
-    scored = _matrix(ipdf["_v"], metric == "cosine")
-    pos = {v: j for j, v in enumerate(ids.tolist())}
-    bc = rows.sparkSession.sparkContext.broadcast((ids, raw, scored, pos))
-    rtype = dict(rows.dtypes)[row_key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_, raw_, scored_, pos_ = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            users = np.zeros((len(pdf), raw_.shape[1]))
-            ok = np.zeros(len(pdf), dtype=bool)
-            tgt = np.full(len(pdf), -1)
-            for r, (h, t) in enumerate(zip(pdf[history].to_numpy(), pdf[target].to_numpy())):
-                idx = [pos_[x] for x in (h if h is not None else []) if x in pos_]
-                if idx and t in pos_:
-                    users[r] = raw_[idx].mean(axis=0)
-                    ok[r] = True
-                    tgt[r] = pos_[t]
-            if metric == "cosine":
-                nrm = np.linalg.norm(users, axis=1, keepdims=True)
-                users = np.divide(users, nrm, out=np.zeros_like(users), where=nrm > 0)
-            rank = np.full(len(pdf), np.nan)
-            for lo in range(0, len(pdf), SCORE_ROWS):
-                rows_ = lo + np.flatnonzero(ok[lo:lo + SCORE_ROWS])
-                mine = users[rows_]
-                st = round_half_up(np.einsum("ij,ij->i", mine, scored_[tgt[rows_]]), digits)[:, None]
-                own = ids_[tgt[rows_]][:, None]
-                ahead = np.zeros(len(rows_))
-                for at in range(0, len(ids_), ITEM_BLOCK_ROWS):   # bounds the score matrix
-                    sc = round_half_up(mine @ scored_[at:at + ITEM_BLOCK_ROWS].T, digits)
-                    other = ids_[None, at:at + ITEM_BLOCK_ROWS]
-                    ahead += ((sc > st) & (other != own)).sum(axis=1) + ((sc == st) & (other < own)).sum(axis=1)
-                rank[rows_] = ahead + 1
-            rank[rank > k] = np.nan
-            yield pd.DataFrame({row_key: pdf[row_key], "rank": pd.array(rank, dtype="Int64")})
-
-    per_row = _spread(rows.select(row_key, history, target)).mapInPandas(run, f"{row_key} {rtype}, rank long")
-    return with_metrics(per_row, ks)
+    else:
+        ipdf = items.toPandas()  # size checked above
+        bc = rows.sparkSession.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], False)))
+
+        def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, vectors = bc.value
+            index = pd.Index(ids)
+            for pdf in batches:
+                lists = [h if h is not None else [] for h in pdf[history]]
+                owner = np.repeat(np.arange(len(lists)), [len(h) for h in lists])
+                flat = np.concatenate([np.asarray(h, dtype=ids.dtype) for h in lists]) if len(owner) else ids[:0]
+                at = index.get_indexer(flat)
+                owner, at = owner[at >= 0], at[at >= 0]
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+                if len(first):
+                    n = np.diff(np.r_[first, len(owner)])
+                    users = np.add.reduceat(vectors[at], first, axis=0) / n[:, None]
+                    yield pd.DataFrame({row_key: pdf[row_key].to_numpy()[owner[first]], "user_vec": list(users)})
+
+        users = _spread(rows.select(row_key, history)).mapInPandas(means, f"{row_key} {dict(rows.dtypes)[row_key]}, user_vec array<double>")
+    return evaluate_next_item(users, item_vecs, rows, row_key, "user_vec", item, ivec, target, ks, metric, digits, **blocks)
 
 
 def summarize(per_row: DataFrame, ks: Sequence[int] = (10, 50), digits: int = 6) -> DataFrame:

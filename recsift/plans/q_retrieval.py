@@ -11,8 +11,9 @@ from ..operators import lexical as lx
 from ..operators import metrics as mt
 from ..operators import nextitem as ni
 from ..operators import testsets as ts
+from ..operators import vectorstore as vs
 from ..operators.textprep import clean_item_text_rec, clean_item_text_search
-from ..session import shared, stable, stored
+from ..session import shared, stable, stored, workdir
 from ..sources import views
 from . import sqltext as st
 from .catalog import register
@@ -111,7 +112,7 @@ def q_bm25_ndcg(spark, sf):
 # ------------------------------------------------------------------ dense
 _DENSE = (
     ("dq", "SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v, label FROM vectors WHERE vec_id % 10 = 0"),
-    ("di", "SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v, label FROM vectors WHERE vec_id % 10 <> 0"),
+    ("di", "SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v, label FROM vectors"),
     ("ds", f"SELECT qid, item_id, {st.cosine('q.v', 'i.v')} AS score FROM dq q, di i"),
     ("dranked", "SELECT qid, item_id, round(score, 6) AS score, row_number() OVER "
                 "(PARTITION BY qid ORDER BY round(score, 6) DESC, item_id) AS rank FROM ds"),
@@ -121,8 +122,7 @@ _DENSE = (
 def _dense_inputs(spark, sf):
     v = views.vectors(spark, sf)
     q = v.filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"), "label")
-    i = v.filter(F.col("vec_id") % 10 != 0).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"),
-                                                   "label")
+    i = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), "label")
     return q, i
 
 
@@ -181,14 +181,42 @@ def q_ivf_all(spark, sf):
     return dn.ivf_search(assign, cents, q, 10, n_probe=cents.shape[0]).select("qid", "item_id", "rank", "score")
 
 
+def _store(spark, sf):
+    """The stored cell index over all vectors, built and measured once an application."""
+    def build():
+        q, i = _dense_inputs(spark, sf)
+        return vs.build_store(i.select("item_id", "vec", "label"), workdir(spark, "vectors"), keep=["label"], queries=q.select("qid", "vec"), seed=SEED)
+    return shared(spark, "vector_store", views.source(sf, "embeddings"), build)
+
+
 @register("ivf_search_probe2", "D17")
 def q_ivf_probe(spark, sf):
-    # all rows are indexed; as many cells are probed as recall needs (the name is from when it was two)
+    # as many cells are probed as recall needs (the name is from when it was two)
+    store = vs.open_store(spark, _store(spark, sf).path)
     q, _ = _dense_inputs(spark, sf)
-    i = views.vectors(spark, sf).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
-    assign, cents = dn.build_ivf(i, "item_id", "vec", n_cells=8, seed=SEED)
-    n_probe = dn.probes_for_recall(assign, cents, q, 10, target=0.9)
-    return dn.ivf_search(assign, cents, q, 10, n_probe=n_probe).select("qid", "item_id", "rank", "score")
+    return vs.search(store, q, 10).select("qid", "item_id", "rank", "score")
+
+
+@register("vector_store_threshold", "D16 D17 T1", sql(
+    "SELECT qid, item_id, rank, score, l.label FROM (SELECT qid, item_id, round(score, 6) AS score, row_number() OVER "
+    "(PARTITION BY qid ORDER BY round(score, 6) DESC, item_id) AS rank FROM ds WHERE score >= 0.25) r "
+    "JOIN vectors l ON l.vec_id = r.item_id WHERE rank <= 5", "vectors", extra=_DENSE[:3]))
+def q_store_threshold(spark, sf):
+    store = _store(spark, sf)
+    q, _ = _dense_inputs(spark, sf)
+    hits = vs.search(store, q, 5, threshold=0.25, n_probe=len(store.centroids))
+    return hits.select("qid", "item_id", "rank", "score", "label")
+
+
+@register("vector_store_append", "U3 D17", sql(
+    "SELECT qid, item_id, rank, score FROM dranked WHERE rank <= 10", "vectors", extra=_DENSE))
+def q_store_append(spark, sf):
+    """Half of the vectors (by id hash) are indexed first, the others appended; all cells are searched."""
+    q, i = _dense_inputs(spark, sf)
+    first = F.pmod(F.xxhash64("item_id"), F.lit(2)) == 0
+    store = vs.build_store(i.filter(first), workdir(spark, "vectors"), queries=q.select("qid", "vec"), seed=SEED)
+    vs.append(store, i.filter(~first))
+    return vs.search(store, q, 10, n_probe=len(store.centroids)).select("qid", "item_id", "rank", "score")
 
 
 # ------------------------------------------------------------------ pooling / embedding
@@ -214,6 +242,17 @@ def q_mean_pool(spark, sf):
     return _pool(spark, sf, False)
 
 
+@register("mean_of_layers", "A11", sql(
+    "SELECT a.vec_id AS sentence, CAST(d - 1 AS INTEGER) AS dim, round((a.x + b.x) / 2, 6) AS value FROM "
+    "(SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM vectors) a JOIN "
+    "(SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM vectors) b "
+    "USING (d) WHERE b.vec_id = a.vec_id + 1", "vectors"))
+def q_mean_of_layers(spark, sf):
+    v = views.vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
+    return _long(pairs.select("vec_id", em.mean_of_layers("v", "w").alias("m")), "vec_id", "m", "sentence")
+
+
 @register("mean_pool_skip_first", "A11", sql(_POOL.format(where=" WHERE vec_id % 10 > 0"), "vectors"))
 def q_mean_pool_skip(spark, sf):
     return _pool(spark, sf, True)
@@ -280,7 +319,8 @@ _CON = (
 
 
 @register("in_batch_contrastive", "D23 A12", sql(
-    "SELECT count(*) AS n_batches, round(avg(bl), 6) AS loss FROM (SELECT batch, avg(loss) AS bl FROM cl GROUP BY batch)",
+    "SELECT count(*) AS n_batches, round(avg(bl), 6) AS loss, round(-avg(bl), 6) AS objective "
+    "FROM (SELECT batch, avg(loss) AS bl FROM cl GROUP BY batch)",
     "pairs", extra=_CON))
 def q_contrastive(spark, sf):
     p = em.embed_text(em.embed_text(views.pairs(spark, sf), "sent0", "a"), "sent1", "b").select(
@@ -403,6 +443,13 @@ def q_items_by_category(spark, sf):
     return mt.items_by_category(views.category_map(spark, sf))
 
 
+@register("category_items", "A7", sql(
+    "SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY item_id) AS position "
+    "FROM (SELECT DISTINCT category, item_id FROM category_map)", "category_map"))
+def q_category_items(spark, sf):
+    return mt.category_items(views.category_map(spark, sf))
+
+
 _IDX = (
     ("doc_long", st.hash_long("documents", "doc_id", "text")),
     ("doc_vec", st.dense_from_long("documents", "doc_id", "doc_long")),
@@ -413,16 +460,15 @@ _IDX = (
 
 
 @register("index_search", "D16 T1 U3 X4", sql(
-    "SELECT qid, doc_id, rank, score FROM (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER "
-    "(PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM iscores WHERE score >= 0.5) WHERE rank <= 5",
+    "SELECT qid, r.doc_id, rank, score, d.text AS sentence FROM (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER "
+    "(PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM iscores WHERE score >= 0.5) r "
+    "JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5",
     extra=_IDX))
 def q_index_search(spark, sf):
-    docs = views.table(spark, sf, "documents")
-    half = docs.filter(F.col("doc_id") % 2 == 0)
-    index = dn.add_to_index(dn.build_index(half, "doc_id", "text"),
-                            dn.build_index(docs.filter(F.col("doc_id") % 2 == 1), "doc_id", "text"))
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0   # never null: every document is in one half
+    index = dn.add_to_index(dn.build_index(docs.filter(first), "doc_id", "text"), dn.build_index(docs.filter(~first), "doc_id", "text"))
     queries = dn.build_index(views.table(spark, sf, "benchmark"), "item_id", "text").select(
         F.col("item_id").alias("qid"), F.col("embedding").alias("vec"))
-    hits = dn.threshold_search(queries, index.select("doc_id", F.col("embedding").alias("vec")), 0.5, 5,
-                               item="doc_id")
-    return hits.select("qid", "doc_id", "rank", "score")
+    hits = dn.threshold_search(queries, index.select("doc_id", F.col("embedding").alias("vec")), 0.5, 5, item="doc_id")
+    return hits.join(docs.withColumnRenamed("text", "sentence"), "doc_id").select("qid", "doc_id", "rank", "score", "sentence")

@@ -146,3 +146,28 @@ def test_global_numbering_is_stable_across_actions(spark):
     second = sorted((r.id, r.rn) for r in out.collect())
     assert first == second
     assert sorted(rn for _, rn in first) == list(range(1, 3001))
+
+
+def test_core_degrees_equal_a_recount(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    rows = {(int(rnd.paretovariate(0.6)) % 80, int(rnd.paretovariate(0.6)) % 60) for _ in range(1500)}
+    df = spark.createDataFrame([(u, i, u * 100 + i) for u, i in rows], "user_id long, parent_asin long, timestamp long")
+    for k_user, k_item, rewrite, few in ((4, 4, 0.3, 500_000), (5, 3, 0.0, 0), (0, 6, 1.0, 500_000), (6, 0, 0.3, 500_000), (40, 40, 0.3, 500_000)):
+        monkeypatch.setattr(I, "REWRITE", rewrite)
+        monkeypatch.setattr(I, "DROP_BROADCAST_ROWS", few)
+        left, trace = set(rows), []
+        while True:
+            du, di = {}, {}
+            for u, i in left:
+                du[u] = du.get(u, 0) + 1
+                di[i] = di.get(i, 0) + 1
+            kept = {(u, i) for u, i in left if du[u] >= k_user and di[i] >= k_item}
+            if kept == left:
+                break
+            left = kept
+            trace.append((len(trace) + 1, len(left), len({u for u, _ in left}), len({i for _, i in left})))
+        res = I.k_core(df, k_user, k_item)
+        assert {(r["user_id"], r["parent_asin"]) for r in res.edges.collect()} == left
+        assert res.trace == trace and res.converged

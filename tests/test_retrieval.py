@@ -234,3 +234,36 @@ def test_passages_of_any_length(spark, monkeypatch, few):
     want = {i: min(j for j, t in enumerate(texts) if t is not None and p in t) for i, p in enumerate(pats)
             if p is not None and any(t is not None and p in t for t in texts)}
     assert got == want
+
+
+def test_next_item_rank_does_not_depend_on_blocks(spark):
+    from recsift.operators import nextitem as ni
+
+    rng = np.random.default_rng(6)
+    vecs = [(i, [float(x) for x in rng.integers(-1, 2, 3)]) for i in range(90)]     # many ties
+    items = spark.createDataFrame(vecs + [(200, None)], "item_id long, vec array<double>")
+    rows = [(r, [int(x) for x in rng.integers(0, 95, rng.integers(0, 5))], int(rng.integers(0, 92))) for r in range(60)]
+    df = spark.createDataFrame(rows + [(99, None, 3)], "row_id long, history array<long>, target long")
+    table = dict(vecs)
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    want = {99: None}
+    for r, h, t in rows:
+        known = [table[x] for x in h if x in table]
+        want[r] = None
+        if known and t in table:
+            u = unit(np.mean(known, axis=0))
+            s = {i: round(float(u @ unit(np.array(v))), 6) for i, v in vecs}
+            rank = 1 + sum((s[i], -i) > (s[t], -t) for i in s if i != t)
+            want[r] = rank if rank <= 50 else None
+    for kw in ({}, {"row_block": 7, "item_block": 11}, {"row_block": 1000, "item_block": 1}):
+        got = {r["row_id"]: r["rank"] for r in ni.evaluate_from_histories(df, items, **kw).collect()}
+        assert got == want
+
+
+def test_encoder_pooling(spark):
+    with pytest.raises(ValueError):
+        em.HashEncoder(pooling="cls")
+    texts = ["a b a", "", None, "ab.c d  d", "x " * 500]
+    total, mean = em.HashEncoder(pooling="sum")(texts), em.HashEncoder()(texts)
+    assert np.allclose(mean[0] * 3, total[0]) and np.allclose(mean[4] * 500, total[4]) and not mean[1:3].any()
+    assert np.allclose(np.vstack([em.HashEncoder()([t]) for t in texts]), mean)

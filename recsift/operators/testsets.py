@@ -34,9 +34,10 @@ def clean_query_text(col: str) -> F.Column:
 
 def _pool(pos: DataFrame, negs: DataFrame, item_text: DataFrame) -> DataFrame:
     """U4 + J7: positives ∪ negatives as distinct (item, category), joined to
-    the item text (items without text are left out)."""
+    the item text (items without text are left out). An item text that names its category
+    belongs to the pool rows of that category only."""
     both = pos.unionByName(negs).distinct()
-    return both.join(item_text, "item_id")
+    return both.join(item_text, ["item_id", "category"] if "category" in item_text.columns else "item_id")
 
 
 def build_search_testset(judgements: DataFrame, cat_map: DataFrame, item_text: DataFrame, n_neg: int = 50,

@@ -59,11 +59,13 @@ def q_inter(spark, sf):
 
 @register("io_id_maps", "K4", (
     "SELECT 'user' AS kind, CAST(c_custkey AS VARCHAR) AS token, CAST(c_custkey + 1 AS BIGINT) AS id FROM customer "
-    "UNION ALL SELECT 'item', CAST(p_partkey AS VARCHAR), CAST(p_partkey + 1 AS BIGINT) FROM part"))
+    "UNION ALL SELECT 'item', CAST(p_partkey AS VARCHAR), CAST(p_partkey + 1 AS BIGINT) FROM part "
+    "UNION ALL SELECT 'meta', p_name, CAST(p_partkey + 1 AS BIGINT) FROM part "
+    "UNION ALL SELECT kind, '[PAD]', 0 FROM (VALUES ('user'), ('item'), ('meta')) k(kind)"))
 def q_id_maps(spark, sf):
     users = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).cast("long").alias("id"))
-    items = views.table(spark, sf, "part").select(F.col("p_partkey").alias("i"), (F.col("p_partkey") + 1).cast("long").alias("id"))
-    path = writers.write_id_maps(users, items, _dir(spark, "maps"))
+    part = views.table(spark, sf, "part").withColumn("id", (F.col("p_partkey") + 1).cast("long"))
+    path = writers.write_id_maps(users, part.select("p_partkey", "id"), _dir(spark, "maps"), id_meta=part.select("id", "p_name"))
     return spark.read.schema("kind string, token string, id long").json(path)
 
 
@@ -162,7 +164,7 @@ _LAST_CAT = ("SELECT user_id, parent_asin, rating, \"timestamp\", seq, category,
              f"\"timestamp\" DESC, parent_asin DESC) AS back FROM (SELECT *, {_CAT_SQL} AS category FROM interactions))")
 
 
-@register("last_out_by_category", "W2 W3 D3 S3", sql(_LAST_CAT, "interactions"))
+@register("last_out_by_category", "W2 W3 D3", sql(_LAST_CAT, "interactions"))
 def q_last_out_category(spark, sf):
     return ops.per_category(_by_category(spark, sf), "category", lambda x, user, item: ops.last_out(x, user=user, item=item))
 
@@ -176,7 +178,7 @@ def _core_category_sql():
                                              f"{_CAT_SQL} AS category FROM e16")
 
 
-@register("k_core_by_category", "A2 D1 S3", _core_category_sql())
+@register("k_core_by_category", "A2 D1", _core_category_sql())
 def q_core_category(spark, sf):
     return ops.per_category(_by_category(spark, sf), "category", lambda x, user, item: ops.k_core(x, 3, 3, user, item).edges)
 

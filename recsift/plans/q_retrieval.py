@@ -364,9 +364,13 @@ def q_filter_judgements(spark, sf):
 
 
 def _search_ts(spark, sf):
-    text = clean_item_text_search(views.items(spark, sf)).select(
-        F.col("parent_asin").alias("item_id"), F.col("cleaned_metadata").alias("metadata"))
-    return ts.build_search_testset(views.judgements(spark, sf), views.category_map(spark, sf), text, n_neg=5, seed=SEED)
+    items = views.items(spark, sf)
+    text = clean_item_text_search(items).join(items.select("parent_asin", "category"), "parent_asin").select(
+        F.col("parent_asin").alias("item_id"), "category", F.col("cleaned_metadata").alias("metadata"))
+    # items are listed under a second category with another text, which belongs to that category's pool only
+    other = text.select("item_id", F.lit("Brand#11").alias("category"), F.concat(F.lit("second "), "metadata").alias("metadata")) \
+        .filter(F.col("item_id") % 3 == 0).join(text.select("item_id", "category"), ["item_id", "category"], "left_anti")
+    return ts.build_search_testset(views.judgements(spark, sf), views.category_map(spark, sf), text.unionByName(other), n_neg=5, seed=SEED)
 
 
 @register("search_testset_queries", "D11 W8 P13", sql(
@@ -376,7 +380,9 @@ def q_search_ts_queries(spark, sf):
 
 
 @register("search_testset_pool", "D11 J8 U4 J7", sql(
-    "SELECT p.item_id, p.category, t.metadata FROM pool p JOIN item_search_text t USING (item_id)",
+    "SELECT p.item_id, p.category, t.metadata FROM pool p JOIN (SELECT x.item_id, i.category, x.metadata FROM item_search_text x "
+    "JOIN items i ON i.parent_asin = x.item_id UNION ALL SELECT x.item_id, 'Brand#11', 'second ' || x.metadata FROM item_search_text x "
+    "JOIN items i ON i.parent_asin = x.item_id WHERE x.item_id % 3 = 0 AND i.category <> 'Brand#11') t USING (item_id, category)",
     "judgements", "category_map", "items", extra=_SEARCH_TS + _neg_ctes("tq", "category_map", 5)))
 def q_search_ts_pool(spark, sf):
     return _search_ts(spark, sf).pool

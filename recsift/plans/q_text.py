@@ -11,10 +11,11 @@ from ..functions.text import clean_rec_text, clean_search_text
 from ..operators import pairs as pr
 from ..operators import sampling as sm
 from ..operators import textprep as tp
-from ..operators.interactions import split_thresholds
-from ..sources import views
+from ..session import workdir
+from ..sources import readers, views, writers
 from . import sqltext as st
 from .catalog import register
+from .q_interactions import _thresholds
 from .sqlviews import sql
 
 SEED = 42
@@ -117,8 +118,47 @@ def q_head_percent(spark, sf):
     JOIN (SELECT parent_asin, {_PRE_SQL} AS meta FROM items) m ON r.parent_asin = m.parent_asin
     WHERE length(r.review) > 30 AND length(m.meta) > 30""", "reviews", "items", "thresholds"))
 def q_pretrain_pairs(spark, sf):
-    t = {r["fraction"]: r["threshold"] for r in split_thresholds(views.raw_interactions(spark, sf), (0.8,)).collect()}
-    return pr.build_pretrain_pairs(views.reviews(spark, sf), views.items(spark, sf), int(t[0.8]), 10, SEED)
+    return pr.build_pretrain_pairs(views.reviews(spark, sf), views.items(spark, sf), _thresholds(spark, sf)[0], 10, SEED)
+
+
+_FILES = [f"Shop Part {i}" for i in range(4)]
+# every fifth item stands in its own category file and, with another title, in the next one
+_TWICE = """
+    SELECT parent_asin, title, features, description, parent_asin % 4 AS category_no FROM items
+    UNION ALL SELECT parent_asin, title || ' (as listed again)', features, description, (parent_asin + 1) % 4 FROM items
+    WHERE parent_asin % 5 = 0"""
+
+
+@register("pretrain_pairs_by_category", "D10 J2 U1 S3 F16", sql(
+    f"""SELECT r.user_id, r.parent_asin, r.review, m.meta
+    FROM (SELECT user_id, parent_asin, {st.flat('concat_ws(' + st.lit(' ') + ', title, text)')} AS review
+          FROM reviews, thresholds
+          WHERE "timestamp" < t_valid AND {sql_hash32(['user_id', 'parent_asin'], SEED)} % 10 = 0) r
+    JOIN (SELECT parent_asin, {_PRE_SQL} AS meta FROM
+          (SELECT * FROM ({_TWICE}) QUALIFY row_number() OVER (PARTITION BY parent_asin ORDER BY category_no DESC) = 1)) m
+      ON r.parent_asin = m.parent_asin
+    WHERE length(r.review) > 30 AND length(m.meta) > 30""", "reviews", "items", "thresholds"))
+def q_pairs_by_category(spark, sf):
+    """Metadata read from one file per category; an item met in two takes the later file's row."""
+    x = views.items(spark, sf).select("parent_asin", "title", "features", "description", (F.col("parent_asin") % 4).alias("c"))
+    again = x.filter(F.col("parent_asin") % 5 == 0).withColumns({
+        "title": F.concat("title", F.lit(" (as listed again)")), "c": (F.col("parent_asin") + 1) % 4})
+    named = x.unionByName(again).withColumn("category", F.concat(F.lit("Shop Part "), F.col("c"))).drop("c")
+    folder = writers.write_categories(named, workdir(spark, "categories"), _FILES)
+    schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in ("parent_asin", "title", "features", "description"))
+    items = readers.read_categories(spark, folder, _FILES, schema).drop("category")
+    return pr.build_pretrain_pairs(views.reviews(spark, sf), items, _thresholds(spark, sf)[0], 10, SEED, item_order="category_no")
+
+
+@register("clean_item_fields", "D7 D8 F9 F18", (
+    f"SELECT p_partkey AS parent_asin, {st.clean_rec('p_name', False)} || ' ' || CAST(p_size AS VARCHAR) || '. ' AS rec, "
+    "'{size:' || CAST(p_size AS VARCHAR) || ',brand:' || p_brand || '}. ' AS search FROM part"))
+def q_item_fields(spark, sf):
+    """A number field (text with a dot) and a record field (its JSON text)."""
+    p = views.table(spark, sf, "part").select(F.col("p_partkey").alias("parent_asin"), F.col("p_name").alias("title"),
+                                              F.col("p_size").alias("size"), F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).alias("details"))
+    rec = tp.clean_item_text_rec(p, lists=("size",), out="rec")
+    return rec.join(tp.clean_item_text_search(p, fields=("details",), out="search"), "parent_asin")
 
 
 @register("training_rows", "D21 P11", sql(

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +72,25 @@ def read_split_csv(spark: SparkSession, path: str, with_history: bool = False) -
 
 
 def read_by_category(df: DataFrame, suffix: str = "json", out: str = "category") -> DataFrame:
-    """S3: add the category = file stem (one file per category)."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{suffix}$", 1)
-    return df.withColumn(out, stem)
+    """S3: add the category = file stem (one file per category; a folder ``stem.suffix`` of
+    part files, as Spark writes them, counts as one file)."""
+    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)\.{suffix}(?:/[^/]*)?$", 1)
+    return df.withColumn(out, F.call_function("url_decode", F.replace(stem, F.lit("+"), F.lit("%2B"))))
+
+
+def read_categories(spark: SparkSession, folder: str, categories: Sequence[str], schema: str, suffix: str = "jsonl",
+                    out: str = "category", ordinal: str = "category_no") -> DataFrame:
+    """S3: the files of ``categories`` below ``folder`` (names by F16) in one scan, with the category
+    and its place in the list, by which later files win (J2, U1)."""
+    stems = [c.replace(" ", "_") for c in categories]
+    if len(set(stems)) < len(stems):
+        raise ValueError("categories share a file name")
+    raw = spark.read.schema(schema).json([f"{folder.rstrip('/')}/{s}.{suffix}" for s in stems])
+    x = read_by_category(raw, suffix, "__stem")
+    # one entry a category
+    place = F.create_map(*[v for i, s in enumerate(stems) for v in (F.lit(s), F.lit(i))])
+    names = F.array(*[F.lit(c) for c in categories])
+    return x.withColumn(ordinal, F.element_at(place, F.col("__stem"))).withColumn(out, F.get(names, F.col(ordinal))).drop("__stem")
 
 
 def read_json_map(spark: SparkSession, path: str, key: str = "item_id", value: str = "category") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -48,13 +48,27 @@ def write_inter(df: DataFrame, out: str, mode: str = "overwrite") -> str:
     return out
 
 
-def write_id_maps(user_map: DataFrame, item_map: DataFrame, out: str, mode: str = "overwrite") -> str:
-    """K4: id maps as JSON lines of (kind, token, id)."""
-    u = user_map.select(F.lit("user").alias("kind"), F.col(user_map.columns[0]).cast("string").alias("token"),
-                        F.col(user_map.columns[1]).alias("id"))
-    i = item_map.select(F.lit("item").alias("kind"), F.col(item_map.columns[0]).cast("string").alias("token"),
-                        F.col(item_map.columns[1]).alias("id"))
-    u.unionByName(i).write.mode(mode).json(out)
+PAD = "[PAD]"   # fixed value: the token of id 0
+
+
+def write_id_maps(user_map: DataFrame, item_map: DataFrame, out: str, mode: str = "overwrite",
+                  id_meta: DataFrame | None = None) -> str:
+    """K4: id maps as JSON lines of (kind, token, id). With ``id_meta`` (id, metadata) the set is whole:
+    the items' metadata by id, and ``[PAD]`` as id 0 of each kind."""
+    spark = user_map.sparkSession
+    kinds = [("user", user_map, 0, 1), ("item", item_map, 0, 1)] + ([("meta", id_meta, 1, 0)] if id_meta is not None else [])
+    rows = spark.createDataFrame([(k, PAD, 0) for k, *_ in kinds] if id_meta is not None else [], "kind string, token string, id long")
+    for kind, m, token, number in kinds:
+        rows = rows.unionByName(m.select(F.lit(kind).alias("kind"), F.col(m.columns[token]).cast("string").alias("token"),
+                                         F.col(m.columns[number]).cast("long").alias("id")))
+    rows.write.mode(mode).json(out)
+    return out
+
+
+def write_categories(df: DataFrame, out: str, categories: Sequence[str], category: str = "category", suffix: str = "jsonl") -> str:
+    """One JSON-lines file (folder of parts) per category, named by F16."""
+    for c in categories:
+        df.filter(F.col(category) == c).drop(category).write.mode("overwrite").json(f"{out.rstrip('/')}/{c.replace(' ', '_')}.{suffix}")
     return out
 
 
@@ -62,7 +76,9 @@ def write_vectors_f32(df: DataFrame, out: str, id_col: str = "id", vec_col: str
     """K5: float32 rows in id order as numbered raw part files; concatenating the parts in
     name order gives the matrix. ``out`` is a folder all executors reach (a path or URI).
     Every task attempt writes a file of its own below a staging folder; the attempts that
-    Spark reports are then moved to ``part-NNNNN.f32``, after older parts are removed."""
+    Spark reports are moved beside the old parts as a new set first, then the old parts are removed
+    and the new ones renamed to ``part-NNNNN.f32``. A crash leaves a whole old or a whole new set (``_new-NNNNN.f32``
+    and a ``_NEW`` marker), never neither; the next write starts over."""
     n = parts or df.sparkSession.sparkContext.defaultParallelism
     staging = f"{out.rstrip('/')}/_staging-{uuid.uuid4().hex}"
     for folder in (out, staging):
@@ -84,11 +100,19 @@ def write_vectors_f32(df: DataFrame, out: str, id_col: str = "id", vec_col: str
 
     done = ordered.mapInArrow(write, "part int, name string, rows long").collect()  # one row a partition
     fs, p = open_fs(out)
-    for old in fs.get_file_info(pafs.FileSelector(p)):
-        if old.base_name.startswith("part-") and old.base_name.endswith(".f32"):
-            fs.delete_file(old.path)
+    p = p.rstrip("/")
+    listed = lambda start: [f for f in fs.get_file_info(pafs.FileSelector(p)) if f.base_name.startswith(start) and f.base_name.endswith(".f32")]
+    for stale in listed("_new-"):
+        fs.delete_file(stale.path)
     for r in done:
-        fs.move(open_fs(r["name"])[1], f"{p.rstrip('/')}/part-{r['part']:05d}.f32")
+        fs.move(open_fs(r["name"])[1], f"{p}/_new-{r['part']:05d}.f32")
+    with fs.open_output_stream(f"{p}/_NEW") as marker:     # the new set is whole
+        marker.write(b"")
+    for old in listed("part-"):
+        fs.delete_file(old.path)
+    for f in listed("_new-"):
+        fs.move(f.path, f"{p}/part-{f.base_name[5:]}")
+    fs.delete_file(f"{p}/_NEW")
     fs.delete_dir(open_fs(staging)[1])
     return out
 

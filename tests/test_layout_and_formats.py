@@ -112,3 +112,42 @@ def test_hard_negative_logit(spark):
     df = spark.createDataFrame(rows, "i long, a array<double>, b array<double>, h array<double>")
     loss = lambda w: mt.in_batch_contrastive(df, ["i"], "a", "b", 4, hard_negative="h", hard_weight=w).first()["loss"]
     assert loss(-5.0) < loss(0.0) < loss(5.0)
+
+
+def test_category_files_and_later_rows(spark, tmp_path):
+    from recsift.operators.pairs import build_pretrain_pairs
+
+    cats = ["Zoo and Pets", "All Beauty"]       # the list's order counts, not the names'
+    rows = [(1, "Zoo and Pets", "first listing of item one " * 2), (1, "All Beauty", "later listing of item one " * 2),
+            (2, "Zoo and Pets", "only listing of item two " * 2)]
+    df = spark.createDataFrame(rows, "parent_asin long, category string, title string").withColumns({
+        "features": F.array().cast("array<string>"), "description": F.array().cast("array<string>")})
+    folder = writers.write_categories(df, str(tmp_path / "c"), cats)
+    got = readers.read_categories(spark, folder, cats, "parent_asin long, title string, features array<string>, description array<string>")
+    assert {(r["parent_asin"], r["category"], r["category_no"]) for r in got.collect()} == {(1, cats[0], 0), (1, cats[1], 1), (2, cats[0], 0)}
+    reviews = spark.createDataFrame([("u", i, i, "t", "a review that is long enough to be kept") for i in (1, 2)],
+                                    "user_id string, parent_asin long, timestamp long, title string, text string")
+    pairs = build_pretrain_pairs(reviews, got.drop("category"), 100, 1, item_order="category_no").collect()
+    assert {r["parent_asin"]: r["meta"].split()[0] for r in pairs} == {1: "later", 2: "only"}
+    with pytest.raises(ValueError):
+        readers.read_categories(spark, folder, ["a b", "a_b"], "x int")
+
+
+def test_pool_takes_its_category_text(spark):
+    from recsift.operators.testsets import _pool
+
+    pos = spark.createDataFrame([(1, "a"), (2, "a")], "item_id long, category string")
+    text = spark.createDataFrame([(1, "a", "one a"), (1, "b", "one b"), (3, "a", "three")], "item_id long, category string, metadata string")
+    assert [tuple(r) for r in _pool(pos, pos.limit(0), text).collect()] == [(1, "a", "one a")]
+
+
+def test_vector_set_survives_a_crash_between_steps(spark, tmp_path):
+    import os
+
+    df = spark.range(20).select("id", F.array(F.col("id").cast("float")).alias("vec"))
+    out = str(tmp_path / "v")
+    writers.write_vectors_f32(df, out, parts=4)
+    open(os.path.join(out, "_new-00000.f32"), "wb").write(b"junk")      # left by a write that died while moving
+    assert readers.read_vectors_f32(spark, out, 1).count() == 20
+    writers.write_vectors_f32(df, out, parts=2)
+    assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == ["part-00000.f32", "part-00001.f32"]

@@ -24,10 +24,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ HASHES = 3
 RARE = 1e-6
 SLOTS_PER_GRAM = 12        # the filter takes 8 bytes a slot and 62 languages
 MASK_BITS = 62
-WORD_CACHE = 300_000
+WORD_CACHE = 300_000        # different words a worker counts before it sends them on
+WORDS, ROWS = 20_000, 500   # words, texts looked up at once
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,8 +54,44 @@ def grams_of(word: str) -> list[str]:
     return [framed[i:i + n] for n in SIZES for i in range(len(framed) - n + 1)]
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64 (fixed values), on uint64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _chained(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For n = 1, 2, ...: the hashes of all runs of n code points, from those of n - 1."""
+    h = _mix(points + np.uint64(1 << 40))
+    yield 1, h
+    for n in range(2, max(SIZES) + 1):
+        h = _mix(h[:max(len(points) - n + 1, 0)] * np.uint64(3) + points[n - 1:])
+        yield n, h
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 def gram_hash(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram) - (1 << 63)   # as a signed long
+    return int(dict(_chained(_points(gram)))[len(gram)][0].astype(np.int64))
+
+
+def gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of all words, and the word each belongs to, from one array of
+    code points."""
+    points = _points("".join([f" {w} " for w in words]))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))    # code points up to the word's end
+    hashes, of = [], []
+    for n, h in _chained(points):
+        if n in SIZES:
+            inside = left[:len(h)] >= n
+            hashes.append(h[inside])
+            of.append(owner[:len(h)][inside])
+    return np.concatenate(hashes).astype(np.int64), np.concatenate(of)
 
 
 def count_grams(train: DataFrame) -> DataFrame:
@@ -63,14 +101,12 @@ def count_grams(train: DataFrame) -> DataFrame:
 
         def emit():
             for lang, counter in words.items():
-                grams: Counter = Counter()
-                for word, n in counter.items():
-                    for g in grams_of(word):
-                        grams[g] += n
-                keys = list(grams)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array([gram_hash(g) for g in keys], pa.int64()),
-                     pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
+                h, of = gram_hashes(list(counter))
+                times = np.fromiter(counter.values(), np.float64, len(counter))
+                keys, place = np.unique(h, return_inverse=True)
+                n = np.bincount(place, weights=times[of], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)],
+                                                 names=["lang", "gram", "n"])
             words.clear()
 
         for batch in batches:
@@ -92,39 +128,50 @@ class Filter:
         bits = np.array([((masks[b // MASK_BITS] >> np.uint64(b % MASK_BITS)) & np.uint64(1)).mean()
                          for b in range(len(langs))])
         self.false_rate = bits ** HASHES
-        self.known: dict[str, np.ndarray] = {}
+
+    def hits(self, words: list[str]) -> np.ndarray:
+        """One row a word: the number of its n-grams and each language's hits among them."""
+        out = np.zeros((len(words), 1 + len(self.langs)))
+        for lo in range(0, len(words), WORDS):
+            h, of = gram_hashes(words[lo:lo + WORDS])
+            n = min(WORDS, len(words) - lo)
+            out[lo:lo + n, 0] = np.bincount(of, minlength=n)
+            slots = slot_columns(h, self.masks.shape[1])
+            for block, table in enumerate(self.masks):
+                found = table[slots[0]]
+                for s in slots[1:]:
+                    found &= table[s]
+                for b in range(block * MASK_BITS, min(len(self.langs), (block + 1) * MASK_BITS)):
+                    bit = (found >> np.uint64(b % MASK_BITS)) & np.uint64(1)
+                    out[lo:lo + n, 1 + b] = np.bincount(of, weights=bit, minlength=n)
+        return out
 
     def word_hits(self, word: str) -> np.ndarray:
-        """(number of n-grams, hits of each language) of one word."""
-        got = self.known.get(word)
-        if got is not None:
-            return got
-        h = np.array([gram_hash(g) for g in grams_of(word)], dtype=np.int64)
-        slots = slot_columns(h, self.masks.shape[1])
-        found = self.masks[:, slots[0]]
-        for s in slots[1:]:
-            found = found & self.masks[:, s]
-        hits = [len(h)]
-        for b in range(len(self.langs)):
-            hits.append(int(((found[b // MASK_BITS] >> np.uint64(b % MASK_BITS)) & np.uint64(1)).sum()))
-        got = np.array(hits, dtype=np.float64)
-        if len(word) <= 64:
-            if len(self.known) >= WORD_CACHE:
-                self.known.clear()
-            self.known[word] = got
-        return got
+        return self.hits([word])[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        counts = Counter(words)
-        vectors = np.array([self.word_hits(w) for w in counts])
-        total = np.array(list(counts.values()), dtype=np.float64) @ vectors
-        n, hits = total[0], total[1:]
-        corrected = (hits - n * self.false_rate) / np.maximum(1 - self.false_rate, 1e-9)
-        best = int(np.argmax(corrected))
-        return self.langs[best], float(min(max(corrected[best] / n, 0.0), 1.0))
+        lang, score = self.predict_batch([text])
+        return lang[0], float(score[0])
+
+    def predict_batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of a batch: its different words are looked up once."""
+        lists = [words_of(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), object, int(sizes.sum()))
+        if not self.langs or not len(flat):
+            return ["und"] * len(texts), np.zeros(len(texts))
+        codes, words = pd.factorize(flat)
+        words = words.tolist()
+        hits, owner = self.hits(words), np.repeat(np.arange(len(texts)), sizes)
+        summed = lambda per_word: np.bincount(owner, weights=per_word[codes], minlength=len(texts))
+        letters = summed(np.fromiter((any(map(str.isalpha, w)) for w in words), np.float64, len(words)))
+        n = summed(hits[:, 0])
+        # language by language: memory does not grow with their number times the words
+        corrected = np.stack([(summed(hits[:, 1 + b]) - n * fp) / max(1 - fp, 1e-9) for b, fp in enumerate(self.false_rate)], axis=1)
+        best = corrected.argmax(axis=1)
+        score = np.clip(corrected[np.arange(len(texts)), best] / np.maximum(n, 1), 0.0, 1.0)
+        known = letters > 0
+        return [self.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
 def slot_columns(h, slots: int):
@@ -172,10 +219,11 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(*sent.value)
         for batch in batches:
-            out = [own.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
-                names=["doc_id", "lang_pred", "score"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lang, score = own.predict_batch(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                                 names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double")

@@ -229,6 +229,47 @@ def test_language_filter_has_no_false_negatives():
     assert f.predict("omega 7 omega")[0] == "l65" and f.predict("ALPHA")[0] == "l0"
 
 
+def test_language_counts_against_exact_sets(spark):
+    """Popcounts of the filter, n-gram by n-gram, and the corrected decision, against plain Python."""
+    rng = random.Random(2)
+    alphabets = {"aa": "abcdeé", "bb": "defghß", "cc": "漢字仮名😀x"}
+    word = lambda k: "".join(rng.choices(alphabets[k], k=rng.randrange(1, 9)))
+    rows = [(" ".join(word(k) for _ in range(40)), k) for k in alphabets for _ in range(15)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    words = [word(k) for k in alphabets for _ in range(200)] + ["é" * 500, "q"]
+    h, of = langid.gram_hashes(words)
+    assert [list(map(int, h[of == i])) for i in range(0, 602, 37)] == [
+        [langid.gram_hash(g) for n in langid.SIZES for g in [f" {words[i]} "[j:j + n] for j in range(len(words[i]) + 3 - n)]]
+        for i in range(0, 602, 37)]
+    slots = model.masks.shape[1]
+    single = {}
+    for w in words:
+        want = [0] * (1 + len(model.langs))
+        for g in langid.grams_of(w):
+            mask = -1
+            for s in langid.slot_columns(np.array([langid.gram_hash(g)]), slots):
+                mask &= int(model.masks[0, s[0]])
+            for b in range(len(model.langs)):
+                want[1 + b] += mask >> b & 1
+            want[0] += 1
+        single[w] = want
+    assert model.hits(words).tolist() == single_rows(single, words)
+    texts = [None, "", "12 ²", *(" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(60))]
+    langs, scores = model.predict_batch(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        ws = langid.words_of(t or "")
+        if not any(c.isalpha() for w in ws for c in w):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.sum([single[w] if w in single else model.word_hits(w) for w in ws], axis=0, dtype=float)
+        fixed = (total[1:] - total[0] * model.false_rate) / (1 - model.false_rate)
+        assert lang == model.langs[int(np.argmax(fixed))] and abs(score - min(max(fixed.max() / total[0], 0), 1)) < 1e-12
+
+
+def single_rows(single, words):
+    return [[float(x) for x in single[w]] for w in words]
+
+
 def test_language_filter_grows_with_the_ngrams(spark):
     rng = random.Random(8)
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]

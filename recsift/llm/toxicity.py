@@ -1,16 +1,20 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Restoring: a token with other characters among its letters, a letter three times in a row,
-or a run of single spaced letters is a lattice: a character may stand for itself, for the
+Restoring: a token with other characters among or beside its letters, a repeated letter,
+or a run of single spaced characters is a lattice: a character may stand for itself, for the
 letters its look-alikes stand for, or (separators, repeated letters) for nothing, each at a
-channel cost. Viterbi decoding under a character trigram model, counted over all texts,
-gives the restored word. Other tokens are their own only path.
+channel cost; in a spaced run a word may end after any character. Viterbi decoding under a character trigram model, counted over all texts,
+gives the restored words; it is exact (a state is the last two characters). Tokens without such characters are their own only path;
+numbers and prices are no words and stay.
 
 Scoring: words and word beginnings of restored training texts get evidence weights (a
-cautious log odds from counts over the labelled training rows, at most ``TRAIN_ROWS``, near
+cautious log odds from counts over the labelled training rows, about ``TRAIN_ROWS`` at most, near
 copies counted once).
 A text's evidence is the sum over its different words; a logistic curve over evidence and
-length, fitted on at most ``FIT_ROWS`` labelled training rows, gives the score.
+length, fitted on about ``FIT_ROWS`` labelled training rows at most, gives the score.
+
+Memory: a worker holds the model (trigrams above ``GRAM_FLOOR`` of all, at most ``MODEL_ROWS`` weights), memories of
+at most ``TOKENS`` tokens and ``CONTEXTS`` contexts, and ``ROWS`` texts at a time, whatever the size of the input.
 
 Defined cases: null text is empty; an empty text has no evidence and still a score; labels of
 null toxicity or unknown documents are ignored, repeated labels of a document count once
@@ -24,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +38,28 @@ from pyspark.sql import functions as F
 from .common import materialise, prepare
 from .langid import fold
 
-TRAIN_ROWS = 400_000    # bound of the labelled rows that train (by hash of the id; their ids are broadcast)
-FIT_ROWS = 40_000       # bound of the sample the logistic curve is fitted on
+TRAIN_ROWS = 400_000    # about the most labelled rows that train (by hash of the id; their ids are broadcast)
+FIT_ROWS = 40_000       # about the most rows the logistic curve is fitted on
 MODEL_ROWS = 20_000     # bound of the evidence table (strongest weights first)
-LM_ROWS = 200_000       # bound of the trigram table (most frequent first)
+GRAM_FLOOR = 1e-6       # share of all trigrams below which one is left to the back-off (so at most a million are kept)
 MIN_POSITIVE, MIN_WEIGHT = 4, 2.0
 PREFIXES = (4, 5, 6, 7)
-TOKEN_CACHE = 250_000     # tokens a worker remembers or counts before it sends them on
-EVIDENCE_CACHE = 300_000  # features a worker counts before it sends them on
-ROWS = 500                # texts taken out of an Arrow batch at once
-BEAM = 12
+WORD_CACHE = 100_000      # words a worker counts before it sends them on
+TOKENS = 60_000           # tokens whose restored words a worker remembers
+CONTEXTS = 100_000        # trigram probabilities a worker remembers
+EVIDENCE_CACHE = 150_000  # features a worker counts before it sends them on
+ROWS = 300                # texts taken out of an Arrow batch at once
 
 # Letters a character may stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
                "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-COST_LOOK_ALIKE, COST_SEPARATOR, COST_REPEAT, COST_OTHER = 0.7, 0.7, 0.4, 6.0
+COST_LOOK_ALIKE, COST_SEPARATOR, COST_REPEAT, COST_NOTHING, COST_OTHER, COST_BREAK = 0.7, 0.7, 0.4, 1.2, 6.0, 0.7
 
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_@$!|][ .\-_*]){3,}[^\W_](?![^\W_])")
-_TRIPLE = re.compile(r"(.)\1\1")
+# single characters, each followed by one separator, not beside a letter or digit
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\s][ .\-_*]){2,}[^\s](?![^\W_])")
+_SEPARATOR = re.compile(r"[ .\-_*]")
+_DOUBLE = re.compile(r"(.)\1")
+_NUMBER = re.compile(r"[€£$+(]*[\d.,:/%\-]*[%€£$+)!]*")
 
 
 class TrigramModel:
@@ -78,80 +87,134 @@ class TrigramModel:
             p3 = self.tri.get(key, 0) / self.bi[context] if self.bi[context] else 0.0
             p2 = self.pair[key[1:]] / self.single[context[1]] if self.single[context[1]] else 0.0
             p1 = (self.uni[c] + 0.1) / (self.total + 10)
+            if len(self.seen) >= CONTEXTS:
+                self.seen.clear()
             got = self.seen[key] = math.log(0.7 * p3 + 0.25 * p2 + 0.05 * p1)
         return got
 
 
+    def word_log_p(self, word: str) -> float:
+        framed, seen = f"  {word} ", self.seen
+        total = 0.0
+        for i in range(len(word) + 1):
+            p = seen.get(framed[i:i + 3])
+            total += self.log_p(framed[i:i + 2], framed[i + 2]) if p is None else p
+        return total
+
+
 def trigrams(word: str) -> list[str]:
     framed = f"  {word} "
     return [framed[i:i + 3] for i in range(len(framed) - 2)]
 
 
 def core_of(token: str) -> str:
-    """The token without the punctuation around it."""
+    """The token without the punctuation around it; look-alikes stay."""
     if token.isalpha():
         return token
     a, b = 0, len(token)
-    while a < b and not (token[a].isalnum() or token[a] in "@$"):
+    while a < b and not (token[a].isalnum() or token[a] in LOOK_ALIKES):
         a += 1
-    while b > a and not (token[b - 1].isalnum() or token[b - 1] in "@$"):
+    while b > a and not (token[b - 1].isalnum() or token[b - 1] in LOOK_ALIKES):
         b -= 1
     if b - a > 2 and token[b - 1] in "@$" and token[b - 3:b] == token[b - 1] * 3:   # decoration, no letters
         return core_of(token[a:b].rstrip(token[b - 1]))
     return token[a:b]
 
 
-def decode(core: str, lm: TrigramModel) -> str:
-    """Best path through the lattice of one token."""
-    beam = {"  ": (0.0, "")}
-    for i, ch in enumerate(core):
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, 0.0))
-            if i and core[i - 1] == ch:
-                options.append(("", COST_REPEAT))
-        else:
-            options += [(x, COST_LOOK_ALIKE) for x in LOOK_ALIKES.get(ch, "")]
-            if ch.isalnum():
-                options.append((ch, COST_OTHER))
-            else:
-                options.append(("", COST_SEPARATOR))
-            if i and core[i - 1] == ch:
-                options.append(("", COST_REPEAT))
-        nxt: dict[str, tuple[float, str]] = {}
-        for context, (score, text) in beam.items():
+def arcs(core: str, i: int, spaced: bool) -> list[tuple[str, float]]:
+    """What character ``i`` may stand for, with its channel cost."""
+    ch = core[i]
+    again = i > 0 and core[i - 1] == ch and not spaced
+    if ch.isalpha():
+        return [(ch, 0.0), ("", COST_REPEAT)] if again else [(ch, 0.0)]
+    out = [(x, COST_LOOK_ALIKE) for x in LOOK_ALIKES.get(ch, "")]
+    out.append((ch, COST_OTHER) if ch.isalnum() else ("", COST_NOTHING if out else COST_SEPARATOR))
+    if again and (i > 1 and core[i - 2] == ch or core[i + 1:i + 2] == ch):     # two may be a double letter
+        out.append(("", COST_REPEAT))
+    return out
+
+
+def decode(core: str, lm: TrigramModel, spaced: bool = False) -> str:
+    """Best path through the lattice of one token, or of a run of spaced characters (words
+    separated by a space)."""
+    states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+    for i in range(len(core)):
+        nxt: dict[str, tuple[float, tuple | None]] = {}
+
+        def reach(context: str, score: float, path: tuple | None) -> None:
+            old = nxt.get(context)
+            if old is None or score > old[0]:
+                nxt[context] = (score, path)
+        options = arcs(core, i, spaced)
+        for context, (score, path) in states.items():
             for out, cost in options:
-                s = score - cost + (lm.log_p(context, out) if out else 0.0)
-                key = context[1] + out if out else context
-                if key not in nxt or s > nxt[key][0]:
-                    nxt[key] = (s, text + out)
-        beam = dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(nxt) > BEAM else nxt
-    return max(((s + lm.log_p(c, " "), t) for c, (s, t) in beam.items()))[1]
+                s = score - cost
+                if not out:
+                    reach(context, s, path)
+                    continue
+                s += lm.log_p(context, out)
+                after = context[1] + out
+                reach(after, s, (path, out))
+                if spaced and i + 1 < len(core):
+                    reach("  ", s + lm.log_p(after, " ") - COST_BREAK, (path, out + " "))
+        states = nxt
+    score, path = max(((s + lm.log_p(c, " "), p) for c, (s, p) in states.items()), key=lambda x: x[0])
+    parts = []
+    while path is not None:
+        path, out = path
+        parts.append(out)
+    return "".join(reversed(parts)).strip()
+
+
+def repeats(core: str, lm: TrigramModel) -> str:
+    """:func:`decode` for letters only: with few repeated ones, the few paths one by one."""
+    again = [i for i in range(1, len(core)) if core[i] == core[i - 1]]
+    if len(again) > 3:
+        return decode(core, lm)
+    best = (lm.word_log_p(core), core)
+    for n in range(1, len(again) + 1):
+        for gone in combinations(again, n):
+            word = "".join([c for i, c in enumerate(core) if i not in gone])
+            best = max(best, (lm.word_log_p(word) - n * COST_REPEAT, word))
+    return best[1]
 
 
 def restore(token: str, lm: TrigramModel) -> str:
     core = core_of(token)
-    if core.isalpha() and not _TRIPLE.search(core):
-        return core
-    letters = sum(c.isalpha() for c in core)
-    # long or letterless strings (numbers, keys, addresses) are no words
-    if letters < 2 or len(core) > 40:
+    if core.isalpha():
+        return repeats(core, lm) if _DOUBLE.search(core) else core
+    if _NUMBER.fullmatch(core):
         return core
     return decode(core, lm)
 
 
+def restore_run(run: str, lm: TrigramModel) -> str:
+    """The words of a run of spaced characters; a run of numbers stays."""
+    core = _SEPARATOR.sub("", run)
+    return core if _NUMBER.fullmatch(core) else decode(core, lm, spaced=True)
+
+
 def tokens_of(text: str) -> list[str]:
+    """The tokens of a text, then its spaced runs (told by the space or separator inside a leading mark)."""
     low = text.lower()
-    out = low.split()
-    for m in _SPACED.finditer(low):
-        out.append(re.sub(r"[ .\-_*]", "", m.group()))
-    return out
+    return low.split() + [RUN + m.group() for m in _SPACED.finditer(low)]
+
+
+RUN = "\x00"     # marks a spaced run among tokens
+
+
+def words_of(token: str, lm: TrigramModel) -> list[str]:
+    """The restored words of one of :func:`tokens_of`'s tokens."""
+    return restore_run(token[1:], lm).split() if token[0] == RUN else [restore(token, lm)]
 
 
 def restore_text(text: str, lm: TrigramModel) -> str:
     """The whole text with every spaced run and token restored."""
-    low = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text.lower())
-    return " ".join(restore(t, lm) for t in low.split())
+    out, at, low = [], 0, text.lower()
+    for m in _SPACED.finditer(low):
+        out += [restore(t, lm) for t in low[at:m.start()].split()] + [restore_run(m.group(), lm)]
+        at = m.end()
+    return " ".join(out + [restore(t, lm) for t in low[at:].split()])
 
 
 def features_of(word: str) -> list[str]:
@@ -180,16 +243,18 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
                 for text in batch.column(0).slice(at, ROWS).to_pylist():
                     if text:
                         words.update(text.lower().split())
-                if len(words) > TOKEN_CACHE:
-                    yield from emit()
+                    if len(words) > WORD_CACHE:
+                        yield from emit()
         yield from emit()
 
     return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def learn_language(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    grams = count_trigrams(docs.select(F.col(text_col).cast("string").alias("text")))
-    return {r["gram"]: r["n"] for r in grams.orderBy(F.desc("n"), "gram").limit(LM_ROWS).collect()}
+    """Trigrams of all texts above ``GRAM_FLOOR`` of all."""
+    grams = materialise(count_trigrams(docs.select(F.col(text_col).cast("string").alias("text"))), "toxic-trigrams")
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    return {r["gram"]: r["n"] for r in grams.filter(F.col("n") >= F.lit(total * GRAM_FLOOR)).collect()}
 
 
 # ---- evidence -------------------------------------------------------------------
@@ -199,36 +264,24 @@ class Scorer:
         self.lm, self.weights = TrigramModel(grams), weights
         # a word that begins like no feature needs no look-up
         self.starts = {f[:PREFIXES[0]] for f in weights}
-        self.known: dict[str, float] = {}
-        self.words: dict[str, str] = {}
+        self.known: dict[str, list[str]] = {}
 
-    def word(self, token: str) -> str:
-        got = self.words.get(token)
+    def words(self, token: str) -> list[str]:
+        if token.isalpha() and not _DOUBLE.search(token):
+            return [token]
+        got = self.known.get(token)
         if got is None:
-            if len(self.words) >= TOKEN_CACHE:
-                self.words.clear()
-            got = self.words[token] = restore(token, self.lm)
+            got = words_of(token, self.lm)
+            if len(token) <= 64:
+                if len(self.known) >= TOKENS:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         tokens = set(tokens_of(text)) if text else set()
-        known, total, seen = self.known, 0.0, set()
-        for t in tokens:
-            e = known.get(t)
-            if e is None:
-                if len(known) >= TOKEN_CACHE:
-                    known.clear()
-                word = restore(t, self.lm)
-                e = 0.0
-                if word[:PREFIXES[0]] in self.starts:
-                    e = max([0.0, *(self.weights.get(f, 0.0) for f in features_of(word))])
-                known[t] = e
-            if e:
-                word = self.word(t)
-                if word not in seen:
-                    seen.add(word)
-                    total += e
-        return total, len(tokens)
+        found = {w for t in tokens for w in self.words(t) if w[:PREFIXES[0]] in self.starts}
+        return sum(max([0.0, *(self.weights.get(f, 0.0) for f in features_of(w))]) for w in sorted(found)), len(tokens)
 
 
 def count_evidence(train: DataFrame, grams: dict[str, int]) -> DataFrame:
@@ -250,7 +303,7 @@ def count_evidence(train: DataFrame, grams: dict[str, int]) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = {f for t in set(tokens_of(text or "")) for f in features_of(scorer.word(t))}
+                    found = {f for t in set(tokens_of(text or "")) for w in scorer.words(t) for f in features_of(w)}
                     found.add("")      # counts the texts
                     (pos if toxic else neg).update(found)
                     if len(pos) + len(neg) > EVIDENCE_CACHE:
@@ -334,19 +387,25 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, folds: i
         .groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     if held_out is not None:
         known = known.filter(fold(F.col("l_id"), folds) != held_out)
-    known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_ROWS)
+    known = share_of(materialise(known, "toxic-labels"), "l_id", TRAIN_ROWS)
     train = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("l_id")) \
         .select("doc_id", "text", "toxic")
     train = materialise(train, "toxic-train")
     weights = learn_weights(train, grams)
     if not weights:
         return Model(grams, {}, np.array([-30.0, 0.0, 0.0]))
-    rows = evidence(train, grams, weights, ["doc_id", "toxic"])
-    sample = rows.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS).select("__evidence", "__n_tokens", "toxic").toPandas()
+    rows = evidence(share_of(train, "doc_id", FIT_ROWS), grams, weights, ["doc_id", "toxic"])
+    sample = rows.select("__evidence", "__n_tokens", "toxic").toPandas()
     x = _inputs(sample["__evidence"].to_numpy(float), sample["__n_tokens"].to_numpy(float))
     return Model(grams, weights, fit_curve(x, sample["toxic"].to_numpy(float)))
 
 
+def share_of(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or those of a counted share of the key's hashes, so that about ``most`` are left."""
+    n = rows.count()
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
+
+
 def _inputs(e: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(e)), np.minimum(e, 20.0), np.log1p(n)])
 

@@ -296,6 +296,82 @@ def test_deobfuscation():
     assert "idiot" in toxicity.restore_text("you i d i o t , HELLO", lm).split()
 
 
+def _language(*texts):
+    from collections import Counter
+
+    counts = Counter()
+    for w in " ".join(texts).split():
+        for g in toxicity.trigrams(w):
+            counts[g] += 20
+    return toxicity.TrigramModel(dict(counts))
+
+
+def test_deobfuscation_at_edges_without_letters_long_and_spaced():
+    lm = _language("you idiot shit ass are such an the and good will letter as is see this that word hello stupid")
+    for raw, want in (("!diot", "idiot"), ("shi+", "shit"), ("1d107", "idiot"), ("a55", "ass"), ("@$$", "ass"), ("idioot", "idiot"),
+                      ("i" * 15 + "d" * 8 + "i" * 10 + "o" * 8 + "t" * 4, "idiot"), ("2024", "2024"), ("$4.55", "$4.55"), ("word!", "word"),
+                      ("(see", "see"), ("good", "good"), ("will", "will"), ("letter", "letter"), ("\"stupid!!!\"", "stupid")):
+        assert toxicity.restore(raw, lm) == want, raw
+    for raw, want in (("i d ! o t", "idiot"), ("a s s", "ass"), ("y o u i d i o t", "you idiot"), ("1 2 3 4", "1234"),
+                      ("see i-d-i-o-t hello", "see idiot hello")):
+        assert toxicity.restore_text(raw, lm) == want, raw
+    long = "x0" * 50_000
+    assert len(toxicity.restore(long, lm)) > 0      # linear in the token's length
+
+
+def test_decoding_equals_every_path():
+    """Viterbi against the best of all paths of the lattice."""
+    from itertools import product
+
+    lm = _language("you idiot shit ass are such an the and good will letter")
+    rng = random.Random(9)
+
+    def value(outs, cost):
+        context, s, text = "  ", -cost, ""
+        for out in outs:
+            for c in out:
+                if c == " ":
+                    s += lm.log_p(context, " ") - toxicity.COST_BREAK
+                    context = "  "
+                else:
+                    s += lm.log_p(context, c)
+                    context = context[1] + c
+            text += out
+        return s + lm.log_p(context, " ")
+    for _ in range(60):
+        core = "".join(rng.choice("idots105!$+aa.") for _ in range(rng.randrange(1, 6)))
+        for spaced in (False, True):
+            options = []
+            for i in range(len(core)):
+                own = toxicity.arcs(core, i, spaced)
+                options.append(own + [(o + " ", c) for o, c in own if o and spaced and i + 1 < len(core)])
+            best = max(value([o for o, _ in path], sum(c for _, c in path)) for path in product(*options))
+            got = toxicity.decode(core, lm, spaced)
+            reached = [value([o for o, _ in path], sum(c for _, c in path)) for path in product(*options)
+                       if "".join(o for o, _ in path).strip() == got]
+            assert max(reached) >= best - 1e-9, (core, spaced)
+
+
+def test_repeated_letters_path_by_path():
+    lm = _language("you idiot shit ass are such an the and good will letter see class")
+    rng = random.Random(4)
+    for _ in range(500):
+        core = "".join(rng.choice("asidotle") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 6)))
+        a, b = toxicity.repeats(core, lm), toxicity.decode(core, lm)
+        worth = lambda w: lm.word_log_p(w) - toxicity.COST_REPEAT * (len(core) - len(w))
+        assert a == b or abs(worth(a) - worth(b)) < 1e-9, core
+
+
+def test_toxicity_memory_does_not_grow_with_the_input(monkeypatch):
+    monkeypatch.setattr(toxicity, "TOKENS", 50)
+    monkeypatch.setattr(toxicity, "CONTEXTS", 200)
+    scorer = toxicity.Scorer({"abc": 3, " ab": 3}, {"idiot": 3.0})
+    rng = random.Random(1)
+    for _ in range(300):
+        scorer.evidence(" ".join("".join(rng.choices("abcdefgh0135!", k=6)) for _ in range(10)) + " 1d10t")
+        assert len(scorer.known) <= 50 and len(scorer.lm.seen) <= 200
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -124,9 +124,10 @@ def recurring(lines: DataFrame) -> DataFrame:
     wide = forms.groupBy(F.col("leaf").alias("w_leaf")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w_leaf")
     cand = forms.join(wide, F.col("leaf") == F.col("w_leaf"), "left_semi").filter(F.col("n_tokens") > DEPTH) \
         .select(F.col("leaf").alias("c_leaf"), F.col("form").alias("c_form"), "docs")
-    mine = lines.join(cand, (F.col("leaf") == F.col("c_leaf")) & (F.col("form") == F.col("c_form")))
-    left = wide_lines = materialise(mine.groupBy("leaf", "form", "n_tokens", "docs").agg(F.first("later").alias("later")),
-                                    "line-tokens")
+    # copies of a line are combined before they move: a form has one row on either side of the join
+    words = lines.filter(F.col("n_tokens") > DEPTH).groupBy("leaf", "form", "n_tokens").agg(F.first("later").alias("later"))
+    mine = words.join(cand, (F.col("leaf") == F.col("c_leaf")) & (F.col("form") == F.col("c_form")))
+    left = wide_lines = materialise(mine.select("leaf", "form", "n_tokens", "docs", "later"), "line-tokens")
     release(lines.sparkSession)
     inside, open_leaves = None, wide_lines
     for turn in range(ROUNDS):

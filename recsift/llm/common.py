@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import os
 import string
 import uuid
 
@@ -27,10 +29,38 @@ def workdir(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_STEPS: list[str] = []      # folders of the steps of the pipeline stage that ran last
+_IN_STAGE = False
+
+
+def staged(stage):
+    """A pipeline stage. Its caller stores its result before the next stage begins, so the steps
+    the last stage stored on its way are deleted then (unless the new input still reads them)."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _IN_STAGE
+        if _STEPS:
+            read = docs.inputFiles()
+            if not any(os.path.basename(p) in f for p in _STEPS for f in read):
+                conf = spark.sparkContext._jsc.hadoopConfiguration()
+                for p in _STEPS:
+                    path = spark._jvm.org.apache.hadoop.fs.Path(p)
+                    path.getFileSystem(conf).delete(path, True)
+                _STEPS.clear()
+        _IN_STAGE = True
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _IN_STAGE = False
+    return run
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts
     lineage, pins generated ids, and later reads still prune columns."""
     path = workdir(df.sparkSession, tag)
+    if _IN_STAGE:
+        _STEPS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -59,6 +59,8 @@ COST_LOOK_ALIKE, COST_SEPARATOR, COST_REPEAT, COST_NOTHING, COST_OTHER, COST_BRE
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\s][ .\-_*]){2,}[^\s](?![^\W_])")
 _SEPARATOR = re.compile(r"[ .\-_*]")
 _DOUBLE = re.compile(r"(.)\1")
+_EDGE = ".,;:?\"'[]{}<>)*#%&/\\=^_~`-"     # no letters, digits or look-alikes
+_DOUBLES = re.compile(r"(.)\1+")
 _NUMBER = re.compile(r"[€£$+(]*[\d.,:/%\-]*[%€£$+)!]*")
 
 
@@ -223,21 +225,35 @@ def features_of(word: str) -> list[str]:
 
 # ---- language model -----------------------------------------------------------
 
+def _packed_trigrams(words: list[str], times: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The trigrams of :func:`trigrams` over all words, with their counts."""
+    if not words:
+        return [], np.zeros(0, np.int64)
+    points = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+    packed = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[left[:-2] >= 3]
+    keys, place = np.unique(packed, return_inverse=True)
+    counts = np.bincount(place, weights=np.repeat(times, sizes - 2), minlength=len(keys)).astype(np.int64)
+    low = (1 << 21) - 1
+    return [chr(k >> 42) + chr(k >> 21 & low) + chr(k & low) for k in keys.tolist()], counts
+
+
 def count_trigrams(texts: DataFrame) -> DataFrame:
     """``gram, n`` over the letter words of all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
 
         def emit():
-            grams: Counter = Counter()
+            # different words only, as one array of code points
+            letters: Counter = Counter()
             for w, n in words.items():
                 w = core_of(w)
                 if w.isalpha():
-                    for g in trigrams(w):
-                        grams[g] += n
+                    letters[w] += n
             words.clear()
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.string()),
-                                              "n": pa.array(list(grams.values()), pa.int64())})
+            grams, counts = _packed_trigrams(list(letters), np.fromiter(letters.values(), np.int64, len(letters)))
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int64())})
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 for text in batch.column(0).slice(at, ROWS).to_pylist():
@@ -264,9 +280,12 @@ class Scorer:
         self.lm, self.weights = TrigramModel(grams), weights
         # a word that begins like no feature needs no look-up
         self.starts = {f[:PREFIXES[0]] for f in weights}
+        # dropping repeated letters leaves the run-free form as it is: a word that begins otherwise gives no feature
+        self.singles = {_DOUBLES.sub(r"\1", f) for f in self.starts}
         self.known: dict[str, list[str]] = {}
 
     def words(self, token: str) -> list[str]:
+        token = token if token.isalpha() else token.strip(_EDGE) or token
         if token.isalpha() and not _DOUBLE.search(token):
             return [token]
         got = self.known.get(token)
@@ -280,7 +299,20 @@ class Scorer:
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         tokens = set(tokens_of(text)) if text else set()
-        found = {w for t in tokens for w in self.words(t) if w[:PREFIXES[0]] in self.starts}
+        found, starts, n = set(), self.starts, PREFIXES[0]
+        for t in tokens:
+            t = t if t.isalpha() else t.strip(_EDGE) or t     # as core_of does, for the usual characters
+            if t.isalpha():
+                if not _DOUBLE.search(t):
+                    if t[:n] in starts:
+                        found.add(t)
+                    continue
+                single = _DOUBLES.sub(r"\1", t)
+                if not any(single[:i] in self.singles for i in range(1, n + 1)):
+                    continue
+            for w in self.words(t):
+                if w[:n] in starts:
+                    found.add(w)
         return sum(max([0.0, *(self.weights.get(f, 0.0) for f in features_of(w))]) for w in sorted(found)), len(tokens)
 
 

@@ -33,6 +33,19 @@ _STEPS: list[str] = []      # folders of the steps of the pipeline stage that ra
 _IN_STAGE = False
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table written by ``materialise`` that nothing reads any more: all that came of
+    it must be stored by now, since it could not be computed again."""
+    files = stored.inputFiles()
+    if files:
+        _delete(stored.sparkSession, os.path.dirname(files[0]))
+
+
 def staged(stage):
     """A pipeline stage. Its caller stores its result before the next stage begins, so the steps
     the last stage stored on its way are deleted then (unless the new input still reads them)."""
@@ -42,11 +55,10 @@ def staged(stage):
         if _STEPS:
             read = docs.inputFiles()
             if not any(os.path.basename(p) in f for p in _STEPS for f in read):
-                conf = spark.sparkContext._jsc.hadoopConfiguration()
                 for p in _STEPS:
-                    path = spark._jvm.org.apache.hadoop.fs.Path(p)
-                    path.getFileSystem(conf).delete(path, True)
+                    _delete(spark, p)
                 _STEPS.clear()
+        release(spark)
         _IN_STAGE = True
         try:
             return stage(spark, docs, sf_dir)

@@ -21,6 +21,8 @@ D + 1 keys plus the set's shingles in the counting of the lists.
 member with the fewest shingles of its own); verified links give components. Then only
 pairs of a list that lie in different components, and can reach the overlap from that
 shingle on, are checked.
+Before the sets of a pair are brought together, short parity sketches rule out most pairs
+that are not linked (a lower bound of their difference, so no link is lost).
 Every pair of linked sets shares a list, so the components are those of all links.
 
 Defined cases: null or empty text, or text without words: empty set, n_shingles 0, linked with
@@ -43,11 +45,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, release
+from .common import discard, materialise, prepare, release
 from .components import connected_components
 
 WORD_CACHE = 400_000
 BUCKET_KEYS = 2_000_000
+SKETCH_WORDS = 8                   # 64-bit words of a set's parity sketch
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -162,12 +165,20 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(xxhash.xxh64_intdigest(raw, seed) - (1 << 63) for seed in (0, 1))
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``64 * SKETCH_WORDS`` hash cells."""
+    bits = 64 * SKETCH_WORDS
+    counts = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+
+
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def set_table(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored ``rid, doc_id, text_hash, n, s1, s2, light, heavy``: one row per document."""
+def set_table(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored ``rid, doc_id, text_hash, n, s1, s2``, one row per document, and the same rows with
+    their keys (``light, heavy``), which are large and read only while the lists are made."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +198,12 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        text_hash(text_col).alias("text_hash")).mapInArrow(
         run, f"doc_id {kind}, text_hash long, n long, s1 long, s2 long, light array<long>, heavy array<long>")
-    return materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "sets")
+    keyed = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "set-keys")
+    return materialise(keyed.drop("light", "heavy"), "sets"), keyed
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored ``uid, n, items`` of the wanted classes (uid, own = a document's
+    """Stored ``uid, n, items, sketch`` of the wanted classes (uid, own = a document's
     id and text hash, s1, s2)."""
     x = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                     text_hash(text_col).alias("text_hash"))
@@ -208,9 +220,10 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_
                 good = [i for i, s in enumerate(sets) if _signature(s) == (s1[i], s2[i])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uids[i] for i in good], pa.int64()), pa.array([len(sets[i]) for i in good], pa.int64()),
-                     _lists([sets[i] for i in good])], names=["uid", "n", "items"])
+                     _lists([sets[i] for i in good]), _lists([_sketch(sets[i]) for i in good])],
+                    names=["uid", "n", "items", "sketch"])
 
-    return materialise(x.mapInArrow(run, "uid long, n long, items array<long>"), "set-items")
+    return materialise(x.mapInArrow(run, "uid long, n long, items array<long>, sketch array<long>"), "set-items")
 
 
 def _met(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,14 +296,15 @@ class JaccardJoin:
         """Smallest intersection of linked sets of these sizes."""
         return F.ceil(self.num * (na + nb) / (self.num + self.den) - 1e-9)
 
-    def lists(self, docs: DataFrame, sets: DataFrame, classes: DataFrame, id_col: str, text_col: str):
-        """Stored lists (grp, kind, uid, n, shared) and the shingle table behind them."""
-        light = sets.select("s1", "n", F.explode("light").alias("key"))
+    def lists(self, docs: DataFrame, keyed: DataFrame, classes: DataFrame, id_col: str, text_col: str):
+        """Stored lists (grp, kind, uid, n, shared) and the shingle table behind them; ``keyed`` is deleted."""
+        light = keyed.select("s1", "n", F.explode("light").alias("key"))
         met = lambda x: x.groupBy(F.col("key").alias("k")).agg(
             F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a <> b").select("k")
         in_light = materialise(light.join(met(light), F.col("key") == F.col("k"), "left_semi")
                                .select("key", "s1").distinct(), "light-keys")
-        in_heavy = materialise(sharing_sets(sets), "heavy-sets")
+        in_heavy = materialise(sharing_sets(keyed), "heavy-sets")
+        discard(keyed)
         release(docs.sparkSession)
         ids = in_light.select("s1").unionByName(in_heavy).distinct()
         wanted = classes.join(ids, "s1", "left_semi").select("uid", "own", "s1", "s2")
@@ -323,8 +337,20 @@ class JaccardJoin:
         rest = F.least(*[F.col(f"{x}.shared") - F.col(f"{x}.at") + 1 for x in (a, b)])
         return sizes & (rest >= self.overlap(na, nb))
 
+    def near(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
+        """Stored pairs (a, b) without those whose sketches alone rule a link out: sets differ in at
+        least as many shingles as their parities do, and linked sets of na and nb shingles in at
+        most (na + nb) * (den - num) / (den + num)."""
+        for x in ("a", "b"):
+            pairs = pairs.join(items.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")), x)
+        apart = sum(F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH_WORDS))
+        may = apart * (self.num + self.den) <= (F.col("na") + F.col("nb")) * (self.den - self.num)
+        return materialise(pairs.filter(may).select("a", "b"), "near-pairs")
+
     def verify(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are linked, by their whole shingle sets."""
+        pairs = self.near(pairs, items)
+        release(items.sparkSession)
         one = items.select(F.col("uid").alias("a"), F.col("items").alias("ia"))
         two = items.select(F.col("uid").alias("b"), F.col("items").alias("ib"))
         x = pairs.join(one, "a").join(two, "b")
@@ -336,11 +362,11 @@ class JaccardJoin:
         """``doc_id, text_hash, n_shingles, component_id, first``; ``first`` is the component's document
         (smallest doc_id, a null one last; then text hash), null for a document without words."""
         prepare(docs.sparkSession)
-        sets = set_table(docs, self.k, self.num, self.den, id_col, text_col)
+        sets, keyed = set_table(docs, self.k, self.num, self.den, id_col, text_col)
         classes = materialise(sets.filter("n > 0").groupBy("s1", "s2").agg(
             F.min("rid").alias("uid"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("own"), F.first("n").alias("n")), "classes")
-        lists, items = self.lists(docs, sets, classes, id_col, text_col)
+        lists, items = self.lists(docs, keyed, classes, id_col, text_col)
         release(docs.sparkSession)
         # round 1: every member against its list's centre
         centre = lists.groupBy("kind", "grp").agg(F.min(F.struct(

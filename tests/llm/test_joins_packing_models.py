@@ -95,6 +95,27 @@ def test_keep_one_goes_by_id_and_text(spark):
     assert sorted(r["text"] in (base, base + " w40") for r in jaccard.JaccardJoin().keep_one(nulls).collect()) == [False, True]
 
 
+def test_sketches_rule_out_near_misses_and_no_link(spark):
+    """Copies of one unseen base with a few random edits: nearly all pairs are near misses."""
+    rng = random.Random(5)
+    vocab, known, join = [f"w{i}" for i in range(5000)], jaccard._Words(), jaccard.JaccardJoin()
+    base, sets = rng.choices(vocab, k=200), []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(200), 4 if i % 6 else 1):
+            w[at] = rng.choice(vocab)
+        sets.append(jaccard.shingles(" ".join(w), known, 3))
+    signed = lambda a: a.view(np.int64).tolist()
+    items = spark.createDataFrame([(i, len(s), signed(s), signed(jaccard._sketch(s))) for i, s in enumerate(sets)],
+                                  "uid long, n long, items array<long>, sketch array<long>")
+    every = [(a, b) for b in range(60) for a in range(b)]
+    near = {(r["a"], r["b"]) for r in join.near(spark.createDataFrame(every, "a long, b long"), items).collect()}
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in every}
+    linked = {(a, b) for (a, b), i in both.items() if 100 * i >= 90 * (len(sets[a]) + len(sets[b]) - i)}
+    assert linked and linked <= near
+    assert len(near - linked) < 0.05 * len(every)
+
+
 def test_light_and_heavy_labels():
     labels = jaccard.Labels(90, 100)
     kinds = [labels.light(x) for x in range(60)]

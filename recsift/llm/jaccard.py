@@ -351,9 +351,10 @@ class JaccardJoin:
         """The pairs (a, b) whose sets are linked, by their whole shingle sets."""
         pairs = self.near(pairs, items)
         release(items.sparkSession)
-        one = items.select(F.col("uid").alias("a"), F.col("items").alias("ia"))
-        two = items.select(F.col("uid").alias("b"), F.col("items").alias("ib"))
-        x = pairs.join(one, "a").join(two, "b")
+        # only sets of a pair move
+        side = lambda x: items.select(F.col("uid").alias(x), F.col("items").alias(f"i{x}")).join(
+            pairs.select(x), x, "left_semi")
+        x = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("ia", "ib"))
         x = x.select("a", "b", common.alias("i"), (F.size("ia") + F.size("ib") - common).alias("u"))
         return materialise(x.filter(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b").distinct(), "links")

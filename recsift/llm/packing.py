@@ -36,7 +36,7 @@ from .common import materialise, prepare
 CAPACITY = 4096
 GROUPS = 24
 SMALL_SHARE = 8            # lengths up to capacity / SMALL_SHARE are small
-WORD_CACHE = 700_000       # words, and parts, whose ids a worker remembers
+WORD_CACHE = 300_000       # words, and parts, whose ids a task remembers
 PLAN_ROWS = 500_000        # far above what any histogram of CAPACITY lengths can give
 
 
@@ -80,6 +80,12 @@ class _Parts(dict):
             got = self.words[word] = self.letters(word) if word[0].isalpha() else self.encode(word)
         return got
 
+    def forget(self) -> None:
+        """A worker outlives its task: what the task remembered goes back."""
+        self.clear()
+        self.words.clear()
+        pa.default_memory_pool().release_unused()
+
     def __missing__(self, part: str) -> bytes:
         if len(part) > 64:
             return self.encode(part)
@@ -91,7 +97,7 @@ class _Parts(dict):
         return ids
 
 
-_TOKENIZERS: dict[tuple[str, bool], _Parts] = {}   # one for each file, mode and worker process
+_TOKENIZERS: dict[tuple[str, bool], _Parts] = {}   # one tokenizer for each file, mode and worker process
 
 
 def encoder(path: str, added: bool = False) -> _Parts:
@@ -111,27 +117,30 @@ def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, seen, task = encoder(tokenizer, added), {}, TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                cols = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth", "ids")}
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = b"".join([*map(parts.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        part = ids[4 * start:4 * (start + capacity)]
-                        n = len(part) // 4
-                        seen[n] = nth = seen.get(n, -1) + 1
-                        for k, v in zip(cols, (i, piece, start, n, zlib.crc32(part), nth, part if keep_ids else None)):
-                            cols[k].append(v)
-                out = [batch.column(0).take(pa.array(cols["row"], pa.int64())), pa.array(cols["piece"], pa.int32()),
-                       pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int64()),
-                       pa.array(cols["crc"], pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    out.append(pa.array([np.frombuffer(p, dtype="<i4") for p in cols["ids"]], pa.list_(pa.int32())))
-                    names.append("ids")
-                out += [pa.array([task] * len(cols["row"]), pa.int32()), pa.array(cols["nth"], pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=[*names, "task", "nth"])
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    cols = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth", "ids")}
+                    for i, text in enumerate(batch.column(1).to_pylist()):
+                        ids = b"".join([*map(parts.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
+                        for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                            part = ids[4 * start:4 * (start + capacity)]
+                            n = len(part) // 4
+                            seen[n] = nth = seen.get(n, -1) + 1
+                            for k, v in zip(cols, (i, piece, start, n, zlib.crc32(part), nth, part if keep_ids else None)):
+                                cols[k].append(v)
+                    out = [batch.column(0).take(pa.array(cols["row"], pa.int64())), pa.array(cols["piece"], pa.int32()),
+                           pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int64()),
+                           pa.array(cols["crc"], pa.int64())]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if keep_ids:
+                        out.append(pa.array([np.frombuffer(p, dtype="<i4") for p in cols["ids"]], pa.list_(pa.int32())))
+                        names.append("ids")
+                    out += [pa.array([task] * len(cols["row"]), pa.int32()), pa.array(cols["nth"], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(out, names=[*names, "task", "nth"])
+        finally:
+            parts.forget()
 
     prepare(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -206,6 +206,18 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_workers_forget_a_task_s_words():
+    from recsift.llm import packing
+    from recsift.llm.queries import tokenizer_path
+
+    parts = packing.encoder(tokenizer_path(), True)
+    before = parts["Wörter,"], parts["<|endoftext|>"]
+    assert len(parts) == 2 and parts.words
+    parts.forget()
+    assert not parts and not parts.words and (parts["Wörter,"], parts["<|endoftext|>"]) == before
+    parts.forget()
+
+
 def test_packing_uses_the_tokenizer_as_loaded(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer

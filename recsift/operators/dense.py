@@ -13,7 +13,8 @@ done as a row-per-pair cross join. Two physical strategies:
   IB blocks, each query row is replicated to the IB item blocks and each item
   to the QB query blocks, and ``cogroup(...).applyInPandas`` multiplies one
   (query block, item block) pair per group. Group sizes are bounded by the
-  block sizes, whatever the data size.
+  block sizes, whatever the data size. The block numbers of both sides are ints: a
+  cogroup does not align key types, and an int and a long hash to different partitions.
 
 Candidates then meet in a ``row_number() <= k`` per query (partial
 WindowGroupLimit before the shuffle), after rounding the scores, so ties are
@@ -214,8 +215,8 @@ def dense_candidates(queries: DataFrame, items: DataFrame, k: int | None, qid: s
 
     qb = max(1, math.ceil(nq / (query_block or QUERY_BLOCK_ROWS)))
     ib = max(1, math.ceil(ni / (item_block or ITEM_BLOCK_ROWS)))
-    qx = q.withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(qb))).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
-    ix = i.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(ib))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    qx = q.withColumn("_qb", F.pmod(F.xxhash64(qid), F.lit(qb)).cast("int")).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
+    ix = i.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(ib)).cast("int")).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
     def grid(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
@@ -339,9 +340,9 @@ def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k:
                                   f"{qid} {qtyp}, _q array<double>, cell int"))
     qb = _blocks_per_cell(probes, QUERY_BLOCK_ROWS)
     ib = _blocks_per_cell(assign, ITEM_BLOCK_ROWS)
-    px = (probes.withColumn("_qb", F.pmod(F.xxhash64(qid), F.try_element_at(qb, F.col("cell"))))
+    px = (probes.withColumn("_qb", F.pmod(F.xxhash64(qid), F.try_element_at(qb, F.col("cell"))).cast("int"))
           .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.try_element_at(ib, F.col("cell")) - 1))))
-    ax = (assign.withColumn("_ib", F.pmod(F.xxhash64(item), F.try_element_at(ib, F.col("cell"))))
+    ax = (assign.withColumn("_ib", F.pmod(F.xxhash64(item), F.try_element_at(ib, F.col("cell"))).cast("int"))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.try_element_at(qb, F.col("cell")) - 1))))
 
     def grid(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 import numpy as np
 import pandas as pd
 
-from ..session import stable
-from .dense import BROADCAST_BYTES, ITEM_BLOCK_ROWS, QUERY_BLOCK_ROWS, SCORE_ROWS, _matrix, _spread, round_half_up
+from ..session import stable, stored
+from .dense import BROADCAST_BYTES, SCORE_ROWS, _matrix, _spread, round_half_up
 from .embed import mean_pool
 from .metrics import with_metrics
 
+SCORE_ITEMS = 2048           # items scored against SCORE_ROWS rows at once
+PASS_BYTES = 128 << 20       # item vectors shipped in one pass
+
 
 def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs: DataFrame, item: str,
                          vec: str) -> DataFrame:
@@ -30,76 +34,115 @@ def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs:
 def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: DataFrame, row_key: str = "row_id",
                        uvec: str = "user_vec", item: str = "item_id", ivec: str = "vec", target: str = "target",
                        ks: Sequence[int] = (10, 50), metric: str = "cosine", digits: int = 6,
-                       row_block: int = QUERY_BLOCK_ROWS, item_block: int = ITEM_BLOCK_ROWS) -> DataFrame:
+                       row_block: int = SCORE_ROWS, item_block: int = SCORE_ITEMS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rank of each row's target among all items, by counting.
 
-    Rows and items are cut into blocks; every (row block, item block) pair is one matrix product
-    that leaves one number a row: how many items of the block stand before the target (scores
-    rounded to ``digits``, ties by item id). Their sum plus one is the rank. One path at every
-    size, no candidate lists. Rows without a user vector or whose target has no vector have no rank, nor
+    Rows meet the items in passes: a pass ships one hash share of the items (at most about ``pass_bytes``) and
+    counts, block by block, how many of them stand before the target (scores rounded to ``digits``, ties by item
+    id). A row with ``max(ks)`` items before its target has no rank whatever follows, so it leaves
+    at once; what a pass stores is the rows still open and their counts. No row and no item is
+    copied to a grid. Rows without a user vector or whose target has no vector have no rank, nor
     do ranks above ``max(ks)``. ``metric``: 'cosine' or 'dot'."""
     unit, k = metric == "cosine", max(ks)
+    spark = targets.sparkSession
     items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
+    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     own = items.select(F.col(item).alias(target), F.col("_v").alias("_t"))
     asked = targets.select(row_key, target)
-    rows = stable(user_vecs.select(row_key, F.col(uvec).alias("_u")).filter(F.col("_u").isNotNull()).join(asked, row_key).join(own, target))
-    rb, ib = (max(1, math.ceil(n / size)) for n, size in ((rows.count(), row_block), (items.count(), item_block)))
-    left = rows.withColumn("_rb", F.pmod(F.xxhash64(row_key), F.lit(rb))).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
-    right = items.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(ib))).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
-
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ahead = np.zeros(len(a), dtype=np.int64)
-        if len(a) and len(b):
-            users, mine, others = _matrix(a["_u"], unit), _matrix(a["_t"], unit), _matrix(b["_v"], unit)
-            score = round_half_up(np.einsum("ij,ij->i", users, mine), digits)[:, None]
-            ids, own_id = b[item].to_numpy()[None, :], a[target].to_numpy()[:, None]
-            for lo in range(0, len(a), SCORE_ROWS):     # bounds the score matrix
-                at = slice(lo, lo + SCORE_ROWS)
-                s = round_half_up(users[at] @ others.T, digits)
-                ahead[at] = (((s > score[at]) & (ids != own_id[at])) | ((s == score[at]) & (ids < own_id[at]))).sum(axis=1)
-        return pd.DataFrame({row_key: a[row_key], "n": ahead})
-
-    keys = ["_rb", "_ib"]
-    ahead = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count, f"{row_key} {dict(rows.dtypes)[row_key]}, n long")
-    ranks = ahead.groupBy(row_key).agg((F.sum("n") + 1).alias("rank"))
-    ranked = asked.select(row_key).join(ranks.filter(F.col("rank") <= k), row_key, "left")
-    return with_metrics(ranked, ks)
+    met = user_vecs.select(row_key, F.col(uvec).alias("_u")).filter(F.col("_u").isNotNull()).join(asked, row_key).join(own, target)
+    types = dict(met.dtypes)
+    schema = f"{row_key} {types[row_key]}, {target} {types[target]}, _u array<double>, _s double, _n long"
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            users, mine = _matrix(pdf["_u"], unit), _matrix(pdf["_t"], unit)
+            if len(pdf):
+                yield pd.DataFrame({row_key: pdf[row_key], target: pdf[target], "_u": list(users),
+                                    "_s": round_half_up(np.einsum("ij,ij->i", users, mine), digits), "_n": 0})
+
+    rows = stable(met.mapInPandas(prepare, schema))
+    passes = max(1, math.ceil(int(stats["n"]) * (max(int(stats["d"] or 0), 1) * 8 + 100) / pass_bytes))
+    shares = items.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(passes)))
+    for share in range(passes):
+        ipdf = shares.filter(F.col("_ib") == share).select(item, "_v").toPandas()      # at most about pass_bytes
+        ipdf = ipdf.iloc[np.argsort(ipdf[item].to_numpy(), kind="stable")]
+        n_blocks = math.ceil(len(ipdf) / item_block)       # every n_blocks-th item, so a block holds ids from everywhere, in order
+        bc = spark.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], unit), n_blocks))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, vectors, n_blocks = bc.value
+            for pdf in batches:
+                users, score, n = _matrix(pdf["_u"], False), pdf["_s"].to_numpy(), pdf["_n"].to_numpy().copy()
+                wanted = pdf[target].to_numpy()
+                live = np.arange(len(pdf))
+                for b in range(n_blocks):
+                    block, others = ids[b::n_blocks], vectors[b::n_blocks]
+                    place = np.arange(len(block))[None, :]
+                    for lo in range(0, len(live), row_block):      # bounds the score matrix
+                        at = live[lo:lo + row_block]
+                        first = np.searchsorted(block, wanted[at])
+                        s, mine = round_half_up(users[at] @ others.T, digits), score[at][:, None]
+                        ahead = (s > mine) | ((s == mine) & (place < first[:, None]))
+                        there = np.flatnonzero(first < len(block))
+                        there = there[block[first[there]] == wanted[at[there]]]
+                        ahead[there, first[there]] = False         # the target itself
+                        n[at] += ahead.sum(axis=1)
+                    live = live[n[live] < k]
+                if len(live):
+                    yield pdf.assign(_n=n).iloc[live]
+
+        rows = stable(rows.mapInPandas(count, schema))
+        bc.destroy()
+    return with_metrics(asked.select(row_key).join(rows.select(row_key, (F.col("_n") + 1).alias("rank")), row_key, "left"), ks)
+
+
+def _history_means(rows: DataFrame, items: DataFrame, row_key: str, history: str, item: str, first: int, width: int) -> DataFrame:
+    """Components ``first`` (from 1) to ``first + width - 1`` of the mean vector of each row's history items; the items'
+    ids and these components are shipped to the rows. Rows without a known item are left out."""
+    ipdf = items.select(item, F.slice("_v", first, width).alias("_v")).toPandas()  # size checked by the caller
+    bc = rows.sparkSession.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], False)))
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = bc.value
+        index = pd.Index(ids)
+        for pdf in batches:
+            lists = [h if h is not None else [] for h in pdf[history]]
+            owner = np.repeat(np.arange(len(lists)), [len(h) for h in lists])
+            flat = np.concatenate([np.asarray(h, dtype=ids.dtype) for h in lists]) if len(owner) else ids[:0]
+            at = index.get_indexer(flat)
+            owner, at = owner[at >= 0], at[at >= 0]
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+            if len(starts):
+                n = np.diff(np.r_[starts, len(owner)])
+                users = np.add.reduceat(vectors[at], starts, axis=0) / n[:, None]
+                yield pd.DataFrame({row_key: pdf[row_key].to_numpy()[owner[starts]], "user_vec": list(users)})
+
+    return _spread(rows.select(row_key, history)).mapInPandas(means, f"{row_key} {dict(rows.dtypes)[row_key]}, user_vec array<double>")
 
 
 def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str = "row_id",
                             history: str = "history", target: str = "target", item: str = "item_id",
                             ivec: str = "vec", ks: Sequence[int] = (10, 50), metric: str = "cosine",
-                            digits: int = 6, **blocks: int) -> DataFrame:
-    """D20 with the built-in user vector (mean of the history items' vectors). While the item table passes the
-    broadcast size check, the means are taken where the rows are, all histories of an Arrow batch at
-    once; beyond it histories are exploded, joined and pooled. The ranking is
-    :func:`evaluate_next_item` either way."""
+                            digits: int = 6, means_bytes: int = BROADCAST_BYTES, **blocks: int) -> DataFrame:
+    """D20 with the built-in user vector (mean of the history items' vectors). The means are taken where the
+    rows are, all histories of an Arrow batch at once: in one go while the item table is at most ``means_bytes``,
+    else a few components at a time (ids and components of that size), put together by row, so no item
+    vector is copied to a history. Only when not even one component fits are histories exploded, joined and pooled.
+    The ranking is :func:`evaluate_next_item` each time."""
     items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    n_items, dim = int(stats["n"]), int(stats["d"] or 0)
-    if n_items * (max(dim, 1) * 8 + 100) > BROADCAST_BYTES:
-        users = history_mean_vectors(rows, row_key, history, item_vecs, item, ivec)
+    n_items, dim = int(stats["n"]), max(int(stats["d"] or 0), 1)
+    width = min(dim, (means_bytes // max(n_items, 1) - 100) // 8)
+    if width < 1:
+        users = history_mean_vectors(rows, row_key, history, items.withColumnRenamed("_v", ivec), item, ivec)
+    elif width == dim:
+        users = _history_means(rows, items, row_key, history, item, 1, dim)
     else:
-        ipdf = items.toPandas()  # size checked above
-        bc = rows.sparkSession.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], False)))
-
-        def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors = bc.value
-            index = pd.Index(ids)
-            for pdf in batches:
-                lists = [h if h is not None else [] for h in pdf[history]]
-                owner = np.repeat(np.arange(len(lists)), [len(h) for h in lists])
-                flat = np.concatenate([np.asarray(h, dtype=ids.dtype) for h in lists]) if len(owner) else ids[:0]
-                at = index.get_indexer(flat)
-                owner, at = owner[at >= 0], at[at >= 0]
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
-                if len(first):
-                    n = np.diff(np.r_[first, len(owner)])
-                    users = np.add.reduceat(vectors[at], first, axis=0) / n[:, None]
-                    yield pd.DataFrame({row_key: pdf[row_key].to_numpy()[owner[first]], "user_vec": list(users)})
-
-        users = _spread(rows.select(row_key, history)).mapInPandas(means, f"{row_key} {dict(rows.dtypes)[row_key]}, user_vec array<double>")
-    return evaluate_next_item(users, item_vecs, rows, row_key, "user_vec", item, ivec, target, ks, metric, digits, **blocks)
+        parts = [stored(_history_means(rows, items, row_key, history, item, lo, width)).select(
+            row_key, F.struct(F.lit(lo).alias("lo"), "user_vec").alias("_p")) for lo in range(1, dim + 1, width)]
+        users = reduce(DataFrame.unionByName, parts).groupBy(row_key).agg(
+            F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["user_vec"])).alias("user_vec"))
+    return evaluate_next_item(users, items.withColumnRenamed("_v", ivec), rows, row_key, "user_vec", item, ivec, target, ks, metric, digits, **blocks)
 
 
 def summarize(per_row: DataFrame, ks: Sequence[int] = (10, 50), digits: int = 6) -> DataFrame:

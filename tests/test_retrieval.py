@@ -267,3 +267,43 @@ def test_encoder_pooling(spark):
     total, mean = em.HashEncoder(pooling="sum")(texts), em.HashEncoder()(texts)
     assert np.allclose(mean[0] * 3, total[0]) and np.allclose(mean[4] * 500, total[4]) and not mean[1:3].any()
     assert np.allclose(np.vstack([em.HashEncoder()([t]) for t in texts]), mean)
+
+
+def test_next_item_passes_and_component_slices(spark):
+    """Several passes over the items and user vectors put together from components; every group in a partition of its own."""
+    from recsift.operators import nextitem as ni
+
+    rng = np.random.default_rng(8)
+    vecs = [(f"i{i}", rng.normal(size=5).tolist()) for i in range(300)]
+    items = spark.createDataFrame(vecs, "item_id string, vec array<double>")
+    rows = [(r, [f"i{x}" for x in rng.integers(0, 310, 4)], f"i{rng.integers(0, 300)}") for r in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, history array<string>, target string")
+    table = {i: np.array(v) / np.linalg.norm(v) for i, v in vecs}
+    raw, want = dict(vecs), {}
+    for r, h, t in rows:
+        known = [raw[x] for x in h if x in raw]
+        u = np.mean(known, axis=0)
+        s = {i: round(float(u / np.linalg.norm(u) @ v), 6) for i, v in table.items()}
+        rank = 1 + sum(s[i] > s[t] or (s[i] == s[t] and i < t) for i in s if i != t)
+        want[r] = rank if rank <= 50 else None
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for kw in ({"row_block": 16, "item_block": 40}, {"pass_bytes": 9000, "means_bytes": 300 * 120}):
+            assert {r["row_id"]: r["rank"] for r in ni.evaluate_from_histories(df, items, **kw).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_dense_grid_blocks_meet_in_any_partition(spark):
+    rng = np.random.default_rng(9)
+    q = _vecs(spark, [(i, rng.normal(size=4).tolist()) for i in range(60)], "qid")
+    items = _vecs(spark, [(i, rng.normal(size=4).tolist()) for i in range(200)], "item_id")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        want = {(r.qid, r.item_id) for r in dn.dense_rank(q, items, 5).collect()}
+        got = {(r.qid, r.item_id) for r in dn.dense_rank(q, items, 5, strategy="grid", query_block=9, item_block=17).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(want) == 300 and got == want

@@ -70,28 +70,45 @@ def _split_ord(col: str = "split"):
     return F.when(c == "train", 0).when(c == "valid", 1).otherwise(2)
 
 
-def _key(user: str, ts: str, pos) -> F.Column:
-    return F.struct(F.col("_s").alias("s"), F.col(user).alias("u"), F.col(ts).alias("t"), pos.alias("p"))
+def _first_keys(seqs: DataFrame, user: str, ts: str, tokens: F.Column | None = None) -> DataFrame:
+    """Per element ``_tok`` of the rows' arrays ``tokens`` (none: per user) the smallest key (split, user,
+    time, position) as ``_k``.
+
+    Rows are first combined by (token, user): split, time and position in one long, a hash
+    aggregate that keeps one row a pair however often windows repeat a token. Only those
+    are compared as structs. Times that do not fit the long (or are no integers) are compared as structs at once."""
+    size = F.lit(1) if tokens is None else F.size(tokens)
+    rows = seqs.select(user, ts, _split_ord().alias("_s"), *([] if tokens is None else [F.posexplode(tokens).alias("_p", "_tok")]))
+    pos, out = (F.lit(0), user) if tokens is None else (F.col("_p"), "_tok")
+    lo, width = None, 0
+    if dict(seqs.dtypes)[ts] in ("tinyint", "smallint", "int", "bigint"):
+        lo, hi, most = seqs.agg(F.min(ts), F.max(ts), F.max(size)).first()
+    if lo is not None:
+        places, times = int(most) + 1, int(hi) - int(lo) + 2
+        width = places * times if 3 * places * times < 1 << 62 else 0
+    if not width:
+        k = F.struct(F.col("_s").alias("s"), F.col(user).alias("u"), F.col(ts).alias("t"), pos.alias("p"))
+        return rows.groupBy(out).agg(F.min(k).alias("_k"))
+    at = F.coalesce(F.col(ts).cast("bigint") - F.lit(int(lo)) + 1, F.lit(0))     # a null time comes first
+    code = F.col("_s") * F.lit(width) + at * F.lit(places) + pos
+    firsts = rows.groupBy(*dict.fromkeys([out, user])).agg(F.min(code.cast("bigint")).alias("_c"))
+    split = F.expr(f"_c div {width}L")
+    k = F.struct(split.alias("s"), F.col(user).alias("u"), F.pmod("_c", F.lit(width)).alias("r"))
+    return firsts.select(user, k.alias("_k")) if tokens is None else firsts.groupBy(out).agg(F.min(k).alias("_k"))
 
 
 def remap_users(seqs: DataFrame, user: str = USER, ts: str = TS) -> DataFrame:
     """User ids from 1 by first appearance over the concatenated splits
-    (train, valid, test; rows by user then time). First appearances are a
-    partial ``min(struct)``; numbering is the distributed global row number."""
-    rows = seqs.withColumn("_s", _split_ord())
-    users = rows.groupBy(user).agg(F.min(_key(user, ts, F.lit(0))).alias("_k"))
-    return dense_ids(users, user, [F.col("_k"), F.col(user)], "uid")
+    (train, valid, test; rows by user then time). First appearances are
+    partial minima; numbering is the distributed global row number."""
+    return dense_ids(_first_keys(seqs, user, ts), user, [F.col("_k"), F.col(user)], "uid")
 
 
 def remap_items(seqs: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS) -> DataFrame:
     """Item ids from 1 by first appearance; inside a row the target comes
     before its history, oldest first."""
-    rows = seqs.withColumn("_s", _split_ord())
-    tgt = rows.select(F.col(item).alias("_tok"), _key(user, ts, F.lit(0)).alias("_k"))
-    hist = rows.select(user, ts, "_s", F.posexplode("history").alias("_p", "_tok")).select(
-        "_tok", _key(user, ts, F.col("_p") + 1).alias("_k"))
-    firsts = tgt.unionByName(hist).groupBy("_tok").agg(F.min("_k").alias("_k"))
-    return dense_ids(firsts, "_tok", [F.col("_k"), F.col("_tok")], "iid").withColumnRenamed("_tok", item)
+    tokens = F.concat(F.array(item), F.coalesce("history", F.array().cast(seqs.schema["history"].dataType)))
+    return dense_ids(_first_keys(seqs, user, ts, tokens), "_tok", [F.col("_k"), F.col("_tok")], "iid").withColumnRenamed("_tok", item)
 
 
 def remap_ids(seqs: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,6 @@
+import numpy as np
+from pyspark.sql import functions as F
+
 from recsift.operators import sequences as sq
 from recsift.operators.interactions import history_text
 
@@ -31,3 +34,29 @@ def test_interaction_count_rule(spark):
     got = {r.metric: r.value for r in sq.dataset_stats(seqs, users, items, text).collect()}
     assert got["n_interactions_train"] == 3.0 and got["n_interactions_total"] == 3.0
     assert got["avg_history_length"] == 2.0 and got["avg_metadata_chars"] == 4.0
+
+
+def test_first_appearances_are_combined_per_user_without_sorting(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(u), int(rng.integers(0, 30)), int(t) if t else None, [int(x) for x in rng.integers(0, 30, rng.integers(1, 5))],
+             ["train", "valid", "test"][int(rng.integers(0, 3))]) for u in range(12) for t in rng.integers(0, 4, 6)]
+    schema = "user_id long, parent_asin long, timestamp long, history array<long>, split string"
+    order = {"train": 0, "valid": 1, "test": 2}
+    first, firstu = {}, {}
+    for u, i, t, h, sp in rows:
+        for p, tok in enumerate([i, *h]):
+            key = (order[sp], u, -1 if t is None else t, p)
+            first[tok] = min(first.get(tok, key), key)
+        key = (order[sp], u, -1 if t is None else t)
+        firstu[u] = min(firstu.get(u, key), key)
+    want = {tok: n for n, (tok, _) in enumerate(sorted(first.items(), key=lambda x: (x[1], x[0])), 1)}
+    wantu = {u: n for n, (u, _) in enumerate(sorted(firstu.items(), key=lambda x: (x[1], x[0])), 1)}
+    wide = [(u, i, None if t is None else t * (1 << 61), h, sp) for u, i, t, h, sp in rows]      # no room in the long
+    for data in (rows, wide):
+        seqs = spark.createDataFrame(data, schema)
+        assert {r.parent_asin: r.iid for r in sq.remap_items(seqs).collect()} == want
+        assert {r.user_id: r.uid for r in sq.remap_users(seqs).collect()} == wantu
+    tokens = F.concat(F.array("parent_asin"), "history")
+    plan = sq._first_keys(spark.createDataFrame(rows, schema), "user_id", "timestamp", tokens)._jdf.queryExecution().executedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate(" in line]
+    assert "HashAggregate(" in aggregates[-1] and "SortAggregate(" not in aggregates[-1]     # the one next to the rows

@@ -9,6 +9,12 @@ history over what is left". That replaces quadratic full histories by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +23,15 @@ from ..session import stable
 from .numbering import dense_ids
 from .userlog import UserLog
 
+KNOWN_BROADCAST = 4_000_000   # ids of known items that are shipped to the rows
 SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
 
 
 def history_known_items(ix: DataFrame, items: DataFrame, item: str = ITEM) -> DataFrame:
-    """Keep interactions whose item has metadata (left semi join)."""
-    return ix.join(items.select(item), item, "left_semi")
+    """Keep interactions whose item has metadata (left semi join; the rows stay where they are while
+    the counted ids can be broadcast)."""
+    known = items.select(item)
+    return ix.join(F.broadcast(known) if known.count() <= KNOWN_BROADCAST else known, item, "left_semi")
 
 
 def prepare_sequences(ix: DataFrame, items: DataFrame, t_valid: int, t_test: int, max_len: int = 50,
@@ -50,12 +59,52 @@ def prepare_from_log(log: UserLog, items: DataFrame, t_valid: int, t_test: int,
 
 
 def process_histories(rows: DataFrame, items: DataFrame, max_len: int = 50, history: str = "history",
-                      item: str = ITEM) -> DataFrame:
+                      item: str = ITEM, known_broadcast: int = KNOWN_BROADCAST) -> DataFrame:
     """P8-P10 on ready split rows with a ``history`` array: items without metadata leave the
     histories, the last ``max_len`` stay, and rows with an unknown target or an empty
-    history are dropped. Histories are exploded with their row's number and position, joined
-    with the items and gathered again, so no item list travels whole."""
+    history are dropped. While the counted ids can be shipped, every row is filtered in its place, an
+    Arrow batch's histories at once; beyond that histories are exploded with their row's number and
+    position, joined with the items and gathered again, so no item list travels whole."""
     known = items.select(F.col(item).alias("_known")).filter(F.col("_known").isNotNull()).distinct()
+    if known.count() > known_broadcast:
+        return _process_exploded(rows, known, max_len, history, item)
+    bc = rows.sparkSession.sparkContext.broadcast(known.toPandas()["_known"].to_numpy())  # counted above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pd.Index(bc.value)
+        for batch in batches:
+            at = batch.schema.get_field_index(history)
+            col = batch.column(at)
+            sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = col.flatten()                  # of the lists that are not null
+            hit = _is_known(index, values)
+            upto = np.r_[0, np.cumsum(hit)]
+            end = upto[np.cumsum(sizes)]
+            start = np.maximum(upto[np.cumsum(sizes) - sizes], end - max_len)
+            kept = values.filter(pa.array(hit))
+            row = np.flatnonzero((end > start) & _is_known(index, batch.column(batch.schema.get_field_index(item))))
+            n = (end - start)[row]
+            offsets = np.r_[0, np.cumsum(n)]
+            take = np.repeat(start[row] - offsets[:-1], n) + np.arange(offsets[-1])
+            new = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), kept.take(pa.array(take)))
+            out = [new if i == at else batch.column(i).take(pa.array(row)) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _is_known(index: pd.Index, values: pa.Array) -> np.ndarray:
+    """Which values are in ``index`` (nulls are not)."""
+    if values.null_count:
+        valid = values.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(values), dtype=bool)
+        out[valid] = _is_known(index, values.drop_null())
+        return out
+    return index.get_indexer(values.to_numpy(zero_copy_only=False)) >= 0
+
+
+def _process_exploded(rows: DataFrame, known: DataFrame, max_len: int, history: str, item: str) -> DataFrame:
+    """:func:`process_histories` by joins, for more items than can be shipped."""
     x = stable(rows.withColumn("_row", F.monotonically_increasing_id()))
     kept = x.select("_row", F.posexplode(history).alias("_pos", "_tok")).join(known, F.col("_tok") == F.col("_known"), "left_semi")
     gathered = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))).alias("_h"))

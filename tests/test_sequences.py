@@ -60,3 +60,18 @@ def test_first_appearances_are_combined_per_user_without_sorting(spark):
     plan = sq._first_keys(spark.createDataFrame(rows, schema), "user_id", "timestamp", tokens)._jdf.queryExecution().executedPlan().toString()
     aggregates = [line for line in plan.splitlines() if "Aggregate(" in line]
     assert "HashAggregate(" in aggregates[-1] and "SortAggregate(" not in aggregates[-1]     # the one next to the rows
+
+
+def test_process_histories_in_place_equals_joins(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r, f"i{rng.integers(0, 12)}" if r % 11 else None, None if r % 7 == 0 else
+             [None if x == 0 else f"i{x}" for x in rng.integers(0, 12, rng.integers(0, 9))]) for r in range(150)]
+    df = spark.createDataFrame(rows, "user_id long, parent_asin string, history array<string>").repartition(3)
+    items = spark.createDataFrame([(f"i{x}",) for x in range(1, 8)] + [(None,), ("i3",)], "parent_asin string")
+    known = {f"i{x}" for x in range(1, 8)}
+    want = {r: [x for x in h if x in known][-3:] for r, t, h in rows if t in known and h and any(x in known for x in h)}
+    here = sq.process_histories(df, items, 3)
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert here.columns == df.columns
+    assert {r.user_id: r.history for r in here.collect()} == want
+    assert {r.user_id: r.history for r in sq.process_histories(df, items, 3, known_broadcast=2).collect()} == want

@@ -1,10 +1,10 @@
 """BM25 lexical retrieval (A8, D13, J6, W6) over a stored, block-max inverted index.
 
-*Index.* Documents are dealt to blocks of about ``BLOCK_DOCS`` by hash. A document's terms are counted
-inside its row, the counts (never the texts) move once, to the document's block, and a posting row
+*Index.* Blocks are ``BLOCK_DOCS`` documents that a task reads one after another. The task counts and inverts the
+tokens of ``RUN_BLOCKS`` blocks at a time over Arrow, so neither texts nor counts are shuffled or sorted by Spark, and a posting row
 holds one term's documents of one block with the largest term frequency and the shortest
 length there. A term that is in every document is spread over all blocks, so no term is a hot
-key. The index is written once, sorted by term inside its files, and read by every query; terms
+key. The index is written once, in runs sorted by term, and read by every query; terms
 ``(term, df, idf)`` and three corpus scalars come from its columns.
 
 *Search.* A query's terms meet the blocks' summaries (not the postings): the sum of the largest contributions
@@ -16,9 +16,13 @@ as a partial WindowGroupLimit before the shuffle.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ from ..functions.text import tokenize
 from ..session import stored
 
 BLOCK_DOCS = 64            # documents of a block
-PART_DOCS = 50_000         # documents of an index file, about
+RUN_BLOCKS = 32            # blocks that a task inverts at a time
 BROADCAST_ROWS = 500_000   # query terms, or blocks to score, that are broadcast
 
 
@@ -50,33 +54,53 @@ def doc_tokens(docs: DataFrame, doc: str, text: str, stop_words=ENGLISH) -> Data
     return docs.select(doc, tokenize(text, stop_words).alias("_toks"))
 
 
-def _counted(docs: DataFrame, doc: str, text: str, stop_words) -> DataFrame:
-    """``doc, dl, terms`` (term, tf): terms counted inside the row (sorted tokens, places where
-    the token changes)."""
-    toks = doc_tokens(docs, doc, text, stop_words).select(
-        doc, F.size("_toks").alias("dl"), F.sort_array("_toks").alias("_s"))
-    starts = F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (
-        F.get("_s", i) != F.get("_s", i - 1)))).otherwise(F.array().cast("array<int>"))
-    return toks.withColumn("_at", starts).select(doc, "dl", F.transform("_at", lambda p, i: F.struct(
-        F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_s")) - p).cast("long").alias("tf"))).alias("terms"))
+def _inverted(batch: pa.RecordBatch, first: int, block_docs: int) -> pa.RecordBatch:
+    """Posting rows, by term and block, of a batch of documents (doc, tokens, length), cut into blocks from number ``first`` on."""
+    doc, lists, dl = batch.columns
+    row, codes = pa.compute.list_parent_indices(lists).to_numpy(), pa.compute.list_flatten(lists).dictionary_encode()
+    words = codes.dictionary
+    rank = np.empty(len(words), np.int64)
+    rank[pa.compute.sort_indices(words).to_numpy()] = np.arange(len(words))
+    # one number a (term, document): by term, and by document within
+    key, tf = np.unique(rank[codes.indices.to_numpy()] * batch.num_rows + row, return_counts=True)
+    term, at = np.divmod(key, batch.num_rows)
+    blk = at // block_docs
+    starts = np.flatnonzero(np.r_[len(key) > 0, (term[1:] != term[:-1]) | (blk[1:] != blk[:-1])])
+    length = dl.take(pa.array(at))
+    docs = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.StructArray.from_arrays(
+        [doc.take(pa.array(at)), pa.array(tf, pa.int64()), length], names=[batch.schema.names[0], "tf", "dl"]))
+
+    def over(f: np.ufunc, x: np.ndarray) -> np.ndarray:
+        return f.reduceat(x, starts) if len(starts) else x[:0]
+
+    return pa.RecordBatch.from_arrays(
+        [words.take(pa.compute.sort_indices(words)).take(pa.array(term[starts])), pa.array(blk[starts] + first, pa.int64()),
+         pa.array(np.diff(np.r_[starts, len(key)]), pa.int64()), pa.array(over(np.maximum, tf), pa.int64()),
+         pa.array(over(np.minimum, length.to_numpy(zero_copy_only=False)).astype(np.int32), pa.int32()),
+         pa.array(over(np.add, tf), pa.int64()), docs], names=["term", "blk", "n", "max_tf", "min_dl", "sum_tf", "docs"])
+
+
+def posting_blocks(docs: DataFrame, doc: str, text: str, stop_words=ENGLISH, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``term, blk, n, max_tf, min_dl, sum_tf, docs``: a task inverts its documents ``RUN_BLOCKS`` blocks at a time; nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nxt = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for start in range(0, batch.num_rows, RUN_BLOCKS * block_docs):
+                part = batch.slice(start, RUN_BLOCKS * block_docs)
+                yield _inverted(part, nxt, block_docs)
+                nxt += -(-part.num_rows // block_docs)
+
+    kind = docs.schema[doc].dataType.simpleString()
+    return doc_tokens(docs, doc, text, stop_words).withColumn("_dl", F.size("_toks")).mapInArrow(
+        run, f"term string, blk long, n long, max_tf long, min_dl int, sum_tf long, docs array<struct<`{doc}`:{kind},tf:bigint,dl:int>>")
 
 
 def build_bm25(docs: DataFrame, doc: str = "doc_id", text: str = "text", stop_words=ENGLISH,
                eps: float = 0.25, block_docs: int = BLOCK_DOCS) -> BM25Index:
     """The stored index; idf = ln(N-df+.5) - ln(df+.5); a negative idf is replaced by
     eps × mean idf (mean over all terms)."""
-    spark = docs.sparkSession
     n_docs = docs.count()
-    n_blocks = max(1, math.ceil(n_docs / block_docs))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / PART_DOCS))
-    placed = _counted(docs, doc, text, stop_words).withColumn("blk", F.pmod(F.xxhash64(doc), F.lit(n_blocks)))
-    # an outer explode: the filter inferred for an inner one would be pushed below and count the terms twice
-    dealt = placed.repartition(parts, "blk").select("blk", doc, "dl", F.explode_outer("terms").alias("_t")).filter("_t is not null")
-    # blk alone deals the rows, so (term, blk) groups are in place
-    blocks = dealt.groupBy("blk", F.col("_t.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("_t.tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("_t.tf").alias("sum_tf"),
-        F.collect_list(F.struct(doc, F.col("_t.tf").alias("tf"), "dl")).alias("docs"))
-    blocks = stored(blocks.sortWithinPartitions("term", "blk"))
+    blocks = stored(posting_blocks(docs, doc, text, stop_words, block_docs))
     idf = (blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("sum_tf").alias("cf"))
            .withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     idf = stored(idf)

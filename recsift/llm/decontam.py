@@ -3,7 +3,7 @@
 The normalised ``n``-word windows of all benchmark items form a table keyed by a
 64-bit hash. It is broadcast when its counted size is small and joined by shuffle
 otherwise. The training texts are scanned window by window (one generator over each
-text, no shuffle of texts); a hash match is verified by comparing the window's words
+text, no shuffle of texts), hashing the window's words where they stand; a hash match is verified by comparing the window's text
 in the join condition. Only verified hits are grouped per document.
 
 Defined cases: null or empty texts have no words and are never hit; an item with
@@ -32,8 +32,16 @@ def _windows(words: Column, length: int) -> Column:
     return F.when(last >= 0, grams).otherwise(F.array().cast("array<struct<pos:int,len:int,gram:string>>"))
 
 
+def _hash(words: Column, pos: Column, length: int) -> Column:
+    return F.xxhash64(*[F.get(words, pos + i) for i in range(length)])
+
+
+def _by_length(lengths: list[int], of: str, value) -> Column:
+    return F.coalesce(*[F.when(F.col(of) == k, value(k)) for k in lengths], F.lit(None).cast("long"))
+
+
 def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``gram, len, h, items``: one row per distinct window."""
+    """``i_gram, i_len, i_items``: one row per distinct window."""
     x = items.select(F.col(id_col).alias("item_id"), alnum_words(F.col(text_col)).alias("words"))
     k = F.size("words")
     whole = F.array(F.struct(F.lit(0).alias("pos"), k.alias("len"), F.array_join("words", " ").alias("gram")))
@@ -41,7 +49,7 @@ def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_co
         .when(k < n, whole).otherwise(_windows(F.col("words"), n))
     x = x.select("item_id", F.explode(grams).alias("g"))
     return (x.groupBy(F.col("g.gram").alias("i_gram"), F.col("g.len").alias("i_len"))
-            .agg(F.collect_set("item_id").alias("i_items")).withColumn("i_h", F.xxhash64("i_gram")))
+            .agg(F.collect_set("item_id").alias("i_items")))
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
@@ -53,15 +61,24 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
     lengths, total = sorted(r["i_len"] for r in known), sum(r["count"] for r in known)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
                        alnum_words(F.col(text_col)).alias("words"))
-    empty = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram")))
-    # the entry at -1 keeps documents without windows
-    grams = F.concat(empty, *[_windows(F.col("words"), k) for k in lengths])
-    rows = base.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode(grams).alias("g"))
-    rows = rows.select("doc_id", "text_hash", "n_words", "g.pos", "g.len", "g.gram")
-    rows = rows.withColumn("h", F.xxhash64("gram"))
-    side = F.broadcast(windows) if total <= BROADCAST_WINDOWS else windows
-    found = rows.join(side, (rows["h"] == side["i_h"]) & (rows["gram"] == side["i_gram"]), "left") \
-        .filter(F.col("i_h").isNotNull() | (F.col("pos") < 0))
+    # the row of the first word (null without words) keeps documents without windows
+    rows = base.select("doc_id", "text_hash", "words", F.size("words").cast("long").alias("n_words"),
+                       F.posexplode_outer("words").alias("pos", "word"))
+    rows = rows.withColumn("len", F.explode(F.array(*map(F.lit, lengths))) if len(lengths) > 1 else F.lit(max(lengths, default=0)))
+    # words are hashed where they stand; a window's text is put together only where its hash is an item window's
+    rows = rows.withColumn("h", _by_length(lengths, "len", lambda k: F.when(
+        F.col("pos") + k <= F.col("n_words"), _hash(F.col("words"), F.col("pos"), k))))
+    gram = F.array_join(F.slice("words", F.col("pos") + 1, F.col("len")), " ")
+    windows = windows.withColumn("i_words", F.split("i_gram", " ")).withColumn(
+        "i_h", _by_length(lengths, "i_len", lambda k: _hash(F.col("i_words"), F.lit(0), k))).drop("i_words")
+    if total <= BROADCAST_WINDOWS:
+        # an equation would be a join key, whose text is made for every window
+        side, same = F.broadcast(windows), F.startswith(gram, F.col("i_gram")) & F.startswith(F.col("i_gram"), gram)
+    else:
+        side, rows = windows, rows.withColumn("gram", gram).drop("words", "word")
+        same = F.col("gram") == F.col("i_gram")
+    found = rows.join(side, (F.col("h") == F.col("i_h")) & same, "left") \
+        .filter(F.col("i_h").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
     hit = F.when(F.col("i_h").isNotNull(), F.struct("pos", "len", F.col("i_items").alias("items")))
     return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"),
                                                     F.collect_list(hit).alias("hits"))

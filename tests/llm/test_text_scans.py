@@ -180,3 +180,17 @@ def test_fingerprint_edits(spark):
     assert by[3]["near_next"] == 1.0 and by[4]["near_next"] == 0.0 and by[3]["fingerprint"] == ""
     assert by[4]["near_edited"] == 1.0
     assert fingerprints.fingerprint_edits(df.limit(0)).count() == 0
+
+
+def test_decontamination_makes_window_texts_only_for_hits(spark):
+    """op10: the broadcast join is by hash alone, no window text is made for its keys; windows of several lengths."""
+    d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, "w3 W4, w5"), (3, "w3 w4"), (4, ""), (5, None),
+                               (6, "x w3 w4 w5 w3 w4 w5")], "doc_id long, text string")
+    b = spark.createDataFrame([("a", "w3 w4 w5"), ("b", " ".join(f"w{i}" for i in range(8, 20))), ("c", "")], "item_id string, text string")
+    x = decontam.scan(d, b)
+    join = next(p for p in x._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in p)
+    # the hash is the only equation, and no lambda (which generated code cannot hold) is in the scan
+    assert "array_join" in join and "lambda" not in join and join.count(" = ") == 1
+    got = {r["doc_id"]: r for r in decontam.digest(x).collect()}
+    assert {k: (r["n_words"], r["n_hit"], r["n_items"]) for k, r in got.items()} == {
+        1: (30, 15, 2), 2: (3, 3, 1), 3: (2, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (7, 6, 1)}

@@ -37,6 +37,7 @@ ROUNDS = 3                         # majority templates of a leaf, before lines
 MIN_TOKENS = 3                     # shorter lines are kept
 SHORT_TOKENS, SHORT_DOCS = 10, 5   # lines below SHORT_TOKENS need SHORT_DOCS documents
 MIN_DOCS = 2
+BROADCAST_LEAVES = 2_000_000       # leaves of several forms that are broadcast (8 bytes each)
 
 
 def masked(line: Column) -> Column:
@@ -121,11 +122,17 @@ def recurring(lines: DataFrame) -> DataFrame:
     exact = forms.filter(_enough(F.col("docs"))).select("leaf", "form", "own")
 
     # leaves with several forms: generalise
-    wide = forms.groupBy(F.col("leaf").alias("w_leaf")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w_leaf")
-    cand = forms.join(wide, F.col("leaf") == F.col("w_leaf"), "left_semi").filter(F.col("n_tokens") > DEPTH) \
+    wide = materialise(forms.groupBy(F.col("leaf").alias("w_leaf")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w_leaf"),
+                       "line-leaves")
+    in_wide = F.col("leaf") == F.col("w_leaf")
+    cand = forms.join(wide, in_wide, "left_semi").filter(F.col("n_tokens") > DEPTH) \
         .select(F.col("leaf").alias("c_leaf"), F.col("form").alias("c_form"), "docs")
-    # copies of a line are combined before they move: a form has one row on either side of the join
-    words = lines.filter(F.col("n_tokens") > DEPTH).groupBy("leaf", "form", "n_tokens").agg(F.first("later").alias("later"))
+    # tokens of lines alone in their leaf do not move while the counted leaves can be shipped
+    words = lines.filter(F.col("n_tokens") > DEPTH)
+    if wide.count() <= BROADCAST_LEAVES:
+        words = words.join(F.broadcast(wide), in_wide, "left_semi")
+    # copies of a line are combined before they move: a form has one row on either side of the join, which finds them in place
+    words = words.groupBy("leaf", "form").agg(F.first("n_tokens").alias("n_tokens"), F.first("later").alias("later"))
     mine = words.join(cand, (F.col("leaf") == F.col("c_leaf")) & (F.col("form") == F.col("c_form")))
     left = wide_lines = materialise(mine.select("leaf", "form", "n_tokens", "docs", "later"), "line-tokens")
     release(lines.sparkSession)

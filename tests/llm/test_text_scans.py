@@ -194,3 +194,23 @@ def test_decontamination_makes_window_texts_only_for_hits(spark):
     got = {r["doc_id"]: r for r in decontam.digest(x).collect()}
     assert {k: (r["n_words"], r["n_hit"], r["n_items"]) for k, r in got.items()} == {
         1: (30, 15, 2), 2: (3, 3, 1), 3: (2, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (7, 6, 1)}
+
+
+def test_line_dedup_moves_tokens_of_wide_leaves_only(spark, monkeypatch):
+    """op7: lines alone in their leaf are dropped before tokens move, and the shuffled form gives the same."""
+    rng = random.Random(11)
+    rows = [(i, "\n".join([f"user {rng.randint(0, 9)} logged in from host {rng.choice('abc')} at noon sharp today ok",
+                           " ".join(rng.choices("pqrstuvw", k=rng.randint(3, 14)))])) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, store = {}, linededup.materialise
+
+    def spy(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, tag)
+    monkeypatch.setattr(linededup, "materialise", spy)
+    got = sorted(linededup.dedup_lines(d, counts=True).collect())
+    below = plans["line-tokens"].split("Aggregate [leaf")[1]
+    assert "Join LeftSemi" in below and "strategy=broadcast" in below
+    monkeypatch.setattr(linededup, "BROADCAST_LEAVES", -1)
+    assert sorted(linededup.dedup_lines(d, counts=True).collect()) == got
+    assert sum(r["n_dropped"] for r in got) > 0

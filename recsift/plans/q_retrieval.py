@@ -225,9 +225,13 @@ _POOL = ("SELECT vec_id // 10 AS sentence, CAST(d - 1 AS INTEGER) AS dim, round(
          "FROM vectors{where}) GROUP BY ALL")
 
 
-def _long(df, key, vec, out_key=None):
-    return df.select(F.col(key).alias(out_key or key), F.posexplode(vec).alias("dim", "value")).select(
-        out_key or key, "dim", F.round("value", 6).alias("value"))
+def _long(df, key, vec, out_key=None, nonzero=False):
+    """One row a component (only those that do not round to zero with ``nonzero``). Without ``outer`` Spark
+    filters the rows on the size of ``vec`` first, for which it computes the whole vector a second time."""
+    x = df.select(F.col(key).alias(out_key or key), F.posexplode_outer(vec).alias("dim", "value")).filter(F.col("dim").isNotNull())
+    if nonzero:
+        x = x.filter((F.col("value") != 0) & (F.round("value", 6) != 0))
+    return x.select(out_key or key, "dim", F.round("value", 6).alias("value"))
 
 
 def _pool(spark, sf, skip_first):
@@ -265,9 +269,11 @@ _ITEM_TEXT = ("item_rec_text", f"SELECT parent_asin, {_REC_SQL} AS text FROM ite
     "SELECT parent_asin, CAST(d AS INTEGER) AS dim, round(v, 6) AS value FROM item_vec_long", "items",
     extra=(_ITEM_TEXT, ("item_vec_long", st.hash_long("item_rec_text", "parent_asin", "text")))))
 def q_embed_text(spark, sf):
-    txt = clean_item_text_rec(views.items(spark, sf)).withColumnRenamed("cleaned_metadata", "text")
+    # a million short rows are one small file: they are spread before they are cleaned and encoded
+    items = views.items(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    txt = clean_item_text_rec(items).withColumnRenamed("cleaned_metadata", "text")
     vecs = em.embed_text(txt, "text", "vec")
-    return _long(vecs, "parent_asin", "vec").filter(F.col("value") != 0)
+    return _long(vecs, "parent_asin", "vec", nonzero=True)
 
 
 # ------------------------------------------------------------------ next item

@@ -1,7 +1,7 @@
 """Text embedding (D19, X4) and token pooling.
 
 The reference runs a transformer over text batches. Here an encoder is any
-callable ``list[str] -> np.ndarray``, run once per Arrow batch in an iterator
+callable ``list[str] -> np.ndarray``, run once per Arrow batch in a
 pandas UDF (loaded once per worker). The built-in :class:`HashEncoder` is a
 feature-hashing stand-in: each token adds ±1 to one of ``dim`` slots. The
 same encoder is also available as a pure Column expression
@@ -11,7 +11,7 @@ same encoder is also available as a pure Column expression
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -50,11 +50,13 @@ def hash_vector(col: str | Column, dim: int = HASH_DIM, pooling: str = "mean") -
 
 
 class HashEncoder:
-    """NumPy twin of :func:`hash_vector` (same tokens, slots and signs). The tokens of a batch
-    are dictionary-encoded, each different one is hashed once, and all texts' vectors come
-    from one weighted count over (text, slot). ``pooling``: ``'mean'`` or ``'sum'``; a hashed
+    """NumPy twin of :func:`hash_vector` (same tokens, slots and signs). Texts are taken in runs of
+    bounded length; the tokens of a run are dictionary-encoded, each different one is hashed once, and all texts'
+    vectors come from one weighted count over (text, slot). ``pooling``: ``'mean'`` or ``'sum'``; a hashed
     text has no first position, so ``'cls'`` is refused."""
 
+    RUN_CHARS = 1 << 20     # characters of a run (a longer text is a run of its own)
+
     def __init__(self, dim: int = HASH_DIM, pooling: str = "mean"):
         import regex
 
@@ -70,6 +72,18 @@ class HashEncoder:
         return h[:, 0] % self.dim, 1 - 2 * (h[:, 1] % 2)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.empty((len(texts), self.dim))
+        start = held = 0
+        for i, t in enumerate(texts):
+            size = len(t) if t else 0
+            if i > start and held + size > self.RUN_CHARS:
+                out[start:i] = self._run(texts[start:i])
+                start, held = i, 0
+            held += size
+        out[start:] = self._run(texts[start:])
+        return out
+
+    def _run(self, texts: list[str]) -> np.ndarray:
         lists = [list(filter(None, self._split(t))) if t else [] for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), object, int(sizes.sum()))
@@ -98,15 +112,14 @@ def embed_text(df: DataFrame, col: str, out: str = "embedding",
     key = (encoder_key or f"{encoder_factory.__module__}.{getattr(encoder_factory, '__qualname__', repr(encoder_factory))}",
            tuple(options.items()))
 
+    # not an iterator UDF: a task runs each of those in a Python worker of its own, several plain ones share one
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def enc(s: pd.Series) -> pd.Series:
         from recsift.operators import embed as here
 
         if key not in here._ENCODERS:
             here._ENCODERS[key] = encoder_factory(**options)
-        model = here._ENCODERS[key]
-        for s in batches:
-            yield pd.Series(list(model(s.tolist())))
+        return pd.Series(list(here._ENCODERS[key](s.tolist())))
 
     text = F.col(col)
     if max_len is not None:

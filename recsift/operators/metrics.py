@@ -6,7 +6,7 @@ ranked within k, else 0; Recall@k (hit) = 1 within k, else 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -88,7 +88,8 @@ def _batch_loss(temp: float, hard_weight: float, mask_mode: str, key: str | None
 
 def in_batch_contrastive(pairs: DataFrame, order: Sequence[str | Column], a: str, b: str, batch_size: int = 64,
                          temp: float = 0.05, hard_negative: str | None = None, hard_weight: float = 0.0,
-                         positive_key: str | None = None, mask_mode: str = "drop") -> DataFrame:
+                         positive_key: str | None = None, mask_mode: str = "drop",
+                         encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Mean in-batch contrastive loss (InfoNCE over cosine / temp).
 
     Rows are numbered in ``order`` (distributed) and cut into batches of
@@ -98,8 +99,11 @@ def in_batch_contrastive(pairs: DataFrame, order: Sequence[str | Column], a: str
     rows sharing row i's key are dropped from its denominator
     (``mask_mode='drop'``) or get logit 0 (``'zero_logit'``, as the
     reference). ``hard_weight`` is a logit added to row i's own hard negative
-    (0: none). Returns per-batch (batch, n, loss)."""
+    (0: none). ``encode`` adds the vector columns to the numbered rows: the sort, which reads its input twice
+    (once to sample it), and the stored table then hold the texts. Returns per-batch (batch, n, loss)."""
     numbered = global_row_number(pairs, order, "_pos", start=0)
+    if encode is not None:
+        numbered = encode(numbered)
     cols = [F.floor(F.col("_pos") / batch_size).cast("long").alias("_batch"), F.col(a).alias("_a"), F.col(b).alias("_b")]
     if hard_negative:
         cols.append(F.col(hard_negative).alias("_h"))

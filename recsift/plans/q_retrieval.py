@@ -329,9 +329,8 @@ _CON = (
     "FROM (SELECT batch, avg(loss) AS bl FROM cl GROUP BY batch)",
     "pairs", extra=_CON))
 def q_contrastive(spark, sf):
-    p = em.embed_text(em.embed_text(views.pairs(spark, sf), "sent0", "a"), "sent1", "b").select(
-        "conv_id", "turn", "a", "b")
-    losses = mt.in_batch_contrastive(p, ["conv_id", "turn"], "a", "b", batch_size=16, temp=0.05)
+    losses = mt.in_batch_contrastive(views.pairs(spark, sf), ["conv_id", "turn"], "a", "b", batch_size=16, temp=0.05,
+                                     encode=lambda x: em.embed_text(em.embed_text(x, "sent0", "a"), "sent1", "b"))
     return mt.mean_of_batches(losses)
 
 

@@ -34,24 +34,39 @@ def read_reviews_jsonl(spark: SparkSession, path: str, timestamp_col: str = "sor
     number ("12") is accepted, a quoted fraction ("1.5") is no time, and a JSON number with
     a fraction is cut towards zero. Blank lines are skipped; unparsable lines, missing keys
     and failed casts go to ``rejects`` (raw line kept)."""
-    schema = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("parent_asin", T.StringType()),
-                           T.StructField("rating", T.StringType()), T.StructField(timestamp_col, T.StringType()),
-                           T.StructField(CORRUPT, T.StringType())])
+    def parse(rating: T.DataType, time: T.DataType):
+        schema = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("parent_asin", T.StringType()),
+                               T.StructField("rating", rating), T.StructField(timestamp_col, time), T.StructField(CORRUPT, T.StringType())])
+        return F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+    def whole_record(r):
+        return (r[CORRUPT].isNull() & r["user_id"].isNotNull() & r["parent_asin"].isNotNull()
+                & r["rating"].isNotNull() & r["timestamp"].isNotNull())
+
+    def record(r, rating, time):
+        return F.struct(r["user_id"].alias("user_id"), r["parent_asin"].alias("parent_asin"), rating.alias("rating"),
+                        time.alias("timestamp"), r[CORRUPT].alias(CORRUPT))
+
+    def from_text(r):
+        text = r[timestamp_col]
+        quoted = F.col("value").rlike(r'"' + timestamp_col + r'"\s*:\s*"')
+        number = text.try_cast("double")
+        cut = (F.signum(number) * F.floor(F.abs(number))).try_cast("bigint")
+        ts = F.coalesce(F.trim(text).try_cast("bigint"), F.when(~quoted, cut))
+        whole = ~quoted | F.trim(text).rlike(r"^[+-]?[0-9]+$")
+        return record(r, r["rating"].try_cast("double"), F.when(whole, ts))
+
+    def as_text():
+        return F.transform(F.array(parse(T.StringType(), T.StringType())), from_text)[0]
+
+    # numbers are read as such; only a line that has them in another form, or none, is parsed a second time, as text.
+    # The lambdas name a line's record and the generator's rows are computed once, whoever reads or filters them later.
+    numbers = F.transform(F.array(parse(T.DoubleType(), T.LongType())), lambda r: record(r, r["rating"], r[timestamp_col]))
+    records = F.transform(numbers, lambda r: F.when(whole_record(r), r).otherwise(as_text()))
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    raw = lines.select(F.col("value").alias("line"), parsed.alias("r")).select("line", "r.*")
-    text = F.col(timestamp_col)
-    quoted = F.col("line").rlike(r'"' + timestamp_col + r'"\s*:\s*"')
-    number = text.try_cast("double")
-    cut = (F.signum(number) * F.floor(F.abs(number))).try_cast("bigint")
-    ts = F.coalesce(F.trim(text).try_cast("bigint"), F.when(~quoted, cut))
-    whole = ~quoted | F.trim(text).rlike(r"^[+-]?[0-9]+$")
-    typed = raw.select("line", "user_id", "parent_asin", F.col("rating").try_cast("double").alias("rating"),
-                       F.when(whole, ts).alias("timestamp"), CORRUPT)
-    ok = (F.col(CORRUPT).isNull() & F.col("user_id").isNotNull() & F.col("parent_asin").isNotNull()
-          & F.col("rating").isNotNull() & F.col("timestamp").isNotNull())
-    good = typed.filter(ok).select("user_id", "parent_asin", "rating", "timestamp")
-    return good, typed.filter(~ok).select("line")
+    typed = lines.select(F.col("value").alias("line"), F.explode(records).alias("r"))
+    good = typed.filter(whole_record(F.col("r"))).select("r.user_id", "r.parent_asin", "r.rating", "r.timestamp")
+    return good, typed.filter(~whole_record(F.col("r"))).select("line")
 
 
 def read_ratings_csv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:

@@ -29,10 +29,16 @@ def build_pretrain_pairs(reviews: DataFrame, items: DataFrame, t_valid: int, dow
     """
     if item_order is not None:  # J2: an item met in several files takes the later one
         items = latest_by(items, item, item_order, [c for c in items.columns if c not in (item, item_order)])
-    meta = clean_item_text_pretrain(items, item, "meta").filter(F.length("meta") > min_chars)
+    meta = _longer(clean_item_text_pretrain(items, item, "meta"), [item], "meta", min_chars)
     rv = hash_sample(reviews.filter(F.col(ts) < F.lit(t_valid)), [user, item], downsample, seed)
-    rv = clean_review_text(rv, out="review").filter(F.length("review") > min_chars)
-    return rv.select(user, item, "review").join(meta, item)
+    rv = _longer(clean_review_text(rv, out="review"), [user, item], "review", min_chars)
+    return rv.join(meta, item)
+
+
+def _longer(df: DataFrame, keep: Sequence[str], text: str, min_chars: int) -> DataFrame:
+    """``keep`` and ``text`` of the rows whose text is longer than ``min_chars``. A filter on a computed column makes
+    Spark compute it for the filter and again for the output; an exploded one is computed once."""
+    return df.select(*keep, F.explode(F.array(text)).alias(text)).filter(F.length(text) > min_chars)
 
 
 def make_training_rows(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

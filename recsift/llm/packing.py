@@ -24,9 +24,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,10 @@ from .common import materialise, prepare
 CAPACITY = 4096
 GROUPS = 24
 SMALL_SHARE = 8            # lengths up to capacity / SMALL_SHARE are small
-WORD_CACHE = 300_000       # words, and parts, whose ids a task remembers
+WORD_CACHE = 300_000       # words, and parts, above which a task remembers those of its last run only
+LONG = 64                  # longer parts are not remembered
+RUN_BYTES = 4_000_000      # text encoded at once (a longer text is a run of its own)
+WORDS_AT_ONCE = 5_000      # unseen words that the tokenizer gets at once
 PLAN_ROWS = 500_000        # far above what any histogram of CAPACITY lengths can give
 
 
@@ -47,38 +52,108 @@ class _Parts(dict):
     drops white space and never joins across it, and it never joins letters with ASCII
     punctuation, so a plain word's ids are those of its punctuation, its lower-cased
     letters and its punctuation. Letters go to the tokenizer's model without its text
-    normaliser, as the byte-level alphabet spells them."""
+    normaliser, as the byte-level alphabet spells them, all unseen ones of a run at once."""
 
     # apostrophes are left out: the tokenizer knows some contractions
     PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = not added
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if added else []
-        self.model = self.tok.model
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # the last id of a word tells it, if the model has a suffix for that
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        ids = self.tok.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(ids.values(), default=0) + 1, bool)
+        self.last[[i for t, i in ids.items() if suffix and t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         # byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256
         other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-        self.spelling = {b: chr(256 + i) for i, b in enumerate(other)}
-
-    def letters(self, word: str) -> bytes:
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        self.spelling = {b: chr(256 + i) for i, b in enumerate(other) if b != 32}
 
     def encode(self, part: str) -> bytes:
         return array("I", self.tok.encode(part, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            got = self.words[word] = self.letters(word) if word[0].isalpha() else self.encode(word)
-        return got
+    def learn_letters(self, new: list[str]) -> None:
+        """Remember the ids of words of letters; the tokenizer's model gets them at once."""
+        spelled = " ".join(new)
+        if not spelled.isascii():
+            spelled = spelled.encode().decode("latin-1").translate(self.spelling)
+        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):
+            if len(new) > 1:
+                for word in new:
+                    self.learn_letters([word])
+                return
+            ends = np.array([len(ids)])
+        flat, ends = ids.tobytes(), (4 * ends).tolist()
+        self.words.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def learn_words(self, new: list[str]) -> None:
+        """Letters, or punctuation."""
+        letters = [w for w in new if w[0].isalpha()]
+        if len(letters) < len(new):
+            self.words.update((w, self.encode(w)) for w in new if not w[0].isalpha())
+        for some in ([w for w in letters if w.isascii()], [w for w in letters if not w.isascii()]):
+            for at in range(0, len(some), WORDS_AT_ONCE):
+                self.learn_letters(some[at:at + WORDS_AT_ONCE])
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of parts, none of them long."""
+        joined, plain = " ".join(new), self.PLAIN.fullmatch
+        added = [t for t in self.added if t in joined]
+        words, seen, easy, marked = self.words, [], [], []
+        for part in new:
+            if part.isascii() and part.isalpha() and not added:     # most parts
+                easy.append(part)
+            elif (m := plain(part)) and not any(t in part for t in added):
+                groups = [g for g in (m[1], m[2].lower(), m[3]) if g]
+                seen += groups
+                marked.append((part, groups))
+            else:
+                self[part] = self.encode(part)
+        low = [p.lower() for p in easy]
+        seen += low
+        self.learn_words([w for w in dict.fromkeys(seen) if w not in words])
+        self.update(zip(easy, map(words.__getitem__, low)))
+        self.update((p, b"".join([words[g] for g in groups])) for p, groups in marked)
+        if len(words) > WORD_CACHE:
+            kept = {w: words[w] for w in seen}
+            words.clear()
+            words.update(kept)
+
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > LONG:
+            return self.encode(part)
+        self.learn([part])
+        return self[part]
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, an end id after each, and where each text's ids begin (and the last ones end)."""
+        lists = pa.compute.split_pattern(pa.compute.replace_substring(pa.compute.fill_null(texts, ""), "\n", " "), " ")
+        found = lists.flatten().dictionary_encode()
+        # no part has a space; this is much faster than to_pylist
+        parts = pa.compute.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary), " ")[0].as_py()
+        parts, index = parts.split(" ") if len(found.dictionary) else [], found.indices.to_numpy()
+        self.learn([p for p in parts if p not in self and len(p) <= LONG])
+        coded = list(map(self.__getitem__, parts))
+        if len(self) > WORD_CACHE:
+            self.clear()
+            self.update((p, c) for p, c in zip(parts, coded) if len(p) <= LONG)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        table = np.frombuffer(b"".join(coded), "<u4")
+        n = sizes[index]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - n), n) + np.arange(len(n) and ends[-1])
+        count = pa.compute.list_value_length(lists).to_numpy()
+        ends = np.r_[0, ends][np.cumsum(count)]
+        return np.insert(table[at], ends, end_id), np.r_[0, ends + np.arange(1, len(ends) + 1)]
 
     def forget(self) -> None:
         """A worker outlives its task: what the task remembered goes back."""
@@ -86,16 +161,6 @@ class _Parts(dict):
         self.words.clear()
         pa.default_memory_pool().release_unused()
 
-    def __missing__(self, part: str) -> bytes:
-        if len(part) > 64:
-            return self.encode(part)
-        m = None if any(t in part for t in self.added) else self.PLAIN.fullmatch(part)
-        ids = b"".join([self.word(g) for g in (m[1], m[2].lower(), m[3]) if g]) if m else self.encode(part)
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[part] = ids
-        return ids
-
 
 _TOKENIZERS: dict[tuple[str, bool], _Parts] = {}   # one tokenizer for each file, mode and worker process
 
@@ -106,6 +171,15 @@ def encoder(path: str, added: bool = False) -> _Parts:
     return _TOKENIZERS[path, added]
 
 
+def runs_of(whole: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``RUN_BYTES`` of text."""
+    size = pa.compute.fill_null(pa.compute.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(size, dtype=np.int64) // RUN_BYTES
+    for a, b in pairwise(np.flatnonzero(np.r_[True, run[1:] != run[:-1], True]).tolist() if len(run) else []):
+        for at in range(a, b, 10_000):
+            yield whole.slice(at, min(10_000, b - at))
+
+
 def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1,
                     keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32[, ids], task, nth``. With ``added`` the tokenizer's added
@@ -116,26 +190,24 @@ def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, seen, task = encoder(tokenizer, added), {}, TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         try:
             for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
+                for batch in runs_of(whole):
                     cols = {k: [] for k in ("row", "piece", "start", "length", "crc", "nth", "ids")}
-                    for i, text in enumerate(batch.column(1).to_pylist()):
-                        ids = b"".join([*map(parts.__getitem__, (text or "").replace("\n", " ").split(" ")), end])
-                        for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                            part = ids[4 * start:4 * (start + capacity)]
-                            n = len(part) // 4
+                    ids, starts = parts.encode_all(batch.column(1), end_id)
+                    for i, (first, last) in enumerate(pairwise(starts.tolist())):
+                        for piece, start in enumerate(range(first, last, capacity)):
+                            part = ids[start:min(start + capacity, last)]
+                            n = len(part)
                             seen[n] = nth = seen.get(n, -1) + 1
-                            for k, v in zip(cols, (i, piece, start, n, zlib.crc32(part), nth, part if keep_ids else None)):
+                            for k, v in zip(cols, (i, piece, start - first, n, zlib.crc32(part), nth, part if keep_ids else None)):
                                 cols[k].append(v)
                     out = [batch.column(0).take(pa.array(cols["row"], pa.int64())), pa.array(cols["piece"], pa.int32()),
                            pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int64()),
                            pa.array(cols["crc"], pa.int64())]
                     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                     if keep_ids:
-                        out.append(pa.array([np.frombuffer(p, dtype="<i4") for p in cols["ids"]], pa.list_(pa.int32())))
+                        out.append(pa.array([p.view("<i4") for p in cols["ids"]], pa.list_(pa.int32())))
                         names.append("ids")
                     out += [pa.array([task] * len(cols["row"]), pa.int32()), pa.array(cols["nth"], pa.int64())]
                     yield pa.RecordBatch.from_arrays(out, names=[*names, "task", "nth"])

@@ -45,11 +45,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, prepare, release
+from .common import discard, give_back, giving_back, materialise, prepare, release
 from .components import connected_components
 
 WORD_CACHE = 400_000
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 500_000              # keys of a bucket, and half of those a task holds at once
+ROWS = 1000                        # sets whose keys are taken out of an Arrow batch at once
 SKETCH_WORDS = 8                   # 64-bit words of a set's parity sketch
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -181,6 +182,7 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
     their keys (``light, heavy``), which are large and read only while the lists are made."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, labels = _Words(), Labels(num, den)
         for whole in batches:
@@ -209,6 +211,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_
                     text_hash(text_col).alias("text_hash"))
     x = x.join(wanted, x["doc_id"].eqNullSafe(wanted["own.doc_id"]) & (x["text_hash"] == wanted["own.text_hash"])).select("uid", "s1", "s2", "text")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for whole in batches:
@@ -243,13 +246,17 @@ def sharing_sets(sets: DataFrame, keys: str = "heavy") -> DataFrame:
     total = sets.agg(F.sum(F.size(keys))).first()[0] or 0
     buckets = int(total // BUCKET_KEYS) + 1
 
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
             if not n:
                 return
-            met, rest = _met(np.concatenate(held))
+            pairs = np.concatenate(held)
+            held.clear()
+            met, rest = _met(pairs)
+            del pairs
             for kind, rows, by in ((0, rest, rest[:, 0] if len(rest) else rest), (1, met, met)):
                 if len(rows) == 0:
                     continue
@@ -263,24 +270,30 @@ def sharing_sets(sets: DataFrame, keys: str = "heavy") -> DataFrame:
                      pa.array([rows[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
                     names=["bucket", "kind", "data"])
 
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False),
-                              pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-            held.append(np.column_stack([flat, owner]))
-            n += len(flat)
-            if n > 2 * BUCKET_KEYS:
-                yield from flush()
-                held, n = [], 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                lists = batch.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False),
+                                  pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+                held.append(np.column_stack([flat, owner]))
+                n += len(flat)
+                if n > 2 * BUCKET_KEYS:
+                    yield from flush()
+                    held, n = [], 0
         yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
         kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
         rows = np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == 0), dtype=np.int64).reshape(-1, 2)
         done = np.frombuffer(b"".join(d for k, d in zip(kinds, data) if k == 1), dtype=np.int64)
+        del data
         met = _met(rows)[0] if len(rows) else rows[:, 0]
-        return pa.table({"s1": np.unique(np.concatenate([met, done]))})
+        out = pa.table({"s1": np.unique(np.concatenate([met, done]))})
+        del rows, done, met
+        give_back()
+        return out
 
     packed = sets.select("s1", keys).filter(F.size(keys) > 0).mapInArrow(send, "bucket long, kind int, data binary")
     return packed.groupBy("bucket").applyInArrow(meet, "s1 long").distinct()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import give_back, materialise, prepare
 
 CAPACITY = 4096
 GROUPS = 24
@@ -159,7 +159,7 @@ class _Parts(dict):
         """A worker outlives its task: what the task remembered goes back."""
         self.clear()
         self.words.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 _TOKENIZERS: dict[tuple[str, bool], _Parts] = {}   # one tokenizer for each file, mode and worker process

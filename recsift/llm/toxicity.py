@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import giving_back, materialise, prepare
 from .langid import fold
 
 TRAIN_ROWS = 400_000    # about the most labelled rows that train (by hash of the id; their ids are broadcast)
@@ -241,6 +241,7 @@ def _packed_trigrams(words: list[str], times: np.ndarray) -> tuple[list[str], np
 
 def count_trigrams(texts: DataFrame) -> DataFrame:
     """``gram, n`` over the letter words of all texts."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
 
@@ -320,6 +321,7 @@ def count_evidence(train: DataFrame, grams: dict[str, int]) -> DataFrame:
     """``feature, pos, neg``: labelled texts with the feature. ``train`` has text, toxic."""
     sent = train.sparkSession.sparkContext.broadcast(grams)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value, {})
         pos, neg = Counter(), Counter()
@@ -378,6 +380,7 @@ def evidence(docs: DataFrame, grams: dict, weights: dict, keep: list[str], text_
     kept = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value)
         for whole in batches:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import functools
 import gc
 import os
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.memory import give_back
 from ..session import ensure_checkpoint_dir, ship_code
 
 
@@ -86,14 +86,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def give_back() -> None:
-    """Memory that this process has freed, but still holds, goes back to the system."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
-    if trim is not None:
-        trim(0)
-
-
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function on Arrow batches. Its worker outlives the task and idles beside the steps that
     follow, so what the task used goes back at its end."""

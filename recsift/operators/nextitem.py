@@ -1,25 +1,36 @@
 """Next-item evaluation (D20): score every item for each evaluation row and
-report Recall/NDCG at the cutoffs."""
+report Recall/NDCG at the cutoffs.
+
+The item vectors are stored once, in files of bounded size, which the tasks open themselves and hold one at a
+time: neither the driver nor a worker ever holds the item table.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import numpy as np
 import pandas as pd
 
-from ..session import stable, stored
-from .dense import BROADCAST_BYTES, SCORE_ROWS, _matrix, _spread, round_half_up
+from ..functions.memory import give_back, giving_back
+from ..session import stable, stored, workdir
+from ..sources.files import open_fs
+from .dense import SCORE_ROWS, _matrix, _spread, round_half_up
 from .embed import mean_pool
 from .metrics import with_metrics
 
 SCORE_ITEMS = 2048           # items scored against SCORE_ROWS rows at once
-PASS_BYTES = 128 << 20       # item vectors shipped in one pass
+PASS_BYTES = 16 << 20        # item vectors in one file
+USER_BYTES = 32 << 20        # user vectors that a task holds at once; half of it for item ids of their histories
+GATHER_ROWS = 32768          # item vectors copied at once
 
 
 def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs: DataFrame, item: str,
@@ -31,23 +42,117 @@ def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs:
     return mean_pool(joined, row_key, vec, out="user_vec")
 
 
+# ------------------------------------------------------------------ stored items
+def _store_items(item_vecs: DataFrame, item: str, vec: str, file_bytes: int) -> tuple[list[str], int]:
+    """Files of at most about ``file_bytes`` with ``item`` and ``_v`` (array<double>), and the vectors' width. The first file
+    is a hash share of the items, the others are ranges of item ids."""
+    spark = item_vecs.sparkSession
+    items = stored(item_vecs.select(item, F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull() & F.col(item).isNotNull()))
+    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
+    dim = max(int(stats["d"] or 0), 1)
+    files = max(1, math.ceil(int(stats["n"]) * (dim * 8 + 100) / file_bytes))
+    share = F.pmod(F.xxhash64(item), F.lit(files))
+    parts = [items.filter(share == 0).repartition(1)]
+    if files > 1:
+        parts.append(items.filter(share > 0).repartitionByRange(files - 1, item))
+    out = []
+    for part in parts:
+        path = workdir(spark, "items")
+        part.write.parquet(path)
+        fs, at = open_fs(path)
+        scheme = path[:-len(at)] if path.endswith(at) else ""      # tasks open the same store
+        found = fs.get_file_info(pafs.FileSelector(at))
+        out += [scheme + f.path for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet")]
+    return out, dim
+
+
+def _load_items(path: str, item: str, dim: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, in order, and vectors of one file."""
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        t = pq.ParquetFile(f).read(columns=[item, "_v"], use_threads=False)
+    ids = t[item].to_numpy()
+    flat = t["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0)
+    order = np.argsort(ids, kind="stable")
+    m = flat.reshape(len(t), dim)[order]
+    return ids[order], _unit(m) if unit else m
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Unit vectors, in place; a zero vector stays zero."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=m, where=n > 0)
+
+
+# ------------------------------------------------------------------ counting
+def _count(ids: np.ndarray, vectors: np.ndarray, users: np.ndarray, score: np.ndarray, wanted: np.ndarray, n: np.ndarray,
+           live: np.ndarray, k: int, digits: int, row_block: int, item_block: int) -> np.ndarray:
+    """Adds to ``n`` how many of the items stand before each ``live`` row's target; returns the rows still live."""
+    n_blocks = math.ceil(len(ids) / item_block)       # every n_blocks-th item, so a block holds ids from everywhere, in order
+    for b in range(n_blocks):
+        block, others = ids[b::n_blocks], vectors[b::n_blocks]
+        place = np.arange(len(block))[None, :]
+        for lo in range(0, len(live), row_block):      # bounds the score matrix
+            at = live[lo:lo + row_block]
+            first = np.searchsorted(block, wanted[at])
+            s, mine = round_half_up(users[at] @ others.T, digits), score[at][:, None]
+            ahead = (s > mine) | ((s == mine) & (place < first[:, None]))
+            there = np.flatnonzero(first < len(block))
+            there = there[block[first[there]] == wanted[at[there]]]
+            ahead[there, first[there]] = False         # the target itself
+            n[at] += ahead.sum(axis=1)
+        live = live[n[live] < k]
+    return live
+
+
+def _rank(rows: DataFrame, files: Sequence[str], item: str, dim: int, unit: bool, row_key: str, target: str, k: int, digits: int,
+          row_block: int, item_block: int, hold_bytes: int) -> DataFrame:
+    """(row, rank) of the open ``rows`` (row, target, ``_u``, ``_s``, ``_n`` items before the target so far) after the
+    items of ``files``. A task holds at most about ``hold_bytes`` of user vectors and one file."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rank(held: list[pd.DataFrame]) -> pd.DataFrame:
+            pdf = pd.concat(held, ignore_index=True)
+            users, score, n = _matrix(pdf["_u"], False), pdf["_s"].to_numpy(), pdf["_n"].to_numpy().copy()
+            wanted, keys = pdf[target].to_numpy(), pdf[row_key]
+            live = np.flatnonzero(n < k)
+            for path in files:
+                if not len(live):
+                    break
+                ids, vectors = _load_items(path, item, dim, unit)
+                live = _count(ids, vectors, users, score, wanted, n, live, k, digits, row_block, item_block)
+            return pd.DataFrame({row_key: keys.iloc[live], "rank": n[live] + 1})
+
+        most, held, size = max(1, hold_bytes // (dim * 8)), [], 0
+        for pdf in batches:
+            for lo in range(0, len(pdf), most):
+                part = pdf.iloc[lo:lo + most]
+                if size + len(part) > most:
+                    yield rank(held)
+                    held, size = [], 0
+                held.append(part)
+                size += len(part)
+        if held:
+            yield rank(held)
+
+    return rows.mapInPandas(giving_back(count), f"{row_key} {dict(rows.dtypes)[row_key]}, rank long")
+
+
 def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: DataFrame, row_key: str = "row_id",
                        uvec: str = "user_vec", item: str = "item_id", ivec: str = "vec", target: str = "target",
                        ks: Sequence[int] = (10, 50), metric: str = "cosine", digits: int = 6,
-                       row_block: int = SCORE_ROWS, item_block: int = SCORE_ITEMS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+                       row_block: int = SCORE_ROWS, item_block: int = SCORE_ITEMS, pass_bytes: int = PASS_BYTES,
+                       hold_bytes: int = USER_BYTES) -> DataFrame:
     """The rank of each row's target among all items, by counting.
 
-    Rows meet the items in passes: a pass ships one hash share of the items (at most about ``pass_bytes``) and
-    counts, block by block, how many of them stand before the target (scores rounded to ``digits``, ties by item
+    The items are stored in files of at most about ``pass_bytes``. A task holds some rows and goes through the files one by one,
+    counting, block by block, how many items stand before the target (scores rounded to ``digits``, ties by item
     id). A row with ``max(ks)`` items before its target has no rank whatever follows, so it leaves
-    at once; what a pass stores is the rows still open and their counts. No row and no item is
+    at once, and a task reads files only while rows are open. No row and no item is
     copied to a grid. Rows without a user vector or whose target has no vector have no rank, nor
     do ranks above ``max(ks)``. ``metric``: 'cosine' or 'dot'."""
     unit, k = metric == "cosine", max(ks)
-    spark = targets.sparkSession
-    items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
-    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    own = items.select(F.col(item).alias(target), F.col("_v").alias("_t"))
+    files, dim = _store_items(item_vecs, item, ivec, pass_bytes)
+    own = item_vecs.select(F.col(item).alias(target), F.col(ivec).alias("_t")).filter(F.col("_t").isNotNull())
     asked = targets.select(row_key, target)
     met = user_vecs.select(row_key, F.col(uvec).alias("_u")).filter(F.col("_u").isNotNull()).join(asked, row_key).join(own, target)
     types = dict(met.dtypes)
@@ -60,89 +165,112 @@ def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: Data
                 yield pd.DataFrame({row_key: pdf[row_key], target: pdf[target], "_u": list(users),
                                     "_s": round_half_up(np.einsum("ij,ij->i", users, mine), digits), "_n": 0})
 
-    rows = stable(met.mapInPandas(prepare, schema))
-    passes = max(1, math.ceil(int(stats["n"]) * (max(int(stats["d"] or 0), 1) * 8 + 100) / pass_bytes))
-    shares = items.withColumn("_ib", F.pmod(F.xxhash64(item), F.lit(passes)))
-    for share in range(passes):
-        ipdf = shares.filter(F.col("_ib") == share).select(item, "_v").toPandas()      # at most about pass_bytes
-        ipdf = ipdf.iloc[np.argsort(ipdf[item].to_numpy(), kind="stable")]
-        n_blocks = math.ceil(len(ipdf) / item_block)       # every n_blocks-th item, so a block holds ids from everywhere, in order
-        bc = spark.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], unit), n_blocks))
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors, n_blocks = bc.value
-            for pdf in batches:
-                users, score, n = _matrix(pdf["_u"], False), pdf["_s"].to_numpy(), pdf["_n"].to_numpy().copy()
-                wanted = pdf[target].to_numpy()
-                live = np.arange(len(pdf))
-                for b in range(n_blocks):
-                    block, others = ids[b::n_blocks], vectors[b::n_blocks]
-                    place = np.arange(len(block))[None, :]
-                    for lo in range(0, len(live), row_block):      # bounds the score matrix
-                        at = live[lo:lo + row_block]
-                        first = np.searchsorted(block, wanted[at])
-                        s, mine = round_half_up(users[at] @ others.T, digits), score[at][:, None]
-                        ahead = (s > mine) | ((s == mine) & (place < first[:, None]))
-                        there = np.flatnonzero(first < len(block))
-                        there = there[block[first[there]] == wanted[at[there]]]
-                        ahead[there, first[there]] = False         # the target itself
-                        n[at] += ahead.sum(axis=1)
-                    live = live[n[live] < k]
-                if len(live):
-                    yield pdf.assign(_n=n).iloc[live]
-
-        rows = stable(rows.mapInPandas(count, schema))
-        bc.destroy()
-    return with_metrics(asked.select(row_key).join(rows.select(row_key, (F.col("_n") + 1).alias("rank")), row_key, "left"), ks)
-
-
-def _history_means(rows: DataFrame, items: DataFrame, row_key: str, history: str, item: str, first: int, width: int) -> DataFrame:
-    """Components ``first`` (from 1) to ``first + width - 1`` of the mean vector of each row's history items; the items'
-    ids and these components are shipped to the rows. Rows without a known item are left out."""
-    ipdf = items.select(item, F.slice("_v", first, width).alias("_v")).toPandas()  # size checked by the caller
-    bc = rows.sparkSession.sparkContext.broadcast((ipdf[item].to_numpy(), _matrix(ipdf["_v"], False)))
-
-    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = bc.value
-        index = pd.Index(ids)
-        for pdf in batches:
-            lists = [h if h is not None else [] for h in pdf[history]]
-            owner = np.repeat(np.arange(len(lists)), [len(h) for h in lists])
-            flat = np.concatenate([np.asarray(h, dtype=ids.dtype) for h in lists]) if len(owner) else ids[:0]
-            at = index.get_indexer(flat)
-            owner, at = owner[at >= 0], at[at >= 0]
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
-            if len(starts):
-                n = np.diff(np.r_[starts, len(owner)])
-                users = np.add.reduceat(vectors[at], starts, axis=0) / n[:, None]
-                yield pd.DataFrame({row_key: pdf[row_key].to_numpy()[owner[starts]], "user_vec": list(users)})
+    rows = _spread(met.mapInPandas(prepare, schema))
+    ranks = stable(_rank(rows, files, item, dim, unit, row_key, target, k, digits, row_block, item_block, hold_bytes))
+    return with_metrics(asked.select(row_key).join(ranks, row_key, "left"), ks)
 
-    return _spread(rows.select(row_key, history)).mapInPandas(means, f"{row_key} {dict(rows.dtypes)[row_key]}, user_vec array<double>")
+
+# ------------------------------------------------------------------ user vectors from histories
+def _add_vectors(sums: np.ndarray, owner: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> None:
+    """``sums[owner] += vectors[at]`` for repeated owners."""
+    order = np.argsort(owner, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, len(owner), GATHER_ROWS):
+        o = owner[lo:lo + GATHER_ROWS]
+        starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        sums[o[starts]] += np.add.reduceat(vectors[at[lo:lo + GATHER_ROWS]], starts, axis=0)
+
+
+def _open_rows(rows: DataFrame, files: Sequence[str], item: str, dim: int, unit: bool, row_key: str, history: str, target: str, k: int,
+               digits: int, row_block: int, item_block: int, hold_bytes: int) -> DataFrame:
+    """Rows still open after the items of the first file, with their user vectors ``_u`` (mean of the history items' vectors),
+    the target's score ``_s`` and ``_n``. A task holds at most about ``hold_bytes`` of user vectors (and as much of
+    targets' vectors and of item ids) and adds up the vectors of one file after another, so no item vector moves to a row."""
+    types = dict(rows.dtypes)
+    schema = f"{row_key} {types[row_key]}, {target} {types[target]}, _u array<double>, _s double, _n long"
+
+    def opened(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        rows_here, lists, wanted = len(t), t[history].combine_chunks(), t[target].to_numpy()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        values, owner = lists.flatten(), np.repeat(np.arange(len(t), dtype=np.int32), sizes)
+        if values.null_count:
+            owner, values = owner[values.is_valid().to_numpy(zero_copy_only=False)], values.drop_null()
+        values = values.to_numpy(zero_copy_only=False)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        keys = t[row_key].combine_chunks()
+        goal_column = t[target].combine_chunks()
+        held.clear()
+        del t, lists, order
+        asked = np.argsort(wanted, kind="stable")
+        goals = wanted[asked]
+        sums, mine = np.zeros((rows_here, dim)), np.zeros((rows_here, dim))
+        found, known = np.zeros(rows_here, dtype=np.int64), np.zeros(rows_here, dtype=bool)
+        ids = vectors = None
+        for path in files:
+            ids, vectors = _load_items(path, item, dim, False)
+            if not len(ids):
+                continue
+            lo, hi = np.searchsorted(values, ids[0]), np.searchsorted(values, ids[-1], side="right")
+            at = np.searchsorted(ids, values[lo:hi])
+            hit = ids[at] == values[lo:hi]
+            whose = owner[lo:hi][hit]
+            found += np.bincount(whose, minlength=rows_here)
+            _add_vectors(sums, whose, vectors, at[hit])
+            lo, hi = np.searchsorted(goals, ids[0]), np.searchsorted(goals, ids[-1], side="right")
+            at = np.searchsorted(ids, goals[lo:hi])
+            hit = ids[at] == goals[lo:hi]
+            mine[asked[lo:hi][hit]] = vectors[at[hit]]
+            known[asked[lo:hi][hit]] = True
+        live = np.flatnonzero(known & (found > 0))
+        users, mine = sums[live], mine[live]
+        del sums, values, owner, vectors
+        users /= found[live][:, None]
+        give_back()
+        if unit:
+            users, mine = _unit(users), _unit(mine)
+        score, wanted, n = round_half_up(np.einsum("ij,ij->i", users, mine), digits), wanted[live], np.zeros(len(live), dtype=np.int64)
+        del mine
+        ids, vectors = _load_items(files[0], item, dim, unit)
+        still = _count(ids, vectors, users, score, wanted, n, np.arange(len(live)), k, digits, row_block, item_block)
+        left = pa.array(live[still])
+        u = pa.ListArray.from_arrays(pa.array(np.arange(len(still) + 1, dtype=np.int32) * dim), pa.array(users[still].reshape(-1)))
+        return pa.RecordBatch.from_arrays([keys.take(left), goal_column.take(left), u, pa.array(score[still]), pa.array(n[still])],
+                                          names=[row_key, target, "_u", "_s", "_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, held, size, ids = max(1, hold_bytes // (dim * 8)), [], 0, 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, most):
+                part = batch.slice(lo, most)
+                more = len(part.column(history).flatten())
+                if held and (size + part.num_rows > most or (ids + more) * 16 > hold_bytes):
+                    yield opened(held)
+                    size = ids = 0
+                held.append(part)
+                size, ids = size + part.num_rows, ids + more
+        if held:
+            yield opened(held)
+
+    return _spread(rows.select(row_key, target, history).filter(F.col(target).isNotNull())).mapInArrow(giving_back(run), schema)
 
 
 def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str = "row_id",
                             history: str = "history", target: str = "target", item: str = "item_id",
                             ivec: str = "vec", ks: Sequence[int] = (10, 50), metric: str = "cosine",
-                            digits: int = 6, means_bytes: int = BROADCAST_BYTES, **blocks: int) -> DataFrame:
+                            digits: int = 6, means_bytes: int = USER_BYTES, row_block: int = SCORE_ROWS,
+                            item_block: int = SCORE_ITEMS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """D20 with the built-in user vector (mean of the history items' vectors). The means are taken where the
-    rows are, all histories of an Arrow batch at once: in one go while the item table is at most ``means_bytes``,
-    else a few components at a time (ids and components of that size), put together by row, so no item
-    vector is copied to a history. Only when not even one component fits are histories exploded, joined and pooled.
-    The ranking is :func:`evaluate_next_item` each time."""
-    items = stable(item_vecs.select(item, F.col(ivec).alias("_v")).filter(F.col("_v").isNotNull()))
-    stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
-    n_items, dim = int(stats["n"]), max(int(stats["d"] or 0), 1)
-    width = min(dim, (means_bytes // max(n_items, 1) - 100) // 8)
-    if width < 1:
-        users = history_mean_vectors(rows, row_key, history, items.withColumnRenamed("_v", ivec), item, ivec)
-    elif width == dim:
-        users = _history_means(rows, items, row_key, history, item, 1, dim)
-    else:
-        parts = [stored(_history_means(rows, items, row_key, history, item, lo, width)).select(
-            row_key, F.struct(F.lit(lo).alias("lo"), "user_vec").alias("_p")) for lo in range(1, dim + 1, width)]
-        users = reduce(DataFrame.unionByName, parts).groupBy(row_key).agg(
-            F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["user_vec"])).alias("user_vec"))
-    return evaluate_next_item(users, items.withColumnRenamed("_v", ivec), rows, row_key, "user_vec", item, ivec, target, ks, metric, digits, **blocks)
+    rows are: a task holds rows worth about ``means_bytes`` of user vectors and adds up the item vectors file by file
+    (``pass_bytes`` each), then counts over the first file. Only rows still open move on, with their user vectors. The
+    ranking is that of :func:`evaluate_next_item`."""
+    unit, k = metric == "cosine", max(ks)
+    files, dim = _store_items(item_vecs, item, ivec, pass_bytes)
+    ranks = _open_rows(rows, files, item, dim, unit, row_key, history, target, k, digits, row_block, item_block, means_bytes)
+    ranks = _spread(stable(ranks))       # few rows, as a rule, but each meets all other files
+    ranks = stable(_rank(ranks, files[1:], item, dim, unit, row_key, target, k, digits, row_block, item_block, means_bytes))
+    return with_metrics(rows.select(row_key).join(ranks, row_key, "left"), ks)
 
 
 def summarize(per_row: DataFrame, ks: Sequence[int] = (10, 50), digits: int = 6) -> DataFrame:

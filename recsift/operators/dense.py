@@ -31,14 +31,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import giving_back
 from ..session import stable
 from .lexical import top_k
+from .vectorfiles import FILE_BYTES, HOLD_BYTES, read_columns, write_files
 
 BROADCAST_BYTES = 256 << 20
 QUERY_BLOCK_ROWS = 4096
 ITEM_BLOCK_ROWS = 32768
 SCORE_ROWS = 512     # queries scored against a block at once
 RECALL_QUERIES = 1000   # queries on which recall is measured
+SCORE_ITEMS = 4096   # items of a cell file scored at once
+FIRST_ITEMS = 256    # and of those met first
+NEAREST_ROWS = 1 << 20  # (row, cell) pairs looked at at once
 DIGITS = 6           # decimal places of a score in rankings
 
 
@@ -259,20 +264,23 @@ def aligned_similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -
 
 
 # ------------------------------------------------------------------------ D17
+def _probes(unit: np.ndarray, cents: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` cells of highest inner product of each unit vector, best first."""
+    return np.argsort(-(unit @ cents.T), axis=1, kind="stable")[:, :n]
+
+
 def _nearest_cells(bc, vec_col: str, n: int, keep: list[str], cell: str = "cell"):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cents = bc.value
+        take = min(n, cents.shape[0])
+        step = max(1, NEAREST_ROWS // cents.shape[0])      # bounds the scores and what is handed on at once
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = _matrix(pdf[vec_col], True)
-            s = m @ cents.T
-            take = min(n, cents.shape[0])
-            top = np.argsort(-s, axis=1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(len(pdf)), take)
-            out = pdf.iloc[rows][keep].reset_index(drop=True)
-            out[cell] = top.reshape(-1).astype("int32")
-            yield out
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                top = _probes(_matrix(part[vec_col], True), cents, take)
+                out = part.iloc[np.repeat(np.arange(len(part)), take)][keep].reset_index(drop=True)
+                out[cell] = top.reshape(-1).astype("int32")
+                yield out
     return run
 
 
@@ -300,16 +308,6 @@ def build_ivf(items: DataFrame, item: str = "item_id", vec: str = "vec", n_cells
     return stable(assign), cents
 
 
-def _blocks_per_cell(df: DataFrame, rows_per_block: int):
-    """Literal map cell → number of blocks (one entry per cell: bounded by
-    the number of cells)."""
-    sizes = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    pairs = []
-    for r in sizes:
-        pairs += [F.lit(int(r["cell"])), F.lit(max(1, math.ceil(r["n"] / rows_per_block)))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
-
-
 def add_to_ivf(assign: DataFrame, centroids: np.ndarray, new_rows: DataFrame, item: str = "item_id",
                vec: str = "vec") -> DataFrame:
     """U3 for the cell index: new rows join their nearest cells (ids must stay unique)."""
@@ -321,42 +319,114 @@ def add_to_ivf(assign: DataFrame, centroids: np.ndarray, new_rows: DataFrame, it
 
 
 def ivf_search(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, n_probe: int = 10,
-               qid: str = "qid", qvec: str = "vec", item: str = "item_id", threshold: float | None = None) -> DataFrame:
+               qid: str = "qid", qvec: str = "vec", item: str = "item_id", threshold: float | None = None,
+               file_bytes: int = FILE_BYTES, hold_bytes: int = HOLD_BYTES) -> DataFrame:
     """D17 search: each query visits its ``n_probe`` best cells and is scored
     exactly against the items there; the top k are kept. With ``n_probe`` =
     number of cells this equals exact search; with ``threshold`` only items whose
     cosine reaches it count.
 
-    Scoring is a block grid per cell: a cell's probing queries and its items
-    are cut into blocks of bounded size (counts per cell are one row per
-    cell), each (cell, query block, item block) group is one matrix product
-    that emits only per-query top-k candidates — so a crowded cell is spread
-    over many tasks."""
-    spark = queries.sparkSession
-    bc = spark.sparkContext.broadcast(centroids)
+    The items are stored by cell in files of at most about ``file_bytes``, and a task takes queries worth
+    about ``hold_bytes`` (vectors, probed cells, results) through files one by one, scoring each against the cells it
+    probes and keeping its first ``k`` so far. Few queries meet the files in several tasks, each with a share
+    of the files; queries are repeated for that at most twice a core. No vector is repeated for a cell."""
+    spark, n_cells = queries.sparkSession, centroids.shape[0]
     qtyp, ityp = dict(queries.dtypes)[qid], dict(assign.dtypes)[item]
-    q = queries.select(qid, l2_normalize(qvec).alias("_q"))
-    probes = stable(q.mapInPandas(_nearest_cells(bc, "_q", n_probe, [qid, "_q"]),
-                                  f"{qid} {qtyp}, _q array<double>, cell int"))
-    qb = _blocks_per_cell(probes, QUERY_BLOCK_ROWS)
-    ib = _blocks_per_cell(assign, ITEM_BLOCK_ROWS)
-    px = (probes.withColumn("_qb", F.pmod(F.xxhash64(qid), F.try_element_at(qb, F.col("cell"))).cast("int"))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.try_element_at(ib, F.col("cell")) - 1))))
-    ax = (assign.withColumn("_ib", F.pmod(F.xxhash64(item), F.try_element_at(ib, F.col("cell"))).cast("int"))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.try_element_at(qb, F.col("cell")) - 1))))
+    probe, tasks = min(n_probe, n_cells), spark.sparkContext.defaultParallelism * 2
+    schema = f"{qid} {qtyp}, {item} {ityp}, score double"
+    q = stable(queries.filter(F.col(qvec).isNotNull()).select(qid, l2_normalize(qvec).alias("_q")))
+    n_queries = q.count()
+    stats = assign.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_u")).alias("d")).first()
+    if not n_queries or not stats["n"]:
+        return top_k(spark.createDataFrame([], schema), qid, item, k)
+    width = int(stats["d"]) * 8
+    n_files = max(1, math.ceil(int(stats["n"]) * (width + 100) / file_bytes))
+    files = write_files(assign.select(item, "_u", "cell").repartitionByRange(n_files, "cell", item), "cells")
+    most = max(1, hold_bytes // (width + k * 32 + (probe * 16 if probe < n_cells else 0)))   # queries that a task holds
+    shares = min(len(files), math.ceil(tasks / math.ceil(n_queries / most)))
+    groups = max(math.ceil(n_queries / most), math.ceil(tasks / shares))
+    dealt = q.withColumn("_g", F.pmod(F.xxhash64(qid), F.lit(groups)).cast("int")) \
+        .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartitionByRange(groups * shares, "_h", "_g")
+    bc = spark.sparkContext.broadcast(centroids)
 
-    def grid(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({qid: [], item: [], "score": []})
-        return _score_block(left[qid].to_numpy(), _matrix(left["_q"], False), right[item].to_numpy(),
-                            _matrix(right["_u"], False), k, threshold, (qid, item, "score"))
+    def search(qids: np.ndarray, qm: np.ndarray, mine: list[str]) -> pd.DataFrame:
+        best, ids_of = np.full((len(qids), k), -np.inf), np.empty((len(qids), k), dtype=object)
+        every = np.arange(len(qids))
+        if probe < n_cells:
+            step = max(1, NEAREST_ROWS // n_cells)
+            cells = np.concatenate([_probes(qm[lo:lo + step], bc.value, probe).astype(np.int32) for lo in range(0, len(qm), step)]).reshape(-1)
+            by_cell = np.argsort(cells, kind="stable")
+            starts = np.searchsorted(cells[by_cell], np.arange(n_cells + 1))
+            who = (by_cell // probe).astype(np.int32)
+            del cells, by_cell
+        for path in mine:
+            in_cell, = read_columns(path, "cell")
+            if probe < n_cells and not any(starts[c] < starts[c + 1] for c in np.unique(in_cell)):
+                continue
+            in_cell, ids, vectors = read_columns(path, "cell", item, "_u")
+            if probe == n_cells:
+                _keep_best(qm, every, ids, vectors, k, threshold, best, ids_of)
+                continue
+            for c in np.unique(in_cell):
+                rows = who[starts[c]:starts[c + 1]]
+                if len(rows):
+                    here = in_cell == c
+                    _keep_best(qm, rows, ids[here], vectors[here], k, threshold, best, ids_of)
+        r, c = np.nonzero(best > -np.inf)
+        return pd.DataFrame({qid: qids[r], item: ids_of[r, c], "score": best[r, c]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def shared_out() -> Iterator[pd.DataFrame]:
+            qids, share, qm = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for h in np.unique(share):
+                yield search(qids[share == h], qm[share == h], files[h::shares])
 
-    keys = ["cell", "_qb", "_ib"]
-    cand = px.groupBy(*keys).cogroup(ax.groupBy(*keys)).applyInPandas(
-        grid, f"{qid} {qtyp}, {item} {ityp}, score double")
+        held, size = [], 0
+        for pdf in batches:
+            for lo in range(0, len(pdf), most):
+                part = pdf.iloc[lo:lo + most]
+                if size + len(part) > most and held:
+                    yield from shared_out()
+                    size = 0
+                held.append((part[qid].to_numpy(), part["_h"].to_numpy(), _matrix(part["_q"], False)))
+                size += len(part)
+        if held:
+            yield from shared_out()
+
+    cand = dealt.select(qid, "_h", "_q").mapInPandas(giving_back(run), schema)
     return top_k(cand, qid, item, k)
 
 
+def _keep_best(qm: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, min_score: float | None,
+               best: np.ndarray, ids_of: np.ndarray) -> None:
+    """Puts into ``best`` and ``ids_of`` (the first ``k`` scores and items so far, by score and item) of the queries ``rows`` what
+    belongs there of these items; with ``min_score`` only items whose exact score reaches it."""
+    lo = 0
+    while lo < len(ids):
+        # the first items are few: they give a bound that most of the others miss
+        hi = lo + (FIRST_ITEMS if lo == 0 else SCORE_ITEMS)
+        block, others = ids[lo:hi], vectors[lo:hi]
+        for at in range(0, len(rows), SCORE_ROWS):
+            mine = rows[at:at + SCORE_ROWS]
+            exact = qm[mine] @ others.T
+            keep = exact >= best[mine, -1, None] - 10.0 ** -DIGITS      # a rounded score is less than that away
+            if min_score is not None:
+                keep &= exact >= min_score
+            r, c = np.nonzero(keep)
+            if not len(r):
+                continue
+            new = np.unique(r)
+            was = best[mine[new]]
+            o, p = np.nonzero(was > -np.inf)
+            row, it, s = _first_k(np.concatenate([r, new[o]]), np.concatenate([block[c], ids_of[mine[new]][o, p].astype(block.dtype)]),
+                                  np.concatenate([round_half_up(exact[r, c]), was[o, p]]), k)
+            first = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1]
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+            best[mine[row], place], ids_of[mine[row], place] = s, it
+        lo = hi
+
+
 def probes_for_recall(assign: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, target: float = 0.9,
                       sample: int = RECALL_QUERIES, qid: str = "qid", qvec: str = "vec", item: str = "item_id",
                       seed: int = 42) -> int:

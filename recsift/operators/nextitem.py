@@ -12,8 +12,6 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +19,13 @@ import numpy as np
 import pandas as pd
 
 from ..functions.memory import give_back, giving_back
-from ..session import stable, stored, workdir
-from ..sources.files import open_fs
+from ..session import stable, stored
 from .dense import SCORE_ROWS, _matrix, _spread, round_half_up
 from .embed import mean_pool
 from .metrics import with_metrics
+from .vectorfiles import FILE_BYTES, HOLD_BYTES, read_columns, write_files
 
 SCORE_ITEMS = 2048           # items scored against SCORE_ROWS rows at once
-PASS_BYTES = 16 << 20        # item vectors in one file
-USER_BYTES = 32 << 20        # user vectors that a task holds at once; half of it for item ids of their histories
 GATHER_ROWS = 32768          # item vectors copied at once
 
 
@@ -46,7 +42,6 @@ def history_mean_vectors(rows: DataFrame, row_key: str, history: str, item_vecs:
 def _store_items(item_vecs: DataFrame, item: str, vec: str, file_bytes: int) -> tuple[list[str], int]:
     """Files of at most about ``file_bytes`` with ``item`` and ``_v`` (array<double>), and the vectors' width. The first file
     is a hash share of the items, the others are ranges of item ids."""
-    spark = item_vecs.sparkSession
     items = stored(item_vecs.select(item, F.col(vec).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull() & F.col(item).isNotNull()))
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d")).first()
     dim = max(int(stats["d"] or 0), 1)
@@ -55,26 +50,14 @@ def _store_items(item_vecs: DataFrame, item: str, vec: str, file_bytes: int) ->
     parts = [items.filter(share == 0).repartition(1)]
     if files > 1:
         parts.append(items.filter(share > 0).repartitionByRange(files - 1, item))
-    out = []
-    for part in parts:
-        path = workdir(spark, "items")
-        part.write.parquet(path)
-        fs, at = open_fs(path)
-        scheme = path[:-len(at)] if path.endswith(at) else ""      # tasks open the same store
-        found = fs.get_file_info(pafs.FileSelector(at))
-        out += [scheme + f.path for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet")]
-    return out, dim
+    return [f for part in parts for f in write_files(part, "items")], dim
 
 
 def _load_items(path: str, item: str, dim: int, unit: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids, in order, and vectors of one file."""
-    fs, at = open_fs(path)
-    with fs.open_input_file(at) as f:
-        t = pq.ParquetFile(f).read(columns=[item, "_v"], use_threads=False)
-    ids = t[item].to_numpy()
-    flat = t["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0)
+    ids, m = read_columns(path, item, "_v")
     order = np.argsort(ids, kind="stable")
-    m = flat.reshape(len(t), dim)[order]
+    m = m.reshape(len(ids), dim)[order]
     return ids[order], _unit(m) if unit else m
 
 
@@ -140,8 +123,8 @@ def _rank(rows: DataFrame, files: Sequence[str], item: str, dim: int, unit: bool
 def evaluate_next_item(user_vecs: DataFrame, item_vecs: DataFrame, targets: DataFrame, row_key: str = "row_id",
                        uvec: str = "user_vec", item: str = "item_id", ivec: str = "vec", target: str = "target",
                        ks: Sequence[int] = (10, 50), metric: str = "cosine", digits: int = 6,
-                       row_block: int = SCORE_ROWS, item_block: int = SCORE_ITEMS, pass_bytes: int = PASS_BYTES,
-                       hold_bytes: int = USER_BYTES) -> DataFrame:
+                       row_block: int = SCORE_ROWS, item_block: int = SCORE_ITEMS, pass_bytes: int = FILE_BYTES,
+                       hold_bytes: int = HOLD_BYTES) -> DataFrame:
     """The rank of each row's target among all items, by counting.
 
     The items are stored in files of at most about ``pass_bytes``. A task holds some rows and goes through the files one by one,
@@ -259,8 +242,8 @@ def _open_rows(rows: DataFrame, files: Sequence[str], item: str, dim: int, unit:
 def evaluate_from_histories(rows: DataFrame, item_vecs: DataFrame, row_key: str = "row_id",
                             history: str = "history", target: str = "target", item: str = "item_id",
                             ivec: str = "vec", ks: Sequence[int] = (10, 50), metric: str = "cosine",
-                            digits: int = 6, means_bytes: int = USER_BYTES, row_block: int = SCORE_ROWS,
-                            item_block: int = SCORE_ITEMS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+                            digits: int = 6, means_bytes: int = HOLD_BYTES, row_block: int = SCORE_ROWS,
+                            item_block: int = SCORE_ITEMS, pass_bytes: int = FILE_BYTES) -> DataFrame:
     """D20 with the built-in user vector (mean of the history items' vectors). The means are taken where the
     rows are: a task holds rows worth about ``means_bytes`` of user vectors and adds up the item vectors file by file
     (``pass_bytes`` each), then counts over the first file. Only rows still open move on, with their user vectors. The

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import os
 import string
 import uuid
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.memory import give_back
-from ..session import ensure_checkpoint_dir, ship_code
+from ..session import ensure_checkpoint_dir, release, ship_code
 
 
 def prepare(spark: SparkSession) -> None:
@@ -80,12 +79,6 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose results are stored by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function on Arrow batches. Its worker outlives the task and idles beside the steps that
     follow, so what the task used goes back at its end."""
